@@ -34,6 +34,32 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwork.llm import warc
+
+    path = warc.scratch_archives(spark)
+    warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    found = warc.read_archives(spark, path).select("page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A response's figures are those of the payload read; a revisit's payload is elsewhere."""
+        for part in batches:
+            rows = part.select(["record_type", "payload_digest", "payload_bytes", "payload"]).to_pylist()
+            own = [(warc.digest(r["payload"]), len(r["payload"])) if r["record_type"] == "response" else (r["payload_digest"], r["payload_bytes"]) for r in rows]
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array([n for _, n in own], pa.int64()), pa.array([x for x, _ in own], pa.string()), part.column("record_type"), part.column("refers_to")], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+    return found.mapInArrow(check, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwork.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    links = train(docs, table(spark, sf_dir, "labels"), ["quality", "toxic"])
+    found = score(docs, links, ["p_quality", "p_toxic"])
+    return found.select("doc_id", "p_quality", "p_toxic", F.coalesce(F.col("p_toxic") >= 0.5, F.lit(False)).alias("toxic"))
+
+
 def _digest(ids: str) -> Column:
     """SHA-256 of token ids as little-endian unsigned 32-bit integers."""
 
@@ -52,9 +78,51 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwork.llm.chat import expand, read_back
+    from tarnwork.llm.common import written
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    both = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(both).alias("text"))
+    found = read_back(written(expand(rows.unionByName(extra)), "chat"))
+    loss = F.array_join("loss", "")
+    return found.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+OP8_SQL = """
+with c as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e as (
+    select *, regexp_replace(text, '([<\\[])(\\\\*)(\\||/?s>|/?INST\\])', '\\1\\\\\\2\\3', 'g') as escaped from c
+), f as (
+    select *, sum(length(escaped) + length(role) + 23) over (partition by conv_id order by turn, role, text rows unbounded preceding) as upto,
+        row_number() over (partition by conv_id order by turn desc, role desc, text desc) as back from e
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+    cast(sum(upto) filter (where role = 'assistant' or back = 1) as bigint) as formatted_chars
+from f group by conv_id
+"""
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwork.llm.quality import judge
+
+    found = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("p_good") >= 0.5)).alias("kept"), "p_good")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_warc, op4_toxicity, op8_chat, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_chat": OP8_SQL}
