@@ -118,8 +118,6 @@ class TreeEncoder:
 
     def learn(self, runs: set[str]) -> None:
         """Encode unseen runs, all in one parallel call."""
-        if len(self.known) > MEMORY:
-            self.known, self.before = {}, self.known
         new = []
         for run in runs - self.known.keys():
             if run in self.before:
@@ -168,6 +166,8 @@ class TreeEncoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_run:
             return [np.array([t[0] for t in self.tokens(x)] if x else [], "<u4").tobytes() for x in texts]
+        if len(self.known) > MEMORY:  # only here: a batch finds again what it has learnt
+            self.known, self.before = {}, self.known
         self.learn(set().union(*map(self.leaves, texts)))
         return [b"".join(self._concatenated(x)[1]) for x in texts]
 

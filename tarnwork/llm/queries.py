@@ -120,8 +120,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("p_good") >= 0.5)).alias("kept"), "p_good")
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwork.llm.jaccard import join
+
+    return join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_warc, op4_toxicity, op8_chat, op9_quality)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_warc, op4_toxicity, op8_chat, op9_quality, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
