@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,19 @@ RUN = re.compile("[^ \t\n\r\x0b\x0c]+")
 MEMORY = 300_000
 
 
+#: Letters that normalisation leaves one by one, perhaps with one mark that ends the run.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?|]?)")
+#: A tokenizer of this make takes a plain run's letters, in lower case, as one word for its merges, and the mark as another.
+_PLAIN_NORMALIZERS = {"NFC", "Replace", "Lowercase"}
+_PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves, others from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
 def _stable(ch: str) -> bool:
     """Whether normalisation never joins this character to the one before it."""
     return ch < "̀" or "一" <= ch <= "鿿"
@@ -49,6 +63,9 @@ class TreeEncoder:
         self.tokenizer = Tokenizer.from_str(json.dumps(spec))
         # Runs are independent if white space splits, is dropped, and no added token reaches across it.
         self.by_run = '"Removed"' in json.dumps(spec["pre_tokenizer"]) and not any(a["lstrip"] or a["rstrip"] or RUN.fullmatch(a["content"]) is None for a in spec["added_tokens"])
+        parts = [x for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        self.plain = self.by_run and {x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])} == _PLAIN_NORMALIZERS and [x["pattern"].get("Regex") for x in parts] == [_PLAIN_SPLIT]
+        self.letters, self.words = _byte_letters(), {}
         self.leaf, self.window = leaf, window
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -119,11 +136,14 @@ class TreeEncoder:
     def learn(self, runs: set[str]) -> None:
         """Encode unseen runs, all in one parallel call."""
         new = []
-        for run in runs - self.known.keys():
-            if run in self.before:
-                self.known[run] = self.before[run]
-            else:
-                new.append(run)
+        for run in runs:
+            if run not in self.known:
+                if run in self.before:
+                    self.known[run] = self.before[run]
+                else:
+                    new.append(run)
+        if self.plain:
+            new = [r for r in new if not self._learn_plain(r)]
         short = [r for r in new if len(r) <= self.leaf]
         for run, e in zip(short, self.tokenizer.encode_batch(short, add_special_tokens=False), strict=True):
             self.known[run] = np.array(e.ids, "<u4").tobytes()
@@ -131,20 +151,35 @@ class TreeEncoder:
             if len(run) > self.leaf:
                 self.known[run] = np.array([t[0] for t in self.tokens(run)], "<u4").tobytes()
 
+    def _learn_plain(self, run: str) -> bool:
+        """Learn a run that needs none of the tokenizer's splitting, if it is one: its letters go straight to the merges."""
+        found = PLAIN.fullmatch(run)
+        if found is None or len(run) > self.leaf:
+            return False
+        out = b""
+        for part in found[1].lower(), found[2]:
+            if part not in self.words:
+                if len(self.words) > MEMORY:
+                    self.words.clear()
+                tokens = self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.letters)) if part else []
+                self.words[part] = array("I", [t.id for t in tokens]).tobytes()
+            out += self.words[part]
+        self.known[run] = out
+        return True
+
     def _ids(self, run: str) -> bytes:
         if run not in self.known:
             self.learn({run})
         return self.known[run]
 
-    def _concatenated(self, text: str) -> tuple[list[str], list[bytes]]:
-        """Runs of a text and their ids: halves, joined by windows of growing numbers of runs."""
-        if len(text) <= self.leaf:
-            runs = RUN.findall(text)
+    def _concatenated(self, leaves: list[tuple[str, list[str]]]) -> tuple[list[str], list[bytes]]:
+        """Runs and ids of adjoining leaves (text, runs): halves, joined by windows of growing numbers of runs."""
+        if len(leaves) == 1:
+            runs = leaves[0][1]
             return runs, list(map(self.known.__getitem__, runs))
-        cut = len(text) // 2
-        (left, left_ids), (right, right_ids) = self._concatenated(text[:cut]), self._concatenated(text[cut:])
-        inside = bool(left) and bool(right) and RUN.fullmatch(text[cut - 1 : cut + 1]) is not None
-        if not inside:
+        cut = len(leaves) // 2
+        (left, left_ids), (right, right_ids) = self._concatenated(leaves[:cut]), self._concatenated(leaves[cut:])
+        if not left or not right or RUN.fullmatch(leaves[cut - 1][0][-1] + leaves[cut][0][0]) is None:
             return left + right, left_ids + right_ids
         size = 2
         while True:
@@ -155,12 +190,12 @@ class TreeEncoder:
                 return left[:a] + window + right[b:], left_ids[:a] + ids + right_ids[b:]
             size *= 2
 
-    def leaves(self, text: str) -> set[str]:
-        """Runs of the text's leaves, to be learnt before the tree is built."""
+    def leaves(self, text: str) -> list[tuple[str, list[str]]]:
+        """The text halved until parts have at most `leaf` characters, each part with its runs."""
         if len(text) <= self.leaf:
-            return set(RUN.findall(text))
+            return [(text, RUN.findall(text))]
         cut = len(text) // 2
-        return self.leaves(text[:cut]) | self.leaves(text[cut:])
+        return self.leaves(text[:cut]) + self.leaves(text[cut:])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -168,8 +203,9 @@ class TreeEncoder:
             return [np.array([t[0] for t in self.tokens(x)] if x else [], "<u4").tobytes() for x in texts]
         if len(self.known) > MEMORY:  # only here: a batch finds again what it has learnt
             self.known, self.before = {}, self.known
-        self.learn(set().union(*map(self.leaves, texts)))
-        return [b"".join(self._concatenated(x)[1]) for x in texts]
+        trees = [self.leaves(x) for x in texts]
+        self.learn({run for tree in trees for _, runs in tree for run in runs})
+        return [b"".join(self._concatenated(tree)[1]) for tree in trees]
 
 
 class Decoder:
