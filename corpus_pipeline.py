@@ -1,24 +1,69 @@
-"""From raw documents to token ids: toxicity, line dedup, n-gram Jaccard join, decontamination, BPE."""
+"""From raw documents to token ids: toxicity, line dedup, n-gram Jaccard join, decontamination, BPE.
+
+Each stage takes (spark, documents, folder of the tables) and works on every row that the stage before it kept; all but the last return the columns
+of documents. `run` applies them in order, each written as Parquet in the shared folder and read again.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnwork.llm import bpe, decontaminate, jaccard, lines, toxicity
+from tarnwork.llm.common import scratch_path, text_key
+from tarnwork.llm.queries import table, tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain's last model gives less than an even chance of toxicity, or no chance at all for want of labels."""
+    links = toxicity.train(docs, table(spark, sf_dir, "labels"), ["quality", "toxic"])
+    scored = toxicity.score(docs, links, ["_quality", "_toxic"])
+    return scored.where(F.col("_toxic").isNull() | (F.col("_toxic") < 0.5)).select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that are (nearly) in an earlier one; a document of which nothing is left goes. n_chars follows the text."""
+    found = lines.dedup_lines(docs)
+    found = found.where((F.col("_n_removed") == 0) | (F.length(F.trim(F.regexp_replace("text", r"\s", ""))) > 0))
+    return found.select(*(F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates, that of the smallest id; documents without words all stay."""
+    found = jaccard.join(docs).select(F.col("doc_id").alias("_id"), "component_id").where("_id = component_id or component_id is null").select("_id").distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    marked = docs.withColumn("_text", text_key("text"))
+    return marked.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left_anti").select(docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their token ids."""
+    return bpe.encode(docs, tokenizer_path())
 
-from tarnwork.llm.common import scratch_path
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", keep_one_of_each),
+    ("benchmark decontamination", drop_contaminated),
+    ("BPE encoding and decoding", tokenize),
+]
 
 #: The classifier and the near-duplicate stages have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages in order, each written as Parquet and read again as the next one's documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        path = scratch_path(spark, f"stage-{k}-{name}")
+        path = scratch_path(spark, f"stage-{k}-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

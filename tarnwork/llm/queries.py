@@ -94,6 +94,13 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwork.llm.lines import dedup_lines
+
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 OP8_SQL = """
 with c as (
     select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -127,7 +134,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_warc, op4_toxicity, op8_chat, op9_quality, op10_jaccard)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_warc, op4_toxicity, op6_lines, op8_chat, op9_quality, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
