@@ -30,7 +30,7 @@ from tarnwork.llm.common import slices
 
 RUN = re.compile("[^ \t\n\r\x0b\x0c]+")
 #: Runs remembered by a worker since it last forgot; those used lately outlive a forgetting.
-MEMORY = 300_000
+MEMORY = 120_000
 
 
 #: Letters that normalisation leaves one by one, perhaps with one mark that ends the run.
@@ -236,6 +236,12 @@ def encoder(path: str, leaf: int = 4096) -> TreeEncoder:
     return _encoders[path, leaf]
 
 
+def decoder(path: str) -> Decoder:
+    if path not in _decoders:
+        _decoders[path] = Decoder(path)
+    return _decoders[path]
+
+
 def list_array(parts: list[bytes], kind: str = "<u4") -> pa.ListArray:
     """A list column of 64-bit integers from packed ones."""
     ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
@@ -243,40 +249,42 @@ def list_array(parts: list[bytes], kind: str = "<u4") -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int32)))
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType) -> tuple[list[str], T.StructType]:
-    rest = [c for c in df.columns if c != name]
-    return rest, T.StructType([*(df.schema[c] for c in rest), T.StructField(name, kind)])
+def _ids_type(packed: bool) -> T.DataType:
+    return T.BinaryType() if packed else T.ArrayType(T.IntegerType())
+
 
+def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", leaf: int = 4096, keep_text: bool = True, packed: bool = False, decoded_col: str | None = None) -> DataFrame:
+    """`df` with the token ids of each text: an array of int, or `packed` as little-endian unsigned 32-bit integers.
 
-def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", leaf: int = 4096, keep_text: bool = True) -> DataFrame:
-    """`df` with the token ids of each text (array of int). Narrow: no shuffle, and memory bounded by a slice of rows."""
-    if not keep_text:
-        rest = [c for c in df.columns if c not in (text_col, ids_col)]
-    else:
-        rest = [c for c in df.columns if c != ids_col]
-    schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    `decoded_col` adds the text that the ids decode to, in the same pass. Narrow: no shuffle, and memory bounded by a slice of rows.
+    """
+    new = [ids_col, *([decoded_col] if decoded_col else [])]
+    rest = [c for c in df.columns if c not in new and (keep_text or c != text_col)]
+    schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(ids_col, _ids_type(packed)), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = encoder(tokenizer_path, leaf)
         for part in slices(batches):
-            texts = [x or "" for x in part.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), list_array(tree.encode_batch(texts))], names=[*rest, ids_col])
+            coded = tree.encode_batch([x or "" for x in part.column(text_col).to_pylist()])
+            out = [pa.array(coded, pa.binary()) if packed else list_array(coded)]
+            if decoded_col:
+                table = decoder(tokenizer_path)
+                out.append(pa.array([table.decode(np.frombuffer(x, "<u4")) for x in coded], pa.string()))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *out], names=[*rest, *new])
 
     return df.select(*dict.fromkeys([*rest, text_col])).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """`df` with the text of each row's token ids."""
-    rest, schema = _with(df, text_col, T.StringType())
+    """`df` with the text of each row's token ids (array or packed)."""
+    rest = [c for c in df.columns if c != text_col]
+    packed = isinstance(df.schema[ids_col].dataType, T.BinaryType)
+    schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _decoders:
-            _decoders[tokenizer_path] = Decoder(tokenizer_path)
-        decoder = _decoders[tokenizer_path]
+        table = decoder(tokenizer_path)
         for part in slices(batches):
-            column = part.column(ids_col)
-            ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint32)
-            texts = [decoder.decode(values[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(texts, pa.string())], names=[*rest, text_col])
+            ids = [np.frombuffer(x or b"", "<u4") if packed else np.array(x or [], np.uint32) for x in part.column(ids_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array([table.decode(x) for x in ids], pa.string())], names=[*rest, text_col])
 
     return df.mapInArrow(run, schema)

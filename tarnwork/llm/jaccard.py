@@ -35,7 +35,8 @@ from pyspark.sql import types as T
 from tarnwork.llm.common import as_bytes, mix, shingles, slices, text_key, written
 from tarnwork.llm.graph import components
 
-GROUPS = 32
+#: Coordinates of a point, a byte each; a coordinate of 255 stands for any count from there on and bounds nothing.
+GROUPS, FULL = 128, 255
 BITS = 1 << 27
 #: A shingle is of many documents if counts within parts of tasks sum up to this.
 OFTEN = 48
@@ -112,7 +113,7 @@ def _sets(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFrame
                 c.append(int(mix(h + np.uint64(len(h))).sum().view(np.int64)) if len(h) else 0)
                 order = h if many is None else np.concatenate([h[~(m := _in(many, h))], h[m]])
                 first.append(order[: _prefix(len(h), percent, 100)].tobytes())
-                counts.append(np.bincount((h % np.uint64(GROUPS)).astype(int), minlength=GROUPS).clip(max=65535).astype("<u2").tobytes())
+                counts.append(np.bincount((h % np.uint64(GROUPS)).astype(int), minlength=GROUPS).clip(max=FULL).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(first, pa.binary()), pa.array(counts, pa.binary())], names=names)
 
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("id long, n long, c long, first binary, counts binary")])
@@ -124,24 +125,23 @@ def _prefix(n: int, percent: int, of: int) -> int:
     return n + percent * n // -of + 1 if n else 0
 
 
-def _rows(classes: DataFrame, shared: np.ndarray | None, vectors: bool) -> DataFrame:
-    """(h, c, n, r[, counts]): a row per prefix shingle (that the bitmap lets through), r its place from 0."""
-    names = ["h", "c", "n", "r", *(["counts"] if vectors else [])]
+def _rows(classes: DataFrame, shared: np.ndarray | None) -> DataFrame:
+    """(h, c, n): a row per prefix shingle (that the bitmap lets through)."""
     sent = None if shared is None else classes.sparkSession.sparkContext.broadcast(shared.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = None if sent is None else np.frombuffer(sent.value, np.uint8)
         for part in slices(batches):
-            sizes = np.array([len(x) // 8 for x in part.column("first").to_pylist()])
-            h = np.frombuffer(b"".join(part.column("first").to_pylist()), np.uint64)
-            row = np.repeat(np.arange(part.num_rows), sizes)
-            r = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = np.ones(len(h), bool) if bitmap is None else _in(bitmap, h)
-            row, take = row[keep], pa.array(row[keep])
-            out = [pa.array(h[keep].view(np.int64)), part.column("c").take(take), part.column("n").take(take), pa.array(r[keep].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*out, *([part.column("counts").take(take)] if vectors else [])], names=names)
+            first = part.column("first").to_pylist()
+            h = np.frombuffer(b"".join(first), np.uint64)
+            row = np.repeat(np.arange(part.num_rows), [len(x) // 8 for x in first])
+            if bitmap is not None:
+                keep = _in(bitmap, h)
+                h, row = h[keep], row[keep]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column("c").take(take), part.column("n").take(take)], names=["h", "c", "n"])
 
-    return classes.select("c", "n", "first", *(["counts"] if vectors else [])).mapInArrow(run, "h long, c long, n long, r int" + ", counts binary" * vectors)
+    return classes.select("c", "n", "first").mapInArrow(run, "h long, c long, n long")
 
 
 def needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -149,18 +149,23 @@ def needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (na + nb) // (100 + percent))
 
 
-def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of pairs (a, b, na, nb, va, vb) whose summed coordinate minima reach the overlap needed."""
+def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of pairs (a, b) whose summed coordinate minima reach the overlap needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 4096):
-            va, vb = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u2").reshape(-1, GROUPS) for c in ("va", "vb"))
+            va, vb = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, GROUPS) for c in ("va", "vb"))
             na, nb = (part.column(c).to_numpy() for c in ("na", "nb"))
-            most = np.minimum(va, vb).astype(np.int64).sum(1)
-            keep = (most >= needed(na, nb, percent)) | (va == 65535).any(1) | (vb == 65535).any(1)
-            yield part.select(["a", "b"]).filter(pa.array(keep))
+            yield part.select(["a", "b"]).filter(pa.array(_reaches(va, vb, na, nb, percent)))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    left = classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("counts").alias("va"))
+    right = classes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("vb"))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+
+
+def _reaches(va: np.ndarray, vb: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    least = np.minimum(va, vb)
+    return (least.sum(1, dtype=np.int64) >= needed(na, nb, percent)) | (least == FULL).any(1)
 
 
 class Tree:
@@ -169,7 +174,7 @@ class Tree:
     LEAF, FAN = 16, 8
 
     def __init__(self, n: np.ndarray, v: np.ndarray) -> None:
-        self.n, self.v = n, v.astype(np.int64)
+        self.n, self.v = n, v
         wide = self.v.var(axis=0).argmax() if len(n) else 0
         tile = max(1, int(np.sqrt(max(len(n) // self.LEAF, 1)))) * self.LEAF
         order = np.argsort(n, kind="stable")
@@ -191,12 +196,12 @@ def tree_join(left: Tree, right: Tree, percent: int) -> tuple[np.ndarray, np.nda
     todo = [(left.root, right.root)] if left.root and right.root else []
     while todo:
         p, q = todo.pop()
-        if 100 * p[2] < percent * q[1] or 100 * q[2] < percent * p[1] or (np.minimum(p[0], q[0]).sum() < needed(p[1], q[1], percent) and max(p[0].max(), q[0].max()) < 65535):
+        least = np.minimum(p[0], q[0])
+        if 100 * p[2] < percent * q[1] or 100 * q[2] < percent * p[1] or (least.sum(dtype=np.int64) < needed(p[1], q[1], percent) and least.max() < FULL):
             continue
         if p[4] is None and q[4] is None:
             a, b = np.repeat(p[3], len(q[3])), np.tile(q[3], len(p[3]))
-            va, vb = left.v[a], right.v[b]
-            keep = (np.minimum(va, vb).sum(1) >= needed(left.n[a], right.n[b], percent)) | (va.max(1) == 65535) | (vb.max(1) == 65535)
+            keep = _reaches(left.v[a], right.v[b], left.n[a], right.n[b], percent)
             out.append((a[keep], b[keep]))
         elif q[4] is None or (p[4] is not None and p[2] - p[1] >= q[2] - q[1]):
             todo += [(x, q) for x in p[4]]
@@ -248,54 +253,101 @@ def _sizes_fit(percent: int) -> Column:
     return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
 
-def _places_fit(percent: int) -> Column:
-    """A shared shingle at these places leaves room for the overlap needed only if it is not the first shared one, or there is enough behind it."""
-    small = F.when(F.col("na") <= F.col("nb"), F.col("ra")).otherwise(F.col("rb"))
-    least = F.least("na", "nb")
-    return small < least - F.ceil(2 * percent * least / (100 + percent)) + 1
-
-
-def _blocked(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different components in each bucket that the R-trees let through. rows: (h, c, n, r, counts, label)."""
-    size = rows.groupBy("h").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+def _shares_enough(percent: int) -> Column:
+    """Whether `shared` common prefix shingles, and all beyond the prefixes, can make up the overlap needed.
+
+    Up to the smaller of both prefixes' last shingles every common one is counted; of the rest there is at most what one of the sets has beyond its prefix.
+    """
+    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    beyond = lambda n: F.ceil(percent * F.col(n) / 100) - 1
+    return F.col("shared") >= need - F.greatest(beyond("na"), beyond("nb"))
+
+
+def _small(h: np.ndarray, c: np.ndarray, n: np.ndarray, label: np.ndarray, v: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b, na, nb) of whole buckets that fill one leaf each, all buckets of a size at once."""
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
+    sizes = np.diff(np.append(starts, len(h)))
+    out = [np.zeros((2, 0), int)]
+    for m in np.unique(sizes[sizes > 1]):
+        at = starts[sizes == m][:, None]
+        i, j = np.triu_indices(m, 1)
+        a, b = (at + i).ravel(), (at + j).ravel()
+        fit = (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        a, b = a[fit], b[fit]
+        for k in range(0, len(a), 1 << 16):
+            x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+            keep = _reaches(v[x], v[y], n[x], n[y], percent)
+            out.append(np.stack([x[keep], y[keep]]))
+    a, b = np.concatenate(out, axis=1)
+    swap = c[a] > c[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    return c[a], c[b], n[a], n[b]
+
+
+def _joined(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb, shared): pairs of different components that the trees of their buckets let through, and how many buckets they share.
+
+    rows: (h, c, n, counts, label). Whether the tree lets a pair through depends on the pair alone, so all shared buckets count.
+    """
+    size = rows.groupBy("h").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    rows = rows.join(size.select("h", blocks.alias("blocks")), "h").withColumn("own", own)
+    rows = rows.join(size.select("h", "m", blocks.alias("blocks")), "h").withColumn("own", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
     # Each class goes to the tasks of all pairs of blocks with its own.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    names = ["h", "i", "j", "own", "c", "n", "label", "counts"]
+    names = ["h", "i", "j", "m", "own", "c", "n", "label", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def joined(table: pa.Table) -> pa.RecordBatch:
-            c, n, label, own = (table.column(x).to_numpy() for x in ("c", "n", "label", "own"))
-            v = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u2").reshape(-1, GROUPS)
+        def batch_of(found: tuple) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b", "na", "nb"])
+
+        def columns(table: pa.Table) -> tuple:
+            return tuple(table.column(x).to_numpy() for x in ("h", "c", "n", "label", "own")) + (np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, GROUPS),)
+
+        def tree(table: pa.Table) -> pa.RecordBatch:
+            _, c, n, label, own, v = columns(table)
             i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-            left = np.flatnonzero(own == i)
-            right = np.flatnonzero(own == j)
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
             a, b = tree_join(Tree(n[left], v[left]), Tree(n[right], v[right]), percent)
             a, b = left[a], right[b]
-            keep = (label[a] != label[b]) & ((c[a] < c[b]) if i == j else np.ones(len(a), bool))
-            a, b = c[a[keep]], c[b[keep]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            keep = (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+            if i == j:
+                keep &= c[a] < c[b]
+            a, b = a[keep], b[keep]
+            swap = c[a] > c[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            return batch_of((c[a], c[b], n[a], n[b]))
+
+        def groups(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Whole groups of (h, i, j): small buckets together, larger ones by their trees."""
+            m = table.column("m").to_numpy()
+            low = table.filter(pa.array(m <= Tree.LEAF))
+            if low.num_rows:
+                h, c, n, label, _, v = columns(low)
+                yield batch_of(_small(h, c, n, label, v, percent))
+            high = table.filter(pa.array(m > Tree.LEAF))
+            if high.num_rows:
+                keys = np.stack([high.column(x).to_numpy() for x in ("h", "i", "j")], axis=1)
+                cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+                for s, e in zip(cuts, cuts[1:], strict=False):
+                    yield tree(high.slice(s, e - s))
 
         held: list[pa.Table] = []
-        key = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
             keys = np.stack([table.column(x).to_numpy() for x in ("h", "i", "j")], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                if s == e:
-                    continue
-                if key is not None and tuple(keys[s]) != key:
-                    yield joined(pa.concat_tables(held))
-                    held = []
-                key = tuple(keys[s])
-                held.append(table.slice(s, e - s))
+            cut = int(np.flatnonzero((keys != keys[-1]).any(1))[-1] + 1) if (keys != keys[-1]).any() else 0
+            if held and cut == 0 and tuple(keys[0]) == tuple(held[-1].column(x)[-1].as_py() for x in ("h", "i", "j")):
+                held.append(table)
+                continue
+            yield from groups(pa.concat_tables([*held, table.slice(0, cut)]))
+            held = [table.slice(cut)]
         if held:
-            yield joined(pa.concat_tables(held))
+            yield from groups(pa.concat_tables(held))
 
-    return rows.select(names).repartition(F.col("h"), F.col("i"), F.col("j")).sortWithinPartitions("h", "i", "j").mapInArrow(run, "a long, b long")
+    found = rows.select(names).repartition(F.col("h"), F.col("i"), F.col("j")).sortWithinPartitions("h", "i", "j").mapInArrow(run, "a long, b long, na long, nb long")
+    return found.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("shared"))
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -306,21 +358,23 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     classes = written(classes, "classes")
     reps = classes.select("c", "id")
 
-    plain = _rows(classes, None, False)
+    plain = _rows(classes, None)
     live = plain.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
-    rows = written(_rows(classes, bitmap_of(live, "h"), True), "rows")
+    rows = written(_rows(classes, bitmap_of(live, "h")), "rows")
 
-    pivots = rows.groupBy("h").agg(F.min_by(F.struct("c", "n", "r", "counts"), F.struct(F.xxhash64("c"), "c")).alias("p"), F.count("*").alias("m")).where("m > 1")
+    # Any choice of pairs will do here, as the second round takes all others whose components still differ.
+    pivots = rows.groupBy("h").agg(F.min_by(F.struct("c", "n"), F.struct(F.xxhash64("c"), "c")).alias("p"), F.count("*").alias("m")).where("m > 1")
     pairs = rows.join(pivots, "h").where(F.col("c") != F.col("p.c"))
-    ends = [F.least("c", "p.c").alias("a"), F.greatest("c", "p.c").alias("b")]
-    pairs = pairs.select(*ends, F.col("n").alias("na"), F.col("p.n").alias("nb"), F.col("r").alias("ra"), F.col("p.r").alias("rb"), F.col("counts").alias("va"), F.col("p.counts").alias("vb"))
-    pairs = pairs.where(_sizes_fit(percent) & _places_fit(percent)).dropDuplicates(["a", "b"])
-    tried = written(_bounded(pairs, percent), "tried")
+    pairs = pairs.select(F.least("c", "p.c").alias("a"), F.greatest("c", "p.c").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb")).where(_sizes_fit(percent))
+    pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), (3 * F.count("*")).alias("shared")).where(_shares_enough(percent))
+    tried = written(_bounded(pairs.select("a", "b"), classes, percent), "tried")
     links = _verified(tried, docs, reps, k, percent)
 
     label = components(links).select(F.col("node").alias("c"), F.col("component").alias("label"))
     marked = rows.join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    rest = _blocked(marked, percent).distinct().join(tried, ["a", "b"], "left_anti")
+    mixed = marked.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
+    marked = marked.join(mixed, "h").join(classes.select("c", "counts"), "c")
+    rest = _joined(marked, percent).where(_shares_enough(percent)).select("a", "b").join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(_verified(rest, docs, reps, k, percent))
 
     linked = components(links).select(F.col("node").alias("c"), F.col("component").alias("label"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_BPE = "word_bpe_49k.json"
@@ -60,38 +59,26 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "p_quality", "p_toxic", F.coalesce(F.col("p_toxic") >= 0.5, F.lit(False)).alias("toxic"))
 
 
-def _digest(ids: str) -> Column:
-    """SHA-256 of token ids as little-endian unsigned 32-bit integers."""
-
-    @F.pandas_udf("string")
-    def sha(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: hashlib.sha256(x.astype("<u4").tobytes()).hexdigest())
-
-    return sha(F.col(ids))
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwork.llm.bpe import encode
 
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), keep_text=False, packed=True, decoded_col="decoded")
+    n = (F.octet_length("ids") / 4).cast("long")
+    return coded.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
-def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tarnwork.llm.bpe import decode, encode
 
-    path = tokenizer_path()
-    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep_text=False), path)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwork.llm.common import scratch_path
+    from tarnwork.llm.tokenfile import read_token_files, write_token_files
 
+    path = scratch_path(spark, "tokens")
+    write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_path())
 
-def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tarnwork.llm.chat import expand, read_back
-    from tarnwork.llm.common import written
+    @F.pandas_udf("long")
+    def crc(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: zlib.crc32(x.astype("<u4").tobytes()))
 
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    both = "</s>[INST] ok [/INST]"
-    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(both).alias("text"))
-    found = read_back(written(expand(rows.unionByName(extra)), "chat"))
-    loss = F.array_join("loss", "")
-    return found.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
-    )
+    return read_token_files(spark, path).select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"))
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +121,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_warc, op4_toxicity, op6_lines, op8_chat, op9_quality, op10_jaccard)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_warc, op4_toxicity, op5_token_files, op6_lines, op8_chat, op9_quality, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
