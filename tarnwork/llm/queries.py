@@ -88,6 +88,13 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwork.llm.lm import build, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False)))
+    return score(docs, build(docs.where("not held_out").select("text")))
+
+
 OP8_SQL = """
 with c as (
     select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -121,7 +128,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_warc, op4_toxicity, op5_token_files, op6_lines, op8_chat, op9_quality, op10_jaccard)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_warc, op4_toxicity, op5_token_files, op6_lines, op7_lm, op8_chat, op9_quality, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
