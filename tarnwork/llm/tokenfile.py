@@ -31,7 +31,7 @@ from tarnwork.llm.common import slices, text_key
 
 MAGIC = b"TWTOKEN1"
 #: Blocks have at most this many ids, and fewer in files that would have few blocks.
-BLOCK, LEAST_BLOCK, LANES = 4096, 256, 1024
+BLOCK, LEAST_BLOCK, LANES = 4096, 256, 2048
 HASH1, HASH2 = 11, 12
 BUCKETS, RENEW = 64, 32
 MAX_ID = 1 << 27
@@ -141,7 +141,7 @@ def _encode_lanes(ids: np.ndarray, lengths: np.ndarray, order0: _Order0) -> list
 
     def emit(at: np.ndarray) -> None:
         nonlocal out
-        small = at[m.range[at] < _SMALL]
+        small = np.flatnonzero(m.range < _SMALL) if at is everyone else at[m.range[at] < _SMALL]
         if len(small):
             if pos.max() + 4 >= out.shape[1]:
                 out = np.concatenate([out, np.zeros_like(out)], axis=1)
@@ -149,10 +149,10 @@ def _encode_lanes(ids: np.ndarray, lengths: np.ndarray, order0: _Order0) -> list
             pos[small] += 1
             m.low[small], m.range[small] = _shift(m.low[small], m.range[small])
 
-    everyone = m.lane
+    everyone, shortest = m.lane, int(lengths.min())
     for step in range(steps):
         now = columns[step]
-        live = everyone if step < lengths.min() else np.flatnonzero(step < lengths)
+        live = everyone if step < shortest else np.flatnonzero(step < lengths)
         two, three = m.predict()
         hit2 = (m.g2 == now) & (m.c2 > 0)
         hit1 = ~hit2 & (m.g1 == now) & (three > two)
@@ -196,18 +196,18 @@ def _decode_lanes(parts: list[bytes], lengths: np.ndarray, order0: _Order0) -> n
     ids = np.zeros((steps, lanes), np.uint32)
 
     def refill(at: np.ndarray) -> None:
-        small = at[m.range[at] < _SMALL]
+        small = np.flatnonzero(m.range < _SMALL) if at is everyone else at[m.range[at] < _SMALL]
         if len(small):
             m.low[small], m.range[small] = _shift(m.low[small], m.range[small])
             code[small] = (code[small] << _U(32)) | words[small, np.minimum(pos[small], widest - 1)]
             pos[small] += 1
 
-    everyone = m.lane
+    everyone, shortest = m.lane, int(lengths.min())
     for step in range(steps):
-        live = everyone if step < lengths.min() else np.flatnonzero(step < lengths)
+        live = everyone if step < shortest else np.flatnonzero(step < lengths)
         two, three = m.predict()
         unit = m.range >> _U(16)
-        value = (code - m.low) // unit
+        value = (code - m.low) // np.maximum(unit, _U(1))  # lanes that have ended may have no range left
         hit2 = value < two
         hit1 = ~hit2 & (value < three)
         begin = np.where(hit2, _U(0), np.where(hit1, two, three))
@@ -306,7 +306,7 @@ def unpack(data: bytes, blocks: range | None = None) -> tuple[list[int | None],
     return [None if x else int(i) for i, x in zip(doc_ids, nulls, strict=True)], lengths.astype(np.int64), np.concatenate(out)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, file_chars: int = 12_000_000) -> dict[str, int]:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, file_chars: int = 16_000_000) -> dict[str, int]:
     """Write all texts' ids, each text's followed by `end_id`, in ascending order of id, below `path` (shared by all machines).
 
     Returns each file's name with the number of ids before it (also written as manifest.json). Null ids come first, rows
