@@ -7,7 +7,7 @@ classes with |A & B| / |A | B| of at least a percentage:
    hash), as many as it takes that two linked classes share one. Only shingles that two classes share are kept; a bitmap
    of fixed size tells. Such a shingle is a bucket. (An R-tree over all documents prunes little: in as many dimensions as
    the bound needs, boxes of unrelated documents overlap, and comparing all boxes grows with the square of the input.)
-2. In each bucket every class is first compared with one pivot. Classes are points: their shingles hashed into GROUPS groups
+2. In each bucket every class is first compared with a pivot, a few of which serve a family. Classes are points: their shingles hashed into GROUPS groups
    and counted; the sum of coordinate minima bounds an overlap from above, and pairs beyond the bound are dropped.
 3. Survivors are verified on their whole texts, and linked classes are joined into components. Buckets that still hold
    several components are then joined in full but for pairs inside a component, by R-trees over the points: boxes whose summed minima
@@ -38,8 +38,10 @@ from tarnwork.llm.graph import components
 #: Coordinates of a point, a byte each; a coordinate of 255 stands for any count from there on and bounds nothing.
 GROUPS, FULL = 128, 255
 BITS = 1 << 27
-#: A shingle is of many documents if counts within parts of tasks sum up to this.
-OFTEN = 48
+#: A shingle is of many documents if counts of two or more within parts of tasks sum up to this.
+OFTEN = 12
+#: Pivots of a family of near copies in each of the first rounds, and such rounds at most. The last round is exact whatever these are.
+PIVOTS, ROUNDS = 8, 3
 #: Shingles that a task holds at a time to count them.
 CHUNK = 4_000_000
 #: Classes of a block.
@@ -83,7 +85,7 @@ def _often(docs: DataFrame, k: int) -> DataFrame:
 
         def counted() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h[n > 2].view(np.int64)), pa.array(n[n > 2])], names=["h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["h", "n"])
 
         for part in slices(batches):
             for text in as_bytes(part.column(0)):
@@ -362,15 +364,24 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     live = plain.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
     rows = written(_rows(classes, bitmap_of(live, "h")), "rows")
 
-    # Any choice of pairs will do here, as the second round takes all others whose components still differ.
-    pivots = rows.groupBy("h").agg(F.min_by(F.struct("c", "n"), F.struct(F.xxhash64("c"), "c")).alias("p"), F.count("*").alias("m")).where("m > 1")
-    pairs = rows.join(pivots, "h").where(F.col("c") != F.col("p.c"))
-    pairs = pairs.select(F.least("c", "p.c").alias("a"), F.greatest("c", "p.c").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb")).where(_sizes_fit(percent))
-    pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), (3 * F.count("*")).alias("shared")).where(_shares_enough(percent))
-    tried = written(_bounded(pairs.select("a", "b"), classes, percent), "tried")
-    links = _verified(tried, docs, reps, k, percent)
+    links = tried = None
+    label = classes.select("c", F.col("c").alias("label")).limit(0)
+    for turn in range(ROUNDS):
+        # Any choice of pairs will do here, as the last round takes all others whose components still differ.
+        marked = rows.join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
+        chance = F.struct(F.xxhash64("c", F.pmod("h", F.lit(PIVOTS)), F.lit(turn)), "c")
+        pivots = marked.groupBy("h").agg(F.min_by(F.struct("c", "n", "label"), chance).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        pairs = marked.join(pivots.select("h", "p"), "h").where(F.col("label") != F.col("p.label"))
+        pairs = pairs.select(F.least("c", "p.c").alias("a"), F.greatest("c", "p.c").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb")).where(_sizes_fit(percent))
+        pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), (2 * PIVOTS * F.count("*")).alias("shared")).where(_shares_enough(percent)).select("a", "b")
+        new = written(_bounded(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), classes, percent), "tried")
+        found = _verified(new, docs, reps, k, percent)
+        tried = new if tried is None else tried.unionByName(new)
+        links = found if links is None else links.unionByName(found)
+        label = components(links).select(F.col("node").alias("c"), F.col("component").alias("label"))
+        if found.limit(1).count() == 0:
+            break
 
-    label = components(links).select(F.col("node").alias("c"), F.col("component").alias("label"))
     marked = rows.join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
     mixed = marked.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
     marked = marked.join(mixed, "h").join(classes.select("c", "counts"), "c")
