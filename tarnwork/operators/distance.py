@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,8 +134,6 @@ def dtw(a: Sequence[float], b: Sequence[float]) -> float:
 
 
 def dtw_column(a: Column, b: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([dtw(p, q) for p, q in zip(x, y, strict=True)])
