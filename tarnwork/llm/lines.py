@@ -25,6 +25,9 @@ from tarnwork.llm.common import text_key, written
 
 #: Shared keys that may be broadcast (8 bytes each); with more, the join is a shuffle.
 FEW = 2_000_000
+#: Blocks, and letters whose numbers of occurrences, that tell lines apart before they are compared.
+BLOCKS = 16
+LETTERS = "abcdefghijklmnopqrstuvwxyz .,"
 
 
 def distance_within(a: Column, b: Column, most: int) -> Column:
@@ -98,17 +101,20 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     shared = written(shared, "line-keys")
     live = keyed.join(F.broadcast(shared) if shared.count() <= FEW else shared, "key").groupBy("key", "h").agg(F.max("own").alias("own"), F.first("line").alias("line"))
     live = live.join(first.select("h", "first"), "h")  # lines whose first hashes clash are told apart by their text when verified
-    live = written(live.select("key", "h", "own", "line", "first"), "line-live")
+    live = written(live.select("key", "h", "own", "line", "first", _parities(F.col("line")).alias("odd")), "line-live")
+    texts = live.groupBy("h").agg(F.first("line").alias("line"))
+    live = live.drop("line")
+    alike = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 2 * max_edits
 
-    pivots = live.groupBy("key").agg(F.min_by(F.struct("h", "own", "line", "first"), "first").alias("p"))
-    pairs = live.join(pivots, "key").where((F.col("h") != F.col("p.h")) & (F.col("own") | F.col("p.own")))
-    near = _near(pairs.select("h", F.col("p.h").alias("eh"), "line", F.col("p.line").alias("earlier")), max_edits)
-    gone = written(near, "line-gone-1")
+    pivots = live.groupBy("key").agg(F.min_by(F.struct("h", "own", "first", "odd"), "first").alias("p"))
+    pairs = live.join(pivots, "key").where((F.col("h") != F.col("p.h")) & (F.col("own") | F.col("p.own")) & alike("odd", "p.odd"))
+    gone = written(_near(pairs.select("h", F.col("p.h").alias("eh")), texts, max_edits), "line-gone-1")
 
     left = live.join(gone, "h", "left_anti").join(pivots.select("key", F.col("p.h").alias("eh")), "key").where(F.col("h") != F.col("eh"))
-    other = live.select("key", F.col("h").alias("oh"), F.col("own").alias("o_own"), F.col("line").alias("earlier"), F.col("first").alias("o_first"))
-    pairs = left.join(other, "key").where((F.col("o_first") < F.col("first")) & (F.col("oh") != F.col("eh")) & (F.col("own") | F.col("o_own")))
-    gone = written(gone.unionByName(_near(pairs.select("h", F.col("oh").alias("eh"), "line", "earlier"), max_edits)).distinct(), "line-gone")
+    other = live.select(F.col("key").alias("o_key"), F.col("h").alias("oh"), F.col("own").alias("o_own"), F.col("first").alias("o_first"), F.col("odd").alias("o_odd"))
+    test = (F.col("key") == F.col("o_key")) & (F.col("o_first") < F.col("first")) & (F.col("oh") != F.col("eh")) & (F.col("own") | F.col("o_own")) & alike("odd", "o_odd")
+    pairs = left.join(other, test)
+    gone = written(gone.unionByName(_near(pairs.select("h", F.col("oh").alias("eh")), texts, max_edits)).distinct(), "line-gone")
 
     # Of lines that occur once and stay, nothing more is needed.
     fate = first.join(gone.withColumn("gone", F.lit(True)), "h", "left").where("n > 1 or gone")
@@ -123,10 +129,28 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def _near(pairs: DataFrame, most: int) -> DataFrame:
-    """(h) of the lines that are within the distance of an earlier one. pairs: (h, eh, line, earlier)."""
-    pairs = pairs.dropDuplicates(["h", "eh"])
+def _parities(line: Column) -> Column:
+    """Bits that tell which letters occur an odd number of times: an edit changes two of them at most."""
+    bits = [F.pmod(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(2)).cast("long") * F.lit(1 << k) for k, c in enumerate(LETTERS)]
+    return reduce(lambda p, q: p + q, bits)
+
+
+def _near(pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """(h) of the lines that are within the distance of an earlier one. pairs: (h, eh); texts: (h, line)."""
+    pairs = pairs.distinct().join(texts, "h").join(texts.select(F.col("h").alias("eh"), F.col("line").alias("earlier")), "eh")
     size, other = F.char_length("line"), F.char_length("earlier")
-    longer, shorter = F.when(size >= other, F.col("line")).otherwise(F.col("earlier")), F.when(size >= other, F.col("earlier")).otherwise(F.col("line"))
-    pairs = pairs.where(F.abs(size - other) <= most).select("h", longer.alias("a"), shorter.alias("b"))
+    pairs = pairs.where(F.abs(size - other) <= most)
+    pairs = pairs.select("h", "eh", F.when(size >= other, F.struct(F.col("line").alias("a"), F.col("earlier").alias("b"))).otherwise(F.struct(F.col("earlier").alias("a"), F.col("line").alias("b"))).alias("p"))
+    # Verification is the costly part: spread it evenly, over a number of tasks that Spark doesn't take back.
+    pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h", "eh").select("h", "p.a", "p.b")
+    count = lambda x, c: F.length(x) - F.length(F.replace(x, c, F.lit("")))
+    letters = F.array(*map(F.lit, LETTERS))
+    moved = F.aggregate(letters, F.lit(0), lambda n, c: n + F.abs(count(F.col("a"), c) - count(F.col("b"), c)))  # an edit moves two counts by one at most
+    pairs = pairs.where(moved <= 2 * most)
+    # Of the shorter line's blocks, an edit damages one at most; the others are in the longer one, at nearly their place.
+    part = lambda j, n: F.floor(F.char_length("b") * j / n).cast("int")
+    steps = lambda n: F.array(*map(F.lit, range(1, n + 1)))
+    block = lambda j: F.substring(F.col("b"), part(j - 1, BLOCKS) + 1, part(j, BLOCKS) - part(j - 1, BLOCKS))
+    around = lambda j: F.substring(F.col("a"), F.greatest(part(j - 1, BLOCKS) + 1 - most, F.lit(1)), part(j, BLOCKS) - part(j - 1, BLOCKS) + 2 * most)
+    pairs = pairs.where(F.size(F.filter(steps(BLOCKS), lambda j: F.contains(around(j), block(j)))) >= BLOCKS - most)
     return pairs.where(distance_within(F.col("a"), F.col("b"), most)).select("h").distinct()

@@ -35,9 +35,9 @@ from tarnwork.llm.common import as_bytes, scratch_path, slices, written
 
 D = 0.75
 #: Words of which a shard holds about this many.
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 400_000
 #: N-grams counted at a time in a task.
-CHUNK = 3_000_000
+CHUNK = 1_000_000
 #: Words that occur more seldom stand in no n-gram of two or three.
 LEAST = 3
 STEP = 1 / 24  # of a log10, in quantised probabilities: at most 2.4 % off
@@ -285,7 +285,7 @@ def _unigrams(docs: DataFrame) -> DataFrame:
             for text in as_bytes(part.column(0)):
                 held.update(_split(text))
                 texts += 1
-            if len(held) > 600_000:
+            if len(held) > 250_000:
                 yield batch()
                 held.clear()
         yield batch()
