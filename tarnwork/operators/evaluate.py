@@ -121,7 +121,7 @@ def friedman(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame
     ranks = df.select(block, treatment, rank.alias("r"))
     mean = ranks.groupBy(treatment).agg(F.avg("r").alias("m"), F.count("*").cast("double").alias("n"))
     k = F.count("*")
-    return mean.agg((12 * F.first("n") / (k * (k + 1)) * (F.sum(F.col("m") * F.col("m")) - k * (k + 1) * (k + 1) / 4)).alias("friedman"))
+    return mean.agg((12 * F.max("n") / (k * (k + 1)) * (F.sum(F.col("m") * F.col("m")) - k * (k + 1) * (k + 1) / 4)).alias("friedman"))
 
 
 def nemenyi_cd(k: int, n: int, alpha: str = "0.05") -> float:

@@ -357,7 +357,7 @@ def e7_measures(s: SparkSession, d: str) -> DataFrame:
 _AUC = "select {g} sum((a.p > b.p)::int + (a.p = b.p)::int * 0.5::double) / count(*) as auc from t a join t b on a.actual = '1' and b.actual = '0' {j}"
 
 
-@query(f"with t as {_P}, f as ({_AUC.format(g='a.fold,', j='and a.fold = b.fold group by 1')}) select round(avg(auc), 9) as auc from f")
+@query(f"with t as {_P}, f as ({_AUC.format(g='a.fold,', j='and a.fold = b.fold group by 1')}) select round(case when (select count(*) from (select fold from t group by 1 having count(distinct actual) < 2)) > 0 then (select sum((a.p > b.p)::int + (a.p = b.p)::int * 0.5::double) / count(*) from t a join t b on a.actual = '1' and b.actual = '0') else avg(auc) end, 9) as auc from f")
 def e8_auc(s: SparkSession, d: str) -> DataFrame:
     return rounded(E.auc(predictions(s, d)), 9, "auc")
 
