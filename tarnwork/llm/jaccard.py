@@ -37,7 +37,8 @@ from tarnwork.llm.graph import components
 
 #: Coordinates of a point, a byte each; a coordinate of 255 stands for any count from there on and bounds nothing.
 GROUPS, FULL = 128, 255
-BITS = 1 << 27
+#: Bits of the bitmaps of shingles, and of those of documents to be verified (sent anew in each round).
+BITS, ID_BITS = 1 << 27, 1 << 24
 #: A shingle is of many documents if counts of two or more within parts of tasks sum up to this.
 OFTEN = 12
 #: Pivots of a family of near copies in each of the first rounds, and such rounds at most. The last round is exact whatever these are.
@@ -58,20 +59,16 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     return np.unique(shingles(base, min(k, len(words)))) if words else np.zeros(0, np.uint64)
 
 
-def _bit(h: np.ndarray) -> np.ndarray:
-    return h >> np.uint64(64 - int(BITS).bit_length() + 1)
-
-
 def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    bit = _bit(h)
+    bit = h >> np.uint64(65 - (8 * len(bitmap)).bit_length())
     return (bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def bitmap_of(hashes: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of BITS bits: which hashes (by their first bits) `column` holds. Its size doesn't depend on the input's."""
-    bit = F.shiftrightunsigned(column, 64 - int(BITS).bit_length() + 1) + 1
+def bitmap_of(hashes: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
+    """A bitmap of so many bits: which hashes (by their first bits) `column` holds. Its size doesn't depend on the input's."""
+    bit = F.shiftrightunsigned(column, 65 - bits.bit_length()) + 1
     rows = hashes.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m"))
-    out = np.zeros(BITS // 8, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     for k, m in rows.toLocalIterator():
         out[(k - 1) * 4096 : k * 4096] = np.frombuffer(m, np.uint8)
     return out
@@ -217,7 +214,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percen
     pairs = written(pairs.distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct().join(reps, "c").select("c", "id", F.xxhash64("id").alias("hid"))
     wanted = written(wanted, "wanted")
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "hid").tobytes())
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "hid", ID_BITS).tobytes())
 
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(sent.value, np.uint8)
@@ -227,6 +224,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percen
     # Rows of one id with another text than the class's are told apart by their class below.
     texts = docs.select("id", "text", F.xxhash64("id").alias("hid")).mapInArrow(only, "id long, text string")
     texts = written(texts.join(wanted.select("c", "id"), "id").select("c", "text"), "texts")
+    sent.destroy()
     left = texts.select(F.col("c").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("c").alias("b"), F.col("text").alias("tb"))
 
