@@ -68,6 +68,11 @@ def distance_matrix(df: DataFrame, key: str, names: Sequence[str], how: str = "e
     return a.join(b, test).select(F.col(f"a.{key}").alias("i"), F.col(f"b.{key}").alias("j"), d.alias("d"))
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows over as many tasks as a shuffle has: a small table's pairs are many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def feature_correlations(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """(a, b, distance) between columns, 1 - |r| of each pair in one aggregation."""
     pairs = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :]]
@@ -133,10 +138,36 @@ def dtw(a: Sequence[float], b: Sequence[float]) -> float:
     return float(np.sqrt(best[n, m]) / steps[n, m]) if n and m else 0.0
 
 
+def _dtw_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`dtw` of each row of a with that row of b."""
+    n, m = a.shape[1], b.shape[1]
+    if not n or not m:
+        return np.zeros(len(a))
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    best, steps = np.full((m + 1, a.shape[1]), np.inf), np.zeros((m + 1, a.shape[1]))
+    best[0] = 0
+    for i in range(n):
+        diagonal = best[0].copy(), steps[0].copy()
+        best[0] = np.inf
+        for j in range(1, m + 1):
+            up = best[j].copy(), steps[j].copy()
+            d, s = diagonal
+            for e, t in (up, (best[j - 1], steps[j - 1])):
+                less = (e < d) | ((e == d) & (t < s))
+                d, s = np.where(less, e, d), np.where(less, t, s)
+            best[j], steps[j] = d + (a[i] - b[j - 1]) ** 2, s + 1
+            diagonal = up
+    return np.sqrt(best[m]) / steps[m]
+
+
 def dtw_column(a: Column, b: Column) -> Column:
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([dtw(p, q) for p, q in zip(x, y, strict=True)])
+        out, sizes = np.zeros(len(x)), list(zip(map(len, x), map(len, y), strict=True))
+        for size in set(sizes):  # pairs of the same lengths go side by side
+            at = [k for k, own in enumerate(sizes) if own == size]
+            out[at] = _dtw_rows(np.array([x.iloc[k] for k in at], np.float64), np.array([y.iloc[k] for k in at], np.float64))
+        return pd.Series(out)
 
     return run(a, b)
 

@@ -230,7 +230,7 @@ def f23_has_missing(s: SparkSession, d: str) -> DataFrame:
 @query("""with a as (select s_suppkey as k, nullif(s_nationkey % 4, 3) as x, nullif(s_suppkey % 3, 2) as y from supplier where s_suppkey <= 60)
   select a.k as i, b.k as j from a join a b on a.k > b.k and (a.x is null or b.x is null or a.x = b.x) and (a.y is null or b.y is null or a.y = b.y)""")
 def f24_compatible_pairs(s: SparkSession, d: str) -> DataFrame:
-    t = table(s, d, "supplier").where("s_suppkey <= 60").select(F.col("s_suppkey").alias("k"), F.nullif(F.col("s_nationkey") % 4, F.lit(3)).alias("x"), F.nullif(F.col("s_suppkey") % 3, F.lit(2)).alias("y"))
+    t = table(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.nullif(F.col("s_nationkey") % 4, F.lit(3)).alias("x"), F.nullif(F.col("s_suppkey") % 3, F.lit(2)).alias("y"))
     return t.alias("a").join(t.alias("b"), (F.col("a.k") > F.col("b.k")) & P.compatible_pair("a", "b", ["x", "y"])).select(F.col("a.k").alias("i"), F.col("b.k").alias("j"))
 
 

@@ -93,10 +93,10 @@ def s18_enumerate(s: SparkSession, d: str) -> DataFrame:
 @query("select a.s_suppkey - 0 as i, b.s_suppkey - 0 as j, round(abs(a.s_acctbal - b.s_acctbal), 4) as d from supplier a join supplier b on a.s_suppkey > b.s_suppkey where a.s_suppkey < 20")
 def s21_k12_distance_file(s: SparkSession, d: str) -> DataFrame:
     path = _path(s, "m.dst")
-    t = table(s, d, "supplier").where("s_suppkey < 20").select("s_suppkey", "s_acctbal")
+    t = table(s, d, "supplier").select("s_suppkey", "s_acctbal")
     a, b = t.alias("a"), t.alias("b")
     m = a.join(b, F.col("a.s_suppkey") > F.col("b.s_suppkey")).select(F.col("a.s_suppkey").alias("i"), F.col("b.s_suppkey").alias("j"), F.round(F.abs(F.col("a.s_acctbal") - F.col("b.s_acctbal")), 4).alias("d"))
-    writers.write_distance_matrix(m, path, 20)
+    writers.write_distance_matrix(m, path, t.agg(F.coalesce(F.max("s_suppkey") + 1, F.lit(0))).first()[0])
     return readers.read_distance_matrix(s, path).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "d")
 
 
