@@ -10,6 +10,7 @@ import pytest
 
 from tarnwork.operators import distance as D
 from tarnwork.plans import registry
+from tarnwork.plans.relations import LI_SQL
 
 from .test_queries import rows
 
@@ -22,6 +23,13 @@ WHOLE = {
     "l27_consensus": "with r as (select run, s_suppkey as id, (s_suppkey * run) % 3 as c from supplier, (select unnest([1, 2, 3]) as run) where (s_suppkey + run) % 5 <> 0) select x.id as a, y.id as b, avg((x.c = y.c)::int::double) as share from r x join r y on x.run = y.run and x.id < y.id group by 1, 2",
     "f24_compatible_pairs": "with a as (select s_suppkey as k, nullif(s_nationkey % 4, 3) as x, nullif(s_suppkey % 3, 2) as y from supplier) select a.k as i, b.k as j from a join a b on a.k > b.k and (a.x is null or b.x is null or a.x = b.x) and (a.y is null or b.y is null or a.y = b.y)",
     "s21_k12_distance_file": "select a.s_suppkey as i, b.s_suppkey as j, round(abs(a.s_acctbal - b.s_acctbal), 4) as d from supplier a join supplier b on a.s_suppkey > b.s_suppkey",
+    "u5_sort": "select o_orderkey, o_orderpriority, row_number() over (order by case o_orderstatus when 'P' then 1 when 'O' then 2 else 3 end, o_orderkey) as place from orders",
+    "u6_data_sort": "select c_custkey, nullif(c_nationkey, 7) as nk from customer",
+    "j2_right_join": "select c_custkey, n.k, n_name from (select c_custkey, nullif(c_nationkey, 7) as nk from customer) c right join (select nullif(n_nationkey, 5) as k, n_name from nation) n on c.nk = n.k",
+    "f11_has_class": f"select l_orderkey, l_partkey, flag from {LI_SQL} where flag is not null",
+    "f22_missing_rows": f"select l_orderkey, l_partkey from {LI_SQL} where tax is null",
+    "t9_map_values": "select l_orderkey, l_partkey, case l_linenumber when 1 then 2 when 2 then 1 when 4 then 0 end as mapped from lineitem",
+    "t10_t13_indicators": f"""select l_orderkey, l_partkey, case when flag is null then null when flag = 'A' then 1.0::double else -1.0::double end as "flag=A", case when flag is null then null when flag = 'R' then 1.0::double else -1.0::double end as "flag=R" from {LI_SQL}""",
 }
 
 
@@ -38,6 +46,12 @@ def test_whole_table(spark, tables, name):
     assert rows(registry.QUERIES[name](spark, SF).toArrow()) == rows(tables.sql(WHOLE[name]).to_arrow_table())
 
 
+def test_sorted_whole(spark, tables):
+    assert [r.place for r in registry.QUERIES["u5_sort"](spark, SF).collect()] == list(range(1, tables.sql("select count(*) from orders").fetchall()[0][0] + 1))
+    got = [(r.nk, r.c_custkey) for r in registry.QUERIES["u6_data_sort"](spark, SF).collect()]
+    assert got == sorted(got, key=lambda x: (x[0] is not None, -(x[0] or 0), x[1])) and len(got) == tables.sql("select count(*) from customer").fetchall()[0][0]
+
+
 def test_all_pairs_of_vectors(spark, tables):
     ids, x = (np.array(c) for c in zip(*tables.sql("select vec_id, embedding from embeddings order by 1").fetchall(), strict=True))
     r = np.corrcoef(x.astype(float))
