@@ -7,10 +7,11 @@ range and there to the successor of the word sought. Probabilities and back-off
 (steps of a logarithm). Files are read through memory maps where the file system is local, so that workers share their pages.
 
 Smoothing is interpolated absolute discounting: an n-gram's count less D over its context's, plus what was left over times the
-probability without the first word, down to add-a-half over single words. N-grams of two and three words are kept if they occur at least
-twice; what the others leave goes to the back-off weight, so each context's probabilities still sum to one (but for quantisation).
+probability without the first word, down to add-a-half over single words. All n-grams of two and three words are kept, also those that
+occur once; what the discount leaves goes to the back-off weight, so each context's probabilities sum to one (but for quantisation).
 
-Counting is over all training texts: chunks are counted in their tasks, then summed by shuffles. Words are split over shards by
+Counting is over all training texts: chunks are counted in their tasks, then summed: words by a shuffle, n-grams where their shard is,
+which packed blocks of them go to. Words are split over shards by
 hash, n-grams by their first word; a shard is one task's file. Only the numbers of words per shard reach the driver.
 
 Defined results: a null text is an empty one, which has its end only; rows of any id are scored on their own; with no training texts every
@@ -35,16 +36,15 @@ from tarnwork.llm.common import as_bytes, scratch_path, slices, written
 
 D = 0.75
 #: Words of which a shard holds about this many.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 100_000
 #: N-grams counted at a time in a task.
 CHUNK = 1_000_000
 #: Words that occur more seldom stand in no n-gram of two or three.
-LEAST = 3
+LEAST = 1
 STEP = 1 / 24  # of a log10, in quantised probabilities: at most 2.4 % off
 _U = np.uint64
 #: Marks no text can hold as words, as they contain white space.
 START, END = xxhash.xxh3_64_intdigest(b"\n<"), xxhash.xxh3_64_intdigest(b"\n>")
-BITMAP = 1 << 27
 
 
 class EliasFano:
@@ -268,10 +268,6 @@ def _ids(texts: list[list[bytes]], trie: Trie) -> tuple[list[np.ndarray], list[n
     return [ids[r] for r in rows], [counts[r] for r in rows]
 
 
-def _counted(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(held), return_counts=True)
-
-
 def _unigrams(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -295,54 +291,79 @@ def _unigrams(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def _bit(key: np.ndarray) -> np.ndarray:
-    h = (key ^ (key >> _U(31))) * _U(0x9E3779B97F4A7C15)
-    return h >> _U(64 - int(BITMAP).bit_length() + 1)
-
-
-def _ngrams(docs: DataFrame, spec: tuple, order: int, often: bytes | None) -> DataFrame:
-    """(k, c, n): n-grams that occur twice or more; k packs the first two words' ids, c is the third's (0 for pairs)."""
-    sent = docs.sparkSession.sparkContext.broadcast(often) if often else None
+def _ngrams(docs: DataFrame, spec: tuple, order: int) -> DataFrame:
+    """(shard, block): all n-grams, each block those of a shard that a task has counted; k packs the first two words' ids, c is the third's (0 for pairs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = _trie(spec)
-        bitmap = np.frombuffer(sent.value, np.uint8) if sent else None
         held, size = [], 0
 
-        def batch() -> pa.RecordBatch:
-            if order == 2:
-                k, n = _counted([h[0] for h in held])
-                c = np.zeros(len(k), np.uint64)
-            else:
-                k, c = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-                by = np.lexsort((c, k))
-                k, c = k[by], c[by]
-                new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])) if len(k) else np.zeros(0, int)
-                n = np.diff(np.append(new, len(k)))
-                k, c = k[new], c[new]
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64)), pa.array(n, pa.int64())], names=["k", "c", "n"])
+        def blocks() -> pa.RecordBatch:
+            k, c, n = _summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), None)
+            cuts = np.searchsorted(k >> _U(32), trie.bases.astype(np.uint64))
+            own = np.flatnonzero(np.diff(cuts)).tolist()
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([_packed(*(x[cuts[s] : cuts[s + 1]] for x in (k, c, n))) for s in own], pa.binary())], names=["shard", "block"])
 
         for part in slices(batches):
             for ids, counts in zip(*_ids([_split(t) for t in as_bytes(part.column(0))], trie), strict=True):
                 fit = counts >= LEAST
                 pair, both = (ids[:-1].astype(np.uint64) << _U(32)) | ids[1:].astype(np.uint64), fit[:-1] & fit[1:]
                 if order == 2:
-                    held.append((pair[both],))
+                    held.append((pair[both], np.zeros(both.sum(), np.uint32)))
                 else:
                     if len(ids) < 3:
                         continue
-                    bit = _bit(pair)
-                    both &= (bitmap[bit >> _U(3)] >> (bit & _U(7)).astype(np.uint8) & 1).astype(bool)
                     all3 = both[:-1] & both[1:]
-                    held.append((pair[:-1][all3], ids[2:][all3].astype(np.uint64)))
+                    held.append((pair[:-1][all3], ids[2:][all3].astype(np.uint32)))
                 size += len(held[-1][0])
             if size > CHUNK:
-                yield batch()
+                yield blocks()
                 held, size = [], 0
-        if held:
-            yield batch()
+        if size:
+            yield blocks()
+
+    return docs.select("text").mapInArrow(run, "shard int, block binary")
+
+
+def _summed(k: np.ndarray, c: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """N-grams in order, each once with the sum of its counts (of one each where n is None)."""
+    by = np.lexsort((c, k))
+    k, c = k[by], c[by]
+    new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])) if len(k) else np.zeros(0, int)
+    sums = np.diff(np.append(new, len(k))) if n is None else np.add.reduceat(n[by], new) if len(k) else n
+    return k[new], c[new], sums
+
+
+def _packed(k: np.ndarray, c: np.ndarray, n: np.ndarray) -> bytes:
+    """N-grams in order of k: steps of k, c and n by bytes of the same weight, compressed."""
+    arrays = np.diff(k, prepend=_U(0)), c.astype(np.uint32), n.astype(np.uint32)
+    planes = b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(k), -1).T.tobytes() for x in arrays)
+    return len(k).to_bytes(8, "little") + pa.Codec("zstd").compress(planes, asbytes=True)
+
 
-    return docs.select("text").mapInArrow(run, "k long, c long, n long").groupBy("k", "c").agg(F.sum("n").alias("n")).where("n > 1")
+def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = int.from_bytes(block[:8], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(block[8:], 16 * size, asbytes=True), np.uint8)
+    step, c, n = (np.ascontiguousarray(planes[a * size : b * size].reshape(b - a, size).T).view(kind).ravel() for a, b, kind in ((0, 8, np.uint64), (8, 12, np.uint32), (12, 16, np.uint32)))
+    return np.cumsum(step, dtype=np.uint64), c, n.astype(np.int64)
+
+
+def _by_blocks(df: DataFrame, shards: int, build) -> None:  # noqa: ANN001
+    """Call build(shard, k, c, n) for every shard, with its n-grams in order; each shard is one task's."""
+    every = df.sparkSession.createDataFrame([(s, None) for s in range(shards)], "shard int, block binary")  # each shard gets its file, if it has n-grams or not
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for s, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(s, []).extend([] if block is None else [block])
+        for s in sorted(held):
+            parts = [_unpacked(x) for x in held.pop(s)] or [(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+            k, c, n = _summed(*map(np.concatenate, zip(*parts, strict=True)))
+            build(s, k, c.astype(np.int64), n.astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array([0])], names=["done"])
+
+    df.unionByName(every).repartitionById(shards, "shard").mapInArrow(run, "done long").agg(F.count("*")).collect()
 
 
 def _by_shard(df: DataFrame, shard: Column, shards: int, order: list[str], build) -> None:  # noqa: ANN001
@@ -402,43 +423,25 @@ def build(docs: DataFrame, path: str | None = None) -> tuple:
     bases = np.concatenate([[0], np.cumsum(words)]).astype(np.int64)
     width = int(bases[-1]) + 1
 
-    def shard_of(first: Column) -> Column:
-        # Few shards: a count of the bases that are not above the first word's id.
-        return sum((F.when(first >= int(b), 1).otherwise(0) for b in bases[1:-1]), F.lit(0))
-
-    every = spark.createDataFrame([(int(b) << 32, -1, 0) for b in bases[:-1]], "k long, c long, n long")  # each shard gets its file, if it has n-grams or not
-    pairs = written(_ngrams(docs, spec, 2, None).unionByName(every), "pairs")
     # Levels are built where their shard's rows are; a task reads other shards' files for the lower order.
 
-    def level2(s: int, cols: dict) -> None:
+    def level2(s: int, k: np.ndarray, _: np.ndarray, n: np.ndarray) -> None:
         trie = Trie(*spec)
-        real = cols["c"] >= 0
-        k, n = cols["k"][real].view(np.uint64), cols["n"][real].astype(float)
         a, b = (k >> _U(32)).astype(np.int64) - bases[s], (k & _U(0xFFFFFFFF)).astype(np.int64)
         total = trie.part(1, s)[1]["count"].astype(float) if words[s] else np.zeros(0)
         kept = np.bincount(a, n - D, minlength=words[s])
         back = np.clip(1 - kept / np.maximum(total, 1), 1e-10, 1)
         p = (n - D) / total[a] + back[a] * 10 ** trie.one(trie.counts(b)) if len(a) else np.zeros(0)
         about: dict = {"width": width}
-        arrays = {"p": quantised(np.log10(np.maximum(p, 1e-30))), "back1": quantised(np.log10(back)), "pair_count": n.astype(np.int64)}
+        arrays = {"p": quantised(np.log10(np.maximum(p, 1e-30))), "back1": quantised(np.log10(back)), "pair_count": n.astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.uint64)}
         EliasFano.build(np.searchsorted(a, np.arange(words[s] + 1)).astype(np.uint64), len(a), "pointer", about, arrays)
         EliasFano.build(a.astype(np.uint64) * _U(width) + b.astype(np.uint64), max(words[s], 1) * width, "child", about, arrays)
         save(f"{path}/level2-{s:05d}", about, arrays)
 
-    first = F.shiftrightunsigned("k", 32)
-    _by_shard(pairs, shard_of(first), shards, ["k", "c"], level2)
-
-    often = np.zeros(BITMAP // 8, np.uint8)
-    key = pairs.where("c >= 0").select(F.col("k"))
-    marks = key.mapInArrow(_bits, "b long").groupBy(F.bitmap_bucket_number(F.col("b") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("b") + 1)).alias("m"))
-    for at, m in marks.toLocalIterator():
-        often[(at - 1) * 4096 : at * 4096] = np.frombuffer(m, np.uint8)
-    triples = written(_ngrams(docs, spec, 3, often.tobytes()).unionByName(every), "triples")
+    _by_blocks(_ngrams(docs, spec, 2), shards, level2)
 
-    def level3(s: int, cols: dict) -> None:
+    def level3(s: int, k: np.ndarray, c: np.ndarray, n: np.ndarray) -> None:
         trie = Trie(*spec)
-        real = cols["c"] >= 0
-        k, c, n = cols["k"][real].view(np.uint64), cols["c"][real], cols["n"][real].astype(float)
         a, b = (k >> _U(32)).astype(np.int64), (k & _U(0xFFFFFFFF)).astype(np.int64)
         about2, arrays2, _ = trie.part(2, s)
         none = np.zeros(len(a), np.int64)
@@ -455,15 +458,10 @@ def build(docs: DataFrame, path: str | None = None) -> tuple:
         save(f"{path}/level3-{s:05d}", about, arrays)
         save(f"{path}/back-{s:05d}", {}, {"back2": quantised(np.log10(back))})
 
-    _by_shard(triples, shard_of(first), shards, ["k", "c"], level3)
+    _by_blocks(_ngrams(docs, spec, 3), shards, level3)
     return spec
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_bit(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))], names=["b"])
-
-
 class Scorer(Trie):
     """A finished trie: level 2 also has the pairs' back-off weights."""
 
