@@ -92,13 +92,13 @@ def _items(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_ITEMS} select item as itemset, round(c / n, 9) as support, c as count from one, n where c >= 0.02 * n union all select x || ' ' || y, round(c / n, 9), c from two, n where c >= 0.02 * n")
 def n13_itemsets(s: SparkSession, d: str) -> DataFrame:
-    t = N.itemsets(_items(s, d), 0.02, 2)
+    t = N.itemsets(_items(s, d), 0.02)
     return t.select(F.array_join("itemset", " ").alias("itemset"), F.round("support", 9).alias("support"), "count")
 
 
 @query(f"""{_ITEMS}, b as (select x as l, y as r, c from two, n where c >= 0.02 * n union all select y, x, c from two, n where c >= 0.02 * n) select l as "left", r as "right", round(b.c / n, 9) as support, round(b.c / a.c, 9) as confidence, round(n * b.c / (a.c * z.c), 9) as lift, round((b.c * n - a.c * z.c) / (n * n), 9) as leverage from b join one a on a.item = l join one z on z.item = r, n where b.c / a.c >= 0.2""")
 def n13_rules(s: SparkSession, d: str) -> DataFrame:
-    t = N.rules(N.itemsets(_items(s, d), 0.02, 2), 0.2).drop("coverage", "strength")
+    t = N.rules(N.itemsets(_items(s, d), 0.02), 0.2).drop("coverage", "strength")
     return rounded(t, 9, "support", "confidence", "lift", "leverage")
 
 

@@ -69,3 +69,26 @@ def test_dtw_of_other_lengths(spark):
     df = spark.createDataFrame(made, "a array<double>, b array<double>")
     for row in df.select("a", "b", D.dtw_column(df.a, df.b).alias("d")).collect():
         assert row.d == pytest.approx(D.dtw(row.a, row.b))
+
+
+def test_itemsets_of_any_size(spark, tables):
+    from itertools import combinations
+
+    from tarnwork.operators import associate as N
+
+    baskets = [["o_orderstatus=" + a, "o_orderpriority=" + b, f"year={y}"] for a, b, y in tables.sql("select o_orderstatus, o_orderpriority, year(o_orderdate) from orders").fetchall()]
+    counts = {}
+    for basket in baskets:
+        for size in (1, 2, 3):
+            for x in combinations(sorted(basket), size):
+                counts[x] = counts.get(x, 0) + 1
+    want = {x: n for x, n in counts.items() if n >= 0.02 * len(baskets)}
+    got = [(r.itemset, r["count"]) for r in registry.QUERIES["n13_itemsets"](spark, SF).collect()]
+    assert sorted(got) == sorted((" ".join(x), n) for x, n in want.items())
+    found = registry.QUERIES["n13_rules"](spark, SF).collect()
+    rules = {(" ".join(y for y in x if y != right), right): n / want[tuple(y for y in x if y != right)] for x, n in want.items() if len(x) > 1 for right in x}
+    rules = {k: c for k, c in rules.items() if c >= 0.2}
+    assert {(r.left, r.right): r.confidence for r in found} == pytest.approx(rules, abs=1e-8) and len(found) == len(rules)
+    five = spark.createDataFrame([(k, x) for k in range(3) for x in "abcde"], "key long, item string")
+    assert N.itemsets(five, 0.5).count() == 31
+    assert N.itemsets(five.limit(0), 0.5).count() == 0
