@@ -102,9 +102,15 @@ def without_single_valued(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.drop(*(n for n in names if row[n] < 2))
 
 
+#: Labels that `transpose` makes columns of; more are an error.
+MOST_LABELS = 10_000
+
+
 def transpose(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """Continuous columns become rows, named by `feature`; rows become columns, named by `label` (a bounded number of them)."""
-    names = [str(r[0]) for r in df.select(label).distinct().orderBy(label).limit(10_000).collect()]
+    names = [str(r[0]) for r in df.select(label).distinct().orderBy(label).limit(MOST_LABELS + 1).collect()]
+    if len(names) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels to transpose")
     return df.select(F.col(label).cast("string").alias("_l"), *columns).unpivot("_l", list(columns), "feature", "value").groupBy("feature").pivot("_l", names).agg(F.first("value"))
 
 

@@ -26,6 +26,17 @@ def _head(spark: SparkSession, path: str, n: int) -> list[str]:
     return [r[0] for r in spark.read.text(path).limit(n).collect()]
 
 
+#: Lines of a network's text, which is one file of bounded size; more are an error.
+MOST_LINES = 5_000_000
+
+
+def _network(spark: SparkSession, path: str) -> list[str]:
+    lines = _head(spark, path, MOST_LINES + 1)
+    if len(lines) > MOST_LINES:
+        raise ValueError(f"more than {MOST_LINES} lines in {path}")
+    return lines
+
+
 def _known(column: str, unknown: Sequence[str] = UNKNOWN) -> Column:
     c = F.trim(F.col(f"`{column}`"))
     return F.when(~c.isin(*unknown), c)
@@ -207,7 +218,7 @@ def read_sql_file(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pajek(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) of a .net file: section numbers come from a running count over lines in file order."""
-    lines = _head(spark, path, 5_000_000)  # a network's text is one file of bounded size
+    lines = _network(spark, path)
     section, vertices, edges = "", [], []
     for line in lines:
         if line.startswith("*"):
@@ -220,7 +231,7 @@ def read_pajek(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_gml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    text = "\n".join(_head(spark, path, 5_000_000))
+    text = "\n".join(_network(spark, path))
     nodes = [(int(m[1]), (re.search(r'label\s+"([^"]*)"', b) or [None, None])[1]) for b in re.findall(r"node\s*\[(.*?)\]", text, re.S) if (m := re.search(r"\bid\s+(\d+)", b))]
     edges = [(int(s[1]), int(t[1]), float((re.search(r"(?:weight|value)\s+([\d.eE+-]+)", b) or [None, 1])[1])) for b in re.findall(r"edge\s*\[(.*?)\]", text, re.S) if (s := re.search(r"source\s+(\d+)", b)) and (t := re.search(r"target\s+(\d+)", b))]
     return spark.createDataFrame(nodes, "id long, label string"), spark.createDataFrame(edges, "src long, dst long, weight double")

@@ -92,3 +92,26 @@ def test_itemsets_of_any_size(spark, tables):
     five = spark.createDataFrame([(k, x) for k in range(3) for x in "abcde"], "key long, item string")
     assert N.itemsets(five, 0.5).count() == 31
     assert N.itemsets(five.limit(0), 0.5).count() == 0
+
+
+def test_bounds_are_errors(spark, monkeypatch, tmp_path):
+    from tarnwork.operators import relational as R
+    from tarnwork.sources import readers, writers
+
+    df = spark.createDataFrame([(k, float(k)) for k in range(3)], "k long, x double")
+    assert len(writers.to_numpy(df, ["x"], 3)) == 3
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        writers.to_numpy(df, ["x"], 2)
+    monkeypatch.setattr(R, "MOST_LABELS", 3)
+    assert R.transpose(df, ["x"], "k").columns == ["feature", "0", "1", "2"]
+    monkeypatch.setattr(R, "MOST_LABELS", 2)
+    with pytest.raises(ValueError, match="more than 2 labels"):
+        R.transpose(df, ["x"], "k")
+    (tmp_path / "a.net").write_text('*Vertices 2\n1 "a"\n2 "b"\n*Edges\n1 2\n')
+    (tmp_path / "a.gml").write_text("graph [\nnode [ id 1 ]\nnode [ id 2 ]\nedge [ source 1 target 2 ]\n]\n")
+    for read, name in ((readers.read_pajek, "a.net"), (readers.read_gml, "a.gml")):
+        monkeypatch.setattr(readers, "MOST_LINES", 5)
+        assert [x.count() for x in read(spark, str(tmp_path / name))] == [2, 1]
+        monkeypatch.setattr(readers, "MOST_LINES", 4)
+        with pytest.raises(ValueError, match="more than 4 lines"):
+            read(spark, str(tmp_path / name))
