@@ -36,7 +36,7 @@ def n3_maximal(s: SparkSession, d: str) -> DataFrame:
     return rounded(D.distance_matrix(suppliers(s, d), "k", ["x", "n"], "maximal", block="b"), 8, "d")
 
 
-@query("with a as (select s_suppkey as k, nullif(s_nationkey % 5, 2) as x, s_suppkey % 3 as y from supplier where s_suppkey <= 50) select a.k as i, b.k as j, cast(case when a.x is null or b.x is null or a.x = b.x then 0 else 1 end + (a.y <> b.y)::int as double) as d from a join a b on a.k > b.k")
+@query("with a as (select s_suppkey as k, nullif(s_nationkey % 5, 2) as x, s_suppkey % 3 as y from supplier) select a.k as i, b.k as j, cast(case when a.x is null or b.x is null or a.x = b.x then 0 else 1 end + (a.y <> b.y)::int as double) as d from a join a b on a.k > b.k")
 def n2_hamming(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.nullif(F.col("s_nationkey") % 5, F.lit(2)).alias("x"), (F.col("s_suppkey") % 3).alias("y"))
     a, b = t.alias("a"), t.alias("b")
@@ -44,7 +44,7 @@ def n2_hamming(s: SparkSession, d: str) -> DataFrame:
     return a.join(b, F.col("a.k") > F.col("b.k")).select(F.col("a.k").alias("i"), F.col("b.k").alias("j"), D.combine(parts, "hamming").alias("d"))
 
 
-@query("with e as (select vec_id, embedding::double[] as e from embeddings where vec_id < 40) select a.vec_id as i, b.vec_id as j, round((1 - list_cosine_similarity([x - list_avg(a.e) for x in a.e], [x - list_avg(b.e) for x in b.e])) / 2, 6) as d from e a join e b on a.vec_id > b.vec_id")
+@query("with e as (select vec_id, list_transform(embedding::double[], lambda x: x - list_avg(embedding::double[])) as e from embeddings) select a.vec_id as i, b.vec_id as j, round((1 - list_cosine_similarity(a.e, b.e)) / 2, 6) as d from e a join e b on a.vec_id > b.vec_id")
 def n6_pearson_rows(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "embeddings").select("vec_id", "embedding")
     a, b = D.dealt(t, "vec_id").alias("a"), t.alias("b")
@@ -301,7 +301,7 @@ def l26_hierarchical(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame(L.agglomerate(m, "average"), "a long, b long, height double")
 
 
-@query("with r as (select run, s_suppkey as id, (s_suppkey * run) % 3 as c from supplier, (select unnest([1, 2, 3]) as run) where s_suppkey <= 30 and (s_suppkey + run) % 5 <> 0) select x.id as a, y.id as b, avg((x.c = y.c)::int::double) as share from r x join r y on x.run = y.run and x.id < y.id group by 1, 2")
+@query("with r as (select run, s_suppkey as id, (s_suppkey * run) % 3 as c from supplier, (select unnest([1, 2, 3]) as run) where (s_suppkey + run) % 5 <> 0) select x.id as a, y.id as b, avg((x.c = y.c)::int::double) as share from r x join r y on x.run = y.run and x.id < y.id group by 1, 2")
 def l27_consensus(s: SparkSession, d: str) -> DataFrame:
     r = table(s, d, "supplier").withColumn("run", F.explode(F.array(*map(F.lit, (1, 2, 3))))).where((F.col("s_suppkey") + F.col("run")) % 5 != 0)
     return L.consensus(r.select("run", F.col("s_suppkey").alias("id"), ((F.col("s_suppkey") * F.col("run")) % 3).alias("cluster")))

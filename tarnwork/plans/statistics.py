@@ -196,12 +196,12 @@ def t7_discretize_table(s: SparkSession, d: str) -> DataFrame:
     return X.discretize(t, ["l_quantity", "l_discount"], "frequency", 3).groupBy("D_l_quantity", "D_l_discount").agg(F.count("*").alias("n"))
 
 
-@query("select l_orderkey, l_partkey, case l_linenumber when 1 then 2 when 2 then 1 when 4 then 0 end as mapped from lineitem where l_quantity = 9")
+@query("select l_orderkey, l_partkey, case l_linenumber when 1 then 2 when 2 then 1 when 4 then 0 end as mapped from lineitem")
 def t9_map_values(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "lineitem").select("l_orderkey", "l_partkey", X.map_values("l_linenumber", [-1, 2, 1, -1, 0]).alias("mapped"))
 
 
-@query(f"""select l_orderkey, l_partkey, case when flag is null then null when flag = 'A' then 1.0::double else -1.0::double end as "flag=A", case when flag is null then null when flag = 'R' then 1.0::double else -1.0::double end as "flag=R" from {LI_SQL} where l_quantity = 3""")
+@query(f"""select l_orderkey, l_partkey, case when flag is null then null when flag = 'A' then 1.0::double else -1.0::double end as "flag=A", case when flag is null then null when flag = 'R' then 1.0::double else -1.0::double end as "flag=R" from {LI_SQL}""")
 def t10_t13_indicators(s: SparkSession, d: str) -> DataFrame:
     return lineitem(s, d).select("l_orderkey", "l_partkey", *X.indicators("flag", ["A", "N", "R"], base="N", zero=-1.0))
 
