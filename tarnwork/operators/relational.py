@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwork.session import pinned
+
 #: A side that is broadcast without Spark's own estimate must be at most this many rows (checked by counting a limit).
 BROADCAST_ROWS = 100_000
 
@@ -34,22 +36,48 @@ def add_meta(df: DataFrame, name: str, value: float = 1.0) -> DataFrame:
 def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "_no", start: int = 0) -> DataFrame:
     """Consecutive numbers in a total order, without one window over all rows.
 
-    Rows are range-partitioned and sorted, partitions are counted, and each row adds its partition's offset; only one count per
-    partition is gathered.
+    Rows are range-partitioned, sorted and written so (ranges are cut by a sample, another one at each run); partitions are counted, and each row
+    adds its partition's offset; only one count per partition is gathered.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    parts = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    parts = pinned(df.repartitionByRange(*keys).sortWithinPartitions(*keys)).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
     local = parts.withColumn("_i", F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33))
     sizes = local.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_b", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_b", F.lit(0)).alias("_b"))
     return local.join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + F.col("_i") + start).drop("_p", "_m", "_i", "_b")
 
 
+def running(df: DataFrame, order: Sequence[str | Column], sums: dict[str, str], groups: Sequence[str] = ()) -> DataFrame:
+    """`df` with running totals, up to each row and with it, in an order that tells rows apart: {new column: summed column}, within groups.
+
+    No window runs over all rows: rows are range-partitioned and written so, summed within their partition, and what the group has in the
+    partitions before is added, of which there is a row per partition and group.
+    """
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    parts = pinned(df.repartitionByRange(*groups, *keys)).withColumn("_p", F.spark_partition_id())
+    here = Window.partitionBy("_p", *groups).orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*groups or [F.lit(0)]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("_p", *groups).agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
+    before = totals.select(F.col("_p").alias("_q"), *(F.col(g).alias(f"_g_{g}") for g in groups), *(F.sum(f"_t_{n}").over(earlier).alias(f"_b_{n}") for n in sums))
+    same = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups), F.col("_p") == F.col("_q"))
+    joined = parts.withColumns({n: F.sum(c).over(here) for n, c in sums.items()}).join(before, same)
+    return joined.withColumns({n: F.col(n) + F.coalesce(f"_b_{n}", F.lit(0)) for n in sums}).select(*df.columns, *sums)
+
+
 def add_row_id(df: DataFrame, order: Sequence[str], start: int = 0, name: str = "row_id") -> DataFrame:
     """A string id per row, in the order of a unique key."""
     return numbered(df, order, name, start).withColumn(name, F.col(name).cast("string"))
 
 
+def add_range(df: DataFrame, order: Sequence[str], name: str, start: int = 0) -> DataFrame:
+    """A number per row, from `start` on, in the order of a unique key."""
+    return numbered(df, order, name, start)
+
+
+def add_uuid(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.uuid())
+
+
 def hstack(left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str]) -> DataFrame:
     """Positional zip of tables of equal length; shared columns must agree where both are known, and fill each other's unknowns."""
     shared = [c for c in left.columns if c in right.columns]
@@ -182,9 +210,11 @@ def sorted_by(df: DataFrame, names: Sequence[str], descending: Sequence[bool] |
 
 def shuffle_columns(df: DataFrame, names: Sequence[str], order: Sequence[str], seed: int = 0) -> DataFrame:
     """Permute each listed column's values on its own."""
+    from tarnwork.operators.sampling import uniform
+
     out = numbered(df, order, "_row")
     for k, n in enumerate(names):
-        mixed = numbered(df.select(F.col(n).alias(f"_v{k}"), F.xxhash64(F.lit(seed + k), *order).alias("_h"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order))), ["_h", *(f"_o{i}" for i in range(len(order)))], "_row").select("_row", f"_v{k}")
+        mixed = numbered(df.select(F.col(n).alias(f"_v{k}"), uniform(order, seed + k).alias("_h"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order))), ["_h", *(f"_o{i}" for i in range(len(order)))], "_row").select("_row", f"_v{k}")
         out = out.join(mixed, "_row").withColumn(n, F.col(f"_v{k}")).drop(f"_v{k}")
     return out.drop("_row")
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarnwork.session import shared_dir
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -21,11 +23,20 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def sql_uniform(seed: int, *keys: str) -> str:
+    """`sampling.uniform` in SQL."""
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(keys)})), 1, 13))::bigint / 4503599627370496.0::double)"
+
+
+def sql_normal(seed: int, *keys: str) -> str:
+    """`sampling.normal` in SQL."""
+    return f"(sqrt(-2 * ln(1 - {sql_uniform(2 * seed, *keys)})) * cos(2 * pi() * {sql_uniform(2 * seed + 1, *keys)}))"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Iterative queries cut their lineage in the folder that the cluster names; in tests, where none is named, in one of their own."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("file:///tmp/tarnwork-checkpoints")
+    """Iterative queries cut their lineage in the folder that the cluster names."""
+    shared_dir(spark)
