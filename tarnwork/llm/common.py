@@ -8,23 +8,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwork.session import shared_dir
+
 #: Rows handled at a time inside one Arrow batch, so that intermediate lists stay small.
 SLICE_ROWS = 512
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or (only where that is unset, as in tests) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file:///tmp/tarnwork-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/tarnwork/{name}-{uuid.uuid4().hex}"
@@ -34,7 +27,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what `written` wrote for these tables, once nothing that is still to run reads them."""
+    for table in tables:
+        if table is not None and getattr(table, "_scratch", None):
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            table._scratch = None
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one if the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def text_key(text: str | Column) -> Column:
@@ -56,6 +69,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of a piece have about `most` bytes."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = size[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(size, before + most, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def crcs(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
 
