@@ -3,15 +3,17 @@
 Features are the distinct words of a text and their beginnings, hashed into buckets. The model of each category sees
 the buckets that tell its classes apart, and the probabilities of the categories before it; those are out-of-fold
 predictions in training, so that a later model meets them as it will in use. Training takes a bounded sample of labelled rows
-(`max_labelled`, those of the smallest hash of id), on the driver; scoring is a narrow pass over all whole texts.
+(`max_labelled` at most, of the ids of the smallest hash), in one task; scoring is a narrow pass over all whole texts.
 
 Defined results: null and empty texts have no features and get the chances that the bias alone gives; rows without an id or with a null
-label do not train; of several labels of an id the largest holds; an id that several texts share trains on each;
+label do not train; of several labels of an id the largest holds; an id that several texts share trains on each, within the bound;
+texts are taken whole at any length, a very long one has more features only;
 a category with one class only has its share as a constant; without any labelled row all probabilities are null.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -108,41 +110,53 @@ def _predict(link: Link, rows: np.ndarray, cols: np.ndarray, earlier: np.ndarray
     return _sigmoid(np.bincount(rows, weights[cols], minlength=len(earlier)) + earlier @ link.earlier + link.bias)
 
 
+def _chain(x: list[np.ndarray], ids: list, ys: list[np.ndarray], most: int, l2: float, steps: int) -> list[Link]:
+    """The models of all categories, each trained with out-of-fold probabilities of those before it."""
+    rows, cols = np.repeat(np.arange(len(x), dtype=np.int32), [len(a) for a in x]), np.concatenate(x)
+    fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in ids])
+    links, earlier = [], np.zeros((len(x), 0))
+    for done, y in enumerate(ys, 1):
+        links.append(_fit(rows, cols, earlier, y, most, l2, steps))
+        if done == len(ys):
+            break
+        out = np.full(len(x), y.mean())
+        for k in range(FOLDS):
+            if (fold == k).any() and (fold != k).any():
+                at = np.cumsum(fold != k, dtype=np.int32) - 1
+                inside = fold[rows] != k
+                link = _fit(at[rows[inside]], cols[inside], earlier[fold != k], y[fold != k], most, l2, steps)
+                out[fold == k] = _predict(link, rows, cols, earlier)[fold == k]
+        earlier = np.column_stack([earlier, out])
+    return links
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 8192, most: int = 4096, l2: float = 3e-4, steps: int = 250) -> list[Link]:
-    """The chain's models, one for each of `categories` (0/1 columns of `labels`), in that order."""
+    """The chain's models, one for each of `categories` (0/1 columns of `labels`), in that order. Only weights reach the driver."""
     known = labels.groupBy(F.col(id_col).alias("_id")).agg(*(F.max(F.col(c).cast("int")).alias(f"_y{k}") for k, c in enumerate(categories)))
     known = known.where(F.col("_id").isNotNull()).dropna()
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)  # bounded, so it may be broadcast
     joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
     ys = [f"_y{k}" for k in range(len(categories))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             found = [_of_text(x).tobytes() for x in as_bytes(part.column("_text"))]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("_id", *ys)), pa.array(found, pa.binary())], names=["_id", *ys, "_x"])
 
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            table = pa.Table.from_batches(got)
+            x = [np.frombuffer(b, np.int32) for b in table.column("_x").to_pylist()]
+            links = _chain(x, table.column("_id").to_pylist(), [table.column(y).to_numpy().astype(float) for y in ys], most, l2, steps)
+            columns = [pa.array([pickle.dumps(link)], pa.binary()) for link in links]
+            yield pa.RecordBatch.from_arrays(columns, names=ys)
+
     schema = T.StructType([joined.schema["_id"], *(T.StructField(y, T.IntegerType()) for y in ys), T.StructField("_x", T.BinaryType())])
-    got = joined.mapInArrow(run, schema).toArrow().sort_by("_id")
-    if not got.num_rows:
-        return []
-    x = [np.frombuffer(b, np.int32) for b in got.column("_x").to_pylist()]
-    rows, cols = np.repeat(np.arange(len(x)), [len(a) for a in x]), np.concatenate(x)
-    fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in got.column("_id").to_pylist()])
-    links, earlier = [], np.zeros((len(x), 0))
-    for y_col in ys:
-        y = got.column(y_col).to_numpy().astype(float)
-        links.append(_fit(rows, cols, earlier, y, most, l2, steps))
-        if y_col == ys[-1]:
-            break
-        out = np.full(len(x), y.mean())
-        for k in range(FOLDS):
-            if (fold == k).any() and (fold != k).any():
-                at = np.cumsum(fold != k) - 1
-                inside = fold[rows] != k
-                link = _fit(at[rows[inside]], cols[inside], earlier[fold != k], y[fold != k], most, l2, steps)
-                out[fold == k] = _predict(link, rows, cols, earlier)[fold == k]
-        earlier = np.column_stack([earlier, out])
-    return links
+    # The sample's ids may have more texts than max_labelled: the rows are bounded too, before one task gets them.
+    rows = joined.mapInArrow(features, schema).orderBy(F.xxhash64("_id", "_x"), "_id", "_x").limit(max_labelled)
+    found = rows.coalesce(1).mapInArrow(fit, ", ".join(f"{y} binary" for y in ys)).collect()
+    return [pickle.loads(x) for x in found[0]] if found else []  # noqa: S301  written by the task above
 
 
 def score(df: DataFrame, links: list[Link], names: list[str], text_col: str = "text") -> DataFrame:
