@@ -1,10 +1,11 @@
 """WARC archives: a writer, and a PySpark data source that reads them.
 
-Format `tarnwork_warc`. Planning: every archive is cut into byte ranges of about `split_bytes`; a range reads the records
-that start in it (records of this writer are gzip members of their own, found by the archive's index of record starts;
-archives without an index are read whole, by one task each). Predicates on `record_type` and on header columns are pushed
-down (equality, IN, comparisons, null tests): of each record the header block is inflated and parsed first, and a record that does not pass, or
-whose payload no column needs, has its payload skipped, never decoded.
+Format `tarnwork_warc`. Planning: every archive is cut into byte ranges of `split_bytes` by its size alone; a range's task reads the records
+that start in it (records of this writer are gzip members of their own; the archive's index is a list of record starts, in which the task
+finds its own by bisection; archives without an index are read whole, by one task each). Predicates on `record_type` and on header columns are pushed
+down (equality, IN, comparisons, null tests): of each record the first bytes are read, the header block is inflated and parsed, and a record
+that does not pass, or whose payload no column needs, has its payload skipped: not decoded, and not read where it is beyond those bytes.
+Header names are taken in any case, and folded lines are joined. The payload of an HTTP response is what follows its HTTP head.
 
 Writing: `write_archives` gives each row a record in the archive of its task; equal payloads from `min_bytes` on are
 stored once, in the record of the smallest id, others are revisit records that name it (`WARC-Refers-To`).
@@ -19,10 +20,11 @@ import base64
 import gzip
 import hashlib
 import io
-import json
+import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +38,10 @@ SCHEMA = "record_type string, record_id string, page_id long, uri string, date s
 _HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "page_id": "X-Page-ID", "uri": "WARC-Target-URI", "date": "WARC-Date", "refers_to": "X-Refers-To-Page", "payload_digest": "WARC-Payload-Digest", "payload_bytes": "X-Payload-Length"}
 _LONGS = ("page_id", "refers_to", "payload_bytes")
 _DATE = "2000-01-01T00:00:00Z"
+#: Parts into which the copies of a payload are dealt.
+SALTS = 16
+#: Bytes of a record that are read to get its header.
+HEAD = 4096
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -48,16 +54,16 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, page_id: str, uri: str, payload: bytes, payload_digest: str, refers_to: str | None) -> bytes:
-    """One gzip member: the headers, then the block (empty for a revisit)."""
+def record(kind: str, page_id: str, uri: str, payload: bytes, payload_digest: str, refers_to: str | None, place: str = "") -> bytes:
+    """One gzip member: the headers, then the block (empty for a revisit). `place` tells revisit records of one page apart."""
     block = b"" if kind == "revisit" else payload
-    name = f"<urn:page:{page_id}>"
+    name = f"<urn:page:{page_id}:{place if kind == 'revisit' else payload_digest}>"
     lines = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Date: {_DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{payload_digest}",
         f"X-Page-ID: {page_id}", f"X-Payload-Length: {len(payload)}", "Content-Type: text/html",
     ]
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>", f"X-Refers-To-Page: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}:{payload_digest}>", f"X-Refers-To-Page: {refers_to}"]
     lines.append(f"Content-Length: {len(block)}")
     return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 3, mtime=0)
 
@@ -65,7 +71,8 @@ def record(kind: str, page_id: str, uri: str, payload: bytes, payload_digest: st
 def write_archives(df: DataFrame, path: str, *, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> None:
     """Write a record per row below `path`, one archive (and its index) per task.
 
-    Which record holds a payload is found from digests alone; payloads are not shuffled.
+    Which record holds a payload is found from digests alone. To learn it, rows are shuffled once with their payloads, by digest and a salt, so that
+    the copies of one payload go to many tasks.
     """
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,11 +89,10 @@ def write_archives(df: DataFrame, path: str, *, id_col: str = "page_id", uri_col
         for part in slices(batches):
             yield pa.RecordBatch.from_arrays([part.column(k) for k in range(3)] + [pa.array([digest(x or b"") for x in as_bytes(part.column(2))], pa.string())], names=["id", "uri", "payload", "digest"])
 
-    joined = rows.mapInArrow(with_digest, "id long, uri string, payload string, digest string").join(copies, "digest", "left")
-    if not path.startswith("/"):
-        fs, inner = open_fs(path)
-    else:
-        fs, inner = pafs.LocalFileSystem(), path
+    salted = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    coded = rows.mapInArrow(with_digest, "id long, uri string, payload string, digest string").withColumn("salt", F.pmod(F.xxhash64("id", "uri"), F.lit(SALTS)).cast("int"))
+    joined = coded.join(salted, ["digest", "salt"], "left")
+    fs, inner = open_fs(path)
     fs.create_dir(inner, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,12 +107,12 @@ def write_archives(df: DataFrame, path: str, *, id_col: str = "page_id", uri_col
                 columns = (part.column(c).to_pylist() for c in ("id", "uri", "digest", "first"))
                 for i, uri, own, first, payload in zip(*columns, as_bytes(part.column("payload")), strict=True):
                     revisit = first is not None and i != first
-                    data = record("revisit" if revisit else "response", "" if i is None else str(i), (uri or "").replace("\r", "%0D").replace("\n", "%0A"), payload or b"", own, str(first) if revisit else None)
+                    data = record("revisit" if revisit else "response", "" if i is None else str(i), (uri or "").replace("\r", "%0D").replace("\n", "%0A"), payload or b"", own, str(first) if revisit else None, f"{context.partitionId()}:{len(starts)}")
                     out.write(data)
                     starts.append(at)
                     at += len(data)
         with fs.open_output_stream(f"{name}.{attempt}.index.tmp") as out:
-            out.write(json.dumps({"starts": starts, "bytes": at}).encode())
+            out.write(np.array(starts, "<u8").tobytes())
         fs.move(f"{name}.{attempt}.index.tmp", f"{name}.index")  # a retried task writes the same again
         fs.move(f"{name}.{attempt}.tmp", name)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(starts)], pa.int64())], names=["archive", "records"])
@@ -115,9 +121,11 @@ def write_archives(df: DataFrame, path: str, *, id_col: str = "page_id", uri_col
 
 
 class Range(InputPartition):
-    def __init__(self, path: str, starts: list[int] | None, end: int) -> None:
-        super().__init__((path, starts, end))
-        self.path, self.starts, self.end = path, starts, end
+    """The records of an archive that start in [begin, end); all of an archive without an index (end is None)."""
+
+    def __init__(self, path: str, begin: int, end: int | None, size: int) -> None:
+        super().__init__((path, begin, end, size))
+        self.path, self.begin, self.end, self.size = path, begin, end, size
 
 
 _TESTS = {
@@ -167,17 +175,11 @@ class WarcReader(DataSourceReader):
         for path, info in sorted(files.items()):
             if not path.endswith((".warc", ".warc.gz")):
                 continue
-            if f"{path}.index" not in files:
-                out.append(Range(path, None, info.size))
-                continue
-            with fs.open_input_stream(f"{path}.index") as f:
-                starts = json.loads(f.read())["starts"]
-            begin = 0
-            for k in range(1, len(starts) + 1):
-                if k == len(starts) or starts[k] - starts[begin] >= self.split:
-                    out.append(Range(path, starts[begin:k], starts[k] if k < len(starts) else info.size))
-                    begin = k
-        return out or [Range("", [], 0)]
+            if f"{path}.index" in files:
+                out += [Range(path, at, min(at + self.split, info.size), info.size) for at in range(0, info.size, self.split)]
+            else:
+                out.append(Range(path, 0, None, info.size))
+        return out or [Range("", 0, 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.path:
@@ -199,56 +201,95 @@ class WarcReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds.get(n, pa.string())) for n in self.names], names=self.names)
 
 
-def _parsed(head: bytes) -> tuple[dict, int]:
-    """The header columns, and the length of the block that follows."""
-    headers = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-    found = {c: headers.get(h) for c, h in _HEADERS.items()}
-    found |= {c: int(found[c]) if found[c] and found[c].lstrip("-").isdigit() else None for c in _LONGS}
+def _parsed(head: bytes) -> tuple[dict, int, bool]:
+    """The header columns, the length of the block that follows, and whether that is an HTTP message."""
+    text = re.sub(r"\r?\n[ \t]+", " ", head.decode("utf-8", "replace"))  # folded lines
+    pairs = (x.split(":", 1) for x in re.split(r"\r?\n", text)[1:] if ":" in x)
+    headers = {k.strip().lower(): v.strip() for k, v in pairs}
+    found = {c: headers.get(h.lower()) for c, h in _HEADERS.items()}
+    found |= {c: int(found[c]) if re.fullmatch(r"-?\d+", found[c] or "") else None for c in _LONGS}
     if (found["payload_digest"] or "").startswith("sha1:"):
         found["payload_digest"] = found["payload_digest"][5:]
-    length = int(headers.get("Content-Length", 0))
-    if found["payload_bytes"] is None:
+    length = int(headers.get("content-length") or 0)
+    http = headers.get("content-type", "").startswith("application/http")
+    if found["payload_bytes"] is None and not http:
         found["payload_bytes"] = length
-    return found, length
+    return found, length, http
+
+
+def _payload(block: bytes, http: bool) -> bytes:
+    return re.split(rb"\r?\n\r?\n", block, maxsplit=1)[-1] if http else block
+
+
+def _starts(fs: pafs.FileSystem, part: Range) -> Iterator[tuple[int, int]]:
+    """(start, end) of the range's records, from its slice of the index."""
+    with fs.open_input_file(f"{part.path}.index") as f:
+        n = f.size() // 8
+
+        def at(k: int) -> int:
+            f.seek(8 * k)
+            return int.from_bytes(f.read(8), "little")
+
+        low, high = 0, n
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (mid + 1, high) if at(mid) < part.begin else (low, mid)
+        while low < n:
+            f.seek(8 * low)
+            own = np.frombuffer(f.read(8 * 8193), "<u8").tolist()
+            for start, end in zip(own, [*own[1:], part.size], strict=True):
+                if start >= part.end:
+                    return
+                if low + 1 < n and end == part.size:  # the slice's last start: its end is in the next one
+                    break
+                yield start, end
+                low += 1
+
+
+def _stream(fs: pafs.FileSystem, part: Range, tests: list[Filter], payload: bool) -> Iterator[dict]:
+    """Records of an archive without an index."""
+    with fs.open_input_stream(part.path, compression=None) as raw:
+        data = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if part.path.endswith(".gz") else io.BufferedReader(raw)
+        while line := data.readline():
+            if not line.strip():
+                continue
+            head = line
+            while (line := data.readline()).strip():
+                head += line
+            found, length, http = _parsed(head)
+            wanted = all(_passes(found, t) for t in tests)
+            block = data.read(length) if wanted and payload else b""
+            left = length - len(block)
+            while left > 0 and (skipped := data.read(min(left, 1 << 20))):
+                left -= len(skipped)
+            if wanted:
+                yield found | ({"payload": _payload(block, http)} if payload else {})
 
 
 def _records(fs: pafs.FileSystem, part: Range, tests: list[Filter], payload: bool) -> Iterator[dict]:
-    """Records of a range that pass: headers are inflated first, the payload only where it is wanted."""
-    if part.starts is None:
-        with fs.open_input_stream(part.path, compression=None) as raw:
-            data = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if part.path.endswith(".gz") else io.BufferedReader(raw)
-            while line := data.readline():
-                if not line.strip():
-                    continue
-                head = line
-                while (line := data.readline()).strip():
-                    head += line
-                found, length = _parsed(head)
-                wanted = all(_passes(found, t) for t in tests)
-                left = length
-                block = data.read(length) if wanted and payload else b""
-                left -= len(block)
-                while left > 0 and (skipped := data.read(min(left, 1 << 20))):
-                    left -= len(skipped)
-                if wanted:
-                    yield found | ({"payload": block} if payload else {})
+    """Records of a range that pass: headers are read and inflated first, the rest only where it is wanted."""
+    if part.end is None:
+        yield from _stream(fs, part, tests, payload)
         return
     with fs.open_input_file(part.path) as f:
-        ends = [*part.starts[1:], part.end]
-        for start, end in zip(part.starts, ends, strict=True):
+        for start, end in _starts(fs, part):
             f.seek(start)
-            data = f.read(end - start)
-            inflater = zlib.decompressobj(31)
+            data = f.read(min(HEAD, end - start))
+            inflater, taken = zlib.decompressobj(31), len(data)
             head = inflater.decompress(data, 2048)
-            while b"\r\n\r\n" not in head and inflater.unconsumed_tail:
-                head += inflater.decompress(inflater.unconsumed_tail, 2048)
+            while b"\r\n\r\n" not in head and (inflater.unconsumed_tail or start + taken < end):
+                data = inflater.unconsumed_tail
+                if not data:
+                    data = f.read(min(HEAD, end - start - taken))
+                    taken += len(data)
+                head += inflater.decompress(data, 2048)
             head, _, block = head.partition(b"\r\n\r\n")
-            found, length = _parsed(head)
+            found, length, http = _parsed(head)
             if not all(_passes(found, t) for t in tests):
                 continue
             if payload:
-                block += inflater.decompress(inflater.unconsumed_tail) + inflater.flush()
-                found["payload"] = block[:length]
+                block += inflater.decompress(inflater.unconsumed_tail + f.read(end - start - taken)) + inflater.flush()
+                found["payload"] = _payload(block[:length], http)
             yield found
 
 
