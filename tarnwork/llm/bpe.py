@@ -1,14 +1,12 @@
 """BPE encoding and decoding by tree concatenation.
 
-A long text is halved until its parts are short. The parts are encoded in parallel (all unseen runs of a batch of rows go to
-the tokenizer in one parallel call), then joined pairwise: a window around each join is encoded again and grows until its
-outermost parts on both sides agree exactly with what is already there. That happens on two levels:
-
-* Texts: the unit is the run between ASCII white space, which the tokenizer drops and never merges across. A cut may
-  fall inside a run; the window then holds the re-joined run and whole runs beside it.
-* Runs longer than `leaf` characters (text that nothing splits): the unit is the token. The window starts and ends at
-  tokens; a token with the same id at the same place in the window and in the half is a point of agreement, as a sequence
-  of tokens is the encoding of its text exactly if each pair of neighbours is the encoding of the pair's text.
+The unit of a text is the run between ASCII white space, which the tokenizer drops and never merges across: each different run of a
+slice of texts is encoded once, and a text's ids are those of its runs. A run longer than `leaf` characters (text that nothing
+splits) is halved until its parts are short. The parts are encoded in parallel (in one call of the tokenizer's threads), then joined pairwise, all
+joins of a level in parallel: a window around each join is encoded again and grows until its outermost parts on both
+sides agree exactly with what is already there. The window starts and ends at tokens; a token with the same id at the
+same place in the window and in the half is a point of agreement, as a sequence of tokens is the encoding of its text
+exactly if each pair of neighbours is the encoding of the pair's text. Of tokenizers whose runs are not independent, whole texts are such runs.
 
 Defined results: a null text is an empty one and has no ids; null ids decode to an empty text; rows keep their other
 columns, and repeated rows their repetition. An existing column of an output's name is replaced.
@@ -23,12 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tarnwork.llm.common import slices
+from tarnwork.llm.common import pieces, slices
 
 RUN = re.compile("[^ \t\n\r\x0b\x0c]+")
+#: Bytes of text encoded at a time.
+SLICE = 2_000_000
 #: Runs remembered by a worker since it last forgot; those used lately outlive a forgetting.
 MEMORY = 120_000
 
@@ -167,45 +168,30 @@ class TreeEncoder:
         self.known[run] = out
         return True
 
-    def _ids(self, run: str) -> bytes:
-        if run not in self.known:
-            self.learn({run})
-        return self.known[run]
-
-    def _concatenated(self, leaves: list[tuple[str, list[str]]]) -> tuple[list[str], list[bytes]]:
-        """Runs and ids of adjoining leaves (text, runs): halves, joined by windows of growing numbers of runs."""
-        if len(leaves) == 1:
-            runs = leaves[0][1]
-            return runs, list(map(self.known.__getitem__, runs))
-        cut = len(leaves) // 2
-        (left, left_ids), (right, right_ids) = self._concatenated(leaves[:cut]), self._concatenated(leaves[cut:])
-        if not left or not right or RUN.fullmatch(leaves[cut - 1][0][-1] + leaves[cut][0][0]) is None:
-            return left + right, left_ids + right_ids
-        size = 2
-        while True:
-            a, b = max(0, len(left) - size), min(len(right), size)
-            window = RUN.findall(" ".join(left[a:]) + " ".join(right[:b]))
-            ids = list(map(self._ids, window))
-            if (a == 0 or ids[0] == left_ids[a]) and (b == len(right) or ids[-1] == right_ids[b - 1]):
-                return left[:a] + window + right[b:], left_ids[:a] + ids + right_ids[b:]
-            size *= 2
-
-    def leaves(self, text: str) -> list[tuple[str, list[str]]]:
-        """The text halved until parts have at most `leaf` characters, each part with its runs."""
-        if len(text) <= self.leaf:
-            return [(text, RUN.findall(text))]
-        cut = len(text) // 2
-        return self.leaves(text[:cut]) + self.leaves(text[cut:])
+    def encode_arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ends, ids): the ids of all texts, one after another, and where each text's end (from 0 on, so one more than texts)."""
+        if not self.by_run:
+            parts = [[t[0] for t in self.tokens(x)] if x else [] for x in texts.to_pylist()]
+            return np.cumsum([0, *map(len, parts)]), np.array([i for part in parts for i in part], np.uint32)
+        if len(self.known) > MEMORY:  # only here: a slice finds again what it has learnt
+            self.known, self.before = {}, self.known
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        flat, sizes = pc.list_flatten(lists), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = flat.dictionary_encode()
+        runs, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self.learn({r for r in runs if r})
+        packed = [self.known[r] if r else b"" for r in runs]  # white space at a text's end leaves an empty run there
+        lengths = np.array([len(x) // 4 for x in packed], np.int64)
+        values, starts = np.frombuffer(b"".join(packed), "<u4"), np.cumsum(lengths) - lengths
+        upto = np.concatenate([[0], np.cumsum(lengths[place])]) if len(place) else np.zeros(1, np.int64)
+        at = np.repeat(starts[place] - upto[:-1], lengths[place]) + np.arange(upto[-1])
+        return upto[np.concatenate([[0], np.cumsum(sizes)])], values[at]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if not self.by_run:
-            return [np.array([t[0] for t in self.tokens(x)] if x else [], "<u4").tobytes() for x in texts]
-        if len(self.known) > MEMORY:  # only here: a batch finds again what it has learnt
-            self.known, self.before = {}, self.known
-        trees = [self.leaves(x) for x in texts]
-        self.learn({run for tree in trees for _, runs in tree for run in runs})
-        return [b"".join(self._concatenated(tree)[1]) for tree in trees]
+        ends, ids = self.encode_arrays(pa.array(texts, pa.string()))
+        data = ids.astype("<u4").tobytes()
+        return [data[4 * i : 4 * j] for i, j in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
 
 
 class Decoder:
@@ -218,6 +204,14 @@ class Decoder:
         self.plain = self.tokenizer.decoder is None
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.table = [self.tokenizer.id_to_token(i) for i in range(size)]
+        self.strings = pa.array(self.table, pa.string())
+
+    def decode_arrays(self, ends: np.ndarray, ids: np.ndarray) -> pa.Array:
+        """The texts of ids, each up to the next of `ends`."""
+        if not self.plain or None in self.table:
+            return pa.array([self.decode(ids[i:j]) for i, j in zip(ends.tolist(), ends[1:].tolist(), strict=False)], pa.string())
+        parts = self.strings.take(pa.array(ids))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), parts), " ")
 
     def decode(self, ids: np.ndarray) -> str:
         if not self.plain:
@@ -242,11 +236,14 @@ def decoder(path: str) -> Decoder:
     return _decoders[path]
 
 
-def list_array(parts: list[bytes], kind: str = "<u4") -> pa.ListArray:
-    """A list column of 64-bit integers from packed ones."""
-    ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
-    values = np.frombuffer(b"".join(parts), kind)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int32)))
+def list_array(ends: np.ndarray, ids: np.ndarray) -> pa.ListArray:
+    """A list column of ids."""
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype("<u4").view(np.int32)))
+
+
+def binary_array(ends: np.ndarray, ids: np.ndarray) -> pa.Array:
+    """A column of ids as little-endian unsigned 32-bit integers."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids.astype("<u4")))])
 
 
 def _ids_type(packed: bool) -> T.DataType:
@@ -264,12 +261,11 @@ def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = encoder(tokenizer_path, leaf)
-        for part in slices(batches):
-            coded = tree.encode_batch([x or "" for x in part.column(text_col).to_pylist()])
-            out = [pa.array(coded, pa.binary()) if packed else list_array(coded)]
+        for part in pieces(batches, text_col, SLICE):
+            ends, ids = tree.encode_arrays(part.column(text_col))
+            out = [(binary_array if packed else list_array)(ends, ids)]
             if decoded_col:
-                table = decoder(tokenizer_path)
-                out.append(pa.array([table.decode(np.frombuffer(x, "<u4")) for x in coded], pa.string()))
+                out.append(decoder(tokenizer_path).decode_arrays(ends, ids))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *out], names=[*rest, *new])
 
     return df.select(*dict.fromkeys([*rest, text_col])).mapInArrow(run, schema)
@@ -282,9 +278,10 @@ def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: s
     schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = decoder(tokenizer_path)
         for part in slices(batches):
-            ids = [np.frombuffer(x or b"", "<u4") if packed else np.array(x or [], np.uint32) for x in part.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array([table.decode(x) for x in ids], pa.string())], names=[*rest, text_col])
+            own = [np.frombuffer(x or b"", "<u4") if packed else np.array(x or [], np.uint32) for x in part.column(ids_col).to_pylist()]
+            ends = np.cumsum([0, *map(len, own)])
+            texts = decoder(tokenizer_path).decode_arrays(ends, np.concatenate([np.zeros(0, np.uint32), *own]))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), texts], names=[*rest, text_col])
 
     return df.mapInArrow(run, schema)

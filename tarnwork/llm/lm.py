@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwork.llm.common import scratch_path
+from tarnwork.llm.common import pieces, scratch_path
 
 D = 0.75
 #: Bytes of text that a task counts or scores at a time.
@@ -376,18 +376,6 @@ def _groups(shard: np.ndarray, most_rows: int = 0) -> Iterator[tuple[int, np.nda
             yield int(own[a]), by[k : min(b, k + (most_rows or b - a))]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that the texts of a piece have about `most` bytes."""
-    for batch in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < batch.num_rows:
-            before = size[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(size, before + most, side="right")))
-            yield batch.slice(at, end - at)
-            at = end
-
-
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(seq, firsts, hashes): texts as places in `hashes`, each between a start (0) and an end (1), and where each begins."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
@@ -597,7 +585,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             _tries.clear()
             _tries[model.path] = Trie(model)
         trie = _tries[model.path]
-        for part in pieces(batches, text_col, SLICE):
+        for part in pieces(batches, text_col, SLICE // 2):
             seq, firsts, hashes = tokens(part.column(text_col))
             w = trie.look_up(hashes)
             known = (w.counts > 0)[seq]

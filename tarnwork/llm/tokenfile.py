@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwork.llm.bpe import encoder
-from tarnwork.llm.common import slices, text_key
+from tarnwork.llm.bpe import SLICE, encoder
+from tarnwork.llm.common import pieces, text_key
 
 MAGIC = b"TWTOKEN1"
 #: Blocks have at most this many ids, and fewer in files that would have few blocks.
@@ -306,6 +306,11 @@ def unpack(data: bytes, blocks: range | None = None) -> tuple[list[int | None],
     return [None if x else int(i) for i, x in zip(doc_ids, nulls, strict=True)], lengths.astype(np.int64), np.concatenate(out)
 
 
+def in_order(names: list[str]) -> list[str]:
+    """Files by their number: beyond 999,999 it has more digits."""
+    return sorted(names, key=lambda n: int(n.removeprefix("part-").removesuffix(".twt")))
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, file_chars: int = 16_000_000) -> dict[str, int]:
     """Write all texts' ids, each text's followed by `end_id`, in ascending order of id, below `path` (shared by all machines).
 
@@ -322,15 +327,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, id_col
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        tree, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        doc_ids, parts = [], []
-        for part in slices(batches):
+        doc_ids, parts, sizes = [], [], []
+        for part in pieces(batches, "text", SLICE):
+            ends, own = encoder(tokenizer_path).encode_arrays(part.column("text"))
             doc_ids += part.column("id").to_pylist()
-            parts += [x + end for x in tree.encode_batch(part.column("text").to_pylist())]
+            parts.append(np.insert(own, ends[1:], end_id))
+            sizes.append(np.diff(ends) + 1)
         if not parts:
             return
-        ids = np.frombuffer(b"".join(parts), "<u4")
-        lengths = np.array([len(p) // 4 for p in parts])
+        ids, lengths = np.concatenate(parts), np.concatenate(sizes)
         parts.clear()
         name = f"part-{context.partitionId():06d}.twt"
         fs, inner = pafs.FileSystem.from_uri(path)
@@ -341,7 +346,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, id_col
 
     found = rows.select("id", "text").mapInArrow(write, "name string, tokens long").collect()  # a row per file
     bases, at = {}, 0
-    for name, tokens in sorted(found):
+    found = dict(found)
+    for name in in_order(list(found)):
+        tokens = found[name]
         bases[name] = at
         at += tokens
     with fs.open_output_stream(f"{inner}/manifest.json") as f:
