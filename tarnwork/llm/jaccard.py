@@ -10,9 +10,10 @@ classes with |A & B| / |A | B| of at least a percentage:
 2. In each bucket every class is first compared with a pivot, a few of which serve a family. Classes are points: their shingles hashed into GROUPS groups
    and counted; the sum of coordinate minima bounds an overlap from above, and pairs beyond the bound are dropped.
 3. Survivors are verified on their whole texts, and linked classes are joined into components. Buckets that still hold
-   several components are then joined in full but for pairs inside a component, by R-trees over the points: boxes whose summed minima
-   of upper corners can't reach the overlap that their smallest sizes need are dropped with all below them. A bucket of
-   many classes is cut into blocks, and each pair of blocks is a task's work of bounded size.
+   several components are then joined in full but for pairs inside a component, by R-trees over the points (a bucket of up to a leaf's
+   points is a tree of one box): boxes whose summed minima of upper corners can't reach the overlap that their smallest sizes need
+   are dropped with all below them. A bucket of many classes is cut into blocks, and each pair of blocks is a task's work of
+   bounded size.
 
 So no link between different texts is lost, and a group of any number of near copies costs in proportion to its size.
 All tables are partitioned by shingle, class or pair; only bitmaps of a fixed size leave the cluster.
@@ -28,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwork.llm.common import as_bytes, mix, shingles, slices, text_key, written
+from tarnwork.llm.common import as_bytes, discard, mix, shingles, slices, text_key, written
 from tarnwork.llm.graph import components
 
 #: Coordinates of a point, a byte each; a coordinate of 255 stands for any count from there on and bounds nothing.
@@ -41,13 +43,12 @@ GROUPS, FULL = 128, 255
 BITS, ID_BITS = 1 << 27, 1 << 24
 #: A shingle is of many documents if counts of two or more within parts of tasks sum up to this.
 OFTEN = 12
-#: Pivots of a family of near copies in each of the first rounds, and such rounds at most. The last round is exact whatever these are.
-PIVOTS, ROUNDS = 8, 3
+#: Pivots of a family of near copies in each round before the last, and such rounds at most. The last round is exact whatever these are.
+PIVOTS, ROUNDS = 8, 2
 #: Shingles that a task holds at a time to count them.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Classes of a block.
 BLOCK = 256
-NULL_ID = 1 << 62
 
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
@@ -64,14 +65,19 @@ def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def bitmap_of(hashes: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
-    """A bitmap of so many bits: which hashes (by their first bits) `column` holds. Its size doesn't depend on the input's."""
+def bitmap_of(hashes: DataFrame, column: str, bits: int = BITS) -> Broadcast:
+    """A bitmap of so many bits, sent to all workers: which hashes (by their first bits) `column` holds. Its size doesn't depend on the input's."""
     bit = F.shiftrightunsigned(column, 65 - bits.bit_length()) + 1
     rows = hashes.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m"))
     out = np.zeros(bits // 8, np.uint8)
-    for k, m in rows.toLocalIterator():
+    for k, m in rows.coalesce(4).toLocalIterator():  # a job per partition
         out[(k - 1) * 4096 : k * 4096] = np.frombuffer(m, np.uint8)
-    return out
+    return hashes.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
+def class_of(h: np.ndarray) -> int:
+    """A sum of hashes that tells sets apart."""
+    return int(mix(h + np.uint64(len(h))).sum().view(np.int64)) if len(h) else 0
 
 
 def _often(docs: DataFrame, k: int) -> DataFrame:
@@ -97,26 +103,25 @@ def _often(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).select("h")
 
 
-def _sets(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFrame:
-    """(doc_id, id, n, c, first, counts): size, class, prefix in the common order and count vector of each document."""
-    names = ["doc_id", "id", "n", "c", "first", "counts"]
-    shared = docs.sparkSession.sparkContext.broadcast(often.tobytes()) if often.any() else None
+def _sets(docs: DataFrame, k: int, percent: int, shared: Broadcast) -> DataFrame:
+    """(id, n, c, first, counts): size, class, prefix in the common order and count vector of each document."""
+    names = ["id", "n", "c", "first", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many = np.frombuffer(shared.value, np.uint8) if shared else None
+        many = np.frombuffer(shared.value, np.uint8)
         for part in slices(batches):
             n, c, first, counts = [], [], [], []
             for text in as_bytes(part.column("text")):
                 h = shingle_set(text, k)
                 n.append(len(h))
-                c.append(int(mix(h + np.uint64(len(h))).sum().view(np.int64)) if len(h) else 0)
-                order = h if many is None else np.concatenate([h[~(m := _in(many, h))], h[m]])
+                c.append(class_of(h))
+                order = np.concatenate([h[~(m := _in(many, h))], h[m]])
                 first.append(order[: _prefix(len(h), percent, 100)].tobytes())
                 counts.append(np.bincount((h % np.uint64(GROUPS)).astype(int), minlength=GROUPS).clip(max=FULL).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(first, pa.binary()), pa.array(counts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(first, pa.binary()), pa.array(counts, pa.binary())], names=names)
 
-    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("id long, n long, c long, first binary, counts binary")])
-    return docs.select("doc_id", "id", "text").mapInArrow(run, schema)
+    schema = T.StructType([docs.schema["id"], *T.StructType.fromDDL("n long, c long, first binary, counts binary")])
+    return docs.select("id", "text").mapInArrow(run, schema)
 
 
 def _prefix(n: int, percent: int, of: int) -> int:
@@ -124,9 +129,8 @@ def _prefix(n: int, percent: int, of: int) -> int:
     return n + percent * n // -of + 1 if n else 0
 
 
-def _rows(classes: DataFrame, shared: np.ndarray | None) -> DataFrame:
+def _rows(classes: DataFrame, sent: Broadcast | None = None) -> DataFrame:
     """(h, c, n): a row per prefix shingle (that the bitmap lets through)."""
-    sent = None if shared is None else classes.sparkSession.sparkContext.broadcast(shared.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = None if sent is None else np.frombuffer(sent.value, np.uint8)
@@ -149,17 +153,17 @@ def needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of pairs (a, b) whose summed coordinate minima reach the overlap needed."""
+    """The pairs (a, b, la, lb) whose summed coordinate minima reach the overlap needed, with the hashes (ha, hb) of their documents' ids."""
+    names = ["a", "b", "la", "lb", "ha", "hb"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 4096):
             va, vb = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, GROUPS) for c in ("va", "vb"))
             na, nb = (part.column(c).to_numpy() for c in ("na", "nb"))
-            yield part.select(["a", "b"]).filter(pa.array(_reaches(va, vb, na, nb, percent)))
+            yield part.select(names).filter(pa.array(_reaches(va, vb, na, nb, percent)))
 
-    left = classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("counts").alias("va"))
-    right = classes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("vb"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+    side = lambda x: classes.select(*(F.col(c).alias(f"{d}{x}") for c, d in (("c", ""), ("n", "n"), ("counts", "v"), ("hid", "h"))))
+    return pairs.select("a", "b", "la", "lb").join(side("a"), "a").join(side("b"), "b").mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def _reaches(va: np.ndarray, vb: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -209,22 +213,21 @@ def tree_join(left: Tree, right: Tree, percent: int) -> tuple[np.ndarray, np.nda
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are linked, found on the whole texts of one document of each."""
-    pairs = written(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct().join(reps, "c").select("c", "id", F.xxhash64("id").alias("hid"))
-    wanted = written(wanted, "wanted")
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "hid", ID_BITS).tobytes())
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Edges (a, b) between components (la, lb) of the pairs (a, b) of classes that are linked, found on the whole texts of one document of each."""
+    wanted = pairs.select(F.explode(F.array("ha", "hb")).alias("hid"))
+    sent = bitmap_of(wanted, "hid", ID_BITS)
 
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts of the ids that the bitmap lets through, by their own class: rows of one id may have several."""
         bitmap = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
-            yield batch.filter(pa.array(_in(bitmap, batch.column("hid").to_numpy().view(np.uint64)))).select(["id", "text"])
+            found = batch.filter(pa.array(_in(bitmap, batch.column("hid").to_numpy().view(np.uint64)))).column("text")
+            for part in slices(iter([pa.RecordBatch.from_arrays([found], names=["text"])])):
+                c = [class_of(shingle_set(x, k)) for x in as_bytes(part.column(0))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), part.column(0)], names=["c", "text"])
 
-    # Rows of one id with another text than the class's are told apart by their class below.
-    texts = docs.select("id", "text", F.xxhash64("id").alias("hid")).mapInArrow(only, "id long, text string")
-    texts = written(texts.join(wanted.select("c", "id"), "id").select("c", "text"), "texts")
-    sent.destroy()
+    texts = docs.select("text", F.xxhash64("id").alias("hid")).mapInArrow(only, "c long, text string").groupBy("c").agg(F.first("text").alias("text"))
     left = texts.select(F.col("c").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("c").alias("b"), F.col("text").alias("tb"))
 
@@ -232,21 +235,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percen
         last: dict[bytes, np.ndarray] = {}
         for part in slices(batches, 256):
             keep = []
-            for a, b, ta, tb in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), as_bytes(part.column("ta")), as_bytes(part.column("tb")), strict=True):
+            for ta, tb in zip(as_bytes(part.column("ta")), as_bytes(part.column("tb")), strict=True):
+                if len(last) > 200:
+                    last.clear()
                 for t in (ta, tb):
                     if t not in last:
-                        if len(last) > 200:
-                            last.clear()
                         last[t] = shingle_set(t, k)
-                x, y = last.get(ta), last.get(tb)
-                x = shingle_set(ta, k) if x is None else x
-                of = lambda h: int(mix(h + np.uint64(len(h))).sum().view(np.int64)) if len(h) else 0
-                same = of(x) == a and of(y) == b
-                overlap = len(x) + len(y) - len(np.union1d(x, y)) if same else 0
-                keep.append(same and 100 * overlap >= percent * (len(x) + len(y) - overlap))
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                x, y = last[ta], last[tb]
+                overlap = len(x) + len(y) - len(np.union1d(x, y))
+                keep.append(100 * overlap >= percent * (len(x) + len(y) - overlap))
+            yield pa.RecordBatch.from_arrays([part.column("la"), part.column("lb")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long").distinct(), "links")
+    found = written(pairs.select("a", "b", "la", "lb").join(left, "a").join(right, "b").select("la", "lb", "ta", "tb").mapInArrow(verify, "a long, b long"), "links")
+    sent.destroy()
+    return found
 
 
 def _sizes_fit(percent: int) -> Column:
@@ -263,8 +265,8 @@ def _shares_enough(percent: int) -> Column:
     return F.col("shared") >= need - F.greatest(beyond("na"), beyond("nb"))
 
 
-def _small(h: np.ndarray, c: np.ndarray, n: np.ndarray, label: np.ndarray, v: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a, b, na, nb) of whole buckets that fill one leaf each, all buckets of a size at once."""
+def _small(h: np.ndarray, n: np.ndarray, label: np.ndarray, v: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of whole buckets that fill one leaf each, all buckets of a size at once."""
     starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
     sizes = np.diff(np.append(starts, len(h)))
     out = [np.zeros((2, 0), int)]
@@ -278,32 +280,44 @@ def _small(h: np.ndarray, c: np.ndarray, n: np.ndarray, label: np.ndarray, v: np
             x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
             keep = _reaches(v[x], v[y], n[x], n[y], percent)
             out.append(np.stack([x[keep], y[keep]]))
-    a, b = np.concatenate(out, axis=1)
-    swap = c[a] > c[b]
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    return c[a], c[b], n[a], n[b]
+    return tuple(np.concatenate(out, axis=1))
 
 
 def _joined(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb, shared): pairs of different components that the trees of their buckets let through, and how many buckets they share.
+    """(a, b, la, lb, ha, hb, na, nb, shared): pairs of different components that the trees of their buckets let through, and how many buckets they share.
 
-    rows: (h, c, n, counts, label). Whether the tree lets a pair through depends on the pair alone, so all shared buckets count.
+    rows: (h, c, n, counts, label, hid). Whether the tree lets a pair through depends on the pair alone, so all shared buckets count.
     """
     size = rows.groupBy("h").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = rows.join(size.select("h", "m", blocks.alias("blocks")), "h").withColumn("own", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
     # Each class goes to the tasks of all pairs of blocks with its own.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    names = ["h", "i", "j", "m", "own", "c", "n", "label", "counts"]
+    names = ["h", "i", "j", "m", "own", "c", "n", "label", "hid", "counts"]
+    out = ["a", "b", "la", "lb", "ha", "hb", "na", "nb"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(found: tuple) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b", "na", "nb"])
+        found: list[np.ndarray] = []
+
+        def add(table: pa.Table, a: np.ndarray, b: np.ndarray) -> None:
+            c = table.column("c").to_numpy()
+            swap = c[a] > c[b]
+            ends = np.where(swap, b, a), np.where(swap, a, b)
+            found.append(np.stack([table.column(x).to_numpy()[e] for x in ("c", "label", "hid", "n") for e in ends]))
+
+        def summed() -> pa.RecordBatch:
+            """What was found, each pair once, with the number of buckets."""
+            every = np.concatenate([np.zeros((len(out), 0), np.int64), *found], axis=1)
+            found.clear()
+            every = every[:, np.lexsort((every[1], every[0]))]
+            new = np.flatnonzero(np.concatenate([[True], (every[:2, 1:] != every[:2, :-1]).any(0)])) if every.shape[1] else np.zeros(0, int)
+            times = np.diff(np.append(new, every.shape[1]))
+            return pa.RecordBatch.from_arrays([*(pa.array(x[new], pa.int64()) for x in every), pa.array(times, pa.int64())], names=[*out, "times"])
 
         def columns(table: pa.Table) -> tuple:
             return tuple(table.column(x).to_numpy() for x in ("h", "c", "n", "label", "own")) + (np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, GROUPS),)
 
-        def tree(table: pa.Table) -> pa.RecordBatch:
+        def tree(table: pa.Table) -> None:
             _, c, n, label, own, v = columns(table)
             i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
@@ -312,24 +326,21 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
             keep = (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
             if i == j:
                 keep &= c[a] < c[b]
-            a, b = a[keep], b[keep]
-            swap = c[a] > c[b]
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            return batch_of((c[a], c[b], n[a], n[b]))
+            add(table, a[keep], b[keep])
 
-        def groups(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        def groups(table: pa.Table) -> None:
             """Whole groups of (h, i, j): small buckets together, larger ones by their trees."""
             m = table.column("m").to_numpy()
             low = table.filter(pa.array(m <= Tree.LEAF))
             if low.num_rows:
-                h, c, n, label, _, v = columns(low)
-                yield batch_of(_small(h, c, n, label, v, percent))
+                h, _, n, label, _, v = columns(low)
+                add(low, *_small(h, n, label, v, percent))
             high = table.filter(pa.array(m > Tree.LEAF))
             if high.num_rows:
                 keys = np.stack([high.column(x).to_numpy() for x in ("h", "i", "j")], axis=1)
                 cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
                 for s, e in zip(cuts, cuts[1:], strict=False):
-                    yield tree(high.slice(s, e - s))
+                    tree(high.slice(s, e - s))
 
         held: list[pa.Table] = []
         for batch in batches:
@@ -341,54 +352,86 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
             if held and cut == 0 and tuple(keys[0]) == tuple(held[-1].column(x)[-1].as_py() for x in ("h", "i", "j")):
                 held.append(table)
                 continue
-            yield from groups(pa.concat_tables([*held, table.slice(0, cut)]))
+            groups(pa.concat_tables([*held, table.slice(0, cut)]))
             held = [table.slice(cut)]
+            if sum(x.shape[1] for x in found) > 500_000:
+                yield summed()
         if held:
-            yield from groups(pa.concat_tables(held))
-
-    found = rows.select(names).repartition(F.col("h"), F.col("i"), F.col("j")).sortWithinPartitions("h", "i", "j").mapInArrow(run, "a long, b long, na long, nb long")
-    return found.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("shared"))
+            groups(pa.concat_tables(held))
+        yield summed()
+
+    found = rows.select(names).repartition(F.col("h"), F.col("i"), F.col("j")).sortWithinPartitions("h", "i", "j").mapInArrow(run, ", ".join(f"{x} long" for x in [*out, "times"]))
+    return found.groupBy("a", "b").agg(*(F.first(x).alias(x) for x in out[2:]), F.sum("times").alias("shared"))
+
+
+def _relabelled(label: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(c, label) once the components that `edges` join are one; `label` has all classes that were linked before."""
+    new = components(edges)
+    if label is None:
+        out = written(new.select(F.col("node").alias("c"), F.col("component").alias("label")), "labels")
+        discard(new, edges)
+        return out
+    known = label.join(new, F.col("label") == F.col("node"), "left").select("c", F.coalesce("component", "label").alias("label"))
+    # A class that was alone until now is its own component's name.
+    alone = new.join(label.select("c"), F.col("node") == F.col("c"), "left_anti").select(F.col("node").alias("c"), F.col("component").alias("label"))
+    out = written(known.unionByName(alone), "labels")
+    discard(new, edges, label)
+    return out
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of `docs`."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), NULL_ID + F.abs(text_key(text_col) % NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    sets = written(_sets(docs, k, percent, bitmap_of(_often(docs, k), "h")), "sets")
+    """(doc_id, n_shingles, component_id, key, first) of each row of `docs`.
+
+    key is `text_key` of the text; first tells the rows that stand for their component, those of the smallest id (and key), and rows
+    without words, which stand for themselves.
+    """
+    own = F.col(id_col).cast("long")
+    own = F.struct(own.isNull().alias("unknown"), F.coalesce(own, F.lit(0)).alias("no"), text_key(text_col).alias("key"))  # unknown ids sort last
+    docs = docs.select(own.alias("id"), F.col(text_col).alias("text"))
+    often = bitmap_of(_often(docs, k), "h")
+    sets = written(_sets(docs, k, percent, often), "sets")
+    often.destroy()
     classes = sets.where("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.min("id").alias("id"), F.first("first").alias("first"), F.first("counts").alias("counts"))
-    classes = written(classes, "classes")
-    reps = classes.select("c", "id")
+    classes = written(classes.withColumn("hid", F.xxhash64("id")), "classes")
+
+    live = bitmap_of(_rows(classes).groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h"), "h")
+    rows = written(_rows(classes, live), "rows")
+    live.destroy()
 
-    plain = _rows(classes, None)
-    live = plain.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
-    rows = written(_rows(classes, bitmap_of(live, "h")), "rows")
+    def marked() -> DataFrame:
+        return rows.withColumn("label", F.col("c")) if label is None else rows.join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
 
-    links = tried = None
-    label = classes.select("c", F.col("c").alias("label")).limit(0)
+    label = tried = None
+    rounds: list[DataFrame] = []
     for turn in range(ROUNDS):
         # Any choice of pairs will do here, as the last round takes all others whose components still differ.
-        marked = rows.join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
+        now = marked()
         chance = F.struct(F.xxhash64("c", F.pmod("h", F.lit(PIVOTS)), F.lit(turn)), "c")
-        pivots = marked.groupBy("h").agg(F.min_by(F.struct("c", "n", "label"), chance).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        pairs = marked.join(pivots.select("h", "p"), "h").where(F.col("label") != F.col("p.label"))
-        pairs = pairs.select(F.least("c", "p.c").alias("a"), F.greatest("c", "p.c").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb")).where(_sizes_fit(percent))
-        pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), (2 * PIVOTS * F.count("*")).alias("shared")).where(_shares_enough(percent)).select("a", "b")
+        pivots = now.groupBy("h").agg(F.min_by(F.struct("c", "n", "label"), chance).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        pairs = now.join(pivots.select("h", "p"), "h").where(F.col("label") != F.col("p.label"))
+        first = F.col("c") < F.col("p.c")
+        ends = [(F.when(first, F.col(x)).otherwise(F.col(f"p.{x}")), F.when(first, F.col(f"p.{x}")).otherwise(F.col(x))) for x in ("c", "n", "label")]
+        pairs = pairs.select(*(e.alias(name) for pair, both in zip(ends, (("a", "b"), ("na", "nb"), ("la", "lb")), strict=True) for e, name in zip(pair, both, strict=True))).where(_sizes_fit(percent))
+        pairs = pairs.groupBy("a", "b").agg(*(F.first(x).alias(x) for x in ("na", "nb", "la", "lb")), (2 * PIVOTS * F.count("*")).alias("shared")).where(_shares_enough(percent))
         new = written(_bounded(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), classes, percent), "tried")
-        found = _verified(new, docs, reps, k, percent)
-        tried = new if tried is None else tried.unionByName(new)
-        links = found if links is None else links.unionByName(found)
-        label = components(links).select(F.col("node").alias("c"), F.col("component").alias("label"))
+        found = _verified(new, docs, k, percent)
+        rounds.append(new)
+        tried = new.select("a", "b") if tried is None else tried.unionByName(new.select("a", "b"))
         if found.limit(1).count() == 0:
             break
-
-    marked = rows.join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    mixed = marked.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
-    marked = marked.join(mixed, "h").join(classes.select("c", "counts"), "c")
-    rest = _joined(marked, percent).where(_shares_enough(percent)).select("a", "b").join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(rest, docs, reps, k, percent))
-
-    linked = components(links).select(F.col("node").alias("c"), F.col("component").alias("label"))
-    linked = linked.join(reps, "c")
-    least = linked.groupBy("label").agg(F.min("id").alias("least"))
-    found = reps.join(linked.join(least, "label").select("c", "least"), "c", "left").select("c", F.coalesce("least", "id").alias("component"))
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
-    return sets.select("doc_id", "id", "n", "c").join(found, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(component < NULL_ID, component).alias("component_id"))
+        label = _relabelled(label, found)
+
+    now = marked()
+    mixed = now.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
+    now = now.join(mixed, "h").join(classes.select("c", "counts", "hid"), "c")
+    rest = written(_joined(now, percent).where(_shares_enough(percent)).select("a", "b", "la", "lb", "ha", "hb").join(tried, ["a", "b"], "left_anti"), "rest")
+    label = _relabelled(label, _verified(rest, docs, k, percent))
+    discard(rows, rest, *rounds)
+
+    named = classes.select("c", "id").join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    least = named.groupBy("label").agg(F.min("id").alias("least"))
+    named = named.join(least, "label").select("c", "least")
+    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least"))
+    known = lambda x: F.when(~x["unknown"], x["no"])
+    found = sets.select("id", "n", "c").join(named, "c", "left")
+    return found.select(known(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(component).alias("component_id"), F.col("id.key").alias("key"), (F.col("id") == component).alias("first"))

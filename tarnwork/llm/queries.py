@@ -140,7 +140,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnwork.llm.jaccard import join
 
-    return join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return join(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
