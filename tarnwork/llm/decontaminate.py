@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwork.llm.common import as_bytes, crcs, shingles, slices, text_key, written
+from tarnwork.llm.common import as_bytes, crcs, discard, shingles, slices, text_key, written
 
 #: Bits of the bitmap that tells which shingles are of use; full or not, results are the same.
 BITS = 1 << 25
@@ -138,7 +138,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     """(doc_id, key, n_words, n_hit, item_ids, spans) for each row of `docs`.
 
     n_hit counts the words inside any occurrence of a window; item_ids are the items with such windows, as strings in
-    order; spans are (start, n) in words. key is `text_key` of the text.
+    order; spans are (start, n) in words, those that overlap or touch being one. key is `text_key` of the text.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
     windows = written(_windows(items, item_id, item_text, window), "windows")
@@ -160,7 +160,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
         .distinct()
     )
     hits = written(hits, "hits")
-    spans = hits.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("spans"))
+    discard(tokens, prefixes)
+    # Overlapping windows are one span, so that a wholly contaminated text has one span and not one for each of its words.
+    by = Window.partitionBy("doc_id", "key").orderBy("start", "end")
+    ends = hits.select("doc_id", "key", "start", (F.col("start") + F.col("n")).alias("end")).distinct()
+    ends = ends.withColumn("reach", F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = ends.withColumn("no", F.sum((F.coalesce("reach", F.lit(-1)) < F.col("start")).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = ends.groupBy("doc_id", "key", "no").agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("n"))
+    spans = whole.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("spans"))
     named = (
         hits.select("doc_id", "key", "window_words").distinct().join(windows, F.col("window_words") == F.col("words"))
         .groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
@@ -168,7 +175,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"])
     both = spans.join(named, same(spans, named), "left").select(spans["doc_id"], spans["key"], "spans", "item_ids")
     rows = found.select("doc_id", "key", "n_words")
-    covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))))
+    covered = F.aggregate("spans", F.lit(0), lambda total, s: total + s["n"])
     return rows.join(both, same(rows, both), "left").select(
         rows["doc_id"], rows["key"], "n_words",
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"),

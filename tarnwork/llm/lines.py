@@ -3,7 +3,7 @@
 A line goes if an earlier line (by document id, then text, then line number) is within `max_edits` edits of it; of equal
 lines the first stays. Two lines that close share one of the `max_edits` + 1 segments into which the shorter is cut, at
 nearly the same place: each line is looked up under its own segments, and under those of its substrings that can be a segment of a line of
-its length or up to `max_edits` less, as far as the place allows (the multi-match rule). Keys that only one line has are dropped by
+its length or up to `max_edits` less, as far as the place allows (the multi-match rule). Lines are told apart by two 64-bit hashes. Keys that only one line has are dropped by
 an aggregation over hashes; only lines with a shared key carry their text on. Pairs are verified by a banded
 bit-parallel edit distance: the band of 2 * max_edits + 1 cells of a column is one integer.
 
@@ -11,7 +11,8 @@ To bear families of alike lines, each line is first compared with the earliest l
 earlier lines, are joined in full. The keys are small hashes; where those that are shared are few they are broadcast, else joined by shuffle.
 
 Defined results: lines of fewer than `min_chars` characters always stay; a null or empty text stays as it is; null ids come first;
-rows of the same id and text are one document and keep the same lines; other columns pass through.
+rows of the same id and text are one document and keep the same lines; other columns pass through, but for columns named _n_lines or _n_removed,
+which are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import text_key, written
+from tarnwork.llm.common import discard, text_key, unused, written
 
 #: Shared keys that may be broadcast (8 bytes each); with more, the join is a shuffle.
 FEW = 2_000_000
@@ -99,33 +100,36 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     keyed = _keyed(rows.select(F.xxhash64("line").alias("h"), "line"), max_edits, min_chars)
     shared = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("own")).where("lo <> hi and own").select("key")
     shared = written(shared, "line-keys")
-    live = keyed.join(F.broadcast(shared) if shared.count() <= FEW else shared, "key").groupBy("key", "h").agg(F.max("own").alias("own"), F.first("line").alias("line"))
-    live = live.join(first.select("h", "first"), "h")  # lines whose first hashes clash are told apart by their text when verified
-    live = written(live.select("key", "h", "own", "line", "first", _parities(F.col("line")).alias("odd")), "line-live")
-    texts = live.groupBy("h").agg(F.first("line").alias("line"))
-    live = live.drop("line")
+    live = keyed.join(F.broadcast(shared) if shared.count() <= FEW else shared, "key").withColumn("g", hashed[1])
+    live = live.groupBy("key", "h", "g").agg(F.max("own").alias("own"), F.first("line").alias("line")).join(first.select("h", "g", "first"), ["h", "g"])
+    table = written(live.select("key", "h", "g", "own", "line", "first", _parities(F.col("line")).alias("odd")), "line-live")
+    texts = table.groupBy("h", "g").agg(F.first("line").alias("line"))
+    live = table.drop("line")
     alike = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 2 * max_edits
+    differ = lambda a, b: (F.col(a[0]) != F.col(b[0])) | (F.col(a[1]) != F.col(b[1]))
 
-    pivots = live.groupBy("key").agg(F.min_by(F.struct("h", "own", "first", "odd"), "first").alias("p"))
-    pairs = live.join(pivots, "key").where((F.col("h") != F.col("p.h")) & (F.col("own") | F.col("p.own")) & alike("odd", "p.odd"))
-    gone = written(_near(pairs.select("h", F.col("p.h").alias("eh")), texts, max_edits), "line-gone-1")
+    pivots = live.groupBy("key").agg(F.min_by(F.struct("h", "g", "own", "first", "odd"), "first").alias("p"))
+    pairs = live.join(pivots, "key").where(differ(("h", "g"), ("p.h", "p.g")) & (F.col("own") | F.col("p.own")) & alike("odd", "p.odd"))
+    early = written(_near(pairs.select("h", "g", F.col("p.h").alias("eh"), F.col("p.g").alias("eg")), texts, max_edits), "line-gone-1")
 
-    left = live.join(gone, "h", "left_anti").join(pivots.select("key", F.col("p.h").alias("eh")), "key").where(F.col("h") != F.col("eh"))
-    other = live.select(F.col("key").alias("o_key"), F.col("h").alias("oh"), F.col("own").alias("o_own"), F.col("first").alias("o_first"), F.col("odd").alias("o_odd"))
-    test = (F.col("key") == F.col("o_key")) & (F.col("o_first") < F.col("first")) & (F.col("oh") != F.col("eh")) & (F.col("own") | F.col("o_own")) & alike("odd", "o_odd")
+    left = live.join(early, ["h", "g"], "left_anti").join(pivots.select("key", F.col("p.h").alias("eh"), F.col("p.g").alias("eg")), "key").where(differ(("h", "g"), ("eh", "eg")))
+    other = live.select(*(F.col(c).alias(f"o_{c}") for c in ("key", "h", "g", "own", "first", "odd")))
+    test = (F.col("key") == F.col("o_key")) & (F.col("o_first") < F.col("first")) & differ(("o_h", "o_g"), ("eh", "eg")) & (F.col("own") | F.col("o_own")) & alike("odd", "o_odd")
     pairs = left.join(other, test)
-    gone = written(gone.unionByName(_near(pairs.select("h", F.col("oh").alias("eh")), texts, max_edits)).distinct(), "line-gone")
+    gone = written(early.unionByName(_near(pairs.select("h", "g", F.col("o_h").alias("eh"), F.col("o_g").alias("eg")), texts, max_edits)).distinct(), "line-gone")
 
+    discard(shared, table, early)
     # Of lines that occur once and stay, nothing more is needed.
-    fate = first.join(gone.withColumn("gone", F.lit(True)), "h", "left").where("n > 1 or gone")
+    fate = first.join(gone.withColumn("gone", F.lit(True)), ["h", "g"], "left").where("n > 1 or gone")
     drop = rows.select("doc_id", "tk", "no", place.alias("place"), *hashed).join(fate, ["h", "g"]).where((F.col("place") != F.col("first")) | F.coalesce("gone", F.lit(False)))
-    drop = drop.groupBy("doc_id", "tk").agg(F.collect_set("no").alias("_drop")).withColumnRenamed("doc_id", "_id").withColumnRenamed("tk", "_tk")
-    marked = docs.withColumn("_key", text_key(text_col)).join(drop, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_tk")), "left")
+    own, key, lost, there = (unused(docs, c) for c in ("_id", "_key", "_lost", "_there"))  # names that no column of `docs` has
+    drop = drop.groupBy(F.col("doc_id").alias(own), F.col("tk").alias(there)).agg(F.collect_set("no").alias(lost))
+    marked = docs.withColumn(key, text_key(text_col)).join(drop, F.col(id_col).eqNullSafe(F.col(own)) & (F.col(key) == F.col(there)), "left")
     split = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_drop", i)), "\n")
+    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(lost, i)), "\n")
     return marked.select(
-        *(F.when(F.col("_drop").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns),
-        F.coalesce(F.size(split), F.lit(0)).cast("long").alias("_n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("_n_removed"),
+        *(F.when(F.col(lost).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("_n_lines", "_n_removed")),
+        F.coalesce(F.size(split), F.lit(0)).cast("long").alias("_n_lines"), F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("_n_removed"),
     )
 
 
@@ -136,13 +140,13 @@ def _parities(line: Column) -> Column:
 
 
 def _near(pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
-    """(h) of the lines that are within the distance of an earlier one. pairs: (h, eh); texts: (h, line)."""
-    pairs = pairs.distinct().join(texts, "h").join(texts.select(F.col("h").alias("eh"), F.col("line").alias("earlier")), "eh")
+    """(h, g) of the lines that are within the distance of an earlier one. pairs: (h, g, eh, eg); texts: (h, g, line)."""
+    pairs = pairs.distinct().join(texts, ["h", "g"]).join(texts.select(F.col("h").alias("eh"), F.col("g").alias("eg"), F.col("line").alias("earlier")), ["eh", "eg"])
     size, other = F.char_length("line"), F.char_length("earlier")
     pairs = pairs.where(F.abs(size - other) <= most)
-    pairs = pairs.select("h", "eh", F.when(size >= other, F.struct(F.col("line").alias("a"), F.col("earlier").alias("b"))).otherwise(F.struct(F.col("earlier").alias("a"), F.col("line").alias("b"))).alias("p"))
+    pairs = pairs.select("h", "g", "eh", "eg", F.when(size >= other, F.struct(F.col("line").alias("a"), F.col("earlier").alias("b"))).otherwise(F.struct(F.col("earlier").alias("a"), F.col("line").alias("b"))).alias("p"))
     # Verification is the costly part: spread it evenly, over a number of tasks that Spark doesn't take back.
-    pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h", "eh").select("h", "p.a", "p.b")
+    pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h", "g", "eh", "eg").select("h", "g", "p.a", "p.b")
     count = lambda x, c: F.length(x) - F.length(F.replace(x, c, F.lit("")))
     letters = F.array(*map(F.lit, LETTERS))
     moved = F.aggregate(letters, F.lit(0), lambda n, c: n + F.abs(count(F.col("a"), c) - count(F.col("b"), c)))  # an edit moves two counts by one at most
@@ -153,4 +157,4 @@ def _near(pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
     block = lambda j: F.substring(F.col("b"), part(j - 1, BLOCKS) + 1, part(j, BLOCKS) - part(j - 1, BLOCKS))
     around = lambda j: F.substring(F.col("a"), F.greatest(part(j - 1, BLOCKS) + 1 - most, F.lit(1)), part(j, BLOCKS) - part(j - 1, BLOCKS) + 2 * most)
     pairs = pairs.where(F.size(F.filter(steps(BLOCKS), lambda j: F.contains(around(j), block(j)))) >= BLOCKS - most)
-    return pairs.where(distance_within(F.col("a"), F.col("b"), most)).select("h").distinct()
+    return pairs.where(distance_within(F.col("a"), F.col("b"), most)).select("h", "g").distinct()

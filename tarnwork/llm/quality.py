@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwork.llm.common import as_bytes, mix, slices, written
+from tarnwork.llm.common import as_bytes, mix, slices, unused, written
 
 _SYMBOLS = b"#*$%&|<>"
 _BLANK = b" \t\n\r\x0b\x0c"
@@ -136,11 +136,12 @@ def judge(df: DataFrame, text_col: str = "text") -> DataFrame:
     """`df` without its text, with COUNTS and p_good, the posterior probability of good quality."""
     voting = rules()
     found = written(features(df, text_col), "quality")
-    found = found.withColumn("_pattern", F.array(*voting.values()))
-    patterns = [(tuple(r[0]), r[1]) for r in found.groupBy("_pattern").count().collect()]  # at most 3 ** len(rules())
+    pattern = unused(found, "_pattern")
+    found = found.withColumn(pattern, F.array(*voting.values()))
+    patterns = [(tuple(r[0]), r[1]) for r in found.groupBy(pattern).count().collect()]  # at most 3 ** len(rules())
     if not patterns:
-        return found.drop("_pattern").withColumn("p_good", F.lit(None).cast("double"))
+        return found.drop(pattern).withColumn("p_good", F.lit(None).cast("double"))
     share, chances = fit(patterns)
     votes = np.array([p for p, _ in patterns], int)
-    known = df.sparkSession.createDataFrame([(p.tolist(), float(x)) for p, x in zip(votes, posterior(votes, share, chances), strict=True)], "_pattern array<int>, p_good double")
-    return found.join(F.broadcast(known), "_pattern").drop("_pattern")
+    known = df.sparkSession.createDataFrame([(p.tolist(), float(x)) for p, x in zip(votes, posterior(votes, share, chances), strict=True)], f"{pattern} array<int>, p_good double")
+    return found.drop("p_good").join(F.broadcast(known), pattern).drop(pattern)

@@ -36,12 +36,34 @@ def test_op3_edges(spark):
     got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(spark, path).collect()), key=repr)
     want = [(3, "revisit", 1, 1), (1, "response", None, 1), (2, "response", None, 0), (5, "revisit", 2, 0), (None, "revisit", 1, 1), (9, "response", None, 10000), (9, "response", None, 10000)]
     assert got == sorted(want, key=repr)
-    only = warc.read_archives(spark, path, split_bytes=1).where("record_type = 'response' and page_id > 1")
+    only = warc.read_archives(spark, path, split_bytes=100).where("record_type = 'response' and page_id > 1")
     assert sorted(r.page_id for r in only.select("page_id").collect()) == [2, 9, 9]
     assert "payload" not in warc.read_archives(spark, path, payload=False).columns
     assert {r.page_id: bytes(r.payload).decode() for r in only.collect()} == {2: "", 9: "é" * 5000}
 
 
+def test_op3_ranges_cover_each_record_once(spark):
+    df = spark.createDataFrame([(k, f"u{k}", "".join(map(chr, np.random.default_rng(k).integers(97, 123, k % 7 * 900)))) for k in range(200)], "page_id long, url string, html string").coalesce(2)
+    path = scratch_path(spark, "warc")
+    warc.write_archives(df, path, min_bytes=1)
+    for split in (300, 5000, 1 << 20):
+        got = warc.read_archives(spark, path, split_bytes=split).select("page_id", F.length("payload").alias("n"), "record_type").collect()
+        assert sorted(r.page_id for r in got) == list(range(200)) and all(r.n == r.page_id % 7 * 900 for r in got if r.record_type == "response")
+
+
+def test_op3_foreign_archive(spark, tmp_path):
+    """Header names in any case, without a blank after the colon, folded; an HTTP response's payload; no index."""
+    import gzip
+
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n<p>hi</p>"
+    one = b"WARC/1.0\r\nwarc-type:response\r\nWARC-Target-URI: http://a/\r\n  b\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n\r\n" % len(http) + http + b"\r\n\r\n"
+    two = b"WARC/1.0\r\nWARC-TYPE: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(two) + gzip.compress(one))
+    (tmp_path / "b.warc").write_bytes(one + two)
+    got = sorted((r.record_type, r.uri, bytes(r.payload)) for r in warc.read_archives(spark, f"file://{tmp_path}").collect())
+    assert got == [("response", "http://a/ b", b"<p>hi</p>")] * 2 + [("warcinfo", None, b"abc")] * 2
+
+
 def test_op3_pushdown_skips_payloads():
     from pyspark.sql.datasource import EqualTo, StringContains
     from pyspark.sql.types import StructType
@@ -81,7 +103,7 @@ def test_op4_held_out(spark):
 
 
 def test_op4_edges(spark):
-    docs = spark.createDataFrame([(1, None), (2, ""), (None, "idiot"), (3, "x " * 20000), (3, "y")], "doc_id long, text string").selectExpr("*", "1 as quality")
+    docs = spark.createDataFrame([(1, None), (2, ""), (None, "idiot"), (3, "x " * 20000), (3, "y")], "doc_id long, text string").selectExpr("*", "1 as quality", "2 as _id", "3 as _text", "4 as _y0")
     labels = spark.createDataFrame([(1, 1, None), (3, 1, 0), (3, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").selectExpr("*", "'t' as text")
     links = toxicity.train(docs, labels, ["quality", "toxic"])
     assert toxicity.score(docs, links, ["p_q", "p_t"]).where("p_t between 0 and 1").count() == 5
@@ -130,6 +152,22 @@ def test_op5_edges(spark):
     assert tokenfile.read_token_files(spark, path).count() == 0
 
 
+def test_op5_many_files_in_order(spark, documents):
+    """Files of a few texts each, and their order once numbers have more digits than names were padded to."""
+    rows = sorted(documents)[:60]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = scratch_path(spark, "tokens")
+    files = tokenfile.write_token_files(df, path, Q.tokenizer_path(), file_chars=max(1, sum(len(t) for _, t in rows) // 25))
+    assert len(files) > 10
+    got = tokenfile.read_token_files(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [i for i, _ in rows]
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += len(r.ids)
+    assert tokenfile.in_order(["part-1000000.twt", "part-999999.twt", "part-000002.twt"]) == ["part-000002.twt", "part-999999.twt", "part-1000000.twt"]
+
+
 # -- lines ---------------------------------------------------------------------------------------------------
 
 
@@ -196,7 +234,7 @@ def test_op6_brute(spark):
             own.append("".join(a))
         docs.append((d, "\n".join(own)))
     docs += [(None, docs[3][1]), (100, None), (101, ""), (102, "z" * 30000)]
-    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as h", "2 as line", "3 as key")
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as h", "2 as line", "3 as key", "4 as _id", "5 as _key", "6 as _lost", "7 as _tk", "8 as g")
     out = lines.dedup_lines(df)
     assert {r.doc_id: r.text for r in out.collect()} == brute_lines(docs)
     assert set(df.columns) <= set(out.columns)
@@ -294,7 +332,8 @@ def test_op9_against_labels(spark):
 
 
 def test_op9_edges(spark):
-    df = spark.createDataFrame([(1, None), (None, ""), (2, "a\n" * 9000), (2, "a\n" * 9000)], "doc_id long, text string").selectExpr("*", "1 as n_words")
+    df = spark.createDataFrame([(1, None), (None, ""), (2, "a\n" * 9000), (2, "a\n" * 9000)], "doc_id long, text string").selectExpr("*", "1 as n_words", "2 as _pattern", "3 as p_good")
+    assert "_pattern" in quality.judge(df).columns
     assert quality.judge(df).count() == 4
     assert quality.judge(df.limit(0)).count() == 0
 
@@ -339,10 +378,19 @@ def test_op10_families(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as id", "2 as c", "3 as n")
     old = jaccard.ROUNDS, jaccard.BLOCK, jaccard.OFTEN
     for jaccard.ROUNDS, jaccard.BLOCK, jaccard.OFTEN in ((1, 24, 5), old):
-        assert sorted(map(tuple, jaccard.join(df).collect()), key=repr) == brute_jaccard(docs)
+        assert sorted(map(tuple, jaccard.join(df).select("doc_id", "n_shingles", "component_id").collect()), key=repr) == brute_jaccard(docs)
     assert jaccard.join(df.limit(0)).count() == 0
 
 
+def test_op10_any_id(spark):
+    """Ids of the whole range of 64 bits, none at all, one id for several texts, and repeated rows of a component's first."""
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    docs = [(2**63 - 1, a), (2**62, a + " x"), (2**62 + 1, b), (-5, b + " y"), (-(2**63), "alone in the world at last"), (None, a + " z"), (None, a + " z"), (3, b), (3, a), (3, b), (None, ""), (8, None)]
+    got = jaccard.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_jaccard(docs)
+    assert sorted(((r.doc_id, r.n_shingles) for r in got if r["first"]), key=repr) == sorted([(-5, 57), (-(2**63), 2), (3, 56), (None, 0), (8, 0)], key=repr)
+
+
 # -- pipeline ------------------------------------------------------------------------------------------------------------------
 
 
@@ -367,3 +415,42 @@ def test_pipeline(spark):
             assert len(after) > 0.8 * len(before)
         docs = out
     assert docs.where("ids is null").count() == 0
+
+
+def test_pipeline_edges(spark):
+    """Nulls in any column, empty texts, repeated rows, an empty table, and extra columns of the names used inside."""
+    import corpus_pipeline as P
+
+    long = " ".join(f"word{k}" for k in range(80))
+    rows = [(1, None, None), (2, "", "a"), (None, long, "b"), (None, long, "b"), (3, long + " more", "c"), (3, long + " more", "c"), (None, None, None), (4, "short", None), (5, "short", None)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "1 as _id", "2 as _row", "3 as _quality", "4 as _toxic", "5 as _n_lines", "6 as _key")
+    for name, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        got = stage(spark, docs, SF)
+        assert set(docs.columns) <= set(got.columns) and (name == P.STAGES[-1][0] or got.columns == docs.columns)
+        kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+        if name == "n-gram Jaccard join":
+            assert kept == sorted([(1, None), (2, ""), (3, long + " more"), (None, None), (4, "short")], key=repr)
+        else:  # the line of 3 is five edits from the earlier one
+            assert kept == sorted([(i, t) for i, t, _ in rows], key=repr), name
+
+
+def test_pipeline_decisions(spark):
+    """The first, fourth and last stage against what their operators' own tests are held to."""
+    import corpus_pipeline as P
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(P.STAGES)
+    links = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"), ["quality", "toxic"])
+    want = {r.doc_id for r in toxicity.score(docs, links, ["q", "t"]).where("t < 0.5").collect()}
+    got = {r.doc_id for r in stages["toxicity"](spark, docs, SF).collect()}
+    assert got == want and len(got) < docs.count()
+    hit = {r.doc_id for r in Q.op1_decontaminate(spark, SF).where("n_hit > 0").collect()}
+    got = {r.doc_id for r in stages["benchmark decontamination"](spark, docs, SF).collect()}
+    assert hit and got == {r.doc_id for r in docs.select("doc_id").collect()} - hit
+    tok = Tokenizer.from_file(Q.tokenizer_path())
+    for r in stages["BPE encoding and decoding"](spark, docs, SF).limit(40).collect():
+        ids = tok.encode(r.text or "", add_special_tokens=False).ids
+        assert list(r.ids) == ids and r.decoded == tok.decode(ids, skip_special_tokens=False)
