@@ -10,10 +10,11 @@ import io
 import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnwork.operators.relational import numbered
 from tarnwork.schema import Domain, Variable, convert
 
 #: What stands for an unknown value.
@@ -22,33 +23,56 @@ UNKNOWN = ("", "?", ".", "~", "*", "NA")
 SAMPLE_LINES = 2000
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, _line): lines, with a number that grows along a file."""
+    return spark.read.text(path).withColumn("_line", F.monotonically_increasing_id())
+
+
 def _head(spark: SparkSession, path: str, n: int) -> list[str]:
-    return [r[0] for r in spark.read.text(path).limit(n).collect()]
+    return [r[0] for r in _lines(spark, path).limit(n).collect()]
+
 
+def _below(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """Lines but for those that `_head` has: told by their number, not by their text, which rows may repeat."""
+    first = [r[1] for r in _lines(spark, path).limit(n).collect()]
+    return _lines(spark, path).where(~F.col("_line").isin(first))
 
-#: Lines of a network's text, which is one file of bounded size; more are an error.
+
+#: Lines of texts that are read on the driver (networks, headers, queries); more are an error.
 MOST_LINES = 5_000_000
 
 
-def _network(spark: SparkSession, path: str) -> list[str]:
+def _whole(spark: SparkSession, path: str) -> list[str]:
     lines = _head(spark, path, MOST_LINES + 1)
     if len(lines) > MOST_LINES:
         raise ValueError(f"more than {MOST_LINES} lines in {path}")
     return lines
 
 
+def _head_until(spark: SparkSession, path: str, last: str) -> list[str]:
+    """The lines up to the first that begins with `last`, in lower case; all lines where none does."""
+    n = 1000
+    while True:
+        lines = _head(spark, path, n)
+        end = next((k for k, line in enumerate(lines, 1) if line.strip().lower().startswith(last)), None)
+        if end or len(lines) < n:
+            return lines[:end]
+        n *= 10
+        if n > MOST_LINES:
+            raise ValueError(f"no {last} within {MOST_LINES} lines of {path}")
+
+
 def _known(column: str, unknown: Sequence[str] = UNKNOWN) -> Column:
     c = F.trim(F.col(f"`{column}`"))
     return F.when(~c.isin(*unknown), c)
 
 
 def _rows(spark: SparkSession, path: str, names: Sequence[str], sep: str, skip: int, **options: str) -> DataFrame:
-    """All rows as strings; the first `skip` lines, known from the driver, are filtered out."""
+    """All rows as strings, without the first `skip` lines."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     if not skip:
         return spark.read.options(**options).csv(path, schema=schema, sep=sep, header=False)
-    header = _head(spark, path, skip)
-    lines = spark.read.text(path).where(~F.col("value").isin(*header))
+    lines = _below(spark, path, skip)
     parsed = lines.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep, "quote": options.get("quote", '"')}).alias("r")) if all(re.fullmatch(r"\w+", n) for n in names) else lines.select(F.split("value", re.escape(sep), -1).alias("a")).select(F.struct(*(F.get("a", i).alias(n) for i, n in enumerate(names))).alias("r"))
     return parsed.select("r.*")
 
@@ -147,7 +171,7 @@ def read_basket(spark: SparkSession, path: str) -> DataFrame:
 
 def read_c45(spark: SparkSession, stem: str) -> DataFrame:
     """<stem>.names for the schema, <stem>.data for the rows."""
-    lines = [re.sub(r"\|.*", "", x).strip().rstrip(".") for x in _head(spark, f"{stem}.names", 10_000)]
+    lines = [re.sub(r"\|.*", "", x).strip().rstrip(".") for x in _whole(spark, f"{stem}.names")]
     lines = [x for x in lines if x]
     classes = tuple(x.strip() for x in lines[0].split(","))
     out = []
@@ -164,13 +188,13 @@ def read_c45(spark: SparkSession, stem: str) -> DataFrame:
 
 
 def read_arff(spark: SparkSession, path: str, classes: Sequence[str] = ()) -> DataFrame:
-    """@attribute lines until @data; nominal lists, numeric, string. `classes` become several classes, else the last attribute is one."""
-    out, n = [], 0
-    for line in _head(spark, path, 100_000):
-        n += 1
+    """@attribute lines until @data; nominal lists, numeric, string. `classes` become several classes, else the last attribute is one.
+
+    Rows may be quoted, or sparse: {place value, ...}. What follows a % is a comment.
+    """
+    head, out = _head_until(spark, path, "@data"), []
+    for line in head:
         text = line.strip()
-        if text.lower().startswith("@data"):
-            break
         found = re.match(r"@attribute\s+('[^']*'|\"[^\"]*\"|\S+)\s+(.*)", text, re.I)
         if found:
             name, kind = found[1].strip("'\""), found[2].strip()
@@ -180,13 +204,17 @@ def read_arff(spark: SparkSession, path: str, classes: Sequence[str] = ()) -> Da
                 out.append(Variable(name, "continuous" if kind.lower() in ("numeric", "real", "integer") else "string", "feature" if kind.lower() in ("numeric", "real", "integer") else "meta"))
     roles = {c: "multiclass" for c in classes} or ({out[-1].name: "class"} if out else {})
     out = [Variable(v.name, v.kind, roles.get(v.name, v.role), v.values) for v in out]
-    body = spark.read.text(path).where(~F.trim("value").rlike("^(@|%|$)")).select(F.split("value", r"\s*,\s*", -1).alias("a"))
-    rows = body.select(*(F.regexp_replace(F.get("a", i), "^['\"]|['\"]$", "").alias(v.name) for i, v in enumerate(out)))
+    body = _below(spark, path, len(head)).select(F.trim(F.split("value", "%")[0]).alias("x")).where("x <> ''")
+    cells = F.regexp_extract_all("x", F.lit("""\\s*('[^']*'|"[^"]*"|[^,]*?)\\s*(?:,|$)"""), F.lit(1))
+    sparse = F.transform(F.split(F.regexp_extract("x", r"^\{(.*)\}$", 1), ","), lambda c: F.split(F.trim(c), r"\s+", 2))
+    places = F.map_from_entries(F.transform(F.filter(sparse, lambda c: F.size(c) == 2), lambda c: F.struct(c[0], c[1])))
+    body = body.select(F.when(~F.startswith("x", F.lit("{")), cells).alias("a"), F.when(F.startswith("x", F.lit("{")), places).alias("m"))
+    rows = body.select(*(F.regexp_replace(F.coalesce(F.get("a", i), F.try_element_at("m", F.lit(str(i)))), "^['\"]|['\"]$", "").alias(v.name) for i, v in enumerate(out)))
     return _typed(rows, out)
 
 
 def read_mulan(spark: SparkSession, arff: str, xml: str) -> DataFrame:
-    labels = re.findall(r'<label\s+name="([^"]+)"', "\n".join(_head(spark, xml, 100_000)))
+    labels = re.findall(r'<label\s+name="([^"]+)"', "\n".join(_whole(spark, xml)))
     return read_arff(spark, arff, labels)
 
 
@@ -208,7 +236,7 @@ def read_sql(spark: SparkSession, url: str | None, query: str, class_name: str =
 def read_sql_file(spark: SparkSession, path: str) -> DataFrame:
     """Lines `key: value` (uri, class, metas, discrete), then the query."""
     about: dict[str, str] = {}
-    lines = _head(spark, path, 10_000)
+    lines = _whole(spark, path)
     while lines and (found := re.match(r"(uri|class|metas|discrete)\s*:\s*(.*)", lines[0])):
         about[found[1]] = found[2].strip()
         lines.pop(0)
@@ -218,7 +246,7 @@ def read_sql_file(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pajek(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) of a .net file: section numbers come from a running count over lines in file order."""
-    lines = _network(spark, path)
+    lines = _whole(spark, path)
     section, vertices, edges = "", [], []
     for line in lines:
         if line.startswith("*"):
@@ -231,7 +259,7 @@ def read_pajek(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_gml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    text = "\n".join(_network(spark, path))
+    text = "\n".join(_whole(spark, path))
     nodes = [(int(m[1]), (re.search(r'label\s+"([^"]*)"', b) or [None, None])[1]) for b in re.findall(r"node\s*\[(.*?)\]", text, re.S) if (m := re.search(r"\bid\s+(\d+)", b))]
     edges = [(int(s[1]), int(t[1]), float((re.search(r"(?:weight|value)\s+([\d.eE+-]+)", b) or [None, 1])[1])) for b in re.findall(r"edge\s*\[(.*?)\]", text, re.S) if (s := re.search(r"source\s+(\d+)", b)) and (t := re.search(r"target\s+(\d+)", b))]
     return spark.createDataFrame(nodes, "id long, label string"), spark.createDataFrame(edges, "src long, dst long, weight double")
@@ -239,9 +267,9 @@ def read_gml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_distance_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(i, j, d), i > j, of a triangular text matrix: a line with the size and words, then a row per line (its label first)."""
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
-    numbered = lines.withColumn("i", F.row_number().over(Window.orderBy("n")) - 2).where("i >= 0")
-    cells = numbered.select("i", F.posexplode(F.slice(F.split(F.trim("value"), r"\s+"), 2, 1_000_000)).alias("j", "d"))
+    lines = numbered(_lines(spark, path), ["_line"], "i", -1).where("i >= 0")
+    parts = F.split(F.trim("value"), r"\s+")
+    cells = lines.select("i", F.posexplode(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).alias("j", "d"))
     return cells.where("j < i").select("i", "j", F.col("d").try_cast("double").alias("d"))
 
 
@@ -277,6 +305,12 @@ def enumerate_rows(spark: SparkSession, values: dict[str, Sequence[str]]) -> Dat
     return df.drop("id")
 
 
+def from_rows(spark: SparkSession, rows: Sequence[Sequence[object]], domain: Domain) -> DataFrame:
+    """Lists of values, in the order of the domain's variables."""
+    kinds = T.StructType([T.StructField(v.name, T.DoubleType() if v.kind == "continuous" else T.StringType()) for v in domain.variables])
+    return convert(spark.createDataFrame([tuple(r) for r in rows], kinds), domain)
+
+
 def from_numpy(spark: SparkSession, array: object, names: Sequence[str] | None = None) -> DataFrame:
     import numpy as np
 
