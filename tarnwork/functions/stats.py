@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.operators.aggregate import average_ranks, geometric_mean, harmonic_mean
+from tarnwork.operators.relational import running
 
 # -- distribution functions ----------------------------------------------------------------
 
@@ -147,8 +148,7 @@ def histogram(df: DataFrame, name: str, bins: int, low: float, high: float) -> D
 def score_at_percentile(df: DataFrame, name: str, p: float) -> DataFrame:
     """The sorted element at int(n p / 100 + 0.5), from 0; found over distinct values."""
     t = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("x")).agg(F.count("*").alias("n"))
-    one = Window.partitionBy(F.lit(0))
-    t = t.select("x", F.sum("n").over(one.orderBy("x")).alias("upto"), F.sum("n").over(one).alias("all"))
+    t = running(t, ["x"], {"upto": "n"}).join(F.broadcast(t.agg(F.sum("n").alias("all"))))
     at = F.least(F.floor(F.col("all") * p / 100 + 0.5), F.col("all") - 1)
     return t.where(F.col("upto") > at).agg(F.min("x").alias("score"))
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwork.operators.relational import running
+
 
 def _w(weight: Column | None) -> Column:
     return F.lit(1.0) if weight is None else weight
@@ -30,7 +33,7 @@ def harmonic_mean(x: Column) -> Column:
 AGGREGATES: dict[str, Callable[[Column, Column], Column]] = {
     "first": lambda x, o: F.min_by(x, o),
     "last": lambda x, o: F.max_by(x, o),
-    "random": lambda x, o: F.max_by(x, F.xxhash64(o)),
+    "random": lambda x, o: F.max_by(x, F.struct(F.md5(F.to_json(o)), o)),
     "modus": lambda x, o: F.mode(x, deterministic=True),
     "mean": lambda x, o: F.avg(x),
     "geometric mean": lambda x, o: geometric_mean(x),
@@ -92,14 +95,15 @@ def moments(df: DataFrame, name: str) -> DataFrame:
 def percentiles(df: DataFrame, name: str, points: Sequence[float], groups: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """Weighted percentiles: the first value whose weights up to it exceed the share, or the mean with the next where they hit it exactly.
 
-    Works on (value, weight) after aggregation, so the window runs over distinct values.
+    Works on running totals of (value, weight) after aggregation.
     """
     counts = df.where(F.col(name).isNotNull()).groupBy(*groups, F.col(name).alias("x")).agg(F.sum(_w(weight)).alias("w"))
     if not groups:
         counts = counts.withColumn("_g", F.lit(0))
     keys = list(groups) or ["_g"]
-    by = Window.partitionBy(*keys).orderBy("x")
-    counts = counts.select(*keys, "x", F.sum("w").over(by).alias("upto"), F.sum("w").over(Window.partitionBy(*keys)).alias("all"), F.lead("x").over(by).alias("next"))
+    counts = running(counts, ["x"], {"upto": "w"}, keys)
+    whole = counts.groupBy(*(F.col(k).alias(f"_k_{k}") for k in keys)).agg(F.max("upto").alias("all"))
+    counts = counts.join(whole, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys)))
 
     def at(p: float) -> Column:
         if p <= 0:
@@ -107,8 +111,8 @@ def percentiles(df: DataFrame, name: str, points: Sequence[float], groups: Seque
         if p >= 100:
             return F.max("x")
         goal = F.col("all") * p / 100
-        value = F.when(F.abs(F.col("upto") - goal) < 1e-9, (F.col("x") + F.coalesce("next", "x")) / 2).otherwise(F.col("x"))
-        return F.min(F.when(F.col("upto") > goal - 1e-9, value))
+        here, beyond = (F.min(F.when(F.col("upto") > goal + e, F.col("x"))) for e in (-1e-9, 1e-9))  # they differ where the share is hit
+        return F.when(here == beyond, here).otherwise((here + F.coalesce(beyond, here)) / 2)
 
     return counts.groupBy(*keys).agg(*(at(p).alias(f"p{p:g}") for p in points)).drop("_g")
 
@@ -154,6 +158,21 @@ def estimates(df: DataFrame, name: str, m: float = 2.0) -> DataFrame:
     return counts.join(F.broadcast(whole)).select("value", (n / a).alias("relative"), ((n + 1) / (a + k)).alias("laplace"), ((n + m / k) / (a + m)).alias("m_estimate"))
 
 
+def conditional_estimates(df: DataFrame, outer: str, inner: str, m: float = 2.0) -> DataFrame:
+    """(outer, inner, p): m-estimates of P(inner | outer), towards the shares of all rows; pairs that occur."""
+    t = contingency(df.where(F.col(outer).isNotNull() & F.col(inner).isNotNull()), outer, inner)
+    given = t.groupBy(F.col("outer").alias("_o")).agg(F.sum("weight").alias("_t"))
+    prior = t.groupBy(F.col("inner").alias("_i")).agg(F.sum("weight").alias("_n")).join(F.broadcast(t.agg(F.sum("weight").alias("_all"))))
+    joined = t.join(given, F.col("outer") == F.col("_o")).join(prior, F.col("inner") == F.col("_i"))
+    return joined.select("outer", "inner", ((F.col("weight") + m * F.col("_n") / F.col("_all")) / (F.col("_t") + m)).alias("p"))
+
+
+def summary(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(attribute, known, unknown, low, high, mean) of continuous columns, in one scan."""
+    long = df.select(*(F.col(c).cast("double").alias(c) for c in names)).unpivot([], list(names), "attribute", "x")
+    return long.groupBy("attribute").agg(F.count("x").alias("known"), F.count_if(F.col("x").isNull()).alias("unknown"), F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean"))
+
+
 def pearson_matrix(df: DataFrame, names: Sequence[str], target: str) -> DataFrame:
     """Correlation of each column with a target, all in one aggregation."""
     long = df.select(F.col(target).cast("double").alias("_y"), *(F.col(c).cast("double").alias(c) for c in names)).unpivot("_y", list(names), "attribute", "x")
@@ -163,11 +182,10 @@ def pearson_matrix(df: DataFrame, names: Sequence[str], target: str) -> DataFram
 
 
 def average_ranks(df: DataFrame, name: str, out: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Ranks of known values, ties sharing their mean; windows run over distinct values only."""
+    """Ranks of known values, ties sharing their mean, from running totals over distinct values."""
     keys = list(groups)
     counts = df.where(F.col(name).isNotNull()).groupBy(*keys, F.col(name).alias("_x")).agg(F.count("*").alias("_n"))
-    by = Window.partitionBy(*keys).orderBy("_x") if keys else Window.partitionBy(F.lit(0)).orderBy("_x")
-    ranks = counts.select(*keys, "_x", (F.sum("_n").over(by) - (F.col("_n") - 1) / 2).alias(out))
+    ranks = running(counts, ["_x"], {"_upto": "_n"}, keys).select(*keys, "_x", (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
     test = F.col(name) == F.col("_x")
     for k in keys:
         ranks = ranks.withColumnRenamed(k, f"_k_{k}")
@@ -183,12 +201,11 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 def kaplan_meier(df: DataFrame, time: str, event: Column) -> DataFrame:
     """(time, at_risk, events, survival): the product-limit curve, over distinct times."""
     t = df.where(F.col(time).isNotNull()).groupBy(F.col(time).alias("time")).agg(F.sum(event.cast("long")).alias("events"), F.count("*").alias("n"))
-    one = Window.partitionBy(F.lit(0))
-    t = t.withColumn("at_risk", F.sum("n").over(one.orderBy(F.col("time").desc())))
-    step = F.when(F.col("events") == F.col("at_risk"), None).otherwise(F.ln(1 - F.col("events") / F.col("at_risk")))
-    down = one.orderBy("time")
-    survival = F.when(F.max(F.when(F.col("events") == F.col("at_risk"), 1).otherwise(0)).over(down) == 1, 0.0).otherwise(F.exp(F.sum(step).over(down)))
-    return t.select("time", "at_risk", "events", survival.alias("survival")).where("events > 0")
+    t = running(t, [F.col("time").desc()], {"at_risk": "n"})
+    everyone = F.col("events") == F.col("at_risk")  # nothing survives from here on
+    t = t.withColumn("_step", F.when(everyone, 0.0).otherwise(F.ln(1 - F.col("events") / F.col("at_risk")))).withColumn("_end", everyone.cast("int"))
+    t = running(t, ["time"], {"_sum": "_step", "_ends": "_end"})
+    return t.select("time", "at_risk", "events", F.when(F.col("_ends") > 0, 0.0).otherwise(F.exp("_sum")).alias("survival")).where("events > 0")
 
 
 def data_info(df: DataFrame, class_name: str) -> DataFrame:

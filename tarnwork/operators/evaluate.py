@@ -8,6 +8,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwork.operators.relational import running
+
 
 def regression(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """MSE, RMSE, MAE, RSE, RRSE, RAE and R2; relative errors compare with the mean of the actual values."""
@@ -54,11 +56,10 @@ def binary_measures(df: DataFrame, positive: str = "1", alpha: float = 2.0) -> D
 
 
 def auc(df: DataFrame, positive: str = "1", by_fold: bool = True) -> DataFrame:
-    """Concordance with half credit for ties, averaged over folds; folds merge if one has a single class. Ranks run over distinct scores."""
+    """Concordance with half credit for ties, averaged over folds; folds merge if one has a single class. Running totals go over distinct scores."""
     fold = F.col("fold") if by_fold else F.lit(0)
     t = df.groupBy(fold.alias("fold"), "p").agg(F.count_if(F.col("actual") == positive).cast("double").alias("pos"), F.count_if(F.col("actual") != positive).cast("double").alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy("fold").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    t = t.withColumn("u", F.col("pos") * (below + F.col("neg") / 2))
+    t = running(t, ["p"], {"upto": "neg"}, ["fold"]).withColumn("u", F.col("pos") * (F.col("upto") - F.col("neg") / 2))
     per = t.groupBy("fold").agg(F.sum("u").alias("u"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
     if by_fold and per.where("np = 0 or nn = 0").limit(1).count():
         return auc(df, positive, by_fold=False)
@@ -79,8 +80,8 @@ def auc_pairs(df: DataFrame, weighted: bool = True) -> DataFrame:
     a = df.join(share.select(F.col("actual").alias("c1"), F.col("n").alias("n1")), F.col("class") == F.col("c1"))
     pairs = a.join(share.select(F.col("actual").alias("c2"), F.col("n").alias("n2")), F.col("c1") != F.col("c2")).where((F.col("actual") == F.col("c1")) | (F.col("actual") == F.col("c2")))  # classes are few
     t = pairs.groupBy("c1", "c2", "n1", "n2", "p").agg(F.count_if(F.col("actual") == F.col("c1")).cast("double").alias("pos"), F.count_if(F.col("actual") == F.col("c2")).cast("double").alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy("c1", "c2").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    u = t.withColumn("u", F.col("pos") * (below + F.col("neg") / 2)).groupBy("c1", "c2", "n1", "n2").agg((F.sum("u") / (F.col("n1") * F.col("n2"))).alias("a"))
+    t = running(t, ["p"], {"upto": "neg"}, ["c1", "c2"]).withColumn("u", F.col("pos") * (F.col("upto") - F.col("neg") / 2))
+    u = t.groupBy("c1", "c2", "n1", "n2").agg((F.sum("u") / (F.col("n1") * F.col("n2"))).alias("a"))
     w = F.col("n1") * F.col("n2") if weighted else F.lit(1.0)
     return u.agg((F.sum(w * F.col("a")) / F.sum(w)).alias("auc"))
 
@@ -88,17 +89,15 @@ def auc_pairs(df: DataFrame, weighted: bool = True) -> DataFrame:
 def roc(df: DataFrame, positive: str = "1") -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score."""
     t = df.groupBy("p").agg(F.count_if(F.col("actual") == positive).alias("pos"), F.count_if(F.col("actual") != positive).alias("neg"))
-    one = Window.partitionBy(F.lit(0))
-    down = one.orderBy(F.col("p").desc())
-    return t.select(F.col("p").alias("threshold"), (F.sum("neg").over(down) / F.sum("neg").over(one)).alias("fpr"), (F.sum("pos").over(down) / F.sum("pos").over(one)).alias("tpr"))
+    t, whole = running(t, [F.col("p").desc()], {"negs": "neg", "poss": "pos"}), t.agg(F.sum("neg").alias("nn"), F.sum("pos").alias("np"))
+    return t.join(F.broadcast(whole)).select(F.col("p").alias("threshold"), F.try_divide("negs", "nn").alias("fpr"), F.try_divide("poss", "np").alias("tpr"))
 
 
 def lift_curve(df: DataFrame, positive: str = "1") -> DataFrame:
     """(share of rows taken, share of positives found), best scores first."""
     t = df.groupBy("p").agg(F.count_if(F.col("actual") == positive).alias("pos"), F.count("*").alias("n"))
-    one = Window.partitionBy(F.lit(0))
-    down = one.orderBy(F.col("p").desc())
-    return t.select((F.sum("n").over(down) / F.sum("n").over(one)).alias("taken"), (F.sum("pos").over(down) / F.sum("pos").over(one)).alias("found"))
+    t, whole = running(t, [F.col("p").desc()], {"ns": "n", "poss": "pos"}), t.agg(F.sum("n").alias("all"), F.sum("pos").alias("np"))
+    return t.join(F.broadcast(whole)).select(F.try_divide("ns", "all").alias("taken"), F.try_divide("poss", "np").alias("found"))
 
 
 def calibration(df: DataFrame, bins: int = 10, positive: str = "1") -> DataFrame:

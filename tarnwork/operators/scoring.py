@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.operators.aggregate import domain_contingency
+from tarnwork.operators.relational import numbered, running
 
 
 def _h(w: Column, total: Column) -> Column:
@@ -72,16 +73,16 @@ def log_odds(df: DataFrame, name: str, value: str, class_name: str, positive: st
 
 
 def thresholds(df: DataFrame, name: str, class_name: str) -> DataFrame:
-    """(cut, gain): information gain of every binary cut of a continuous column; windows run over distinct values."""
+    """(cut, gain): information gain of every binary cut of a continuous column, from running totals over distinct values."""
     t = df.where(F.col(name).isNotNull() & F.col(class_name).isNotNull()).groupBy(F.col(name).alias("x"), F.col(class_name).alias("y")).agg(F.count("*").cast("double").alias("w"))
     every = t.select("x").distinct().join(t.select("y").distinct()).join(t, ["x", "y"], "left").select("x", "y", F.coalesce("w", F.lit(0.0)).alias("w"))  # distinct values by classes
-    by, y = Window.partitionBy("y").orderBy("x"), Window.partitionBy("y")
-    c = every.select("x", "y", F.sum("w").over(by).alias("l"), F.sum("w").over(y).alias("t")).withColumn("r", F.col("t") - F.col("l"))
+    c = running(every, ["x"], {"l": "w"}, ["y"]).join(t.groupBy("y").agg(F.sum("w").alias("t")), "y").withColumn("r", F.col("t") - F.col("l"))
     g = c.groupBy("x").agg(*(F.sum(k).alias(k.upper()) for k in "ltr"), *(F.sum(F.when(F.col(k) > 0, F.col(k) * F.log2(k)).otherwise(0.0)).alias(f"e{k}") for k in "ltr"))
     ent = lambda k: F.when(F.col(k.upper()) > 0, F.col(k.upper()) * F.log2(k.upper())).otherwise(0.0) - F.col(f"e{k}")
     gain = (ent("t") - ent("l") - ent("r")) / F.col("T")
-    middle = (F.col("x") + F.lead("x").over(Window.partitionBy(F.lit(0)).orderBy("x"))) / 2
-    return g.select(middle.alias("cut"), gain.alias("gain")).where("cut is not null")
+    values = numbered(t.select("x").distinct(), ["x"], "no")
+    middle = values.join(values.select((F.col("no") - 1).alias("no"), F.col("x").alias("next")), "no").select("x", ((F.col("x") + F.col("next")) / 2).alias("cut"))
+    return g.join(middle, "x").select("cut", gain.alias("gain"))
 
 
 def best_threshold(df: DataFrame, name: str, class_name: str) -> DataFrame:
@@ -105,7 +106,7 @@ def relief(df: DataFrame, names: Sequence[str], class_name: str, key: str, m: in
     shares = {r[0]: r[1] for r in df.groupBy(class_name).count().collect()}
     total = sum(shares.values())
     prior = F.create_map(*(F.lit(x) for c, n in shares.items() for x in (c, n / total)))
-    ref = df.orderBy(F.xxhash64(key)).limit(m).select(F.col(key).alias("_k"), F.col(class_name).alias("_y"), *(F.col(c).alias(f"_{c}") for c in names))
+    ref = df.orderBy(F.md5(F.col(key).cast("string")), key).limit(m).select(F.col(key).alias("_k"), F.col(class_name).alias("_y"), *(F.col(c).alias(f"_{c}") for c in names))
     pairs = df.join(F.broadcast(ref), F.col(key) != F.col("_k"))
     diff = [(F.least(F.abs(F.col(c) - F.col(f"_{c}")) / span[c], F.lit(1.0))).alias(f"d_{c}") for c in names]
     near = pairs.select("_k", "_y", F.col(class_name).alias("y"), F.col(key).alias("k"), *diff).withColumn("d", sum((F.col(f"d_{c}") for c in names), F.lit(0.0)))
@@ -116,12 +117,12 @@ def relief(df: DataFrame, names: Sequence[str], class_name: str, key: str, m: in
 
 
 def mdl(df: DataFrame, names: Sequence[str], class_name: str) -> DataFrame:
-    """Description-length score of each attribute, from the contingency's counts."""
+    """Description-length score of each attribute, from the contingency's counts: the classes' over all rows (of a known class) less the values', per row."""
     import math
 
     import pandas as pd
 
-    t = domain_contingency(df.where(F.col(class_name).isNotNull()), names, class_name).where("value is not null")
+    t = domain_contingency(df.where(F.col(class_name).isNotNull()), names, class_name)
 
     def lm(counts: list[float]) -> float:
         return (math.lgamma(sum(counts) + 1) - sum(math.lgamma(c + 1) for c in counts)) / math.log(2)
@@ -130,7 +131,7 @@ def mdl(df: DataFrame, names: Sequence[str], class_name: str) -> DataFrame:
         classes = rows.groupby("class")["weight"].sum()
         n, k = classes.sum(), len(classes)
         prior = lm(list(classes)) + lm([n, k - 1])
-        post = sum(lm(list(g["weight"])) + lm([g["weight"].sum(), k - 1]) for _, g in rows.groupby("value"))
+        post = sum(lm(list(g["weight"])) + lm([g["weight"].sum(), k - 1]) for _, g in rows.groupby("value"))  # unknown values are left out
         return pd.DataFrame({"attribute": [rows["attribute"].iloc[0]], "mdl": [(prior - post) / n]})
 
     return t.groupBy("attribute").applyInPandas(one, "attribute string, mdl double")

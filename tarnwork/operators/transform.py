@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.operators.aggregate import percentiles
-from tarnwork.operators.relational import numbered
+from tarnwork.operators.relational import numbered, running
+from tarnwork.operators.sampling import normal, uniform
+from tarnwork.schema import domain_of
+from tarnwork.session import pinned
 
 
 def _digits(step: float) -> int:
@@ -51,26 +54,44 @@ def interval_labels(cuts: Sequence[float]) -> list[str]:
     return [f"<={shown[0]}", *(f"({a}, {b}]" for a, b in zip(shown, shown[1:], strict=False)), f">{shown[-1]}"] if shown else ["all"]
 
 
-def _freq_cuts(points: list[tuple[float, float]], n: int) -> list[float]:
-    """Greedy cuts of about equal weight over sorted (value, weight)."""
-    if len(points) <= n:
-        return [(a[0] + b[0]) / 2 for a, b in zip(points, points[1:], strict=False)]
-    left, groups, inside, cuts = sum(w for _, w in points), n, 0.0, []
-    goal = left / groups
-    for k, (x, w) in enumerate(points[:-1]):
-        inside += w
-        if inside < goal or groups <= 1:
-            continue
-        if inside > goal and inside - goal > w / 2 and inside > w:  # the cut before this value is nearer
-            cuts.append((points[k - 1][0] + x) / 2)
-            left -= inside - w
-            inside = w
-        else:
-            cuts.append((x + points[k + 1][0]) / 2)
-            left -= inside
-            inside = 0.0
-        groups -= 1
-        goal = left / groups if groups else math.inf
+def frequency_cuts(counts: DataFrame, n: int) -> dict[str, list[float]]:
+    """Cuts of each attribute into n groups of about equal weight. counts: (attribute, x, w), a row per value.
+
+    A value that fills its group's share ends it: it stays in the group if less than half of its weight is beyond the share (and a value
+    follows), else it begins the next one. The first value of all stays. Shares are renewed from what is left. Running totals are made once; each
+    round looks up the next such value of all attributes in them, and its neighbours, so that a few rows per attribute reach the driver.
+    """
+    t = pinned(running(counts, ["x"], {"upto": "w"}, ["attribute"]))
+    spark = counts.sparkSession
+    heads = {r["attribute"]: r for r in t.groupBy("attribute").agg(F.count("*").alias("k"), F.max("upto").alias("all"), F.min("x").alias("first")).collect()}
+    few = [c for c, r in heads.items() if r["k"] <= n]
+    cuts: dict[str, list[float]] = {c: [] for c in heads}
+    for r in t.where(F.col("attribute").isin(few)).groupBy("attribute").agg(F.sort_array(F.collect_set("x")).alias("xs")).collect() if few else []:
+        cuts[r["attribute"]] = [(a + b) / 2 for a, b in zip(r["xs"], r["xs"][1:], strict=False)]
+    #: Where each attribute's current group begins: total before it, the value looked at last, and the value before the next one.
+    state = {c: (0.0, r["first"], r["first"]) for c, r in heads.items() if r["k"] > n}
+    for round_ in range(n - 1):
+        goals = [(c, at, base + (heads[c]["all"] - base) / (n - round_)) for c, (base, at, _) in state.items()]
+        if not goals:
+            break
+        goal = F.broadcast(spark.createDataFrame(goals, "attribute string, at double, goal double"))  # a row per attribute
+        here = t.join(goal, "attribute").where((F.col("x") > F.col("at")) & (F.col("upto") >= F.col("goal")))
+        found = here.groupBy("attribute").agg(F.min_by(F.struct("x", "w", "upto"), "x").alias("v")).select("attribute", "v.*").collect()
+        at = F.broadcast(spark.createDataFrame([(r["attribute"], r["x"]) for r in found], "attribute string, at double"))
+        beside = t.join(at, "attribute").groupBy("attribute").agg(F.max(F.when(F.col("x") < F.col("at"), F.col("x"))).alias("before"), F.min(F.when(F.col("x") > F.col("at"), F.col("x"))).alias("after"))
+        near = {r["attribute"]: (r["before"], r["after"]) for r in beside.collect()}
+        ended, state = state, {}
+        for r in found:
+            c, x, w, upto = r["attribute"], r["x"], r["w"], r["upto"]
+            base, _, begun = ended[c]
+            before, after = near[c]
+            share = (heads[c]["all"] - base) / (n - round_)
+            if after is not None and upto - base - share < w / 2:
+                cuts[c].append((x + after) / 2)
+                state[c] = (upto, x, after)
+            else:
+                cuts[c].append((max(before, begun) + x) / 2)
+                state[c] = (upto - w, x, x)
     return cuts
 
 
@@ -122,27 +143,31 @@ def _bimodal(points: list[tuple[float, dict]]) -> list[float]:
 
 
 def fit_cuts(df: DataFrame, names: Sequence[str], method: str, n: int = 4, class_name: str | None = None) -> DataFrame:
-    """(attribute, cuts) of many columns at once: counts per distinct value are aggregated, then each column is cut in a task of its own.
+    """(attribute, cuts) of many columns at once, from counts per distinct value.
 
-    method: frequency, entropy, or bimodal (the last two need a class).
+    method: frequency, entropy, or bimodal (the last two need a class, and cut each column in a task of its own).
     """
     y = F.col(class_name).cast("string") if class_name else F.lit("")
     long = df.select(y.alias("y"), *(F.col(c).cast("double").alias(c) for c in names)).unpivot("y", list(names), "attribute", "x")
     counts = long.where("x is not null and y is not null").groupBy("attribute", "x", "y").agg(F.count("*").cast("double").alias("w"))
 
+    if method == "frequency":
+        cuts = frequency_cuts(counts.groupBy("attribute", "x").agg(F.sum("w").alias("w")), n)
+        return df.sparkSession.createDataFrame(list(cuts.items()), "attribute string, cuts array<double>")
+
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("x")
-        if method == "frequency":
-            one = rows.groupby("x")["w"].sum()
-            cuts = _freq_cuts(list(one.items()), n)
-        else:
-            points = [(x, dict(zip(g["y"], g["w"], strict=True))) for x, g in rows.groupby("x")]
-            cuts = _mdl_cuts(points) if method == "entropy" else _bimodal(points)
+        points = [(x, dict(zip(g["y"], g["w"], strict=True))) for x, g in rows.sort_values("x").groupby("x")]
+        cuts = _mdl_cuts(points) if method == "entropy" else _bimodal(points)
         return pd.DataFrame({"attribute": [rows["attribute"].iloc[0]], "cuts": [cuts]})
 
     return counts.groupBy("attribute").applyInPandas(cut, "attribute string, cuts array<double>")
 
 
+def cut_rows(cuts: DataFrame) -> DataFrame:
+    """(attribute, no, cut): what `fit_cuts` finds, a row per cut, numbered from 1."""
+    return cuts.select("attribute", F.posexplode("cuts").alias("no", "cut")).withColumn("no", F.col("no") + 1)
+
+
 def discretize(df: DataFrame, names: Sequence[str], method: str = "frequency", n: int = 4, class_name: str | None = None, clean: bool = True) -> DataFrame:
     """Replace columns by D_<name> bins; columns left with one bin go if `clean`."""
     cuts = {r["attribute"]: r["cuts"] for r in fit_cuts(df, names, method, n, class_name).collect()}  # a row per column
@@ -152,6 +177,11 @@ def discretize(df: DataFrame, names: Sequence[str], method: str = "frequency", n
     return df.drop(*names)
 
 
+def discretize_each(df: DataFrame, cuts: dict[str, Sequence[float]]) -> DataFrame:
+    """Columns replaced by D_<name> bins, each by its own cuts."""
+    return df.select(*(c for c in df.columns if c not in cuts), *(by_cuts(F.col(c), x).alias(f"D_{c}") for c, x in cuts.items()))
+
+
 # -- imputation ---------------------------------------------------------------------------
 
 
@@ -171,17 +201,27 @@ def impute_defaults(df: DataFrame, values: dict[str, object]) -> DataFrame:
     return df.fillna(values)
 
 
+def impute_table(df: DataFrame, how: dict[str, str | tuple[str, object]]) -> DataFrame:
+    """Each column by its own method: minimal, maximal, mean, median, mode, or ("default", value); one aggregation for all."""
+    makers = {"minimal": F.min, "maximal": F.max, "mean": F.avg, "median": F.median, "mode": lambda c: F.mode(c, deterministic=True)}
+    fitted = {c: m for c, m in how.items() if isinstance(m, str)}
+    if fitted:
+        df = df.join(F.broadcast(df.agg(*(makers[m](c).alias(f"_f_{c}") for c, m in fitted.items()))))  # one row
+    values = {c: F.col(f"_f_{c}") if c in fitted else F.lit(m[1]) for c, m in how.items()}
+    return df.withColumns({c: F.coalesce(F.col(c), v) for c, v in values.items()}).drop(*(f"_f_{c}" for c in fitted))
+
+
 def impute_as_value(df: DataFrame, continuous: Sequence[str], discrete: Sequence[str]) -> DataFrame:
     """Unknown as a value NA of its own; continuous columns get an indicator <name>_def and their mean."""
     df = df.withColumns({f"{c}_def": F.when(F.col(c).isNull(), "undef").otherwise("def") for c in continuous} | {c: F.coalesce(c, F.lit("NA")) for c in discrete})
     return impute(df, continuous, [], "mean")
 
 
-def impute_random(df: DataFrame, continuous: Sequence[str], seed: int = 0) -> DataFrame:
-    """Draw from each column's normal distribution."""
+def impute_random(df: DataFrame, continuous: Sequence[str], order: Sequence[str], seed: int = 0) -> DataFrame:
+    """Draw from each column's normal distribution, by each row's key."""
     fitted = df.agg(*(f(c).alias(f"_{k}_{c}") for c in continuous for k, f in (("m", F.avg), ("s", F.stddev_pop))))
     out = df.join(F.broadcast(fitted))
-    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}") + F.col(f"_s_{c}") * F.randn(seed + k)) for k, c in enumerate(continuous)}).select(df.columns)
+    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}") + F.col(f"_s_{c}") * normal(order, seed + k)) for k, c in enumerate(continuous)}).select(df.columns)
 
 
 def impute_model(df: DataFrame, target: str, by: Sequence[str]) -> DataFrame:
@@ -223,6 +263,19 @@ def normalize(df: DataFrame, names: Sequence[str], by: str = "variance", zero_ba
     return out.withColumns({c: F.coalesce((F.col(c) - F.col(f"_a_{c}")) / span(c), F.lit(0.0)) for c in names}).select(df.columns)
 
 
+def continuize(df: DataFrame, normal: str = "variance") -> DataFrame:
+    """By the domain: discrete features become indicators, continuous ones are normalized; other roles stay."""
+    features = domain_of(df).features
+    scaled = normalize(df, [v.name for v in features if v.kind == "continuous"], normal)
+    discrete = {v.name: v for v in features if v.kind == "discrete"}
+    return scaled.select(*(c for n in df.columns for c in (indicators(n, discrete[n].values) if n in discrete else [F.col(n)])))
+
+
+def jittered(df: DataFrame, names: Sequence[str], order: Sequence[str], amount: float, seed: int = 0) -> DataFrame:
+    """Columns moved by up to half of `amount` either way, by each row's key."""
+    return df.withColumns({c: F.col(c) + amount * (uniform(order, seed + k) - 0.5) for k, c in enumerate(names)})
+
+
 def map_values(name: str, mapping: Sequence[int]) -> Column:
     """An index through a list; negative entries and unknown give unknown."""
     found = F.get(F.array(*map(F.lit, mapping)), F.col(name).cast("int"))
@@ -235,7 +288,7 @@ def map_values(name: str, mapping: Sequence[int]) -> Column:
 def add_missing(df: DataFrame, proportions: dict[str, float], order: Sequence[str], seed: int = 0) -> DataFrame:
     """Make an exact share of each column unknown, the rows of the smallest hashes of their key."""
     for k, (c, p) in enumerate(proportions.items()):
-        df = numbered(df.withColumn("_h", F.xxhash64(F.lit(seed + k), *order)), ["_h", *order], "_r")
+        df = numbered(df.withColumn("_h", uniform(order, seed + k)), ["_h", *order], "_r")
         total = df.agg(F.count("*").alias("_n"))
         df = df.join(F.broadcast(total)).withColumn(c, F.when(F.col("_r") >= F.floor(F.col("_n") * p + 0.5), F.col(c))).drop("_h", "_r", "_n")
     return df
@@ -243,14 +296,15 @@ def add_missing(df: DataFrame, proportions: dict[str, float], order: Sequence[st
 
 def add_noise(df: DataFrame, name: str, share: float, values: Sequence[str], order: Sequence[str], seed: int = 0) -> DataFrame:
     """Give an exact share of rows values that are dealt out evenly."""
-    df = numbered(df.withColumn("_h", F.xxhash64(F.lit(seed), *order)), ["_h", *order], "_r")
+    df = numbered(df.withColumn("_h", uniform(order, seed)), ["_h", *order], "_r")
     total = df.agg(F.count("*").alias("_n"))
     dealt = F.get(F.array(*map(F.lit, values)), (F.col("_r") % len(values)).cast("int"))
     return df.join(F.broadcast(total)).withColumn(name, F.when(F.col("_r") < F.floor(F.col("_n") * share + 0.5), dealt).otherwise(F.col(name))).drop("_h", "_r", "_n")
 
 
-def add_gaussian_noise(df: DataFrame, deviations: dict[str, float], seed: int = 0) -> DataFrame:
-    return df.withColumns({c: F.col(c) + s * F.randn(seed + k) for k, (c, s) in enumerate(deviations.items())})
+def add_gaussian_noise(df: DataFrame, deviations: dict[str, float], order: Sequence[str], seed: int = 0) -> DataFrame:
+    """Noise of each column's deviation, by each row's key."""
+    return df.withColumns({c: F.col(c) + s * normal(order, seed + k) for k, (c, s) in enumerate(deviations.items())})
 
 
 def class_weights(df: DataFrame, class_name: str, weights: dict[str, float] | None = None, out: str = "weight") -> DataFrame:

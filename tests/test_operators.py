@@ -77,8 +77,10 @@ def test_survival(spark):
 
 
 def test_discretization(spark):
-    assert X._freq_cuts([(1, 1), (2, 1), (3, 1), (4, 1)], 2) == [2.5]
-    assert X._freq_cuts([(1, 5), (2, 1)], 4) == [1.5]
+    weights = {"even": [1, 1, 1, 1], "tie": [1, 2, 1], "last": [1, 1, 1, 5], "few": [5, 1], "run": [1, 3, 3, 3, 1, 1]}
+    counts = spark.createDataFrame([(c, float(x), float(w)) for c, ws in weights.items() for x, w in enumerate(ws)], "attribute string, x double, w double")
+    assert X.frequency_cuts(counts, 2) == {"even": [1.5], "tie": [0.5], "last": [2.5], "few": [0.5], "run": [2.5]}
+    assert X.frequency_cuts(counts.where("attribute = 'few'"), 4) == {"few": [0.5]} and X.frequency_cuts(counts.limit(0), 3) == {}
     assert X._mdl_cuts([(float(i), {"a": 5.0} if i < 5 else {"b": 5.0}) for i in range(10)]) == [4.0]
     assert X._mdl_cuts([(float(i), {"a": 1.0, "b": 1.0}) for i in range(10)]) == []
     df = spark.createDataFrame([(1.0,), (2.0,), (2.5,), (None,)], "x double")
