@@ -125,6 +125,13 @@ def outliers(matrix: DataFrame, key: str = "i") -> DataFrame:
     return mean.join(F.broadcast(fit)).select(F.col("i").alias("id"), ((F.col("m") - F.col("a")) / F.col("s")).alias("z"))
 
 
+def derivative(a: Column) -> Column:
+    """Slopes of a series at its inner points, for warping by shape: the mean of the step before and of half the step across."""
+    x = F.transform(a, lambda v: v.cast("double"))
+    inner = F.when(F.size(a) > 2, F.sequence(F.lit(1), F.size(a) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.transform(inner, lambda i: ((F.get(x, i) - F.get(x, i - 1)) + (F.get(x, i + 1) - F.get(x, i - 1)) / 2) / 2)
+
+
 def dtw(a: Sequence[float], b: Sequence[float]) -> float:
     """Root of the least sum of squared differences along a warping path, over the path's length."""
     n, m = len(a), len(b)

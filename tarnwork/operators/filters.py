@@ -120,9 +120,11 @@ def count(df: DataFrame, condition: Column) -> DataFrame:
     return df.agg(F.count_if(F.coalesce(condition == 1, F.lit(False))).alias("accepted"))
 
 
-def random(df: DataFrame, probability: float, seed: int = 0) -> DataFrame:
-    """Each row with the given probability."""
-    return df.where(F.rand(seed) < probability)
+def random(df: DataFrame, probability: float, order: Sequence[str], seed: int = 0) -> DataFrame:
+    """Each row with the given probability, by its key."""
+    from tarnwork.operators.sampling import uniform
+
+    return df.where(uniform(order, seed) < probability)
 
 
 def take(df: DataFrame, values: dict[str, Sequence[str]], conjunct: bool = True) -> DataFrame:

@@ -259,14 +259,14 @@ def apply_rules(df: DataFrame, rules: Sequence[tuple[Column, str]], default: str
     return df.withColumn("prediction", first.otherwise(default) if rules else first)
 
 
-def learn_rules(df: DataFrame, names: Sequence[str], class_name: str, target: str, beam: int = 5, length: int = 2, most: int = 5) -> list[tuple[list[tuple[str, str]], float]]:
-    """Unordered rules for a class by beam search; every round's candidates are counted in one aggregation; covered positives are taken away."""
+def learn_rules(df: DataFrame, names: Sequence[str], class_name: str, target: str, beam: int = 5, length: int = 2) -> list[tuple[list[tuple[str, str]], float]]:
+    """Unordered rules for a class by beam search, until none is more often right than wrong; every round's candidates are counted in one aggregation; covered positives are taken away."""
     vals = df.agg(*(F.collect_set(F.col(c).cast("string")).alias(c) for c in names)).first()
     selectors = [(c, v) for c in names for v in sorted(vals[c])]
     cond = lambda r: reduce(lambda a, b: a & b, (F.col(c) == v for c, v in r), F.lit(True))
     out: list[tuple[list[tuple[str, str]], float]] = []
     pos = F.col(class_name) == target
-    for _ in range(most):
+    while True:
         covered = reduce(lambda a, b: a | b, (cond(r) for r, _ in out), F.lit(False))
         left = df.where(~(F.coalesce(covered, F.lit(False)) & pos))
         front, best = [[]], ([], -1.0)
@@ -311,11 +311,11 @@ def ml(kind: str, names: Sequence[str], label: str, **options: object) -> Callab
     return fit
 
 
-def bagging(fit: Callable, df: DataFrame, t: int = 5, seed: int = 0) -> Callable[[DataFrame, str], DataFrame]:
+def bagging(fit: Callable, df: DataFrame, order: Sequence[str], t: int = 5, seed: int = 0) -> Callable[[DataFrame, str], DataFrame]:
     """t models on bootstrap samples; their votes' mode."""
     from tarnwork.operators.sampling import bootstrap
 
-    models = [fit(bootstrap(df, seed + k).drop("replica")) for k in range(t)]
+    models = [fit(bootstrap(df, order, seed + k).drop("replica")) for k in range(t)]
 
     def vote(rows: DataFrame, key: str) -> DataFrame:
         every = reduce(lambda a, b: a.unionByName(b), (m(rows).select(key, "prediction") for m in models))
@@ -390,7 +390,7 @@ def agglomerate(matrix: np.ndarray, linkage: str = "average") -> list[tuple[int,
 
 
 def mlknn_counts(neighbours: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
-    """(count of positive neighbours, own label, rows): what multi-label kNN's likelihoods are made of."""
+    """(count of positive neighbours, own label, rows): what multi-label kNN's likelihoods are made of (see multilabel.ml_knn)."""
     pos = neighbours.join(labels.select(F.col(key).alias("neighbour"), F.col(label).alias("_l")), "neighbour").groupBy("probe").agg(F.sum("_l").alias("positives"))
     return pos.join(labels.select(F.col(key).alias("probe"), F.col(label).alias("own")), "probe").groupBy("positives", "own").agg(F.count("*").alias("n"))
 

@@ -15,6 +15,16 @@ def _hash(order: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in order)))
 
 
+def uniform(order: Sequence[str], seed: int = 0) -> Column:
+    """A number in [0, 1) from a row's key: the same however rows are dealt to tasks, and when a task runs again."""
+    return F.conv(F.substring(_hash(order, seed), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def normal(order: Sequence[str], seed: int = 0) -> Column:
+    """A number of the standard normal distribution from a row's key (Box and Muller)."""
+    return F.sqrt(-2 * F.ln(1 - uniform(order, 2 * seed))) * F.cos(2 * F.pi() * uniform(order, 2 * seed + 1))
+
+
 def _ranked(df: DataFrame, order: Sequence[str], seed: int) -> DataFrame:
     return numbered(df.withColumn("_h", _hash(order, seed)), ["_h", *order], "_r").drop("_h")
 
@@ -53,13 +63,13 @@ def with_replacement(df: DataFrame, n: int, order: Sequence[str], seed: int = 0)
     """n draws with replacement: draws are numbers of rows, joined to the rows."""
     rows = numbered(df, order, "_no")
     total = df.agg(F.count("*").alias("_n"))
-    draws = df.sparkSession.range(n).join(F.broadcast(total)).select(F.floor(F.rand(seed) * F.col("_n")).alias("_no"))
+    draws = df.sparkSession.range(n).join(F.broadcast(total)).select(F.floor(uniform(["id"], seed) * F.col("_n")).alias("_no"))
     return rows.join(draws, "_no").drop("_no")
 
 
-def bootstrap(df: DataFrame, seed: int = 0, replicas: int = 1, out: str = "replica") -> DataFrame:
+def bootstrap(df: DataFrame, order: Sequence[str], seed: int = 0, replicas: int = 1, out: str = "replica") -> DataFrame:
     """Replicas by Poisson(1) numbers of copies per row, each replica on its own, without any shuffle."""
-    u = F.rand(seed)
+    u = uniform([out, *order], seed)
     steps, upto, p = F.lit(0), 0.0, 0.36787944117144233
     for k in range(8):
         upto += p
