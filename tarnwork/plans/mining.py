@@ -58,9 +58,12 @@ def n5_dtw(s: SparkSession, d: str) -> DataFrame:
     return a.join(b, F.col("a.vec_id") > F.col("b.vec_id")).select(F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"), D.dtw_column(F.col("a.e"), F.col("b.e")).alias("d"))
 
 
-@query()
+@query("""with f as (select avg(l_quantity) as ma, avg(l_extendedprice) as mb, avg(l_discount) as mc, var_samp(l_quantity) as a, covar_samp(l_quantity, l_extendedprice) as b, covar_samp(l_quantity, l_discount) as c, var_samp(l_extendedprice) as e, covar_samp(l_extendedprice, l_discount) as g, var_samp(l_discount) as h from lineitem),
+  i as (select *, a * (e * h - g * g) - b * (b * h - g * c) + c * (b * g - e * c) as det from f), x as (select l_orderkey, l_partkey, l_quantity - ma as x, l_extendedprice - mb as y, l_discount - mc as z, i.* exclude (ma, mb, mc) from lineitem, i)
+  select l_orderkey, l_partkey, round(sqrt((x * x * (e * h - g * g) + y * y * (a * h - c * c) + z * z * (a * e - b * b) + 2 * x * y * (c * g - b * h) + 2 * x * z * (b * g - c * e) + 2 * y * z * (b * c - a * g)) / det), 5) as mahalanobis from x""")
 def n7_mahalanobis(s: SparkSession, d: str) -> DataFrame:
-    return D.mahalanobis(table(s, d, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount"), ["l_quantity", "l_extendedprice", "l_discount"])
+    t = table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
+    return rounded(D.mahalanobis(t, ["l_quantity", "l_extendedprice", "l_discount"]).select("l_orderkey", "l_partkey", "mahalanobis"), 5, "mahalanobis")
 
 
 @query("select 'l_quantity' as a, 'l_extendedprice' as b, round(1 - abs(corr(l_quantity, l_extendedprice)), 8) as distance from lineitem union all select 'l_quantity', 'l_tax', round(1 - abs(corr(l_quantity, l_tax)), 8) from lineitem union all select 'l_extendedprice', 'l_tax', round(1 - abs(corr(l_extendedprice, l_tax)), 8) from lineitem")
@@ -222,7 +225,7 @@ def l7_tree(s: SparkSession, d: str) -> DataFrame:
 @query()
 def l10_rules(s: SparkSession, d: str) -> DataFrame:
     t = _nb(s, d)
-    found = L.learn_rules(t, ["a", "b"], "y", "y", most=3)
+    found = L.learn_rules(t, ["a", "b"], "y", "y")
     rules = [(F.col(r[0][0]) == r[0][1] if len(r) == 1 else (F.col(r[0][0]) == r[0][1]) & (F.col(r[1][0]) == r[1][1]), "y") for r, _ in found]
     return L.apply_rules(t, rules, "n").groupBy("y", "prediction").agg(F.count("*").alias("n"))
 
@@ -259,7 +262,7 @@ def l15_lasso(s: SparkSession, d: str) -> DataFrame:
 @query()
 def l17_bagging(s: SparkSession, d: str) -> DataFrame:
     t = _parts(s, d)
-    return L.bagging(L.ml("tree", ["p_size", "p_retailprice"], "y", maxDepth=3), t, 3)(t, "p_partkey")
+    return L.bagging(L.ml("tree", ["p_size", "p_retailprice"], "y", maxDepth=3), t, ["p_partkey"], 3)(t, "p_partkey")
 
 
 @query()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarnwork import schema as S
 from tarnwork.operators import filters as P
 from tarnwork.operators import relational as R
-from tarnwork.plans.registry import query, table
+from tarnwork.plans.registry import query, sql_uniform, table
 
 #: Lineitem with unknown values, as the tables have none.
 LI_SQL = "(select l_orderkey, l_partkey, l_suppkey, l_linenumber, nullif(l_linenumber, 3) as ln, case when l_tax > 0.05 then null else l_tax end as tax, l_quantity, l_extendedprice, l_discount, l_tax, case when l_returnflag = 'N' then null else l_returnflag end as flag, l_returnflag, l_linestatus, l_shipdate from lineitem)"
@@ -47,9 +47,11 @@ def p7_row_id(s: SparkSession, d: str) -> DataFrame:
     return R.add_row_id(table(s, d, "orders").select("o_orderkey"), ["o_orderkey"], 5)
 
 
-@query()
+@query("select count(*) as n, count(*) as ids, count(*) as uuids, 36 as longest from region")
 def p8_uuid_range(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "region").select("r_regionkey", F.monotonically_increasing_id().alias("id"), F.uuid().alias("uuid"))
+    """New ids and UUIDs differ from row to row."""
+    t = R.add_uuid(R.add_range(table(s, d, "region"), ["r_regionkey"], "id", 10), "uuid")
+    return t.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct("uuid").alias("uuids"), F.max(F.length("uuid")).alias("longest"))
 
 
 @query("""select a.s_suppkey, a.s_name, coalesce(a.x, b.x) as x, b.s_acctbal from
@@ -189,9 +191,9 @@ def f15_combined(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "orders").agg(F.count_if(P.conjunction(a, b) == 1).alias("both_"), F.count_if(P.disjunction(a, b) == 1).alias("either"))
 
 
-@query()
+@query(f"select o_orderkey from orders where {sql_uniform(7, 'o_orderkey')} < 0.1")
 def f16_random(s: SparkSession, d: str) -> DataFrame:
-    return P.random(table(s, d, "orders").select("o_orderkey"), 0.1, 7)
+    return P.random(table(s, d, "orders").select("o_orderkey"), 0.1, ["o_orderkey"], 7)
 
 
 @query("select count(*) as accepted from lineitem where l_discount > 0.05")
@@ -307,12 +309,10 @@ def u6_data_sort(s: SparkSession, d: str) -> DataFrame:
     return R.sorted_by(_customers(s, d).select("c_custkey", "nk"), ["nk", "c_custkey"], [True, False])
 
 
-@query("select c_mktsegment, count(*) as n, round(sum(c_acctbal), 2) as total from customer group by 1")
+@query(f"""with a as (select c_custkey, c_mktsegment, row_number() over (order by c_custkey) as n from customer), b as (select c_acctbal, row_number() over (order by {sql_uniform(3, 'c_custkey')}, c_custkey) as n from customer)
+  select c_custkey, c_mktsegment, c_acctbal from a join b using (n)""")
 def u7_shuffle_columns(s: SparkSession, d: str) -> DataFrame:
-    t = R.shuffle_columns(table(s, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), ["c_acctbal"], ["c_custkey"], 3)
-    whole = t.groupBy("c_mktsegment").agg(F.count("*").alias("n"))  # shuffled values keep the column's total, not the groups'
-    own = table(s, d, "customer").groupBy("c_mktsegment").agg(F.round(F.sum("c_acctbal"), 2).alias("total"))
-    return whole.join(own, "c_mktsegment")
+    return R.shuffle_columns(table(s, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), ["c_acctbal"], ["c_custkey"], 3)
 
 
 @query("select p_partkey, p_name from (select *, row_number() over (order by p_partkey) - 1 as n from part) where n between 10 and 19")

@@ -7,15 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.plans.registry import query, shared_checkpoints, table
+from tarnwork.plans.registry import query, table
 from tarnwork.schema import with_roles
+from tarnwork.session import shared_dir
 from tarnwork.sources import readers, writers
 
 
 def _path(s: SparkSession, name: str) -> str:
-    shared_checkpoints(s)
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/formats/{uuid.uuid4().hex}-{name}"
+    return f"{shared_dir(s)}/formats/{uuid.uuid4().hex}-{name}"
 
 
 def _customers(s: SparkSession, d: str) -> DataFrame:
@@ -100,7 +99,7 @@ def s21_k12_distance_file(s: SparkSession, d: str) -> DataFrame:
     return readers.read_distance_matrix(s, path).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "d")
 
 
-@query()
+@query("select bit_xor(('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), o_orderpriority)), 1, 15))::bigint) as checksum, count(*) as n from orders")
 def k11_checksum(s: SparkSession, d: str) -> DataFrame:
     return writers.checksum(table(s, d, "orders"))
 

@@ -10,7 +10,7 @@ from tarnwork.operators import aggregate as A
 from tarnwork.operators import sampling as R
 from tarnwork.operators import scoring as M
 from tarnwork.operators import transform as X
-from tarnwork.plans.registry import query, table
+from tarnwork.plans.registry import query, sql_normal, sql_uniform, table
 from tarnwork.plans.relations import LI_SQL, lineitem
 
 
@@ -29,7 +29,7 @@ def a2_first_last(s: SparkSession, d: str) -> DataFrame:
     return A.group_by(table(s, d, "orders"), ["o_custkey"], {"o_orderstatus": "first", "o_totalprice": "last"}, ["o_orderkey"])
 
 
-@query()
+@query("""select o_orderstatus, arg_max(o_orderkey, md5('{"o_orderkey":' || o_orderkey::varchar || '}')) as o_orderkey from orders group by 1""")
 def a3_random(s: SparkSession, d: str) -> DataFrame:
     return A.group_by(table(s, d, "orders"), ["o_orderstatus"], {"o_orderkey": "random"}, ["o_orderkey"])
 
@@ -168,21 +168,39 @@ def t1_equal_width(s: SparkSession, d: str) -> DataFrame:
     return t.select(X.equal_width(F.col("l_extendedprice"), first, step, 5).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
-@query()
+def sql_frequency_cuts(counts: str, n: int) -> str:
+    """Equal-frequency cuts (attribute, no, cut) of (attribute, x, w), in a step per cut."""
+    return f"""with recursive c as ({counts}), p as (select *, row_number() over (partition by attribute order by x) as r, sum(w) over (partition by attribute order by x) as upto, sum(w) over (partition by attribute) as total,
+        lag(x) over (partition by attribute order by x) as px, lead(x) over (partition by attribute order by x) as nx, count(*) over (partition by attribute) as k from c),
+      s as (select distinct attribute, 0 as no, null::double as cut, 0.0::double as base, 1::bigint as r, false as stayed from p where k > {n}
+        union all select s.attribute, s.no + 1, case when y.stays then (y.x + y.nx) / 2 when s.stayed and y.r = s.r + 1 then y.x else (y.px + y.x) / 2 end, case when y.stays then y.upto else y.upto - y.w end, y.r, y.stays
+        from s join (select s.attribute, s.no, min(p.r) as r from s join p on p.attribute = s.attribute and p.r > s.r and p.upto - s.base >= (p.total - s.base) / ({n} - s.no) where s.no < {n} - 1 group by 1, 2) f on f.attribute = s.attribute and f.no = s.no
+        join lateral (select p.*, p.nx is not null and p.upto - s.base - (p.total - s.base) / ({n} - s.no) < p.w / 2 as stays from p where p.attribute = s.attribute and p.r = f.r) y on true)
+      select attribute, no, cut from s where no > 0 union all select attribute, r, (x + nx) / 2 from p where k <= {n} and nx is not null"""
+
+
+_COUNTS = " union all ".join(f"select '{c}' as attribute, {c} as x, count(*)::double as w from lineitem group by 2" for c in ("l_quantity", "l_discount", "l_extendedprice"))
+
+
+@query(sql_frequency_cuts(_COUNTS, 4))
 def t2_equal_frequency(s: SparkSession, d: str) -> DataFrame:
-    return X.fit_cuts(table(s, d, "lineitem"), ["l_quantity", "l_discount", "l_extendedprice"], "frequency", 4)
+    return X.cut_rows(X.fit_cuts(table(s, d, "lineitem"), ["l_quantity", "l_discount", "l_extendedprice"], "frequency", 4))
 
 
 @query()
 def t3_entropy_cuts(s: SparkSession, d: str) -> DataFrame:
-    t = table(s, d, "lineitem").withColumn("y", (F.col("l_extendedprice") > 50000).cast("string"))
-    return X.fit_cuts(t, ["l_quantity", "l_discount"], "entropy", class_name="y")
+    t = table(s, d, "lineitem").withColumn("y", F.col("l_quantity").between(18, 33).cast("string"))
+    return X.cut_rows(X.fit_cuts(t, ["l_quantity", "l_discount"], "entropy", class_name="y"))
 
 
-@query()
+@query("""with c as (select l_quantity as x, count(*) filter (where l_quantity between 20 and 30)::double as a, count(*) filter (where l_quantity not between 20 and 30)::double as b from lineitem group by 1),
+  p as (select x, row_number() over (order by x) as r, count(*) over () as k, sum(a) over (order by x) as ua, sum(b) over (order by x) as ub, sum(a) over () as ta, sum(b) over () as tb from c),
+  q as (select i.x as low, j.x as high, i.r as ir, j.r as jr, j.ua - i.ua as ma, j.ub - i.ub as mb, i.ta, i.tb, (j.ua - i.ua + j.ub - i.ub) / (i.ta + i.tb) as share from p i join p j on i.r < j.r and j.r < j.k),
+  best as (select * from q order by (greatest(abs(ma - share * ta) - 0.5, 0) ** 2) / (share * ta) + (greatest(abs(mb - share * tb) - 0.5, 0) ** 2) / (share * tb) desc, ir, jr limit 1)
+  select 'l_quantity' as attribute, 1 as no, low as cut from best union all select 'l_quantity', 2, high from best""")
 def t4_bimodal_cuts(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "lineitem").withColumn("y", F.col("l_quantity").between(20, 30).cast("string"))
-    return X.fit_cuts(t, ["l_quantity"], "bimodal", class_name="y")
+    return X.cut_rows(X.fit_cuts(t, ["l_quantity"], "bimodal", class_name="y"))
 
 
 @query("select cast((l_quantity > 10)::int + (l_quantity > 25)::int + (l_quantity > 40)::int as integer) as bin, count(*) as n from lineitem group by 1")
@@ -190,7 +208,7 @@ def t5_t6_fixed_cuts(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "lineitem").select(X.by_cuts(F.col("l_quantity"), [10, 25, 40]).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""with cuts as ({sql_frequency_cuts(_COUNTS, 3)}) select cast((select count(*) from cuts where attribute = 'l_quantity' and cut < l_quantity) as integer) as "D_l_quantity", cast((select count(*) from cuts where attribute = 'l_discount' and cut < l_discount) as integer) as "D_l_discount", count(*) as n from lineitem group by 1, 2""")
 def t7_discretize_table(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "lineitem").select("l_orderkey", "l_quantity", "l_discount")
     return X.discretize(t, ["l_quantity", "l_discount"], "frequency", 3).groupBy("D_l_quantity", "D_l_discount").agg(F.count("*").alias("n"))
@@ -243,14 +261,20 @@ def t18_impute_as_value(s: SparkSession, d: str) -> DataFrame:
     return rounded(X.impute_as_value(lineitem(s, d).select("l_orderkey", "l_partkey", "tax", "flag"), ["tax"], ["flag"]), 9, "tax")
 
 
-@query()
+_ROW = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")  # tells rows apart
+
+
+@query(f"""with l as (select * from {LI_SQL}), f as (select avg(tax) as m, stddev_pop(tax) as s from l) select l_orderkey, l_partkey, round(coalesce(tax, m + s * {sql_normal(5, "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")}), 8) as tax from l, f""")
 def t19_impute_random(s: SparkSession, d: str) -> DataFrame:
-    return X.impute_random(lineitem(s, d).select("l_orderkey", "tax"), ["tax"], 5).where("tax is not null")
+    t = lineitem(s, d).select(*_ROW[:4], "tax")
+    return rounded(X.impute_random(t, ["tax"], _ROW[:4], 5).select("l_orderkey", "l_partkey", "tax"), 8, "tax")
 
 
-@query()
+@query(f"""with l as (select * from {LI_SQL}), f as (select avg(tax) as my, avg(l_quantity) as m1, avg(l_extendedprice) as m2, covar_pop(l_quantity, tax) as c1, covar_pop(l_extendedprice, tax) as c2, var_pop(l_quantity) as v1, var_pop(l_extendedprice) as v2, covar_pop(l_quantity, l_extendedprice) as c from l where tax is not null),
+  b as (select *, (c1 * v2 - c2 * c) / (v1 * v2 - c * c) as b1, (c2 * v1 - c1 * c) / (v1 * v2 - c * c) as b2 from f) select l_orderkey, l_partkey, round(coalesce(tax, my + b1 * (l_quantity - m1) + b2 * (l_extendedprice - m2)), 8) as tax from l, b""")
 def t20_impute_model(s: SparkSession, d: str) -> DataFrame:
-    return X.impute_model(lineitem(s, d).select("l_orderkey", "tax", "l_quantity", "l_extendedprice"), "tax", ["l_quantity", "l_extendedprice"]).where("tax is not null")
+    t = X.impute_model(lineitem(s, d).select("l_orderkey", "l_partkey", "tax", "l_quantity", "l_extendedprice"), "tax", ["l_quantity", "l_extendedprice"])
+    return rounded(t.select("l_orderkey", "l_partkey", "tax"), 8, "tax")
 
 
 @query("select 150::bigint as missing, 1350::bigint as known where (select count(*) from customer) = 1500 union all select cast(floor(count(*) * 0.1 + 0.5) as bigint), count(*) - cast(floor(count(*) * 0.1 + 0.5) as bigint) from customer having count(*) <> 1500")
@@ -259,14 +283,14 @@ def t23_add_missing(s: SparkSession, d: str) -> DataFrame:
     return t.agg(F.count_if(F.col("c_acctbal").isNull()).alias("missing"), F.count("c_acctbal").alias("known"))
 
 
-@query()
+@query(f"""with r as (select *, row_number() over (order by {sql_uniform(1, 'c_custkey')}, c_custkey) - 1 as r, count(*) over () as n from customer) select c_custkey, case when r < floor(n * 0.2 + 0.5) then case r % 2 when 0 then 'X' else 'Y' end else c_mktsegment end as c_mktsegment from r""")
 def t24_add_noise(s: SparkSession, d: str) -> DataFrame:
     return X.add_noise(table(s, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", 0.2, ["X", "Y"], ["c_custkey"], 1)
 
 
-@query()
+@query(f"select c_custkey, round(c_acctbal + 10 * {sql_normal(2, 'c_custkey')}, 6) as c_acctbal from customer")
 def t25_gaussian_noise(s: SparkSession, d: str) -> DataFrame:
-    return X.add_gaussian_noise(table(s, d, "customer").select("c_custkey", "c_acctbal"), {"c_acctbal": 10.0}, 2)
+    return rounded(X.add_gaussian_noise(table(s, d, "customer").select("c_custkey", "c_acctbal"), {"c_acctbal": 10.0}, ["c_custkey"], 2), 6, "c_acctbal")
 
 
 @query("with c as (select o_orderstatus, count(*) as n from orders group by 1) select o_orderkey, round((select sum(n) / count(*) from c) / c.n, 9) as weight from orders join c using (o_orderstatus)")
@@ -307,7 +331,7 @@ def r3_folds(s: SparkSession, d: str) -> DataFrame:
     return R.folds(table(s, d, "orders").select("o_orderkey"), 5, ["o_orderkey"], 3)
 
 
-@query()
+@query(f"select c_custkey from (select c_custkey, row_number() over (order by c_custkey) - 1 as no, count(*) over () as n from customer) join (select unnest(range(500)) as id) on no = floor({sql_uniform(2, 'id')} * n)")
 def r4_with_replacement(s: SparkSession, d: str) -> DataFrame:
     return R.with_replacement(table(s, d, "customer").select("c_custkey"), 500, ["c_custkey"], 2)
 
@@ -317,9 +341,18 @@ def r7_sample(s: SparkSession, d: str) -> DataFrame:
     return R.sample(table(s, d, "customer").select("c_custkey"), ["c_custkey"], n=100)
 
 
-@query()
+def _poisson() -> list[float]:
+    upto, p, out = 0.0, 0.36787944117144233, []
+    for k in range(8):
+        upto += p
+        p /= k + 1
+        out.append(upto)
+    return out
+
+
+@query(f"""with e as (select replica::integer as replica, c_custkey, {sql_uniform(1, 'replica', 'c_custkey')} as u from customer, (select unnest([0, 1, 2]) as replica)), k as (select *, {' + '.join(f'(u > {x!r}::double)::int' for x in _poisson())} as k from e) select replica, c_custkey from k, range(8) t(i) where i < k""")
 def r8_bootstrap(s: SparkSession, d: str) -> DataFrame:
-    return R.bootstrap(table(s, d, "customer").select("c_custkey"), 1, 3).groupBy("replica").agg(F.count("*").alias("n"))
+    return R.bootstrap(table(s, d, "customer").select("c_custkey"), ["c_custkey"], 1, 3)
 
 
 # -- scores -------------------------------------------------------------------------------------------
@@ -334,13 +367,16 @@ _SC = f"(select cast(ln as varchar) as ln, flag, cast(cast(floor(l_extendedprice
 _LONG = f"(select 'ln' as attribute, ln as value, y as class from {_SC} union all select 'flag', flag, y from {_SC} union all select 'price', price, y from {_SC})"
 
 
-@query(f"""with t as (select attribute, value, class, count(*)::double as w from {_LONG} group by 1, 2, 3), a as (select attribute, sum(w) as alls, sum(w) filter (where value is not null) as n from t group by 1),
+_SCORES = f"""with t as (select attribute, value, class, count(*)::double as w from {_LONG} group by 1, 2, 3), a as (select attribute, sum(w) as alls, sum(w) filter (where value is not null) as n from t group by 1),
   k as (select * from t where value is not null), vc as (select attribute, value, sum(w) as v, max(w) as m from k group by 1, 2), cc as (select attribute, class, sum(w) as c from k group by 1, 2),
   j as (select k.attribute, sum(-w / n * log2(w / n)) as hj, sum(w * w / v / n) as gg, sum(w * w / (v * c)) as chi from k join a using (attribute) join vc using (attribute, value) join cc using (attribute, class) group by 1),
   hv as (select attribute, sum(-v / n * log2(v / n)) as hv, sum(m) as mv from vc join a using (attribute) group by 1), hc as (select attribute, sum(-c / n * log2(c / n)) as hc, sum(c * c / (n * n)) as gc, max(c) as mc from cc join a using (attribute) group by 1),
   s as (select attribute, alls, n, hc + hv - hj as gain, hj, hv, gg, gc, mv, mc, chi from a join j using (attribute) join hv using (attribute) join hc using (attribute)),
   r as (select attribute, gain * n / alls as info_gain, gain / hv * n / alls as gain_ratio, (gg - gc) / 2 * n / alls as gini, (mv - mc) / (n - mc) as relevance, gain / hj as distance, n * (chi - 1) as chi_square from s)
-  select attribute, round(case when abs(info_gain) < 1e-6 then 0 else info_gain end, 9) as info_gain, round(case when abs(gain_ratio) < 1e-6 then 0 else gain_ratio end, 9) as gain_ratio, round(case when abs(gini) < 1e-6 then 0 else gini end, 9) as gini, round(relevance, 9) as relevance, round(distance, 9) as distance, round(chi_square, 4) as chi_square from r""")
+  select attribute, round(case when abs(info_gain) < 1e-6 then 0 else info_gain end, 9) as info_gain, round(case when abs(gain_ratio) < 1e-6 then 0 else gain_ratio end, 9) as gain_ratio, round(case when abs(gini) < 1e-6 then 0 else gini end, 9) as gini, round(relevance, 9) as relevance, round(distance, 9) as distance, round(chi_square, 4) as chi_square from r"""
+
+
+@query(_SCORES)
 def m1_m6_scores(s: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(M.score_all(_scored(s, d), ["ln", "flag", "price"], "y"), 9, "info_gain", "gain_ratio", "gini", "relevance", "distance"), 4, "chi_square")
 
@@ -357,15 +393,21 @@ def m8_mse(s: SparkSession, d: str) -> DataFrame:
     return rounded(M.mse(_scored(s, d), ["ln", "price"], "l_quantity"), 8, "mse")
 
 
-@query()
+@query("""with t as (select l_quantity / 1.0 as a, l_extendedprice as b, l_discount as c, case when l_quantity >= 25 then 'true' else 'false' end as y, concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber) as k from lineitem), f as (select max(a) - min(a) as sa, max(b) - min(b) as sb, max(c) - min(c) as sc from t),
+  pr as (select y, count(*) / sum(count(*)) over () as p from t group by 1), ref as (select * from t order by md5(k), k limit 50),
+  d as (select r.k as rk, r.y as ry, t.y, t.k, least(abs(t.a - r.a) / sa, 1) as da, least(abs(t.b - r.b) / sb, 1) as db, least(abs(t.c - r.c) / sc, 1) as dc from ref r join t on t.k <> r.k, f),
+  n as (select * from d qualify row_number() over (partition by rk, y order by da + db + dc, k) <= 10), w as (select n.*, case when n.y = ry then -1 else p.p / (1 - q.p) end as w from n join pr p on p.y = n.y join pr q on q.y = ry)
+  select attribute, round(s / 500, 7) as relief from (select sum(w * da) as l_quantity, sum(w * db) as l_extendedprice, sum(w * dc) as l_discount from w) unpivot (s for attribute in (l_quantity, l_extendedprice, l_discount))""")
 def m9_relief(s: SparkSession, d: str) -> DataFrame:
-    t = table(s, d, "lineitem").withColumn("y", (F.col("l_quantity") >= 25).cast("string")).withColumn("k", F.xxhash64("*"))
-    return M.relief(t, ["l_quantity", "l_extendedprice", "l_discount"], "y", "k", 50)
+    t = table(s, d, "lineitem").withColumn("y", (F.col("l_quantity") >= 25).cast("string")).withColumn("k", F.concat_ws("|", *_ROW[:4]))
+    return rounded(M.relief(t, ["l_quantity", "l_extendedprice", "l_discount"], "y", "k", 50), 7, "relief")
 
 
-@query()
+@query(f"""with t as (select attribute, value, class, count(*)::double as w from {_LONG} group by 1, 2, 3), c as (select attribute, class, sum(w) as w from t group by 1, 2), k as (select attribute, count(*) as k, sum(w) as n, sum(lgamma(w + 1)) as g from c group by 1),
+  v as (select attribute, value, sum(w) as n, sum(lgamma(w + 1)) as g from t where value is not null group by 1, 2), p as (select attribute, sum(lgamma(v.n + 1) - v.g + lgamma(v.n + k) - lgamma(v.n + 1) - lgamma(k)) as post from v join k using (attribute) group by 1)
+  select attribute, round((lgamma(n + 1) - g + lgamma(n + k) - lgamma(n + 1) - lgamma(k) - post) / ln(2) / n, 7) as mdl from k join p using (attribute)""")
 def m12_mdl(s: SparkSession, d: str) -> DataFrame:
-    return M.mdl(_scored(s, d), ["ln", "flag", "price"], "y")
+    return rounded(M.mdl(_scored(s, d), ["ln", "flag", "price"], "y"), 7, "mdl")
 
 
 @query("""with t as (select l_quantity as x, l_discount > 0.05 as y, count(*)::double as w from lineitem group by 1, 2), e as (select a.x, b.y, coalesce(w, 0) as w from (select distinct x from t) a cross join (select distinct y from t) b left join t on t.x = a.x and t.y = b.y),
@@ -376,14 +418,16 @@ def m13_thresholds(s: SparkSession, d: str) -> DataFrame:
     return rounded(M.thresholds(table(s, d, "lineitem").withColumn("y", F.col("l_discount") > 0.05), "l_quantity", "y"), 8, "gain")
 
 
-@query()
+@query(f"""with t as (select price as v, y, count(*)::double as w from {_SC} group by 1, 2), e as (select a.v, b.y, coalesce(w, 0) as l, b.t from (select distinct v from t) a cross join (select y, sum(w) as t from t group by 1) b left join t on t.v = a.v and t.y = b.y),
+  h as (select v, sum(l) as ls, sum(t) as ts, sum(t - l) as rs, sum(case when l > 0 then l * log2(l) else 0 end) as el, sum(t * log2(t)) as et, sum(case when t > l then (t - l) * log2(t - l) else 0 end) as er from e group by 1)
+  select v as value, round(((ts * log2(ts) - et) - (ls * log2(ls) - el) - (case when rs > 0 then rs * log2(rs) else 0 end - er)) / ts, 8) as gain from h order by gain desc, v limit 1""")
 def m14_best_value(s: SparkSession, d: str) -> DataFrame:
-    return M.best_value(_scored(s, d), "price", "y")
+    return rounded(M.best_value(_scored(s, d), "price", "y"), 8, "gain")
 
 
-@query()
+@query(f"select attribute, info_gain as score from ({_SCORES})")
 def m18_ranked(s: SparkSession, d: str) -> DataFrame:
-    return M.ranked(M.score_all(_scored(s, d), ["ln", "flag", "price"], "y"), "info_gain")
+    return rounded(M.ranked(M.score_all(_scored(s, d), ["ln", "flag", "price"], "y"), "info_gain"), 9, "score")
 
 
 @query("select case when l_quantity >= 25 then 'true' else 'false' end as y, case when l_quantity >= 30 then 'true' else 'false' end as big from lineitem")
@@ -395,9 +439,9 @@ def m19_select_best(s: SparkSession, d: str) -> DataFrame:
 # -- statistics -----------------------------------------------------------------------------------------
 
 
-@query("select round(avg(o_totalprice), 4) as mean, median(o_totalprice) as median, round(exp(avg(ln(o_totalprice))), 4) as geometric_mean, round(count(*) / sum(1 / o_totalprice), 4) as harmonic_mean from orders")
+@query("with o as (select round(o_totalprice, -2) as o_totalprice from orders) select round(avg(o_totalprice), 4) as mean, median(o_totalprice) as median, (select o_totalprice from o group by 1 order by count(*) desc, o_totalprice limit 1) as mode, round(exp(avg(ln(o_totalprice))), 4) as geometric_mean, round(count(*) / sum(1 / o_totalprice), 4) as harmonic_mean from o")
 def c1_central(s: SparkSession, d: str) -> DataFrame:
-    return rounded(C.central(table(s, d, "orders"), "o_totalprice").drop("mode"), 4, "mean", "geometric_mean", "harmonic_mean")
+    return rounded(C.central(table(s, d, "orders").withColumn("o_totalprice", F.round("o_totalprice", -2)), "o_totalprice"), 4, "mean", "geometric_mean", "harmonic_mean")
 
 
 @query("with m as (select avg(o_totalprice) as m from orders), k as (select m, avg((o_totalprice - m) ** 2) as m2, avg((o_totalprice - m) ** 3) as m3, avg((o_totalprice - m) ** 4) as m4 from orders, m group by m) select round(100 * sqrt(m2) / m, 6) as variation, round(m3 / m2 ** 1.5, 6) as skewness, round(m4 / (m2 * m2), 6) as kurtosis from k")

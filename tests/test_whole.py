@@ -14,7 +14,7 @@ from tarnwork.plans.relations import LI_SQL
 
 from .test_queries import rows
 
-for name in ("relations", "statistics", "mining", "sources"):
+for name in ("relations", "statistics", "mining", "sources", "further"):
     importlib.import_module(f"tarnwork.plans.{name}")
 SF = "/root/testdata/sf0.01"
 
