@@ -1,8 +1,8 @@
 """Token-id files: adaptive context mixing and a range coder, in blocks that are reset and checksummed each.
 
 Within a block, tables remember which id followed the last one (order 1) and the last two (order 2), with a confidence.
-Two adaptive estimates of "the order-2 prediction holds", one from its own confidence and one from both orders', are
-mixed with an adaptive weight; a third gives order 1's chance if order 2 fails. One range-coding step says which
+Three adaptive estimates of "the order-2 prediction holds", one from its own confidence, one from both orders' and one from the predicted id's
+order-0 share, are mixed with adaptive weights; another gives order 1's chance if order 2 fails. One range-coding step says which
 prediction holds. If none does, the id is coded by order 0: an adaptive choice of a bucket of ids (counts of the block so far,
 renewed every RENEW ids), then the id within its bucket by the file's own counts, which are in its header.
 
@@ -31,7 +31,7 @@ from tarnwork.llm.common import pieces, text_key
 
 MAGIC = b"TWTOKEN1"
 #: Blocks have at most this many ids, and fewer in files that would have few blocks.
-BLOCK, LEAST_BLOCK, LANES = 4096, 256, 2048
+BLOCK, LEAST_BLOCK, LANES = 4096, 2048, 2048
 HASH1, HASH2 = 11, 12
 BUCKETS, RENEW = 64, 32
 MAX_ID = 1 << 27
@@ -57,6 +57,9 @@ class _Order0:
         self.prior = np.maximum(self.size * _U(BUCKETS * 4) // _U(total), 1).astype(np.int64) * (self.size > 0)
         self.place = np.zeros(int(used[-1]) + 1 if len(used) else 1, np.int64)
         self.place[used] = np.arange(len(used))
+        #: How rare an id is, in eight classes.
+        self.rarity = np.full(len(self.place), 7, np.int64)
+        self.rarity[used] = np.clip(np.log2(total / np.maximum(counts, 1)).astype(np.int64) - 6, 0, 7)
 
     @classmethod
     def of(cls, ids: np.ndarray) -> _Order0:
@@ -74,7 +77,8 @@ class _Model:
         self.base1, self.base2 = np.arange(lanes) << HASH1, np.arange(lanes) << HASH2
         self.own, self.both, self.one = np.full(lanes * 16, 20000, np.int32), np.full(lanes * 512, 20000, np.int32), np.full(lanes * 32, 20000, np.int32)
         self.lane = np.arange(lanes)
-        self.weight = np.full(lanes, 128, np.int32)
+        self.weight, self.weight0 = np.full(lanes, 128, np.int32), np.full(lanes, 192, np.int32)
+        self.zero = np.full(lanes * 8, 20000, np.int32)
         self.p1, self.p2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
         self.seen = np.tile(order0.prior, (lanes, 1))
@@ -96,7 +100,10 @@ class _Model:
         self.k_both = self.lane * 512 + (self.c2 * 32 + self.c1 * 2 + self.agree)
         self.k_one = self.lane * 32 + (self.c1 * 2 + (self.c2 > 2))
         self.a, self.b = self.own[self.k_own], self.both[self.k_both]
-        mixed = (self.weight * self.a + (256 - self.weight) * self.b) >> 8
+        self.k_zero = self.lane * 8 + self.order0.rarity[self.g2]
+        self.z = self.zero[self.k_zero]
+        self.ab = (self.weight * self.a + (256 - self.weight) * self.b) >> 8
+        mixed = (self.weight0 * self.ab + (256 - self.weight0) * self.z) >> 8
         two = np.clip(mixed, 32, 65536 - 96)
         two[self.c2 == 0] = 1
         self.d = self.one[self.k_one]
@@ -110,6 +117,9 @@ class _Model:
         target = hit2.astype(np.int32) << 16
         closer = np.abs(target - self.a) < np.abs(target - self.b)
         self.weight += np.where(closer, (255 - self.weight) >> 4, -(self.weight >> 4))
+        closer = np.abs(target - self.ab) < np.abs(target - self.z)
+        self.weight0 += np.where(closer, (255 - self.weight0) >> 4, -(self.weight0 >> 4))
+        self.zero[self.k_zero] = self.z + ((target - self.z) >> 5)
         self.own[self.k_own] = self.a + ((target - self.a) >> 5)
         self.both[self.k_both] = self.b + ((target - self.b) >> 4)
         self.one[self.k_one] = np.where(hit2, self.d, self.d + (((hit1.astype(np.int32) << 16) - self.d) >> 5))

@@ -112,6 +112,15 @@ def test_op4_edges(spark):
     assert toxicity.score(docs.limit(0), links, ["p_q", "p_t"]).count() == 0
 
 
+def test_op4_bounds_rows_and_not_ids_alone(spark):
+    """One id with more texts than may train: as many as the bound train, the same at each run."""
+    docs = spark.createDataFrame([(1, f"bad word{k} awful") for k in range(40)] + [(k, f"fine text number {k}") for k in range(2, 12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k == 1)) for k in range(1, 12)], "doc_id long, toxic int")
+    first, again = (toxicity.train(docs, labels, ["toxic"], max_labelled=20)[0] for _ in range(2))
+    assert (first.chosen == again.chosen).all() and np.allclose(first.weights, again.weights)
+    assert toxicity.train(docs, labels, ["toxic"], max_labelled=0) == []
+
+
 # -- token files -----------------------------------------------------------------------------------------
 
 
@@ -130,6 +139,18 @@ def test_op5_file_round_trip():
         tokenfile.pack(np.array([1 << 28]), [1], np.array([1]))
 
 
+def test_op5_beats_static_order_0(spark):
+    """Bits an id of a file, header and all, on prose: below the entropy of single ids."""
+    from tarnwork.llm.bpe import encoder
+
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    ends, ids = encoder(Q.tokenizer_path()).encode_arrays(tokenfile.pa.array(texts))
+    data = tokenfile.pack(ids, list(range(len(texts))), np.diff(ends))
+    n = np.unique(ids, return_counts=True)[1] / len(ids)
+    assert 8 * len(data) / len(ids) < -(n * np.log2(n)).sum()
+    assert (tokenfile.unpack(data)[2] == ids).all()
+
+
 def test_op5_whole_table(spark, documents):
     from tokenizers import Tokenizer
 
@@ -311,6 +332,12 @@ def test_op8_round_trip(spark):
     assert chat.expand(df.limit(0)).count() == 0
 
 
+def test_op8_long_conversation(spark):
+    rows = [(1, k, ["user", "assistant"][k % 2], f"t{k}") for k in range(600)]
+    got = chat.read_back(chat.expand(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert [t.text for t in got.turns] == [r[3] for r in rows] and list(got.loss) == [r[3] for r in rows if r[2] == "assistant"]
+
+
 # -- quality ---------------------------------------------------------------------------------------------------------------
 
 
@@ -326,6 +353,31 @@ def test_op9_counts_and_labels(spark, documents):
         assert r.base_failed == (len(words) < 50 or 100 * len(repeated) > 50 * len(words)) and not (r.kept and r.base_failed)
 
 
+def test_op9_fit_is_plain_em():
+    """Accuracies and posteriors from pattern counts equal those of an EM that goes over the documents one by one."""
+    rng = np.random.default_rng(4)
+    good = rng.random(400) < 0.7
+    votes = [tuple(int(rng.choice([-1, 0, 1], p=[0.1, 0.5, 0.4] if g else [0.4, 0.5, 0.1])) for _ in range(3)) for g in good]
+    share, chances = quality.fit(list(Counter(votes).items()), rounds=30)
+    prior, s = [[0.35, 0.40, 0.25], [0.01, 0.49, 0.50]], 0.01 * len(votes) + 1
+    p, table = 0.7, [[list(prior[c]) for _ in range(3)] for c in (0, 1)]
+    for _ in range(30):
+        post = []
+        for v in votes:
+            like = [w * np.prod([table[c][r][x + 1] for r, x in enumerate(v)]) for c, w in ((0, 1 - p), (1, p))]
+            post.append(like[1] / sum(like))
+        weight = [[1 - x for x in post], post]
+        table = [[[(sum(w for w, v in zip(weight[c], votes, strict=True) if v[r] == x) + s * prior[c][x + 1]) / (sum(weight[c]) + s) for x in (-1, 0, 1)] for r in range(3)] for c in (0, 1)]
+        p = (sum(post) + 0.7 * s) / (len(votes) + s)
+    assert share == pytest.approx(p, abs=1e-6) and np.allclose(chances, table, atol=1e-6)
+    assert np.mean((quality.posterior(np.array(votes), share, chances) > 0.5) == good) > 0.75
+
+
+def test_op9_kept_follows_the_posterior(spark):
+    got = Q.op9_quality(spark, SF).collect()
+    assert all(r.kept == (not r.base_failed and r.p_good >= 0.5) for r in got) and {r.kept for r in got} == {True, False}
+
+
 def test_op9_against_labels(spark):
     got = Q.op9_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("not base_failed").collect()
     assert sum(r.kept == (r.quality == 1) for r in got) > 0.97 * len(got)
