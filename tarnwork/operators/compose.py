@@ -81,6 +81,11 @@ def naive_bayes(names: Sequence[str], class_name: str, m: float = 2.0) -> Learne
     return fit
 
 
+def from_column(value: Column) -> Learner:
+    """A model that is an expression, whatever the training rows."""
+    return lambda train: lambda rows: rows.withColumn("prediction", value)
+
+
 def targets(learners: dict[str, Learner]) -> Learner:
     """A model for each of several targets; predictions are named <target>_predicted."""
 

@@ -74,6 +74,22 @@ def auc_wilcoxon(df: DataFrame, positive: str = "1") -> DataFrame:
     return auc(df, positive, by_fold=False).join(F.broadcast(sizes)).select("auc", F.sqrt((a * (1 - a) + (p - 1) * (q1 - a * a) + (n - 1) * (q2 - a * a)) / (p * n)).alias("se"))
 
 
+def concordance(df: DataFrame, positive: str = "1") -> DataFrame:
+    """(c, d, t): pairs of a positive and a negative row whose scores agree, disagree, and tie."""
+    t = df.groupBy("p").agg(F.count_if(F.col("actual") == positive).cast("double").alias("pos"), F.count_if(F.col("actual") != positive).cast("double").alias("neg"))
+    whole = t.agg(F.sum("neg").alias("nn"))
+    t = running(t, ["p"], {"upto": "neg"}).join(F.broadcast(whole))
+    return t.agg(F.sum(F.col("pos") * (F.col("upto") - F.col("neg"))).alias("c"), F.sum(F.col("pos") * (F.col("nn") - F.col("upto"))).alias("d"), F.sum(F.col("pos") * F.col("neg")).alias("t"))
+
+
+def compare_aucs(df: DataFrame, first: str, second: str, positive: str = "1") -> DataFrame:
+    """(first, second, difference, se, z) of two scores of the same rows, each AUC with its own standard error."""
+    a, b = (auc_wilcoxon(df.select("actual", F.col(c).alias("p")), positive).select(F.col("auc").alias(f"a{k}"), F.col("se").alias(f"s{k}")) for k, c in enumerate((first, second)))
+    se = F.sqrt(F.col("s0") * F.col("s0") + F.col("s1") * F.col("s1"))
+    d = F.col("a0") - F.col("a1")
+    return a.join(F.broadcast(b)).select(F.col("a0").alias("first"), F.col("a1").alias("second"), d.alias("difference"), se.alias("se"), F.try_divide(d, se).alias("z"))
+
+
 def auc_pairs(df: DataFrame, weighted: bool = True) -> DataFrame:
     """Multiclass AUC over pairs of classes; df: (actual, class, p), a row per class. Weighted by the product of both classes' shares."""
     share = df.select("row", "actual").distinct().groupBy("actual").agg(F.count("*").cast("double").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -115,6 +116,87 @@ class LinearRegression:
         return df.withColumn("prediction", sum(terms, F.lit(float(self.coefficients[0]))))
 
 
+@dataclass
+class Logistic:
+    """Logistic regression of a 0/1 class by Newton's steps, with standard errors; each step is one aggregation, and a small solve on the driver."""
+
+    names: Sequence[str]
+    target: str
+    ridge: float = 0.0
+    coefficients: np.ndarray | None = None
+    statistics: dict | None = None
+
+    def _linear(self) -> Column:
+        return sum((F.col(c) * float(b) for c, b in zip(self.names, self.coefficients[1:], strict=True)), F.lit(float(self.coefficients[0])))
+
+    def fit(self, df: DataFrame) -> Logistic:
+        known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in [*self.names, self.target]))
+        rows = df.where(known).select(*(F.col(c).cast("double").alias(c) for c in self.names), F.col(self.target).cast("double").alias("_y"))
+        k = len(self.names) + 1
+        self.coefficients, before = np.zeros(k), -np.inf
+        penalty = self.ridge * np.diag([0.0] + [1.0] * (k - 1))
+        for _ in range(50):
+            z, x = self._linear(), [F.lit(1.0), *(F.col(c) for c in self.names)]
+            p = 1 / (1 + F.exp(-z))
+            fit = F.col("_y") * z - F.when(z > 0, z + F.log1p(F.exp(-z))).otherwise(F.log1p(F.exp(z)))
+            sums = rows.agg(F.sum(fit).alias("fit"), *(F.sum(x[i] * (F.col("_y") - p)).alias(f"g{i}") for i in range(k)), *(F.sum(p * (1 - p) * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k))).first()
+            if sums["fit"] is None:
+                return self
+            h = np.array([[sums[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) + penalty
+            inverse = np.linalg.pinv(h)
+            likelihood = sums["fit"] - 0.5 * self.coefficients @ penalty @ self.coefficients
+            se = np.sqrt(np.maximum(np.diag(inverse), 0))
+            wald = self.coefficients / np.maximum(se, 1e-300)
+            self.statistics = {"se": se, "z": wald, "p": np.array([math.erfc(abs(v) / math.sqrt(2)) for v in wald]), "likelihood": sums["fit"]}
+            if abs(likelihood - before) < 1e-9 * (1 + abs(likelihood)):
+                break
+            before = likelihood
+            self.coefficients = self.coefficients + inverse @ (np.array([sums[f"g{i}"] for i in range(k)]) - penalty @ self.coefficients)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        p = 1 / (1 + F.exp(-self._linear()))
+        return df.withColumn("p", p).withColumn("prediction", (F.col("p") >= 0.5).cast("double"))
+
+
+def stepwise_logistic(df: DataFrame, names: Sequence[str], target: str, add: float = 0.2, remove: float = 0.3) -> list[str]:
+    """Columns whose addition raises the likelihood with p below `add`, most first; one whose removal has p above `remove` goes again."""
+
+    def likelihood(chosen: list[str]) -> float:
+        return Logistic(chosen, target).fit(df).statistics["likelihood"]
+
+    chance = lambda less, more: math.erfc(math.sqrt(max(more - less, 0.0)))  # noqa: E731  of twice the difference as chi-square with one degree
+    chosen: list[str] = []
+    now = likelihood(chosen)
+    while True:
+        found = [(likelihood([*chosen, c]), c) for c in names if c not in chosen]
+        if not found or chance(now, max(found)[0]) >= add:
+            return chosen
+        now, best = max(found)
+        chosen.append(best)
+        for c in chosen[:-1]:
+            less = likelihood([x for x in chosen if x != c])
+            if chance(less, now) > remove:
+                chosen.remove(c)
+                now = less
+
+
+def fisher(df: DataFrame, names: Sequence[str], class_name: str, k: int) -> tuple[np.ndarray, DataFrame]:
+    """(directions, projected rows): those that part the classes' means most, relative to the spread inside; one aggregation per class."""
+    n = len(names)
+    rows = df.where(F.col(class_name).isNotNull()).groupBy(class_name).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(names)), *(F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i in range(n) for j in range(i, n))).collect()
+    weight = np.array([r["n"] for r in rows], float) / sum(r["n"] for r in rows)
+    means = np.array([[r[f"m{i}"] for i in range(n)] for r in rows])
+    inside = sum(w * np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]) for w, r in zip(weight, rows, strict=True))
+    apart = (means - weight @ means).T @ ((means - weight @ means) * weight[:, None])
+    values, vectors = np.linalg.eigh(inside)
+    root = vectors / np.sqrt(np.maximum(values, 1e-12))  # columns scale the inside to one
+    inner, turned = np.linalg.eigh(root.T @ apart @ root)
+    parts = (root @ turned[:, np.argsort(-inner)[:k]]).T
+    parts = parts * np.sign(parts[np.arange(len(parts)), np.abs(parts).argmax(1)])[:, None]
+    return parts, df.withColumns({f"fd{i + 1}": sum((F.col(c) * float(b) for c, b in zip(names, p, strict=True)), F.lit(0.0)) for i, p in enumerate(parts)})
+
+
 @dataclass
 class Lasso:
     """FISTA on standardized columns, penalty lambda n / (2 m); needs the Gram matrix only."""

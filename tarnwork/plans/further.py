@@ -11,6 +11,7 @@ from tarnwork.operators import aggregate as A
 from tarnwork.operators import associate as N
 from tarnwork.operators import compose as K
 from tarnwork.operators import distance as D
+from tarnwork.operators import evaluate as E
 from tarnwork.operators import learn as L
 from tarnwork.operators import matrix as M
 from tarnwork.operators import multilabel as B
@@ -234,6 +235,48 @@ def n16_rule_classifier(s: SparkSession, d: str) -> DataFrame:
     return N.classify(t, rules, "class=").select(F.col("key").alias("o_orderkey"), "prediction")
 
 
+@query(f"with t as {_P} select sum((a.p > b.p)::int)::double as c, sum((a.p < b.p)::int)::double as d, sum((a.p = b.p)::int)::double as t from t a join t b on a.actual = '1' and b.actual = '0'")
+def e9_concordance(s: SparkSession, d: str) -> DataFrame:
+    return E.concordance(predictions(s, d))
+
+
+@query(f"""with t as (select actual, p, n_chars / 5000.0::double as q from {_P} join (select doc_id as row, n_chars from documents) using (row)), n as (select count(*) filter (where actual = '1')::double as np, count(*) filter (where actual = '0')::double as nn from t),
+  u as (select sum((a.p > b.p)::int + (a.p = b.p)::int * 0.5::double) / count(*) as a0, sum((a.q > b.q)::int + (a.q = b.q)::int * 0.5::double) / count(*) as a1 from t a join t b on a.actual = '1' and b.actual = '0'),
+  v as (select a0, a1, (a0 * (1 - a0) + (np - 1) * (a0 / (2 - a0) - a0 * a0) + (nn - 1) * (2 * a0 * a0 / (1 + a0) - a0 * a0)) / (np * nn) as v0, (a1 * (1 - a1) + (np - 1) * (a1 / (2 - a1) - a1 * a1) + (nn - 1) * (2 * a1 * a1 / (1 + a1) - a1 * a1)) / (np * nn) as v1 from u, n)
+  select round(a0, 9) as first, round(a1, 9) as second, round(a0 - a1, 9) as difference, round(sqrt(v0 + v1), 9) as se, round((a0 - a1) / sqrt(v0 + v1), 7) as z from v""")
+def e9_compare_aucs(s: SparkSession, d: str) -> DataFrame:
+    t = predictions(s, d).join(table(s, d, "documents").select(F.col("doc_id").alias("row"), (F.col("n_chars") / 5000).alias("q")), "row")
+    return rounded(rounded(E.compare_aucs(t, "p", "q"), 9, "first", "second", "difference", "se"), 7, "z")
+
+
+@query("select p_partkey, case when p_size > 25 then 'large' else 'small' end as prediction from part")
+def t31_from_column(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "part").select("p_partkey", "p_size")
+    return K.from_column(F.when(F.col("p_size") > 25, "large").otherwise("small"))(t)(t).select("p_partkey", "prediction")
+
+
+def _late(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "orders").select((F.col("o_totalprice") / 100000).alias("price"), (F.col("o_custkey") / 1000).alias("customer"), (F.pmod(F.col("o_orderkey"), F.lit(7)) / 7 + F.col("o_totalprice") / 400000 > 0.9).cast("double").alias("y"))
+
+
+@query()
+def l4_statistics(s: SparkSession, d: str) -> DataFrame:
+    m = L.Logistic(["price", "customer"], "y").fit(_late(s, d))
+    rows = zip(["(constant)", *m.names], *(map(float, x) for x in (m.coefficients, m.statistics["se"], m.statistics["z"], m.statistics["p"])), strict=True)
+    return s.createDataFrame(list(rows), "attribute string, beta double, se double, wald_z double, p double")
+
+
+@query("select 'price' as attribute")
+def l4_stepwise(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame([(c,) for c in L.stepwise_logistic(_late(s, d), ["price", "customer"], "y", 0.01, 0.05)], "attribute string")
+
+
+@query()
+def l29_fisher(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "part").withColumn("y", (F.col("p_size") >= 25).cast("string"))
+    return L.fisher(t, ["p_size", "p_retailprice"], "y", 1)[1].select("p_partkey", "y", "fd1")
+
+
 # -- sources ------------------------------------------------------------------------------------------------------
 
 

@@ -47,7 +47,7 @@ def test_equals_sql(spark, oracle, name):
 #: Queries without SQL: tests/test_values.py (n5_dtw: test_whole.py) holds them against values found otherwise.
 BY_VALUE = {
     "t3_entropy_cuts", "l4_logistic", "l7_tree", "l10_rules", "l12_svm", "l13_neural", "l15_lasso", "l17_bagging", "l18_boosting", "l19_forest", "l20_stacking", "l21_tuned", "l25_kmeans", "l26_hierarchical",
-    "l28_mixture", "l29_pca", "l32_mds", "l33_som", "m16_m17_model_scores", "e1_cross_validation", "n5_dtw",
+    "l28_mixture", "l29_pca", "l29_fisher", "l4_statistics", "l32_mds", "l33_som", "m16_m17_model_scores", "e1_cross_validation", "n5_dtw",
 }
 
 

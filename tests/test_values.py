@@ -255,3 +255,26 @@ def test_compose(spark):
     assert (best.threshold, best.ca) == (0.6, 0.75)
     _, scores = K.tune_many(df.withColumn("fold", F.col("k") % 2), lambda a, b: K.majority("y"), {"a": [1, 2], "b": [3]}, "fold", 2, "y")
     assert [o for o, _ in scores] == [{"a": 1, "b": 3}, {"a": 2, "b": 3}]
+
+
+def test_logistic_statistics(spark):
+    """Coefficients and errors against Newton's steps in NumPy."""
+    rows = np.array(sql("select o_totalprice / 100000, o_custkey / 1000, (o_orderkey % 7 / 7 + o_totalprice / 400000 > 0.9)::int from @orders~"), float)
+    x, y, b = np.column_stack([np.ones(len(rows)), rows[:, :2]]), rows[:, 2], np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ b))
+        h = x.T @ (x * (p * (1 - p))[:, None])
+        b = b + np.linalg.solve(h, x.T @ (y - p))
+    got = run(spark, "l4_statistics").collect()
+    assert [r.beta for r in got] == pytest.approx(b, rel=1e-5) and [r.se for r in got] == pytest.approx(np.sqrt(np.diag(np.linalg.inv(h))), rel=1e-5)
+    assert all(r.p == pytest.approx(math.erfc(abs(r.beta / r.se) / math.sqrt(2)), rel=1e-6) for r in got)
+
+
+def test_fisher(spark):
+    """The direction is the inverse of the spread inside times the difference of means, but for its length."""
+    x = np.array(sql("select p_size, p_retailprice, (p_size >= 25)::int from @part~ order by p_partkey"), float)
+    a, b = x[x[:, 2] == 0, :2], x[x[:, 2] == 1, :2]
+    inside = (np.cov(a.T, bias=True) * len(a) + np.cov(b.T, bias=True) * len(b)) / len(x)
+    want = x[:, :2] @ np.linalg.solve(inside, b.mean(0) - a.mean(0))
+    got = np.array([r.fd1 for r in run(spark, "l29_fisher").orderBy("p_partkey").collect()])
+    assert abs(np.corrcoef(got, want)[0, 1]) > 1 - 1e-9
