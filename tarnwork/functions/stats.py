@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.operators.aggregate import average_ranks, geometric_mean, harmonic_mean
-from tarnwork.operators.relational import running
+from tarnwork.operators.relational import numbered, running
 
 # -- distribution functions ----------------------------------------------------------------
 
@@ -159,8 +159,6 @@ def percentile_of_score(df: DataFrame, name: str, score: float) -> DataFrame:
 
 def trim_both(df: DataFrame, name: str, share: float, order: Sequence[str]) -> DataFrame:
     """Rows without the share of lowest and of highest values."""
-    from tarnwork.operators.relational import numbered
-
     total = df.agg(F.count("*").alias("_n"))
     cut = F.floor(F.col("_n") * share)
     return numbered(df, [name, *order], "_r").join(F.broadcast(total)).where((F.col("_r") >= cut) & (F.col("_r") < F.col("_n") - cut)).drop("_r", "_n")
@@ -175,12 +173,23 @@ def point_biserial(df: DataFrame, binary: str, x: str) -> DataFrame:
     return df.agg(F.corr(F.col(binary).cast("double"), F.col(x).cast("double")).alias("r"))
 
 
-def kendall(df: DataFrame, a: str, b: str, key: str) -> DataFrame:
-    """Tau over all pairs of a table meant to be small."""
-    p, q = df.alias("p"), df.alias("q")
-    x, y = F.signum(F.col(f"p.{a}") - F.col(f"q.{a}")), F.signum(F.col(f"p.{b}") - F.col(f"q.{b}"))
-    s = p.join(q, F.col(f"p.{key}") > F.col(f"q.{key}")).agg(F.sum(x * y).alias("s"), F.sum(F.abs(x)).alias("n1"), F.sum(F.abs(y)).alias("n2"))
-    return s.select((F.col("s") / F.sqrt(F.col("n1") * F.col("n2"))).alias("tau"))
+def kendall(df: DataFrame, a: str, b: str, key: str | None = None) -> DataFrame:
+    """Tau over all pairs of rows, without making them.
+
+    Values of `a` get ranks. Two rows of different ranks part at the highest bit in which these differ: there they have the bits above in common, and
+    one has a 0, the other a 1. So each row counts once per bit, among the rows of its higher bits, by running totals over `b`: n log n rows in all.
+    """
+    known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").cast("double").alias("w"))
+    ranks = numbered(known.select("x").distinct(), ["x"], "rank")
+    most = ranks.agg(F.max("rank")).first()[0] or 0
+    rows = known.join(ranks, "x").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max(int(most).bit_length() - 1, 0)))))
+    bit = F.expr("shiftright(rank, level) & 1")
+    cells = rows.groupBy("level", F.expr("shiftright(shiftright(rank, level), 1)").alias("above"), "y").agg(F.sum(F.when(bit == 0, F.col("w")).otherwise(0.0)).alias("low"), F.sum(F.when(bit == 1, F.col("w")).otherwise(0.0)).alias("high"))
+    cells = running(cells, ["y"], {"upto": "low"}, ["level", "above"])
+    s = cells.groupBy("level", "above").agg(F.sum(F.col("high") * (2 * F.col("upto") - F.col("low"))).alias("twice"), F.sum("high").alias("h"), F.sum("low").alias("l")).agg(F.sum(F.col("twice") - F.col("h") * F.col("l")).alias("s"))
+    n = F.sum("w")
+    pairs = lambda c: known.groupBy(c).agg(F.sum("w").alias("w")).agg(((n * n - F.sum(F.col("w") * F.col("w"))) / 2).alias(f"pairs_{c}"))  # noqa: E731  that differ in c
+    return s.join(F.broadcast(pairs("x"))).join(F.broadcast(pairs("y"))).select(F.try_divide("s", F.sqrt(F.col("pairs_x") * F.col("pairs_y"))).alias("tau"))
 
 
 # -- tests -----------------------------------------------------------------------------------------

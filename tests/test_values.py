@@ -278,3 +278,15 @@ def test_fisher(spark):
     want = x[:, :2] @ np.linalg.solve(inside, b.mean(0) - a.mean(0))
     got = np.array([r.fd1 for r in run(spark, "l29_fisher").orderBy("p_partkey").collect()])
     assert abs(np.corrcoef(got, want)[0, 1]) > 1 - 1e-9
+
+
+def test_kendall_of_ties(spark):
+    from tarnwork.functions import stats as C
+
+    rng = np.random.default_rng(6)
+    for n, high in ((60, 8), (45, 1000), (7, 2)):
+        x, y = rng.integers(0, high, n), rng.integers(0, max(high // 2, 2), n)
+        s = sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) for i in range(n) for j in range(i))
+        n1, n2 = (sum(v[i] != v[j] for i in range(n) for j in range(i)) for v in (x, y))
+        df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(x, y, strict=True)] + [(None, 1.0), (1, None)], "x int, y double")
+        assert C.kendall(df, "x", "y").first().tau == pytest.approx(s / math.sqrt(n1 * n2))
