@@ -74,10 +74,11 @@ def _fit(rows: np.ndarray, cols: np.ndarray, earlier: np.ndarray, y: np.ndarray,
     if y.min() == y.max():
         return Link(np.zeros(0, int), np.zeros(0), np.zeros(earlier.shape[1]), float(np.log(share / (1 - share))))
     chosen = _choose(rows, cols, y, most)
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    keep = place[cols] >= 0
-    r, c = rows[keep], place[cols[keep]]
+    c = place[cols]
+    keep = c >= 0
+    r, c = rows[keep].astype(np.intp), c[keep].astype(np.intp)  # as counting takes them, so that steps convert nothing
     m = len(chosen)
     w, v = np.zeros(m + earlier.shape[1] + 1), np.zeros(m + earlier.shape[1] + 1)
     w[-1] = v[-1] = np.log(share / (1 - share))
@@ -112,14 +113,16 @@ def _predict(link: Link, rows: np.ndarray, cols: np.ndarray, earlier: np.ndarray
 
 def _chain(x: list[np.ndarray], ids: list, ys: list[np.ndarray], most: int, l2: float, steps: int) -> list[Link]:
     """The models of all categories, each trained with out-of-fold probabilities of those before it."""
-    rows, cols = np.repeat(np.arange(len(x), dtype=np.int32), [len(a) for a in x]), np.concatenate(x)
+    n = len(x)
+    rows, cols = np.repeat(np.arange(n, dtype=np.int32), [len(a) for a in x]), np.concatenate(x)
+    x.clear()
     fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in ids])
-    links, earlier = [], np.zeros((len(x), 0))
+    links, earlier = [], np.zeros((n, 0))
     for done, y in enumerate(ys, 1):
         links.append(_fit(rows, cols, earlier, y, most, l2, steps))
         if done == len(ys):
             break
-        out = np.full(len(x), y.mean())
+        out = np.full(n, y.mean())
         for k in range(FOLDS):
             if (fold == k).any() and (fold != k).any():
                 at = np.cumsum(fold != k, dtype=np.int32) - 1

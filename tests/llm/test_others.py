@@ -428,8 +428,8 @@ def test_op10_families(spark):
         docs.append((100 + k, " ".join(copy)))
     docs += [(900, docs[0][1]), (901, docs[0][1].upper()), (None, docs[1][1]), (None, "alone here"), (902, None), (903, ""), (904, "Two"), (905, "two"), (7, docs[7][1]), (906, " ".join(base * 100))]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as id", "2 as c", "3 as n")
-    old = jaccard.ROUNDS, jaccard.BLOCK, jaccard.OFTEN
-    for jaccard.ROUNDS, jaccard.BLOCK, jaccard.OFTEN in ((1, 24, 5), old):
+    old = jaccard.ROUNDS, jaccard.BLOCK, jaccard.OFTEN, jaccard.KNOWN
+    for jaccard.ROUNDS, jaccard.BLOCK, jaccard.OFTEN, jaccard.KNOWN in ((1, 24, 5, 3), old):
         assert sorted(map(tuple, jaccard.join(df).select("doc_id", "n_shingles", "component_id").collect()), key=repr) == brute_jaccard(docs)
     assert jaccard.join(df.limit(0)).count() == 0
 
