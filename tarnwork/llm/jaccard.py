@@ -47,8 +47,8 @@ OFTEN = 12
 PIVOTS, ROUNDS = 8, 2
 #: Shingles that a task holds at a time to count them.
 CHUNK = 2_000_000
-#: Buckets of a class that each of its rows in the last round names, and a number of shared ones that is enough for any pair.
-KNOWN, MANY = 64, 1 << 40
+#: Buckets of a class that its rows in the last round name; the rows of a class in more name none, or they would grow with the square of a text.
+KNOWN = 24
 #: Classes of a block.
 BLOCK = 256
 
@@ -288,9 +288,9 @@ def _small(h: np.ndarray, n: np.ndarray, label: np.ndarray, v: np.ndarray, perce
 def _joined(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b, la, lb, ha, hb, na, nb, shared): pairs of different components that the trees of their buckets let through, and how many buckets they share.
 
-    rows: (h, c, n, counts, label, hid, hs), hs being the class's first KNOWN buckets, in order. Whether the tree lets a pair through depends
-    on the pair alone, so the first bucket that both are in is the one to pass it on; the others can tell from hs that they are not the first. Beyond
-    KNOWN buckets they can't always, and how many are shared is not known: such pairs may come twice, and count as sharing enough.
+    rows: (h, c, n, counts, label, hid, hs), hs being all buckets of a class that is in KNOWN of them at most, else empty. Whether the tree lets a pair
+    through depends on the pair alone. Of two classes with hs, the first bucket that both are in passes the pair on, with the number of those they
+    share; of others each shared bucket does, and the rows are counted, in their tasks first.
     """
     size = rows.groupBy("h").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
@@ -307,25 +307,26 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
             if not len(a):
                 return
             used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-            lists = table.column("hs").take(pa.array(used)).to_pylist()
-            sets = list(map(frozenset, lists))
-            last = [x[-1] if len(x) == KNOWN else None for x in lists]  # None: all buckets are known
-            first, shared = np.zeros(len(a), bool), np.full(len(a), MANY)
+            sets = list(map(frozenset, table.column("hs").take(pa.array(used)).to_pylist()))
+            keep, times = np.ones(len(a), bool), np.ones(len(a), np.int64)
             for k, (x, y, h) in enumerate(zip(place[: len(a)].tolist(), place[len(a) :].tolist(), table.column("h").to_numpy()[a].tolist(), strict=True)):
-                common = sets[x] & sets[y]
-                first[k] = not common or min(common) >= h
-                if last[x] is None and last[y] is None:
-                    shared[k] = len(common)
-            a, b, shared = a[first], b[first], shared[first]
+                if sets[x] and sets[y]:
+                    common = sets[x] & sets[y]
+                    keep[k], times[k] = min(common) == h, len(common)
+            a, b, times = a[keep], b[keep], times[keep]
             c = table.column("c").to_numpy()
             swap = c[a] > c[b]
             ends = np.where(swap, b, a), np.where(swap, a, b)
-            found.append(np.stack([*(table.column(x).to_numpy()[e] for x in ("c", "label", "hid", "n") for e in ends), shared]))
+            found.append(np.stack([*(table.column(x).to_numpy()[e] for x in ("c", "label", "hid", "n") for e in ends), times]))
 
-        def passed() -> pa.RecordBatch:
+        def summed() -> pa.RecordBatch:
+            """What was found, each pair once, with the number of buckets."""
             every = np.concatenate([np.zeros((len(out) + 1, 0), np.int64), *found], axis=1)
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in every], names=[*out, "shared"])
+            every = every[:, np.lexsort((every[1], every[0]))]
+            new = np.flatnonzero(np.concatenate([[True], (every[:2, 1:] != every[:2, :-1]).any(0)])) if every.shape[1] else np.zeros(0, int)
+            times = np.add.reduceat(every[-1], new) if len(new) else every[-1]
+            return pa.RecordBatch.from_arrays([*(pa.array(x[new], pa.int64()) for x in every[:-1]), pa.array(times, pa.int64())], names=[*out, "times"])
 
         def columns(table: pa.Table) -> tuple:
             return tuple(table.column(x).to_numpy() for x in ("h", "c", "n", "label", "own")) + (np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, GROUPS),)
@@ -366,14 +367,15 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
                 held.append(table)
                 continue
             groups(pa.concat_tables([*held, table.slice(0, cut)]))
+            if sum(x.shape[1] for x in found) > 500_000:
+                yield summed()
             held = [table.slice(cut)]
-            yield passed()
         if held:
             groups(pa.concat_tables(held))
-        yield passed()
+        yield summed()
 
-    found = rows.select(names).repartition(F.col("h"), F.col("i"), F.col("j")).sortWithinPartitions("h", "i", "j").mapInArrow(run, ", ".join(f"{x} long" for x in [*out, "shared"]))
-    return found.groupBy("a", "b").agg(*(F.first(x).alias(x) for x in out[2:]), F.max("shared").alias("shared"))
+    found = rows.select(names).repartition(F.col("h"), F.col("i"), F.col("j")).sortWithinPartitions("h", "i", "j").mapInArrow(run, ", ".join(f"{x} long" for x in [*out, "times"]))
+    return found.groupBy("a", "b").agg(*(F.first(x).alias(x) for x in out[2:]), F.sum("times").alias("shared"))
 
 
 def _relabelled(label: DataFrame | None, edges: DataFrame) -> DataFrame:
@@ -436,7 +438,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     now = marked()
     mixed = now.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
     now = now.join(mixed, "h").groupBy("c").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.sort_array(F.collect_list("h")).alias("own")).join(classes.select("c", "counts", "hid"), "c")
-    now = now.select("c", "n", "label", "counts", "hid", F.slice("own", 1, KNOWN).alias("hs"), F.explode("own").alias("h"))
+    now = now.select("c", "n", "label", "counts", "hid", F.when(F.size("own") <= KNOWN, F.col("own")).otherwise(F.array().cast("array<long>")).alias("hs"), F.explode("own").alias("h"))
     rest = written(_joined(now, percent).where(_shares_enough(percent)).select("a", "b", "la", "lb", "ha", "hb").join(tried, ["a", "b"], "left_anti"), "rest")
     label = _relabelled(label, _verified(rest, docs, k, percent))
     discard(rows, rest, *rounds)
