@@ -327,7 +327,7 @@ def s12_sql_file(s: SparkSession, d: str) -> DataFrame:
     return readers.read_sql_file(s, _text(s, "q.sql", ["class: n", "discrete:", "select cast(n_regionkey as double) as r, cast(count(*) as double) as n", "from tarnwork_nation group by 1"])).select("r", "n")
 
 
-@query("select n_nationkey as src, (n_nationkey + 1) % 25 as dst, n_regionkey::double as weight, 'net' as form from nation union all select n_nationkey, (n_nationkey + 1) % 25, n_regionkey::double, 'gml' from nation")
+@query("select n_nationkey::bigint as src, ((n_nationkey + 1) % 25)::bigint as dst, n_regionkey::double as weight, 'net' as form from nation union all select n_nationkey, (n_nationkey + 1) % 25, n_regionkey::double, 'gml' from nation")
 def s20_networks(s: SparkSession, d: str) -> DataFrame:
     rows = [(r[0], (r[0] + 1) % 25, r[1]) for r in table(s, d, "nation").select("n_nationkey", "n_regionkey").collect()]  # 25 nations
     net = _text(s, "n.net", ["*Vertices 25", *(f'{k} "v{k}"' for k in range(25)), "*Arcs", *(f"{a} {b} {w}" for a, b, w in rows)])

@@ -176,7 +176,7 @@ def sql_frequency_cuts(counts: str, n: int) -> str:
         union all select s.attribute, s.no + 1, case when y.stays then (y.x + y.nx) / 2 when s.stayed and y.r = s.r + 1 then y.x else (y.px + y.x) / 2 end, case when y.stays then y.upto else y.upto - y.w end, y.r, y.stays
         from s join (select s.attribute, s.no, min(p.r) as r from s join p on p.attribute = s.attribute and p.r > s.r and p.upto - s.base >= (p.total - s.base) / ({n} - s.no) where s.no < {n} - 1 group by 1, 2) f on f.attribute = s.attribute and f.no = s.no
         join lateral (select p.*, p.nx is not null and p.upto - s.base - (p.total - s.base) / ({n} - s.no) < p.w / 2 as stays from p where p.attribute = s.attribute and p.r = f.r) y on true)
-      select attribute, no, cut from s where no > 0 union all select attribute, r, (x + nx) / 2 from p where k <= {n} and nx is not null"""
+      select attribute, no::integer as no, cut from s where no > 0 union all select attribute, r::integer, (x + nx) / 2 from p where k <= {n} and nx is not null"""
 
 
 _COUNTS = " union all ".join(f"select '{c}' as attribute, {c} as x, count(*)::double as w from lineitem group by 2" for c in ("l_quantity", "l_discount", "l_extendedprice"))
