@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwork.session import shared_dir
@@ -55,6 +55,23 @@ def text_key(text: str | Column) -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("\x00null")))
 
 
+def placed(df: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """`df` with each row's place (from 0) in its group, in that order; `group` holds no nulls. `discard` drops what the result reads.
+
+    No window runs over a group: rows are range-partitioned by group and order (rows alike in these are dealt on by where they were read), written
+    in that order with a running number, and a row per partition and group says where the group begins there.
+    """
+    keys = [F.col(group), *order, F.col("_read")]
+    sorted_ = df.withColumn("_read", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_read")
+    rows = written(sorted_.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), name)
+    begins = rows.groupBy("_part", group).agg(F.min("_at").alias("_begin"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    begins = begins.select("_part", group, (F.coalesce(before, F.lit(0)) - F.col("_begin")).alias("_shift"))
+    out = rows.join(begins, ["_part", group]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+    out._scratch = rows._scratch
+    return out
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """UTF-8 of a string column."""
     if isinstance(column, pa.ChunkedArray):
