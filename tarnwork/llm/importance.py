@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tarnwork.llm.common import as_bytes, discard, pieces, placed, written
 
 #: Bytes of text of a chunk, and of a part of a longer text.
-PART = 1 << 22
+PART = 1 << 20
 #: A-Z become a-z; digits, letters and all beyond ASCII are words; the rest is between words.
 WORD = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 TABLE = bytes(b if b in WORD else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
