@@ -11,7 +11,7 @@ import pytest
 
 from tarnwork.plans import registry
 
-for name in ("relations", "statistics", "mining", "sources", "further"):
+for name in ("relations", "statistics", "mining", "sources", "further", "learners"):
     importlib.import_module(f"tarnwork.plans.{name}")
 SF = "/root/testdata/sf0.001"
 
@@ -44,10 +44,11 @@ def test_equals_sql(spark, oracle, name):
     assert rows(got) == rows(want)
 
 
-#: Queries without SQL: tests/test_values.py (n5_dtw: test_whole.py) holds them against values found otherwise.
+#: Queries without SQL: tests/test_values.py (n5_dtw: test_whole.py, kernel machines and what follows: test_learners.py) holds them against values found otherwise.
 BY_VALUE = {
     "t3_entropy_cuts", "l4_logistic", "l7_tree", "l10_rules", "l12_svm", "l13_neural", "l15_lasso", "l17_bagging", "l18_boosting", "l19_forest", "l20_stacking", "l21_tuned", "l25_kmeans", "l26_hierarchical",
     "l28_mixture", "l29_pca", "l29_fisher", "l4_statistics", "l32_mds", "l33_som", "m16_m17_model_scores", "e1_cross_validation", "n5_dtw",
+    "l12_rbf", "l12_nu", "l12_several_classes", "l12_one_class", "l12_regression", "l12_nu_regression",
 }
 
 
