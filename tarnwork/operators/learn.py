@@ -270,7 +270,7 @@ class Tree:
 
     def fit(self, df: DataFrame) -> Tree:
         row = df.agg(*(F.percentile_approx(c, [k / self.bins for k in range(1, self.bins)], 1000).alias(c) for c in self.continuous)).first() if self.continuous else {}
-        tests = [(c, v) for c in self.continuous for v in sorted(set(row[c]))]
+        tests = [(c, v) for c in self.continuous for v in sorted(set(row[c] or []))]
         values = df.agg(*(F.collect_set(F.col(c).cast("string")).alias(c) for c in self.discrete)).first() if self.discrete else {}
         tests += [(c, v) for c in self.discrete for v in sorted(values[c])]
         self.nodes = {1: None}
@@ -322,12 +322,16 @@ class Tree:
         """The tree as one CASE expression."""
         def label(node: int) -> Column:
             here = self.nodes[node]
+            if here is None:  # the table was empty
+                return F.lit(None).cast("string")
             return F.lit(here[1]) if here[0] == "leaf" else F.when(self._test(here[1]), label(2 * node)).otherwise(label(2 * node + 1))
 
         return df.withColumn("prediction", label(1))
 
     def dump(self, node: int = 1, indent: int = 0) -> str:
         here = self.nodes[node]
+        if here is None:
+            return " " * indent + "-> ?\n"
         if here[0] == "leaf":
             return " " * indent + f"-> {here[1]}\n"
         name, value = here[1]

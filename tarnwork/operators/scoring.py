@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.operators.aggregate import domain_contingency
-from tarnwork.operators.relational import numbered, running
+from tarnwork.operators.relational import numbered, running, spread
+from tarnwork.session import pinned
 
 
 def _h(w: Column, total: Column) -> Column:
@@ -99,21 +102,105 @@ def best_value(df: DataFrame, name: str, class_name: str) -> DataFrame:
     return g.select(F.col("v").alias("value"), ((ent("t") - ent("l") - ent("r")) / F.col("T")).alias("gain")).orderBy(F.col("gain").desc(), "value").limit(1)
 
 
-def relief(df: DataFrame, names: Sequence[str], class_name: str, key: str, m: int = 100, k: int = 10) -> DataFrame:
-    """ReliefF over continuous columns: m reference rows (a bound, by hash) against all rows, k nearest hits and misses of each class."""
-    row = df.agg(*(f(c).alias(f"{c}_{i}") for c in names for i, f in (("lo", F.min), ("hi", F.max)))).first()
-    span = {c: ((row[f"{c}_hi"] or 0) - (row[f"{c}_lo"] or 0)) or 1.0 for c in names}
-    shares = {r[0]: r[1] for r in df.groupBy(class_name).count().collect()}
-    total = sum(shares.values())
-    prior = F.create_map(*(F.lit(x) for c, n in shares.items() for x in (c, n / total)))
-    ref = df.orderBy(F.md5(F.col(key).cast("string")), key).limit(m).select(F.col(key).alias("_k"), F.col(class_name).alias("_y"), *(F.col(c).alias(f"_{c}") for c in names))
-    pairs = df.join(F.broadcast(ref), F.col(key) != F.col("_k"))
-    diff = [(F.least(F.abs(F.col(c) - F.col(f"_{c}")) / span[c], F.lit(1.0))).alias(f"d_{c}") for c in names]
-    near = pairs.select("_k", "_y", F.col(class_name).alias("y"), F.col(key).alias("k"), *diff).withColumn("d", sum((F.col(f"d_{c}") for c in names), F.lit(0.0)))
-    near = near.withColumn("_r", F.row_number().over(Window.partitionBy("_k", "y").orderBy("d", "k"))).where(F.col("_r") <= k)
-    weight = F.when(F.col("y") == F.col("_y"), -1.0).otherwise(F.element_at(prior, F.col("y")) / (1 - F.element_at(prior, F.col("_y"))))
-    sums = near.agg(*(F.sum(weight * F.col(f"d_{c}")).alias(c) for c in names))
-    return sums.unpivot([], list(names), "attribute", "s").select("attribute", (F.col("s") / (min(m, total) * k)).alias("relief"))
+# -- Relief: nearest rows of each class around reference rows, in one table that all its scores come from ---------
+
+
+@dataclass
+class Neighbourhood:
+    """pairs: (ref, key, weight, both) and of each column c a_c, b_c (the reference row's value and the neighbour's) and d_c (their difference); m reference rows.
+
+    For a class, `weight` is below 0 for neighbours of the reference row's class and above 0 for others, and each class's add up to its share's; for a value,
+    `weight` is the difference of values and `both` is 1, over the number of neighbours.
+    """
+
+    pairs: DataFrame
+    m: int
+    regression: bool
+
+
+def relief_neighbours(df: DataFrame, continuous: Sequence[str], discrete: Sequence[str], class_name: str, key: str, m: int = 100, k: int = 10, regression: bool = False) -> Neighbourhood:
+    """The k nearest rows of each class (or of all, for a value) around m reference rows (a bound, by hash), ties with the kth too; rows at no distance are none.
+
+    A difference is 0 or 1 for discrete values, else a share of the column's span. With an unknown value it is that of the known one from the column's average,
+    or the chance that a value drawn from the column is another one; of two unknown ones it is 0.5, or the chance that two drawn ones differ. Rows of an
+    unknown class or value are left out.
+    """
+    rows = df.where(F.col(class_name).isNotNull()).select(F.col(key).alias("key"), F.col(class_name).alias("y"), *continuous, *discrete)
+    spans = rows.agg(*(f(c).cast("double").alias(f"{n}{i}") for i, c in enumerate([*continuous, *(["y"] if regression else [])]) for n, f in (("lo", F.min), ("hi", F.max), ("mean", F.avg)))).first()
+    for c in discrete:  # each row's value with its share among the known ones
+        n = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
+        shares = n.join(F.broadcast(n.agg(F.sum("_n").alias("_all"))), how="cross").select(F.col(c).alias("_v"), (F.col("_n") / F.col("_all")).alias(f"p_{c}"))
+        rows = rows.join(shares, F.col(c) == F.col("_v"), "left").drop("_v")
+    same = {c: rows.where(F.col(c).isNotNull()).agg(F.sum(F.col(f"p_{c}"))).first()[0] for c in discrete}  # sum of p over rows is n times the sum of p^2
+    known = {c: rows.where(F.col(c).isNotNull()).count() for c in discrete}
+    every = [*continuous, *discrete]
+    if not regression:
+        sizes = rows.groupBy("y").agg(F.count("*").alias("_n"))
+        sizes = sizes.join(F.broadcast(sizes.agg(F.sum("_n").alias("_all"))), how="cross").select(F.col("y").alias("_c"), (F.col("_n") / F.when(F.col("_all") > F.col("_n"), F.col("_all") - F.col("_n"))).alias("odds"))
+        rows = rows.join(sizes, F.col("y") == F.col("_c")).drop("_c")
+    ref = rows.orderBy(F.md5(F.col("key").cast("string")), "key").limit(m).select(F.col("key").alias("ref"), F.col("y").alias("y_ref"), *(F.col(c).alias(f"a_{c}") for c in every), *(F.col(f"p_{c}").alias(f"q_{c}") for c in discrete))
+
+    def apart(i: int, a: Column, b: Column) -> Column:
+        span, mean = (spans[f"hi{i}"] or 0.0) - (spans[f"lo{i}"] or 0.0), F.lit(spans[f"mean{i}"])
+        if span <= 0:
+            return F.lit(0.0)
+        return F.when(a.isNull() & b.isNull(), 0.5).otherwise(F.abs(F.coalesce(a, mean) - F.coalesce(b, mean)) / span)
+
+    def differ(c: str) -> Column:
+        a, b = F.col(f"a_{c}"), F.col(c)
+        twice = 1 - same[c] / known[c] if known[c] else 0.0
+        return F.when(a.isNull() & b.isNull(), twice).when(a.isNull(), 1 - F.col(f"p_{c}")).when(b.isNull(), 1 - F.col(f"q_{c}")).otherwise((a != b).cast("double"))
+
+    pairs = spread(rows).join(F.broadcast(ref), F.col("key") != F.col("ref"))
+    pairs = pairs.withColumns({f"d_{c}": apart(i, F.col(f"a_{c}"), F.col(c)) for i, c in enumerate(continuous)} | {f"d_{c}": differ(c) for c in discrete})
+    pairs = pairs.withColumn("_d", F.round(reduce(lambda a, b: a + b, (F.col(f"d_{c}") for c in every)), 12)).where("_d > 0")
+    of = ["ref"] if regression else ["ref", "y"]
+    near = pairs.withColumn("_r", F.rank().over(Window.partitionBy(*of).orderBy("_d"))).where(F.col("_r") <= k).withColumn("_n", F.count("*").over(Window.partitionBy(*of)))
+    if regression:
+        weight = apart(len(continuous), F.col("y_ref"), F.col("y"))
+    else:
+        weight = F.when(F.col("y") == F.col("y_ref"), -1.0).otherwise(F.col("odds"))
+    out = near.select("ref", "key", (weight / F.col("_n")).alias("weight"), (1 / F.col("_n")).alias("both"), *(F.col(f"{n}_{c}") for c in every for n in "ad"), *(F.col(c).alias(f"b_{c}") for c in every))
+    return Neighbourhood(pinned(out), ref.count(), regression)
+
+
+def _relief_gain(n: Neighbourhood, d: Column) -> tuple[list[Column], Column]:
+    """Sums over pairs, named w, b and c, and the score that they make."""
+    if not n.regression:
+        return [F.sum(F.col("weight") * d).alias("w")], F.col("w") / n.m
+    sums = [F.sum(F.col("weight") * d).alias("w"), F.sum(F.col("both") * d).alias("b")]
+    apart = n.pairs.agg(F.sum("weight")).first()[0] or 0.0
+    return sums, (F.col("w") / apart if apart else F.lit(0.0)) - ((F.col("b") - F.col("w")) / (n.m - apart) if n.m != apart else F.lit(0.0))
+
+
+def relief_scores(n: Neighbourhood, names: Sequence[str]) -> DataFrame:
+    """ReliefF (or RReliefF, for a value) of each column."""
+    long = n.pairs.select("weight", "both", F.explode(F.array(*(F.struct(F.lit(c).alias("attribute"), F.col(f"d_{c}").alias("d")) for c in names))).alias("_s")).select("weight", "both", "_s.*")
+    sums, score = _relief_gain(n, F.col("d"))
+    return long.groupBy("attribute").agg(*sums).select("attribute", score.alias("relief"))
+
+
+def relief(df: DataFrame, names: Sequence[str], class_name: str, key: str, m: int = 100, k: int = 10, discrete: Sequence[str] = (), regression: bool = False) -> DataFrame:
+    return relief_scores(relief_neighbours(df, names, discrete, class_name, key, m, k, regression), [*names, *discrete])
+
+
+def relief_gains(n: Neighbourhood, name: str) -> DataFrame:
+    """(a, b, gain), a < b: what telling two values of a discrete column apart adds to its score, from pairs where both are known."""
+    a, b = F.col(f"a_{name}"), F.col(f"b_{name}")
+    sums, score = _relief_gain(n, F.col(f"d_{name}"))
+    return n.pairs.where(a != b).groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(*sums).select("a", "b", score.alias("gain"))
+
+
+def relief_thresholds(n: Neighbourhood, name: str) -> DataFrame:
+    """(cut, gain) for each cut halfway between values that are next to each other in the pairs: the score of the column cut in two there, from pairs where both are known."""
+    a, b = F.col(f"a_{name}"), F.col(f"b_{name}")
+    sums, score = _relief_gain(n, F.col("s"))
+    known = n.pairs.where(a.isNotNull() & b.isNotNull())
+    ends = known.select("weight", "both", F.least(a, b).alias("x"), F.lit(1).alias("s")).unionByName(known.select("weight", "both", F.greatest(a, b).alias("x"), F.lit(-1).alias("s")))
+    upto = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most two rows a pair, and pairs are bounded by m and k
+    at = ends.groupBy("x").agg(*sums)
+    at = at.withColumns({c: F.sum(c).over(upto) for c in at.columns if c != "x"}).withColumn("_next", F.lead("x").over(Window.orderBy("x")))
+    return at.where(F.col("_next").isNotNull()).select(((F.col("x") + F.col("_next")) / 2).alias("cut"), score.alias("gain"))
 
 
 def mdl(df: DataFrame, names: Sequence[str], class_name: str) -> DataFrame:

@@ -225,13 +225,19 @@ def impute_random(df: DataFrame, continuous: Sequence[str], order: Sequence[str]
 
 
 def impute_model(df: DataFrame, target: str, by: Sequence[str]) -> DataFrame:
-    """Fill unknown values by a linear model on other columns."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+    """Fill unknown values by a linear model on other columns, whose own unknown values count as their means there and stay unknown in the result.
 
-    x = VectorAssembler(inputCols=list(by), outputCol="_x", handleInvalid="keep").transform(df.fillna(0.0, subset=list(by)))
-    model = LinearRegression(featuresCol="_x", labelCol=target, predictionCol="_p", solver="normal").fit(x.where(F.col(target).isNotNull()))
-    return model.transform(x).withColumn(target, F.coalesce(target, "_p")).drop("_x", "_p")
+    Without a row of known target nothing is filled; other columns, whatever their names, pass through.
+    """
+    from tarnwork.operators.learn import LinearRegression
+
+    means = df.agg(*(F.avg(c).alias(str(k)) for k, c in enumerate(by)), F.count(target).alias("n")).first()
+    if not means["n"]:
+        return df
+    filled = {f"_by{k}": F.coalesce(F.col(c).cast("double"), F.lit(float(means[str(k)] or 0.0))) for k, c in enumerate(by)}
+    model = LinearRegression(list(filled), "_y").fit(df.select(F.col(target).alias("_y"), *(x.alias(n) for n, x in filled.items())))
+    guess = sum((x * float(b) for x, b in zip(filled.values(), model.coefficients[1:], strict=True)), F.lit(float(model.coefficients[0])))
+    return df.withColumn(target, F.coalesce(target, guess))
 
 
 # -- continuization -------------------------------------------------------------------------

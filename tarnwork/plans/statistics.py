@@ -270,11 +270,12 @@ def t19_impute_random(s: SparkSession, d: str) -> DataFrame:
     return rounded(X.impute_random(t, ["tax"], _ROW[:4], 5).select("l_orderkey", "l_partkey", "tax"), 8, "tax")
 
 
-@query(f"""with l as (select * from {LI_SQL}), f as (select avg(tax) as my, avg(l_quantity) as m1, avg(l_extendedprice) as m2, covar_pop(l_quantity, tax) as c1, covar_pop(l_extendedprice, tax) as c2, var_pop(l_quantity) as v1, var_pop(l_extendedprice) as v2, covar_pop(l_quantity, l_extendedprice) as c from l where tax is not null),
-  b as (select *, (c1 * v2 - c2 * c) / (v1 * v2 - c * c) as b1, (c2 * v1 - c1 * c) / (v1 * v2 - c * c) as b2 from f) select l_orderkey, l_partkey, round(coalesce(tax, my + b1 * (l_quantity - m1) + b2 * (l_extendedprice - m2)), 8) as tax from l, b""")
+@query(f"""with l as (select l_orderkey, l_partkey, tax, case when l_linenumber % 3 <> 0 then l_quantity end as q, l_extendedprice as e from {LI_SQL}), m as (select avg(q) as q from l), x as (select l.*, coalesce(l.q, m.q) as q0 from l, m),
+  f as (select avg(tax) as my, avg(q0) as m1, avg(e) as m2, covar_pop(q0, tax) as c1, covar_pop(e, tax) as c2, var_pop(q0) as v1, var_pop(e) as v2, covar_pop(q0, e) as c from x where tax is not null),
+  b as (select *, (c1 * v2 - c2 * c) / (v1 * v2 - c * c) as b1, (c2 * v1 - c1 * c) / (v1 * v2 - c * c) as b2 from f) select l_orderkey, l_partkey, x.q / 1.0 as quantity, round(coalesce(tax, my + b1 * (q0 - m1) + b2 * (e - m2)), 7) as tax from x, b""")
 def t20_impute_model(s: SparkSession, d: str) -> DataFrame:
-    t = X.impute_model(lineitem(s, d).select("l_orderkey", "l_partkey", "tax", "l_quantity", "l_extendedprice"), "tax", ["l_quantity", "l_extendedprice"])
-    return rounded(t.select("l_orderkey", "l_partkey", "tax"), 8, "tax")
+    t = lineitem(s, d).select("l_orderkey", "l_partkey", "tax", F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity").cast("double")).alias("quantity"), "l_extendedprice")
+    return rounded(X.impute_model(t, "tax", ["quantity", "l_extendedprice"]).select("l_orderkey", "l_partkey", "quantity", "tax"), 7, "tax")
 
 
 @query("select 150::bigint as missing, 1350::bigint as known where (select count(*) from customer) = 1500 union all select cast(floor(count(*) * 0.1 + 0.5) as bigint), count(*) - cast(floor(count(*) * 0.1 + 0.5) as bigint) from customer having count(*) <> 1500")
@@ -393,14 +394,55 @@ def m8_mse(s: SparkSession, d: str) -> DataFrame:
     return rounded(M.mse(_scored(s, d), ["ln", "price"], "l_quantity"), 8, "mse")
 
 
-@query("""with t as (select l_quantity / 1.0 as a, l_extendedprice as b, l_discount as c, case when l_quantity >= 25 then 'true' else 'false' end as y, concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber) as k from lineitem), f as (select max(a) - min(a) as sa, max(b) - min(b) as sb, max(c) - min(c) as sc from t),
-  pr as (select y, count(*) / sum(count(*)) over () as p from t group by 1), ref as (select * from t order by md5(k), k limit 50),
-  d as (select r.k as rk, r.y as ry, t.y, t.k, least(abs(t.a - r.a) / sa, 1) as da, least(abs(t.b - r.b) / sb, 1) as db, least(abs(t.c - r.c) / sc, 1) as dc from ref r join t on t.k <> r.k, f),
-  n as (select * from d qualify row_number() over (partition by rk, y order by da + db + dc, k) <= 10), w as (select n.*, case when n.y = ry then -1 else p.p / (1 - q.p) end as w from n join pr p on p.y = n.y join pr q on q.y = ry)
-  select attribute, round(s / 500, 7) as relief from (select sum(w * da) as l_quantity, sum(w * db) as l_extendedprice, sum(w * dc) as l_discount from w) unpivot (s for attribute in (l_quantity, l_extendedprice, l_discount))""")
+def _relief_sql(regression: bool, last: str) -> str:
+    """Neighbours of 50 reference rows of lineitem, with unknown prices and flags, then `last` over them (of reference row r and neighbour t: weight w, both v, differences)."""
+    y = "l_discount" if regression else "case when l_quantity >= 25 then 'true' else 'false' end"
+    of = "rk" if regression else "rk, y"
+    weight = "abs(y - ry) / nullif(sy, 0) / n" if regression else "case when y = ry then -1 / n else (ny / (na - ny)::double) / n end"
+    sy = "max(y) - min(y)" if regression else "0.0"
+    return f"""with t as (select l_quantity / 1.0 as a, case when l_linenumber % 3 <> 0 then l_extendedprice end as b, l_tax as c, case when l_suppkey % 5 <> 0 then l_returnflag end as f, {y} as y, concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber) as k from lineitem),
+  s as (select max(a) - min(a) as sa, max(b) - min(b) as sb, max(c) - min(c) as sc, avg(b) as mb, count(*) as na, {sy} as sy from t), ny as (select y, count(*) as ny from t group by 1),
+  p as (select f, count(*) / sum(count(*)) over () as p from t where f is not null group by 1), pp as (select 1 - sum(p * p) as pp from p),
+  x as (select t.*, p.p, ny.ny from t left join p using (f) join ny using (y)), ref as (select * from x order by md5(k), k limit 50),
+  d as (select r.k as rk, r.y as ry, x.y, x.k, x.ny, abs(r.a - x.a) / sa as da, case when r.b is null and x.b is null then 0.5 else abs(coalesce(r.b, mb) - coalesce(x.b, mb)) / sb end as db, abs(r.c - x.c) / sc as dc,
+    case when r.f is null and x.f is null then pp when r.f is null then 1 - x.p when x.f is null then 1 - r.p else (r.f <> x.f)::int::double end as df, r.f as rf, x.f as xf, r.a as ra, x.a as xa from ref r join x on x.k <> r.k, s, pp),
+  n as (select * from d where da + db + dc + df > 0 qualify rank() over (partition by {of} order by round(da + db + dc + df, 12)) <= 10), m as (select *, count(*) over (partition by {of})::double as n from n),
+  w as (select m.*, {weight} as w, 1 / n as v from m, s), nd as (select sum(w) as nd from w) {last}"""
+
+
+_RELIEF_SCORE = {False: "sum(w * d) / 50", True: "sum(w * d) / any_value(nd) - (sum(v * d) - sum(w * d)) / (50 - any_value(nd))"}
+_RELIEF_LONG = "(select unnest(['a', 'b', 'c', 'f']) as attribute, unnest([da, db, dc, df]) as d, w, v from w), nd"
+
+
+def _relief(s: SparkSession, d: str, regression: bool) -> M.Neighbourhood:
+    t = table(s, d, "lineitem").withColumn("y", F.col("l_discount") if regression else (F.col("l_quantity") >= 25).cast("string")).withColumn("k", F.concat_ws("|", *_ROW[:4]))
+    t = t.select("k", "y", F.col("l_quantity").cast("double").alias("a"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_extendedprice")).alias("b"), F.col("l_tax").alias("c"), F.when(F.col("l_suppkey") % 5 != 0, F.col("l_returnflag")).alias("f"))
+    return M.relief_neighbours(t, ["a", "b", "c"], ["f"], "y", "k", 50, 10, regression)
+
+
+@query(_relief_sql(False, f"select attribute, round({_RELIEF_SCORE[False]}, 7) as relief from {_RELIEF_LONG} group by 1"))
 def m9_relief(s: SparkSession, d: str) -> DataFrame:
-    t = table(s, d, "lineitem").withColumn("y", (F.col("l_quantity") >= 25).cast("string")).withColumn("k", F.concat_ws("|", *_ROW[:4]))
-    return rounded(M.relief(t, ["l_quantity", "l_extendedprice", "l_discount"], "y", "k", 50), 7, "relief")
+    return rounded(M.relief_scores(_relief(s, d, False), ["a", "b", "c", "f"]), 7, "relief")
+
+
+@query(_relief_sql(True, f"select attribute, round({_RELIEF_SCORE[True]}, 7) as relief from {_RELIEF_LONG} group by 1"))
+def m9_rrelief(s: SparkSession, d: str) -> DataFrame:
+    return rounded(M.relief_scores(_relief(s, d, True), ["a", "b", "c", "f"]), 7, "relief")
+
+
+@query("""with t as (select s_suppkey as k, s_suppkey * 7 % 11 / 1.0 as a, s_nationkey::varchar as f, s_acctbal >= 5000 as y from supplier), s as (select max(a) - min(a) as sa, count(*) as na from t), ny as (select y, count(*) as ny from t group by 1),
+  ref as (select * from t order by md5(k::varchar), k limit 50), d as (select r.k as rk, r.y as ry, t.y, ny, r.f as rf, t.f as xf, (r.f <> t.f)::int as df, round(abs(r.a - t.a) / sa + (r.f <> t.f)::int, 12) as dist from ref r join t on t.k <> r.k join ny on ny.y = t.y, s),
+  n as (select * from d where dist > 0 qualify rank() over (partition by rk, y order by dist) <= 30), w as (select n.*, case when y = ry then -1 else ny / (na - ny)::double end / count(*) over (partition by rk, y) as w from n, s)
+  select least(rf, xf) as a, greatest(rf, xf) as b, round(sum(w) / (select count(*) from ref), 7) as gain from w where df = 1 group by 1, 2""")
+def m10_relief_gains(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 7 % 11).cast("double").alias("a"), F.col("s_nationkey").cast("string").alias("f"), (F.col("s_acctbal") >= 5000).alias("y"))
+    return rounded(M.relief_gains(M.relief_neighbours(t, ["a"], ["f"], "y", "s_suppkey", 50, 30), "f"), 7, "gain")
+
+
+@query(_relief_sql(True, """, e as (select distinct ra as x from w union select xa from w), c as (select x, (x + lead(x) over (order by x)) / 2 as cut from e), g as (select cut, sum(w) as ws, sum(v) as vs from c left join w on least(ra, xa) < cut and greatest(ra, xa) > cut where cut is not null group by 1)
+  select cut, round(coalesce(ws, 0) / nd - (coalesce(vs, 0) - coalesce(ws, 0)) / (50 - nd), 7) as gain from g, nd"""))
+def m10_relief_thresholds(s: SparkSession, d: str) -> DataFrame:
+    return rounded(M.relief_thresholds(_relief(s, d, True), "a"), 7, "gain")
 
 
 @query(f"""with t as (select attribute, value, class, count(*)::double as w from {_LONG} group by 1, 2, 3), c as (select attribute, class, sum(w) as w from t group by 1, 2), k as (select attribute, count(*) as k, sum(w) as n, sum(lgamma(w + 1)) as g from c group by 1),

@@ -187,30 +187,49 @@ def read_c45(spark: SparkSession, stem: str) -> DataFrame:
     return _typed(rows, out)
 
 
+#: A quoted piece of an ARFF line; a backslash takes the next character as it is.
+QUOTED = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\""""
+
+
+def _unquoted(cell: Column) -> Column:
+    """A cell's value: unknown where it stands for that without quotes; between quotes, what it holds."""
+    inside = F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit("\\\\"), F.lit("\x00"))
+    for mark, is_ in (("\\n", "\n"), ("\\r", "\r"), ("\\'", "'"), ('\\"', '"'), ("\x00", "\\")):
+        inside = F.replace(inside, F.lit(mark), F.lit(is_))
+    return F.when(cell.rlike(f"^(?:{QUOTED})$"), inside).when(~cell.isin(*UNKNOWN), cell)
+
+
+def _unquote(text: str) -> str:
+    return re.sub(r"\\(.)", r"\1", text[1:-1]) if len(text) > 1 and text[0] == text[-1] and text[0] in "'\"" else text
+
+
 def read_arff(spark: SparkSession, path: str, classes: Sequence[str] = ()) -> DataFrame:
     """@attribute lines until @data; nominal lists, numeric, string. `classes` become several classes, else the last attribute is one.
 
-    Rows may be quoted, or sparse: {place value, ...}. What follows a % is a comment.
+    Rows may be quoted, or sparse: {place value, ...}. What follows a % outside quotes is a comment.
     """
     head, out = _head_until(spark, path, "@data"), []
     for line in head:
-        text = line.strip()
-        found = re.match(r"@attribute\s+('[^']*'|\"[^\"]*\"|\S+)\s+(.*)", text, re.I)
+        found = re.match(rf"@attribute\s+({QUOTED}|\S+)\s+(.*)", line.strip(), re.I)
         if found:
-            name, kind = found[1].strip("'\""), found[2].strip()
+            name, kind = _unquote(found[1]), found[2].strip()
             if kind.startswith("{"):
-                out.append(Variable(name, "discrete", values=tuple(x.strip().strip("'\"") for x in kind.strip("{} ").split(","))))
+                inside = kind[1 : kind.rfind("}")] if "}" in kind else kind[1:]
+                values = [_unquote(x.strip()) for x in re.findall(rf"\s*({QUOTED}|[^,]+)\s*(?:,|$)", inside)]
+                out.append(Variable(name, "discrete", values=tuple(values)))
             else:
                 out.append(Variable(name, "continuous" if kind.lower() in ("numeric", "real", "integer") else "string", "feature" if kind.lower() in ("numeric", "real", "integer") else "meta"))
     roles = {c: "multiclass" for c in classes} or ({out[-1].name: "class"} if out else {})
     out = [Variable(v.name, v.kind, roles.get(v.name, v.role), v.values) for v in out]
-    body = _below(spark, path, len(head)).select(F.trim(F.split("value", "%")[0]).alias("x")).where("x <> ''")
-    cells = F.regexp_extract_all("x", F.lit("""\\s*('[^']*'|"[^"]*"|[^,]*?)\\s*(?:,|$)"""), F.lit(1))
-    sparse = F.transform(F.split(F.regexp_extract("x", r"^\{(.*)\}$", 1), ","), lambda c: F.split(F.trim(c), r"\s+", 2))
-    places = F.map_from_entries(F.transform(F.filter(sparse, lambda c: F.size(c) == 2), lambda c: F.struct(c[0], c[1])))
+    plain = F.regexp_extract("value", rf"""^((?:{QUOTED}|[^%'"]++|['"])*+)""", 1)
+    body = _below(spark, path, len(head)).select(F.trim(plain).alias("x")).where("x <> ''")
+    cells = F.regexp_extract_all("x", F.lit(rf"\s*({QUOTED}|[^,]*?)\s*(?:,|$)"), F.lit(1))
+    pair = rf"\s*(\d+)\s+({QUOTED}|[^,]*?)\s*(?:,|$)"
+    inside = F.regexp_extract("x", r"^\{(.*)\}$", 1)
+    places = F.map_from_arrays(*(F.regexp_extract_all(inside, F.lit(pair), F.lit(k)) for k in (1, 2)))
     body = body.select(F.when(~F.startswith("x", F.lit("{")), cells).alias("a"), F.when(F.startswith("x", F.lit("{")), places).alias("m"))
-    rows = body.select(*(F.regexp_replace(F.coalesce(F.get("a", i), F.try_element_at("m", F.lit(str(i)))), "^['\"]|['\"]$", "").alias(v.name) for i, v in enumerate(out)))
-    return _typed(rows, out)
+    rows = body.select(*(_unquoted(F.coalesce(F.get("a", i), F.try_element_at("m", F.lit(str(i))))).alias(v.name) for i, v in enumerate(out)))
+    return convert(rows.select(*(F.col(f"`{v.name}`").try_cast("double").alias(v.name) if v.kind == "continuous" else f"`{v.name}`" for v in out)), Domain(tuple(out)))
 
 
 def read_mulan(spark: SparkSession, arff: str, xml: str) -> DataFrame:

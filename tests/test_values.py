@@ -6,6 +6,7 @@ import math
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarnwork.plans import registry
 
@@ -290,3 +291,79 @@ def test_kendall_of_ties(spark):
         n1, n2 = (sum(v[i] != v[j] for i in range(n) for j in range(i)) for v in (x, y))
         df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(x, y, strict=True)] + [(None, 1.0), (1, None)], "x int, y double")
         assert C.kendall(df, "x", "y").first().tau == pytest.approx(s / math.sqrt(n1 * n2))
+
+
+# -- unknown and odd values ----------------------------------------------------------------------------
+
+
+def test_impute_model_leaves_predictors_alone(spark):
+    from tarnwork.operators.transform import impute_model
+
+    rows = [(1, 1.0, 2.0, 5.0), (2, 2.0, 1.0, 4.0), (3, 3.0, None, None), (4, 4.0, 4.0, 12.0), (5, 5.0, None, 8.0), (6, None, 3.0, None)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, t double").withColumn("_y", F.lit(1))
+    got = {r.id: r for r in impute_model(df, "t", ["a", "b"]).collect()}
+    a, b = np.array([1, 2, 4, 5.0]), np.array([2, 1, 4, 2.5])  # b's mean is 2.5
+    w = np.linalg.lstsq(np.column_stack([np.ones(4), a, b]), np.array([5, 4, 12, 8.0]), rcond=None)[0]
+    assert [got[k].b for k in (3, 5)] == [None, None] and got[6].a is None and got[5].t == 8.0
+    assert np.isclose(got[3].t, w @ [1, 3, 2.5]) and np.isclose(got[6].t, w @ [1, 3, 3])  # a's mean is 3
+    assert impute_model(df.where("t is null"), "t", ["a", "b"]).where("t is null").count() == 2
+
+
+def test_relief_with_unknown_values(spark):
+    """Against a plain loop: unknown and discrete values, ties with the kth, rows at no distance, a class, and a value."""
+    from tarnwork.operators.scoring import relief
+
+    rng = np.random.default_rng(7)
+    rows = [(k, None if k % 5 == 0 else float(rng.integers(0, 8)), None if k % 7 == 0 else "xyz"[rng.integers(0, 3)], "pqr"[k % 3] if k % 11 else None, float(rng.normal())) for k in range(60)]
+    df = spark.createDataFrame(rows, "k int, a double, f string, y string, v double")
+    for target, regression in (("y", False), ("v", True)):
+        own = [(k, a, f, y if target == "y" else v) for k, a, f, y, v in rows if (y if target == "y" else v) is not None]
+        known = [a for _, a, _, _ in own if a is not None]
+        span, mean = max(known) - min(known), np.mean(known)
+        p = {x: sum(f == x for _, _, f, _ in own) / sum(f is not None for _, _, f, _ in own) for x in "xyz"}
+        da = lambda a, b: 0.5 if a is None and b is None else abs((mean if a is None else a) - (mean if b is None else b)) / span
+        df_ = lambda a, b: 1 - sum(x * x for x in p.values()) if a is None and b is None else 1 - p[a or b] if a is None or b is None else float(a != b)
+        n_of = {c: sum(r[3] == c for r in own) for c in {r[3] for r in own}}
+        top = max(r[3] for r in own) if regression else 0
+        sums, n_c = {"a": [0.0, 0.0], "f": [0.0, 0.0]}, 0.0
+        for r in own:
+            for c in [None] if regression else n_of:
+                near = sorted((round(da(r[1], o[1]) + df_(r[2], o[2]), 12), o) for o in own if o[0] != r[0] and c in (None, o[3]) and da(r[1], o[1]) + df_(r[2], o[2]) > 0)
+                near = [o for d, o in near if d <= near[min(4, len(near)) - 1][0]]
+                for o in near:
+                    w = abs(r[3] - o[3]) / (top - min(x[3] for x in own)) if regression else -1 if o[3] == r[3] else n_of[c] / (len(own) - n_of[c])
+                    n_c += w / len(near)
+                    for name, d in (("a", da(r[1], o[1])), ("f", df_(r[2], o[2]))):
+                        sums[name][0] += w * d / len(near)
+                        sums[name][1] += d / len(near)
+        m = len(own)
+        want = {c: w / n_c - (b - w) / (m - n_c) if regression else w / m for c, (w, b) in sums.items()}
+        got = {r.attribute: r.relief for r in relief(df.select("k", "a", "f", target), ["a"], target, "k", 100, 4, ["f"], regression).collect()}
+        assert got.keys() == want.keys() and all(np.isclose(got[c], want[c]) for c in want), (target, got, want)
+
+
+def test_odd_values_in_text_formats(spark, tmp_path):
+    from tarnwork.schema import Domain, Variable, convert
+    from tarnwork.sources import readers, writers
+
+    odd = ["plain", "a,b", "50% c", "it's", 'say "x"', "back\\slash", "", "?", " lead", "{x}", "two\nlines", "\\n", "tab\there", None]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(odd)], "n int, s string").select(F.col("n").cast("double").alias("n"), "s")
+    df = convert(df, Domain((Variable("n"), Variable("s", "string", "meta"))))
+    path = f"file://{tmp_path}/odd.arff"
+    writers.write_arff(df, path)
+    assert {int(r.n): r.s for r in readers.read_arff(spark, path).collect()} == dict(enumerate(odd))
+    for write, bad in ((writers.write_tab, "tab\there"), (writers.write_prefixed, "tab\there"), (writers.write_tab, "two\nlines")):
+        with pytest.raises(Exception, match="holds what parts values"):
+            write(df.where(F.col("s") == bad), f"file://{tmp_path}/bad")
+    (tmp_path / "c.arff").write_text("% top\n@relation r\n@attribute 'a b' {'x, y', z}\n@attribute s string\n@data\n'x, y', '50% off' % a comment\n% all of it\nz, ?\n{0 'x, y', 1 'k, l'}\n")
+    got = readers.read_arff(spark, f"file://{tmp_path}/c.arff")
+    assert [tuple(r) for r in got.collect()] == [("x, y", "50% off"), ("z", None), ("x, y", "k, l")] and got.columns == ["a b", "s"]
+
+
+def test_tree_on_an_empty_table(spark):
+    from tarnwork.operators.learn import Tree
+
+    df = spark.createDataFrame([(None, "a", "x")], "v double, f string, y string")
+    for some in (df.limit(0), df):
+        tree = Tree(["v"], ["f"], "y").fit(some)
+        assert {r.prediction for r in tree.transform(df).collect()} == {None if some is not df else "x"} and tree.dump()
