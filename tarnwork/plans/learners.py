@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwork.operators.clustertree import ClusteringTree
 from tarnwork.operators.kernel import SVM, Kernel
 from tarnwork.plans.registry import query, table
 
@@ -49,3 +50,17 @@ def l12_regression(s: SparkSession, d: str) -> DataFrame:
 @query()
 def l12_nu_regression(s: SparkSession, d: str) -> DataFrame:
     return _machine(s, d, "z", "nu_svr", Kernel(gamma=2.0), nu=0.05).select("p_partkey", "z", F.round("prediction", 6).alias("prediction"))
+
+
+@query()
+def l9_clustering_tree(s: SparkSession, d: str) -> DataFrame:
+    t = _parts(s, d)
+    tree = ClusteringTree(["p_size", "p_partkey"], ["p_brand"], ["p_retailprice", "z"], depth=4, min_rows=10).fit(t)
+    return tree.transform(t).select("p_partkey", "leaf", F.round("prediction_p_retailprice", 6).alias("price"), F.round("prediction_z", 6).alias("z"))
+
+
+@query()
+def l9_label_tree(s: SparkSession, d: str) -> DataFrame:
+    t = _parts(s, d)
+    tree = ClusteringTree(["p_size", "p_retailprice"], ["p_brand"], labels=["y", "three"], measure="gini", depth=4, min_rows=10).fit(t)
+    return tree.transform(t).select("p_partkey", "y", "three", "prediction_y", "prediction_three")

@@ -110,3 +110,91 @@ def test_machine_queries(spark):
         assert getattr(learners, name)(spark, SF).agg(F.max(F.abs(F.col("z") - F.col("prediction")))).first()[0] < 0.35
     inside = [r.prediction for r in learners.l12_one_class(spark, SF).collect()]
     assert 0.9 < sum(inside) / len(inside) < 1
+
+
+# -- clustering trees: every level's splits by trying them all -----------------------------------------
+
+
+def brute_tree(rows, columns, targets, measure, depth, min_rows):
+    """Splits as nested tuples (column, cut or None, branches); rows are dicts, targets are numbers or places."""
+
+    def mean(part, t):
+        known = [r[t] for r in part if r[t] is not None]
+        return sum(known) / len(known) if known else 0.0
+
+    def inside(part):
+        return sum((r[t] - mean(part, t)) ** 2 for t in targets for r in part if r[t] is not None) / len(part)
+
+    def gini(part):
+        out = 0.0
+        for t in targets:
+            known = [r[t] for r in part if r[t] is not None]
+            out += 1 - sum((known.count(v) / len(known)) ** 2 for v in set(known)) if known else 0
+        return out / len(targets)
+
+    def score(parts):
+        if measure == "inter":
+            pairs = [(a, b) for i, a in enumerate(parts) for b in parts[i + 1 :]]
+            return sum((mean(a, t) - mean(b, t)) ** 2 for a, b in pairs for t in targets) / len(pairs)
+        if measure == "intra":
+            return -sum(map(inside, parts))
+        return -sum(len(p) * gini(p) for p in parts) / sum(map(len, parts))
+
+    def grow(part, level):
+        tried = []
+        for c, kind in sorted(columns.items()):
+            known = [r for r in part if r[c] is not None]
+            values = sorted({r[c] for r in known})
+            options = [(v, [[r for r in known if r[c] <= v], [r for r in known if r[c] > v]]) for v in values[:-1]] if kind == "c" else [(None, [[r for r in known if r[c] == v] for v in values])] if len(values) > 1 else []
+            tried += [(-round(score(o), 9), c, cut, o, values) for cut, o in options if min(map(len, o)) >= min_rows]
+        if level == depth or not tried:
+            return None
+        s, c, cut, o, values = min(tried, key=lambda x: x[:2] + (x[2] or 0,))
+        if (measure == "inter" and -s <= 1e-9) or (measure == "gini" and -s <= -gini(part) + 1e-9):
+            return None
+        return c, cut, {k: grow(p, level + 1) for k, p in zip(values if cut is None else ("at most", "more"), o, strict=True)}
+
+    return grow(rows, 0)
+
+
+def grown(tree, node=1):
+    for level in tree.levels:
+        for at, c, cut, children in level:
+            if at == node:
+                names = ("at most", "more") if cut is not None else tree.values[c]
+                return c, cut, {n: grown(tree, k) for n, k in zip(names, children, strict=True) if k in tree.prototypes}
+    return None
+
+
+@pytest.mark.parametrize("measure", ["inter", "intra", "gini"])
+def test_clustering_tree(spark, measure):
+    from tarnwork.operators.clustertree import ClusteringTree
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(160):
+        a, b, f = float(rng.integers(0, 12)), float(rng.integers(0, 5)), "uvw"[rng.integers(0, 3)]
+        rows.append({"a": None if k % 13 == 0 else a, "b": b, "f": None if k % 17 == 0 else f, "t": None if k % 19 == 0 else a * (f == "u") + float(rng.normal()), "u": b - a + float(rng.normal()), "x": "lo" if a < 4 else "hi", "y": None if k % 7 == 0 else "pqr"[int(b) % 3]})
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "a double, b double, f string, t double, u double, x string, y string")
+    labels = measure == "gini"
+    tree = ClusteringTree(["a", "b"], ["f"], [] if labels else ["t", "u"], ["x", "y"] if labels else [], measure, 3, 4).fit(df)
+    places = [r | {"x": ["hi", "lo"].index(r["x"]), "y": None if r["y"] is None else "pqr".index(r["y"])} for r in rows]
+    want = brute_tree(places, {"a": "c", "b": "c", "f": "d"}, ["x", "y"] if labels else ["t", "u"], measure, 3, 4)
+    assert grown(tree) == want and want is not None and tree.dump()
+    found = tree.transform(df).collect()
+    assert len(found) == 160 and all(r[f"prediction_{c}"] is not None for r in found for c in (("x", "y") if labels else ("t", "u")))
+    if not labels:  # a leaf predicts its rows' means
+        leaf = [r for r in found if r.leaf == found[1].leaf and r.t is not None]
+        below = {c for level in tree.levels for node, *_, cs in level for c in cs if node == found[1].leaf}
+        assert below or np.isclose(found[1].prediction_t, np.mean([r.t for r in leaf]))
+    empty = ClusteringTree(["a"], ["f"], ["t"]).fit(df.limit(0))
+    assert {r.prediction_t for r in empty.transform(df).collect()} == {None}
+
+
+def test_clustering_tree_queries(spark):
+    from tarnwork.plans import learners
+
+    t = learners.l9_clustering_tree(spark, SF)
+    assert t.count() == spark.read.parquet(f"{SF}/part.parquet").count() and t.select("leaf").distinct().count() > 3
+    t = learners.l9_label_tree(spark, SF)
+    assert t.where("y = prediction_y and three = prediction_three").count() > 0.8 * t.count()
