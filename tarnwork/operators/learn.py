@@ -345,7 +345,7 @@ def apply_rules(df: DataFrame, rules: Sequence[tuple[Column, str]], default: str
     return df.withColumn("prediction", first.otherwise(default) if rules else first)
 
 
-def learn_rules(df: DataFrame, names: Sequence[str], class_name: str, target: str, beam: int = 5, length: int = 2) -> list[tuple[list[tuple[str, str]], float]]:
+def learn_rules(df: DataFrame, names: Sequence[str], class_name: str, target: str, beam: int = 5, length: int = 5) -> list[tuple[list[tuple[str, str]], float]]:
     """Unordered rules for a class by beam search, until none is more often right than wrong; every round's candidates are counted in one aggregation; covered positives are taken away."""
     vals = df.agg(*(F.collect_set(F.col(c).cast("string")).alias(c) for c in names)).first()
     selectors = [(c, v) for c in names for v in sorted(vals[c])]

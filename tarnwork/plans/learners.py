@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from tarnwork.operators.clustertree import ClusteringTree
 from tarnwork.operators.kernel import SVM, Kernel
+from tarnwork.operators.rules import RuleLearner
 from tarnwork.plans.registry import query, table
 
 
 def _parts(s: SparkSession, d: str) -> DataFrame:
     """Parts with a class, a value and three classes that bend."""
     t = table(s, d, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand")
-    a, b = (F.col("p_size") - 25) / 25, (F.col("p_retailprice") - 1400) / 500
+    a, b = (F.col("p_size") - 25) / 25, (F.col("p_retailprice") - 950) / 50
     return t.withColumns({"y": F.when(a * a + b * b < 0.5, "in").otherwise("out"), "z": a * a - b + F.col("p_partkey") * 7919 % 101 / 500, "three": F.when(a + b < -0.5, "low").when(a * b > 0.2, "same").otherwise("rest")})
 
 
@@ -29,7 +30,7 @@ def l12_rbf(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def l12_nu(s: SparkSession, d: str) -> DataFrame:
-    return _machine(s, d, "y", "nu_svc", Kernel("polynomial", 1.0, 2, 1.0), nu=0.1).select("p_partkey", "y", "prediction")
+    return _machine(s, d, "y", "nu_svc", Kernel("polynomial", 1.0, 2, 1.0), nu=0.05).select("p_partkey", "y", "prediction")
 
 
 @query()
@@ -64,3 +65,28 @@ def l9_label_tree(s: SparkSession, d: str) -> DataFrame:
     t = _parts(s, d)
     tree = ClusteringTree(["p_size", "p_retailprice"], ["p_brand"], labels=["y", "three"], measure="gini", depth=4, min_rows=10).fit(t)
     return tree.transform(t).select("p_partkey", "y", "three", "prediction_y", "prediction_three")
+
+
+def _binned(s: SparkSession, d: str) -> DataFrame:
+    t = _parts(s, d)
+    return t.select("p_partkey", "y", "three", "p_brand", F.floor(F.col("p_size") / 10).cast("string").alias("size"), F.floor((F.col("p_retailprice") - 900) / 10).cast("string").alias("price"))
+
+
+def _ruled(s: SparkSession, d: str, target: str, **options: str | float) -> DataFrame:
+    t = _binned(s, d)
+    return RuleLearner(["p_brand", "size", "price"], target, **options).fit(t).transform(t).select("p_partkey", target, "prediction")
+
+
+@query()
+def l10_ordered(s: SparkSession, d: str) -> DataFrame:
+    return _ruled(s, d, "three", covering="ordered", beam=3, length=2, least_covered=5)
+
+
+@query()
+def l10_weighted(s: SparkSession, d: str) -> DataFrame:
+    return _ruled(s, d, "y", covering="weighted", measure="wracc", beam=3, length=2, factor=0.2)
+
+
+@query()
+def l10_corrected(s: SparkSession, d: str) -> DataFrame:
+    return _ruled(s, d, "y", covering="probable", measure="evc", simulations=20, beam=3, length=2, least_improved=5)

@@ -103,7 +103,7 @@ def test_machine_on_odd_tables(spark):
 def test_machine_queries(spark):
     from tarnwork.plans import learners
 
-    for name, column, least in (("l12_rbf", "y", 0.97), ("l12_nu", "y", 0.95), ("l12_several_classes", "three", 0.95)):
+    for name, column, least in (("l12_rbf", "y", 0.97), ("l12_nu", "y", 0.95), ("l12_several_classes", "three", 0.95), ("l10_ordered", "three", 0.8), ("l10_corrected", "y", 0.9)):
         t = getattr(learners, name)(spark, SF)
         assert t.where(F.col(column) == F.col("prediction")).count() > least * t.count()
     for name in ("l12_regression", "l12_nu_regression"):
@@ -198,3 +198,106 @@ def test_clustering_tree_queries(spark):
     assert t.count() == spark.read.parquet(f"{SF}/part.parquet").count() and t.select("leaf").distinct().count() > 3
     t = learners.l9_label_tree(spark, SF)
     assert t.where("y = prediction_y and three = prediction_three").count() > 0.8 * t.count()
+
+
+# -- rules ---------------------------------------------------------------------------------------------
+
+
+def brute_rules(rows, names, length):
+    """(conditions: (positives, covered)) of all rules up to a length; rows: (dict, positive)."""
+    from itertools import combinations, product
+
+    values = {c: sorted({r[c] for r, _ in rows if r[c] is not None}) for c in names}
+    out = {}
+    for k in range(1, length + 1):
+        for cs in combinations(sorted(names), k):
+            for vs in product(*(values[c] for c in cs)):
+                on = [y for r, y in rows if all(r[c] == v for c, v in zip(cs, vs, strict=True))]
+                if on:
+                    out[tuple(zip(cs, vs, strict=True))] = (sum(on), len(on))
+    return out
+
+
+def ruled(spark, n=300, seed=3):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(n):
+        a, b, c = "pqr"[rng.integers(0, 3)], "uv"[rng.integers(0, 2)], str(rng.integers(0, 4))
+        y = "yes" if (a == "p" and b == "u") or (c == "3" and a == "r") or rng.random() < 0.1 else "no"
+        rows.append((a if k % 23 else None, b, c, y if k % 31 else None))
+    return spark.createDataFrame(rows, "a string, b string, c string, y string"), rows
+
+
+def test_rule_search(spark):
+    """With a beam as wide as all rules the best rule is that of a plain search, for each measure."""
+    from tarnwork.operators.rules import RuleLearner, chi, laplace, m_estimate, relative_accuracy
+
+    df, rows = ruled(spark)
+    known = [(dict(zip("abc", r, strict=False)), r[3] == "yes") for r in rows if r[3] is not None]
+    pos, n = sum(y for _, y in known), len(known)
+    every = brute_rules(known, "abc", 3)
+    for name, f in (("laplace", laplace), ("m", m_estimate(2.0)), ("wracc", relative_accuracy)):
+        learner = RuleLearner(["a", "b", "c"], "y", measure=name, beam=1000, length=3, least_covered=4)
+        cells = learner.cells(df).withColumns({"_w": F.lit(1.0), "_best": F.lit(0.0)})
+        learner.shares = {"yes": pos / n}
+        target, rule = learner.best_rule(cells, ["yes"])
+        want = min(((-round(f(p, k, pos, n), 12), len(c), c) for c, (p, k) in every.items() if k >= 4 and p))
+        assert (round(rule.quality, 12), rule.conditions) == (-want[0], want[2]) and (rule.positives, rule.covered) == every[want[2]]
+    assert float(chi(30, 10, 100, 200)) > float(chi(25, 15, 100, 200)) > 0 and chi(5, 20, 100, 200) == 0
+
+
+def test_best_by_chance(spark):
+    """The best statistic over permuted classes: its mean, by length, is that of a plain simulation with all rules tried."""
+    from tarnwork.operators.rules import RuleLearner, chi
+
+    df, rows = ruled(spark)
+    learner = RuleLearner(["a", "b", "c"], "y", measure="evc", simulations=200, beam=1000, length=3)
+    best = learner.best_by_chance(learner.cells(df), "yes")
+    known = [(dict(zip("abc", r, strict=False)), r[3] == "yes") for r in rows if r[3] is not None]
+    masks = {c: np.array([all(r[x] == v for x, v in c) for r, _ in known]) for c in brute_rules(known, "abc", 3)}
+    rng, want = np.random.default_rng(0), []
+    y = np.array([v for _, v in known])
+    for _ in range(200):
+        rng.shuffle(y)
+        top = [0.0] * 3
+        for c, on in masks.items():
+            x = float(chi(y[on].sum(), on.sum() - y[on].sum(), y.sum(), len(y) - y.sum()))
+            for k in range(len(c) - 1, 3):
+                top[k] = max(top[k], x)
+        want.append(top)
+    want = np.array(want)
+    assert (np.diff(best, axis=1) >= 0).all()
+    assert np.allclose(best.mean(0), want.mean(0), rtol=0.12) and np.allclose(best.std(0), want.std(0), rtol=0.35)
+    assert [e.mu for e in learner.fit_extremes(best)] == sorted(e.mu for e in learner.fit_extremes(best))
+
+
+def test_corrected_qualities():
+    """A correction takes away what chance explains, no more than all of it, less from what is less likely; its parts agree with their definitions."""
+    from tarnwork.operators.rules import Extreme, RuleLearner, chi, chi_tail
+
+    learner, by = RuleLearner([], "y"), Extreme(8.0)
+    kept = [learner.corrected(p, 40, 300, 1000, by) for p in range(10, 40)]
+    assert kept[0] == 10 and all(k <= p + 1e-9 for k, p in zip(kept, range(10, 40), strict=True)) and kept == sorted(kept)
+    assert kept[6] == 40 * 0.3 and kept[-1] > 34
+    p = 30.0
+    value = float(chi(p, 10, 300, 700))
+    least = by.corrected(value)
+    assert np.isclose(chi_tail(least), 1 - np.exp(-np.exp((8.0 - value) / 2)), rtol=1e-6)
+    assert np.isclose(float(chi(kept[20], 40 - kept[20], 300, 700)), least, rtol=1e-6)
+    assert np.isclose(by.median, 8 + 2 * 0.36651292)
+    assert learner.corrected(40, 40, 300, 1000, by) < 40 and learner.corrected(20, 40, 300, 1000, Extreme(1.0)) == 20
+
+
+@pytest.mark.parametrize(("covering", "measure"), [("ordered", "laplace"), ("unordered", "laplace"), ("weighted", "wracc"), ("probable", "evc")])
+def test_rules_find_what_is_planted(spark, covering, measure):
+    from tarnwork.operators.rules import RuleLearner
+
+    df, _ = ruled(spark, 400)
+    learner = RuleLearner(["a", "b", "c"], "y", covering, measure, length=2, least_covered=8, simulations=20, factor=0.1, least_improved=8).fit(df)
+    found = [r.conditions for t, r in learner.rules if t == "yes"]
+    assert (("a", "p"), ("b", "u")) in found and (covering == "weighted" or (("a", "r"), ("c", "3")) in found)
+    got = learner.transform(df).where("y is not null")
+    assert got.where("y = prediction").count() > (0.8 if covering != "weighted" else 0.7) * got.count()
+    if covering == "ordered":
+        assert len(RuleLearner(["a"], "y", covering).fit(df.limit(0)).transform(df).where("prediction is null").collect()) == 400
+        assert RuleLearner(["a"], "y", "unordered").fit(df.where("y = 'no'")).transform(df).where("prediction = 'no'").count() == 400
