@@ -243,13 +243,14 @@ def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def loess(points: Sequence[tuple[float, float]], at: Sequence[float], window: float = 0.5) -> list[float]:
-    """Local linear fits with tricube weights over the nearest share of points."""
+    """Local linear fits with tricube weights over the nearest share of a few points, all as far as the last one included (see operators.local for tables)."""
     pts = sorted(points)
-    k = max(2, math.ceil(window * len(pts)))
+    k = min(len(pts), max(3, math.ceil(window * len(pts))))
     out = []
     for x0 in at:
-        near = sorted(pts, key=lambda p: abs(p[0] - x0))[:k]
-        far = max(abs(p[0] - x0) for p in near) or 1.0
+        far = sorted(abs(x - x0) for x, _ in pts)[k - 1]
+        near = [p for p in pts if abs(p[0] - x0) <= far]
+        far = far or 1.0
         w = [(1 - min(abs(x - x0) / (far * 1.0000001), 1) ** 3) ** 3 for x, _ in near]
         sw = sum(w)
         mx, my = sum(a * x for a, (x, _) in zip(w, near, strict=True)) / sw, sum(a * y for a, (_, y) in zip(w, near, strict=True)) / sw

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.operators.clustertree import ClusteringTree
 from tarnwork.operators.kernel import SVM, Kernel
+from tarnwork.operators.local import LoessBayes, curve_points, loess_curve, loess_rows
 from tarnwork.operators.rules import RuleLearner
 from tarnwork.plans.registry import query, table
 
@@ -79,14 +80,33 @@ def _ruled(s: SparkSession, d: str, target: str, **options: str | float) -> Data
 
 @query()
 def l10_ordered(s: SparkSession, d: str) -> DataFrame:
-    return _ruled(s, d, "three", covering="ordered", beam=3, length=2, least_covered=5)
+    return _ruled(s, d, "three", covering="ordered", beam=3, length=2, least_covered=5, alpha=0.001)
 
 
 @query()
 def l10_weighted(s: SparkSession, d: str) -> DataFrame:
-    return _ruled(s, d, "y", covering="weighted", measure="wracc", beam=3, length=2, factor=0.2)
+    return _ruled(s, d, "y", covering="weighted", measure="wracc", beam=3, length=2, factor=0.01)
 
 
 @query()
 def l10_corrected(s: SparkSession, d: str) -> DataFrame:
-    return _ruled(s, d, "y", covering="probable", measure="evc", simulations=20, beam=3, length=2, least_improved=5)
+    return _ruled(s, d, "y", covering="probable", measure="evc", simulations=20, beam=3, length=2, least_improved=20)
+
+
+@query()
+def a32_loess_curve(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "lineitem")
+    at = curve_points(t, "l_quantity", 20)
+    found = loess_curve(t, "l_quantity", [(F.col("l_returnflag") == v).cast("double") for v in "ANR"], at, 0.3)
+    return s.createDataFrame([(p, *map(float, row)) for p, row in zip(at, found, strict=True)], "x double, a double, n double, r double")
+
+
+@query()
+def c10_loess_rows(s: SparkSession, d: str) -> DataFrame:
+    return loess_rows(table(s, d, "lineitem"), "l_extendedprice", "l_quantity", 50)
+
+
+@query()
+def l3_loess_bayes(s: SparkSession, d: str) -> DataFrame:
+    t = _parts(s, d)
+    return LoessBayes(["p_size", "p_retailprice"], "three", 0.2).fit(t).transform(t).select("p_partkey", "three", "prediction")

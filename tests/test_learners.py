@@ -301,3 +301,67 @@ def test_rules_find_what_is_planted(spark, covering, measure):
     if covering == "ordered":
         assert len(RuleLearner(["a"], "y", covering).fit(df.limit(0)).transform(df).where("prediction is null").collect()) == 400
         assert RuleLearner(["a"], "y", "unordered").fit(df.where("y = 'no'")).transform(df).where("prediction = 'no'").count() == 400
+
+
+# -- local regression ------------------------------------------------------------------------------------
+
+
+def test_loess_curve(spark):
+    """Equal to fits over plain lists, for several windows, ties and partitions, inside and outside the points' span."""
+    from tarnwork.functions.stats import loess
+    from tarnwork.operators import local
+
+    rng = np.random.default_rng(2)
+    rows = [(float(round(x, 1)), float(np.sin(x) + rng.normal(0, 0.1)), float(x > 5)) for x in rng.uniform(0, 10, 300)] + [(None, 1.0, 0.0), (3.0, None, 1.0)]
+    df = spark.createDataFrame(rows, "x double, y double, z double")
+    at = [-1.0, 0.0, 0.05, 3.33, 5.0, 9.9, 12.0]
+    known = [r for r in rows if None not in r]
+    for window, parts in ((0.05, 1), (0.3, 7), (1.0, 3)):
+        got = local.loess_curve(df.repartition(parts), "x", [F.col("y"), F.col("z")], at, window)
+        for k in (0, 1):
+            assert np.allclose(got[:, k], loess([(r[0], r[k + 1]) for r in known], at, window), rtol=1e-6, atol=1e-9)
+    one = spark.createDataFrame([(1.0, 2.0), (1.0, 4.0)], "x double, y double")
+    assert np.allclose(local.loess_curve(one, "x", [F.col("y")], [1.0, 5.0])[:, 0], 3.0)
+    assert np.isnan(local.loess_curve(one.limit(0), "x", [F.col("y")], [1.0])).all() and local.curve_points(one.limit(0), "x") == []
+
+
+def test_loess_rows(spark):
+    """Each value's fit over its k nearest, whatever the blocks."""
+    from tarnwork.operators import local
+
+    rng = np.random.default_rng(4)
+    xs = np.round(np.concatenate([rng.uniform(0, 4, 150), rng.uniform(3, 30, 60)]), 1)
+    rows = [(float(x), float(x * x + rng.normal())) for x in xs]
+    df = spark.createDataFrame(rows, "x double, y double")
+    values = sorted(set(xs))
+    for k, block in ((1, 2), (4, 8), (7, 1000)):
+        got = {r.x: r.estimate for r in local.loess_rows(df, "x", "y", k, block).collect()}
+        assert sorted(got) == values
+        for x0 in values:
+            far = sorted(abs(v - x0) for v in values)[k - 1]
+            near = [(x, y) for x, y in rows if abs(x - x0) <= far]
+            w = np.array([(1 - (abs(x - x0) / ((far or 1) * local.BEYOND)) ** 3) ** 3 for x, _ in near])
+            x, y = np.array(near).T
+            mx, my = (w * x).sum() / w.sum(), (w * y).sum() / w.sum()
+            sxx = (w * (x - mx) ** 2).sum()
+            want = my + ((w * (x - mx) * (y - my)).sum() / sxx if sxx > 1e-9 * (w * (x - x0) ** 2).sum() and sxx > 1e-12 else 0) * (x0 - mx)
+            assert np.isclose(got[x0], want, rtol=1e-5, atol=1e-6), (k, block, x0)
+
+
+def test_loess_bayes(spark):
+    from tarnwork.operators import local
+    from tarnwork.plans import learners
+
+    rows = [(float(k % 40), float(k % 7), "in" if 10 <= k % 40 < 25 else "out") for k in range(400)] + [(None, None, "in"), (15.0, None, None)]
+    df = spark.createDataFrame(rows, "a double, b double, y string")
+    model = local.LoessBayes(["a", "b"], "y", 0.15).fit(df)
+    got = model.transform(df).collect()
+    assert sum(r.y == r.prediction for r in got) > 370 and got[401].prediction == "in" and all(abs(sum(r.probability) - 1) < 1e-9 for r in got)
+    assert got[400].prediction == max(model.prior, key=model.prior.get) and np.isclose(got[400].probability[0], model.prior["in"])
+    at, curve = model.curves["a"]
+    x = local.interpolated(F.lit(7.3), at, curve[:, 0])
+    assert np.isclose(spark.range(1).select(x).first()[0], np.interp(7.3, at, curve[:, 0]))
+    assert local.LoessBayes(["a"], "y").fit(df.limit(0)).transform(df).where("prediction is null").count() == 402
+    found = learners.l3_loess_bayes(spark, SF)
+    assert found.where("three = prediction").count() > 0.7 * found.count()
+    assert learners.c10_loess_rows(spark, SF).where("estimate is null").count() == 0 and learners.a32_loess_curve(spark, SF).count() == 20
