@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwork.session import pinned
+
 
 def items_of(df: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
     """(key, item), item is attribute=value of each known discrete value."""
@@ -22,8 +24,8 @@ def _frequent(items: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
 
 def itemsets(items: DataFrame, least: float, most: int | None = None) -> DataFrame:
     """(itemset, support, count) by level-wise joins: each level extends frequent sets by frequent items within a basket, until none is found or sets have `most` items."""
-    one, total = _frequent(items, least)
-    kept = items.distinct().join(one.select("item"), "item")
+    one, total = map(pinned, _frequent(items, least))
+    kept = pinned(items.distinct().join(one.select("item"), "item"))
     sets = kept.select("key", F.array("item").alias("itemset"))
     out = one.select(F.array("item").alias("itemset"), F.col("c").alias("count"))
     level = sets
@@ -31,11 +33,12 @@ def itemsets(items: DataFrame, least: float, most: int | None = None) -> DataFra
     while most is None or size < most:
         bigger = level.join(kept, "key").where(F.col("item") > F.element_at("itemset", -1)).select("key", F.concat("itemset", F.array("item")).alias("itemset"))
         found = bigger.groupBy("itemset").agg(F.count("*").alias("count")).join(F.broadcast(total)).where(F.col("count") >= least * F.col("n")).drop("n")
-        if most is None and found.isEmpty():
+        found = pinned(found)  # each level is counted once
+        if found.isEmpty():
             break
         size += 1
         out = out.unionByName(found)
-        level = bigger.join(found.select("itemset"), "itemset")
+        level = pinned(bigger.join(found.select("itemset"), "itemset"))
     return out.join(F.broadcast(total)).select("itemset", (F.col("count") / F.col("n")).alias("support"), "count", "n")
 
 

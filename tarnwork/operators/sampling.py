@@ -67,14 +67,20 @@ def with_replacement(df: DataFrame, n: int, order: Sequence[str], seed: int = 0)
     return rows.join(draws, "_no").drop("_no")
 
 
+def poisson_steps() -> list[float]:
+    """Chances of at most 0, 1, 2... copies, as far as they can be told apart by the hash's 52 bits."""
+    upto, p, out = 0.0, 0.36787944117144233, []
+    while p > 2**-53:
+        upto += p
+        out.append(upto)
+        p /= len(out)
+    return out
+
+
 def bootstrap(df: DataFrame, order: Sequence[str], seed: int = 0, replicas: int = 1, out: str = "replica") -> DataFrame:
-    """Replicas by Poisson(1) numbers of copies per row, each replica on its own, without any shuffle."""
+    """Replicas by Poisson(1) numbers of copies per row, each replica on its own, without any shuffle (`with_replacement` draws an exact number of rows)."""
     u = uniform([out, *order], seed)
-    steps, upto, p = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(8):
-        upto += p
-        steps = steps + F.when(F.col("_u") > upto, 1).otherwise(0)
-        p /= k + 1
+    steps = sum((F.when(F.col("_u") > upto, 1).otherwise(0) for upto in poisson_steps()), F.lit(0))
     every = df.withColumn(out, F.explode(F.sequence(F.lit(0), F.lit(replicas - 1)))).withColumn("_u", u).withColumn("_k", steps).where("_k > 0")
     return every.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_u", "_k", "_i")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,19 +123,22 @@ def u8_random_row(s: SparkSession, d: str) -> DataFrame:
     return R.random_row(table(s, d, "part"), ["p_partkey"], 8)
 
 
-@query("select * from (values ('quality', 'discrete', 'multiclass', '0,1'), ('toxic', 'discrete', 'class', '0,1'), ('doc_id', 'continuous', 'meta', '')) v(name, kind, role, domain_values)")
+@query("select 'toxic' as class, toxic::varchar as value, count(*) as n from labels group by toxic union all select 'quality', quality::varchar, count(*) from labels group by quality")
 def p5_pick_class(s: SparkSession, d: str) -> DataFrame:
+    """The distribution of the class, whichever of two is picked."""
     t = S.with_roles(table(s, d, "labels").withColumns({c: F.col(c).cast("string") for c in ("quality", "toxic")}), class_var="quality", metas=["doc_id"], discrete={"quality": ["0", "1"], "toxic": ["0", "1"]})
-    t = S.pick_class(S.with_roles(t, class_var="toxic", metas=["doc_id"]), "toxic")
-    rows = [(v.name, v.kind, "multiclass" if v.name == "quality" else v.role, ",".join(v.values)) for v in S.domain_of(t).variables]
-    return s.createDataFrame(rows, "name string, kind string, role string, domain_values string")
+    t = S.convert(t, S.Domain(tuple(S.Variable(v.name, v.kind, "multiclass" if v.kind == "discrete" else v.role, v.values) for v in S.domain_of(t).variables)))
+    picked = [S.domain_of(S.pick_class(t, c)).class_var.name for c in ("toxic", "quality")]
+    return reduce(DataFrame.unionByName, (t.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")).select(F.lit(c).alias("class"), "value", "n") for c in picked))
 
 
-@query("select * from (values ('k', 'continuous', ''), ('status', 'discrete', 'F,O,X')) v(name, kind, domain_values)")
+@query("select o_orderkey::double as k, case when o_orderstatus in ('F', 'O', 'P') then o_orderstatus end as status, null::double as size from orders union all select null, case when p_size > 25 then 'O' else 'X' end, p_size from part")
 def j6_merged_domain(s: SparkSession, d: str) -> DataFrame:
-    a = S.Domain((S.Variable("k"), S.Variable("status", "discrete", values=("F", "O"))))
-    b = S.Domain((S.Variable("status", "discrete", values=("O", "X")),))
-    return s.createDataFrame([(v.name, v.kind, ",".join(v.values)) for v in a.merged(b).variables], "name string, kind string, domain_values string")
+    """Rows of two tables in the domain that both have a part in."""
+    a = S.with_roles(table(s, d, "orders").select(F.col("o_orderkey").cast("double").alias("k"), F.col("o_orderstatus").alias("status")), discrete={"status": ["F", "O", "P"]})
+    b = S.with_roles(table(s, d, "part").select(F.when(F.col("p_size") > 25, "O").otherwise("X").alias("status"), F.col("p_size").cast("double").alias("size")), discrete={"status": ["O", "X"]})
+    both = S.domain_of(a).merged(S.domain_of(b))
+    return S.convert(a, both).unionByName(S.convert(b, both))
 
 
 @query("select r_regionkey::double as k, r_name as name from region")
@@ -152,9 +157,11 @@ def a32_conditional_estimates(s: SparkSession, d: str) -> DataFrame:
     return rounded(A.conditional_estimates(table(s, d, "lineitem"), "l_returnflag", "l_linestatus", 2.0), 9, "p")
 
 
-@query("select a || '+' || b as members from (select unnest(['p_brand', 'p_size', 'p_type']) as a, unnest([1, 2, 3]) as i) x join (select unnest(['p_brand', 'p_size', 'p_type']) as b, unnest([1, 2, 3]) as j) y on i < j union all select 'p_brand+p_size+p_type'")
+@query(" union all ".join(f"select '{'+'.join(x)}' as members, count(distinct ({', '.join(x)})) as n from part" for x in (("p_brand", "p_size"), ("p_brand", "p_type"), ("p_size", "p_type"), ("p_brand", "p_size", "p_type"))))
 def t32_subsets(s: SparkSession, d: str) -> DataFrame:
-    return s.createDataFrame([("+".join(x),) for x in K.subsets(["p_brand", "p_size", "p_type"], 2, 3)], "members string")
+    """How many different rows each subset of columns has."""
+    t = table(s, d, "part")
+    return reduce(DataFrame.unionByName, (t.agg(F.count_distinct(*x).alias("n")).select(F.lit("+".join(x)).alias("members"), "n") for x in K.subsets(["p_brand", "p_size", "p_type"], 2, 3)))
 
 
 # -- learners and experiments --------------------------------------------------------------------------------

@@ -117,11 +117,11 @@ def n15_rule_applies(s: SparkSession, d: str) -> DataFrame:
     return b.where(N.applies(F.col("items"), F.array(F.lit("o_orderstatus=F"), F.lit("year=1995")))).select(F.col("key").alias("o_orderkey"))
 
 
-_EDGES = "(select distinct l_suppkey as src, l_partkey + 1000000 as dst from lineitem where l_quantity >= 49)"
+_EDGES = "(select distinct l_suppkey as src, l_partkey + 1000000 as dst from lineitem)"
 
 
 def _edges(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst")).distinct()
+    return table(s, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst")).distinct()
 
 
 @query(f"with e as {_EDGES} select id, count(*) as degree from (select src as id from e union all select dst from e) group by 1")
@@ -138,9 +138,11 @@ _NEAR = "(select a.s_suppkey as src, b.s_suppkey as dst from supplier a join sup
 
 
 def _near(s: SparkSession, d: str) -> DataFrame:
-    t = table(s, d, "supplier")
-    a, b = t.alias("a"), t.alias("b")
-    return a.join(b, (F.col("a.s_suppkey") > F.col("b.s_suppkey")) & (F.abs(F.col("a.s_acctbal") - F.col("b.s_acctbal")) <= 200)).select(F.col("a.s_suppkey").alias("src"), F.col("b.s_suppkey").alias("dst"))
+    """Suppliers whose balances are at most 200 apart: bands of 200 are joined with themselves and the ones next to them."""
+    t = table(s, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("x"), F.floor(F.col("s_acctbal") / 200).alias("band"))
+    a, b = t.alias("a"), t.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("b")
+    near = (F.col("a.band") == F.col("b.band")) & (F.col("a.s_suppkey") > F.col("b.s_suppkey")) & (F.abs(F.col("a.x") - F.col("b.x")) <= 200)
+    return a.join(b, near).select(F.col("a.s_suppkey").alias("src"), F.col("b.s_suppkey").alias("dst"))
 
 
 @query(f"with e as {_NEAR}, u as (select src, dst from e union all select dst, src from e), k as (select src as id, count(*) as k from u group by 1), l as (select a.src as id, count(*) as e from u a join u b on a.src = b.src and a.dst < b.dst join u c on c.src = a.dst and c.dst = b.dst group by 1) select id, round((coalesce(e, 0) + k) / (k * (k + 1) / 2), 9) as coefficient from k left join l using (id)")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.plans.registry import query, table
-from tarnwork.schema import with_roles
+from tarnwork.schema import values_of, with_roles
 from tarnwork.session import shared_dir
 from tarnwork.sources import readers, writers
 
@@ -84,9 +84,10 @@ def s11_sql(s: SparkSession, d: str) -> DataFrame:
     return readers.read_sql(s, None, "select c_mktsegment, cast(count(*) as double) as n from tarnwork_customer group by 1", discrete=["c_mktsegment"])
 
 
-@query("select a.x as a, b.x as b, c.x as c from (select unnest(['0', '1', '2']) as x) a, (select unnest(['u', 'v']) as x) b, (select unnest(['p', 'q', 'r', 's']) as x) c")
+@query("select a.x as flag, b.x as status, c.x as segment from (select distinct l_returnflag as x from lineitem) a, (select distinct l_linestatus as x from lineitem) b, (select distinct c_mktsegment as x from customer) c")
 def s18_enumerate(s: SparkSession, d: str) -> DataFrame:
-    return readers.enumerate_rows(s, {"a": ["0", "1", "2"], "b": ["u", "v"], "c": ["p", "q", "r", "s"]})
+    found = values_of(table(s, d, "lineitem"), "l_returnflag", "l_linestatus") | values_of(table(s, d, "customer"), "c_mktsegment")
+    return readers.enumerate_rows(s, dict(zip(("flag", "status", "segment"), found.values(), strict=True)))
 
 
 @query("select a.s_suppkey as i, b.s_suppkey as j, round(abs(a.s_acctbal - b.s_acctbal), 4) as d from supplier a join supplier b on a.s_suppkey > b.s_suppkey")

@@ -342,16 +342,7 @@ def r7_sample(s: SparkSession, d: str) -> DataFrame:
     return R.sample(table(s, d, "customer").select("c_custkey"), ["c_custkey"], n=100)
 
 
-def _poisson() -> list[float]:
-    upto, p, out = 0.0, 0.36787944117144233, []
-    for k in range(8):
-        upto += p
-        p /= k + 1
-        out.append(upto)
-    return out
-
-
-@query(f"""with e as (select replica::integer as replica, c_custkey, {sql_uniform(1, 'replica', 'c_custkey')} as u from customer, (select unnest([0, 1, 2]) as replica)), k as (select *, {' + '.join(f'(u > {x!r}::double)::int' for x in _poisson())} as k from e) select replica, c_custkey from k, range(8) t(i) where i < k""")
+@query(f"""with e as (select replica::integer as replica, c_custkey, {sql_uniform(1, 'replica', 'c_custkey')} as u from customer, (select unnest([0, 1, 2]) as replica)), k as (select *, {' + '.join(f'(u > {x!r}::double)::int' for x in R.poisson_steps())} as k from e) select replica, c_custkey from k, range({len(R.poisson_steps())}) t(i) where i < k""")
 def r8_bootstrap(s: SparkSession, d: str) -> DataFrame:
     return R.bootstrap(table(s, d, "customer").select("c_custkey"), ["c_custkey"], 1, 3)
 
