@@ -17,29 +17,35 @@ def items_of(df: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
 
 
 def _frequent(items: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    total = items.agg(F.count_distinct("key").alias("n"))
+    total = pinned(items.agg(F.count_distinct("key").alias("n")))
     one = items.distinct().groupBy("item").agg(F.count("*").alias("c")).join(F.broadcast(total)).where(F.col("c") >= least * F.col("n"))
     return one, total
 
 
 def itemsets(items: DataFrame, least: float, most: int | None = None) -> DataFrame:
-    """(itemset, support, count) by level-wise joins: each level extends frequent sets by frequent items within a basket, until none is found or sets have `most` items."""
-    one, total = map(pinned, _frequent(items, least))
-    kept = pinned(items.distinct().join(one.select("item"), "item"))
-    sets = kept.select("key", F.array("item").alias("itemset"))
-    out = one.select(F.array("item").alias("itemset"), F.col("c").alias("count"))
-    level = sets
+    """(itemset, support, count) by levels, until none is found or sets have `most` items.
+
+    Baskets are cut down to their frequent items and counted by what is left, so that equal ones are one row; a level extends each row's frequent sets by its own
+    later items, without a join, and is counted once.
+    """
+    one, total = _frequent(items, least)
+    one = pinned(one)
+    kept = items.distinct().join(one.select("item"), "item").groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    baskets = kept.groupBy("items").agg(F.count("*").alias("m"))
+    out = one.select(F.array("item").alias("itemset"), F.col("c").alias("count"), "n")
+    level = pinned(baskets).select("items", "m", F.explode(F.transform("items", lambda x: F.array(x))).alias("itemset"))
     size = 1
     while most is None or size < most:
-        bigger = level.join(kept, "key").where(F.col("item") > F.element_at("itemset", -1)).select("key", F.concat("itemset", F.array("item")).alias("itemset"))
-        found = bigger.groupBy("itemset").agg(F.count("*").alias("count")).join(F.broadcast(total)).where(F.col("count") >= least * F.col("n")).drop("n")
-        found = pinned(found)  # each level is counted once
+        later = F.filter("items", lambda x: x > F.element_at("itemset", -1))
+        bigger = level.select("items", "m", F.explode(F.transform(later, lambda x: F.concat("itemset", F.array(x)))).alias("itemset"))
+        found = bigger.groupBy("itemset").agg(F.sum("m").alias("count")).join(F.broadcast(total)).where(F.col("count") >= least * F.col("n"))
+        found = pinned(found)
         if found.isEmpty():
             break
         size += 1
         out = out.unionByName(found)
-        level = pinned(bigger.join(found.select("itemset"), "itemset"))
-    return out.join(F.broadcast(total)).select("itemset", (F.col("count") / F.col("n")).alias("support"), "count", "n")
+        level = bigger.join(found.select("itemset"), "itemset")
+    return out.select("itemset", (F.col("count") / F.col("n")).alias("support"), "count", "n")
 
 
 def rules(sets: DataFrame, confidence: float) -> DataFrame:

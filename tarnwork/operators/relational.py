@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from tarnwork.session import pinned
 
-#: Rows that one task may sort and sum.
-ONE_TASK = 100_000
 #: A side that is broadcast without Spark's own estimate must be at most this many rows (checked by counting a limit).
 BROADCAST_ROWS = 100_000
 
@@ -58,15 +56,15 @@ def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "_no", st
 def running(df: DataFrame, order: Sequence[str | Column], sums: dict[str, str], groups: Sequence[str] = ()) -> DataFrame:
     """`df` with running totals, up to each row and with it, in an order that tells rows apart: {new column: summed column}, within groups.
 
-    At most ONE_TASK rows, by count, go through a plain window. Of more no window runs over all: rows are range-partitioned and written so, summed within their partition, and what the group has in the
+    What range partitioning leaves in one partition, as it is small, goes through a plain window. Of more no window runs over all: rows are range-partitioned and written so, summed within their partition, and what the group has in the
     partitions before is added, of which there is a row per partition and group.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    df = pinned(df)
-    if df.count() <= ONE_TASK:
+    parts = pinned(df.repartitionByRange(*groups, *keys))
+    if parts.rdd.getNumPartitions() == 1:
         whole = Window.partitionBy(*groups or [F.lit(0)]).orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns({n: F.sum(c).over(whole) for n, c in sums.items()}).select(*df.columns, *sums)
-    parts = pinned(df.repartitionByRange(*groups, *keys)).withColumn("_p", F.spark_partition_id())
+        return parts.withColumns({n: F.sum(c).over(whole) for n, c in sums.items()}).select(*df.columns, *sums)
+    parts = parts.withColumn("_p", F.spark_partition_id())
     here = Window.partitionBy("_p", *groups).orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = Window.partitionBy(*groups or [F.lit(0)]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     totals = parts.groupBy("_p", *groups).agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
