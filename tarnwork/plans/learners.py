@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.operators.clustertree import ClusteringTree
+from tarnwork.operators.decompose import construct, im_scores, redundant
 from tarnwork.operators.kernel import SVM, Kernel
 from tarnwork.operators.local import LoessBayes, curve_points, loess_curve, loess_rows
 from tarnwork.operators.rules import RuleLearner
@@ -110,3 +111,29 @@ def c10_loess_rows(s: SparkSession, d: str) -> DataFrame:
 def l3_loess_bayes(s: SparkSession, d: str) -> DataFrame:
     t = _parts(s, d)
     return LoessBayes(["p_size", "p_retailprice"], "three", 0.2).fit(t).transform(t).select("p_partkey", "three", "prediction")
+
+
+def _decomposed(s: SparkSession, d: str) -> DataFrame:
+    t = _binned(s, d)
+    return t.withColumns({"half": (F.col("size").cast("int") >= 3).cast("string"), "odd": (F.col("p_partkey") % 2).cast("string"), "c": F.when((F.col("size").cast("int") >= 3) == (F.col("price").cast("int") % 2 == 0), "same").otherwise("other")})
+
+
+@query("""with t as (select p_size // 10 as size, floor((p_retailprice - 900) / 10)::int as price, p_partkey % 2 as odd from part), u as (select *, case when (size >= 3) = (price % 2 = 0) then 'same' else 'other' end as c from t), p as (select c, count(*) / sum(count(*)) over () as p from u group by 1),
+  x as (select size, price, odd, p.c, p.p, count(u.c) as n from (select distinct size, price, odd from u) k cross join p left join u using (size, price, odd, c) group by all), e as (select size, price, odd, sum(n) * (1 - max(n + 2 * p) / (sum(n) + 2)) as e, sum(n) as n from x group by 1, 2, 3)
+  select a as attribute, round(-sum(e) / sum(n), 8) as quality from e, (select unnest(['size', 'price', 'odd']) as a) group by 1""")
+def m15_incompatibility(s: SparkSession, d: str) -> DataFrame:
+    found = im_scores(_decomposed(s, d), ["size", "price", "odd"], "c")
+    return s.createDataFrame([(c, round(q, 8)) for c, q in found.items()], "attribute string, quality double")
+
+
+@query()
+def t34_merged_feature(s: SparkSession, d: str) -> DataFrame:
+    t = _decomposed(s, d)
+    return construct(t, ["size", "odd"], ["price"], "c").transform(t, "made").groupBy("size", "odd", "made").agg(F.count("*").alias("n"))
+
+
+@query()
+def p18_redundant(s: SparkSession, d: str) -> DataFrame:
+    t = _decomposed(s, d)
+    left, _ = redundant(t, ["size", "price", "odd"], "c")
+    return t.select("p_partkey", "c", *left)

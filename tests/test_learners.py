@@ -365,3 +365,74 @@ def test_loess_bayes(spark):
     found = learners.l3_loess_bayes(spark, SF)
     assert found.where("three = prediction").count() > 0.7 * found.count()
     assert learners.c10_loess_rows(spark, SF).where("estimate is null").count() == 0 and learners.a32_loess_curve(spark, SF).count() == 20
+
+
+# -- function decomposition ------------------------------------------------------------------------------
+
+
+def brute_merge(rows, bound, free, m=2.0, least=0.0):
+    """Groups of bound values by trying all pairs again after each merge; rows are dicts with a class y."""
+    rows = [r for r in rows if r["y"] is not None]
+    classes = sorted({r["y"] for r in rows})
+    prior = {y: sum(r["y"] == y for r in rows) / len(rows) for y in classes}
+    show = lambda v: "?" if v is None else f"={v}"
+    groups = [[b] for b in sorted({tuple(show(r[c]) for c in bound) for r in rows})]
+    cells = {}
+    for r in rows:
+        cells.setdefault((tuple(show(r[c]) for c in free), tuple(show(r[c]) for c in bound)), dict.fromkeys(classes, 0))[r["y"]] += 1
+
+    def cell(f, group):
+        found = [cells[f, b] for b in group if (f, b) in cells]
+        return {y: sum(c[y] for c in found) for y in classes} if found else None
+
+    def error(c):
+        n = sum(c.values())
+        return n * (1 - max(c[y] + m * prior[y] for y in classes) / (n + m))
+
+    def profit(g, h):
+        out = 0.0
+        for f in {f for f, _ in cells}:
+            a, b = cell(f, g), cell(f, h)
+            if a and b:
+                out += error(a) + error(b) - error({y: a[y] + b[y] for y in classes})
+        return out
+
+    while len(groups) > 1:
+        best = min((-round(profit(g, h), 9), i, j) for i, g in enumerate(groups) for j, h in enumerate(groups) if i < j)
+        if -best[0] <= least + 1e-9:
+            break
+        groups[best[1]] += groups.pop(best[2])
+    return sorted(map(sorted, groups))
+
+
+def test_merged_feature(spark):
+    from tarnwork.operators import decompose
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(400):
+        a, b, f, g = int(rng.integers(0, 4)), int(rng.integers(0, 3)), int(rng.integers(0, 3)), int(rng.integers(0, 2))
+        y = "abc"[(max(a, b) * f + (rng.random() < 0.1)) % 3]
+        rows.append({"a": str(a) if k % 37 else None, "b": str(b), "f": str(f), "g": str(g) if k % 29 else None, "y": y if k % 41 else None})
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "a string, b string, f string, g string, y string").repartition(4)
+    for bound, free in ((["a", "b"], ["f"]), (["a"], ["b", "f", "g"]), (["g"], ["a", "b", "f"])):
+        made = decompose.construct(df, bound, free, "y")
+        assert sorted(map(sorted, made.groups)) == brute_merge(rows, bound, free), bound
+        out = made.transform(df, "made")
+        assert out.count() == 400 and out.where("made is null").count() == sum(r["y"] is None and not any(tuple("?" if r[c] is None else f"={r[c]}" for c in bound) in g for g in made.groups) for r in rows)
+    assert len(decompose.construct(df, ["a", "b"], ["f"], "y", most_values=2).groups) == 2
+    left, made = decompose.redundant(df, ["a", "b", "f", "g"], "y")
+    assert "g" not in left and {"a", "b", "f"} <= set(left) and not made
+    left, made = decompose.redundant(df, ["a", "b", "f", "g"], "y", keep_values=False)
+    assert set(made) == {c for c in left if c.endswith("_r")}
+    scores = decompose.im_scores(df, ["a", "b", "f", "g"], "y")
+    assert len({round(v, 9) for v in scores.values()}) == 1 and -1 < scores["a"] < 0  # the same cells, whichever is the column
+    assert decompose.construct(df.limit(0), ["a"], ["b"], "y").groups == [] and decompose.im_scores(df.limit(0), ["a"], "y") == {"a": 0.0}
+
+
+def test_decomposition_queries(spark):
+    from tarnwork.plans import learners
+
+    t = learners.t34_merged_feature(spark, SF)
+    assert {r.made for r in t.collect()} and t.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{SF}/part.parquet").count()
+    assert "odd" not in learners.p18_redundant(spark, SF).columns
