@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.operators import learn
@@ -79,3 +79,62 @@ def smacof(d: np.ndarray, x: np.ndarray, rounds: int = 300, least: float = 1e-7)
             break
         before = now
     return x
+
+
+@dataclass
+class Components:
+    """Principal components of standardized columns, as many as are asked for or cover a share of the variance; with a class, of the differences between rows of different classes.
+
+    The matrix comes from one aggregation of products; with a class, by class: the sum over pairs of rows of different classes of their differences' products is
+    that of rows' own products, each times the rows of other classes, less the products of sums of different classes, so that no pair is made. Unknown values count
+    as their column's mean; constant columns have no part. Rows of unknown class are left out of the fit. A table without rows, or of constant columns only, is an error.
+    """
+
+    names: list[str]
+    standardize: bool = True
+    most: int = 0  # 0: all
+    covered: float = 1.0
+    class_name: str | None = None
+    ddof: int = 1
+    means: np.ndarray | None = None
+    scales: np.ndarray | None = None
+    components: np.ndarray | None = None
+    variances: np.ndarray | None = None
+    variance_sum: float = 0.0
+
+    def _z(self) -> list[Column]:
+        return [F.coalesce((F.col(c).cast("double") - float(m)) / float(s), F.lit(0.0)) for c, m, s in zip(self.names, self.means, self.scales, strict=True)]
+
+    def fit(self, df: DataFrame) -> Components:
+        rows = df.where(F.col(self.class_name).isNotNull()) if self.class_name else df
+        k = len(self.names)
+        spread = F.var_samp if self.ddof else F.var_pop
+        row = rows.agg(F.count("*").alias("n"), *(f(F.col(c).cast("double")).alias(f"{p}{i}") for i, c in enumerate(self.names) for p, f in (("m", F.avg), ("v", spread)))).first()
+        spreads = np.array([row[f"v{i}"] or 0.0 for i in range(k)])
+        if not (spreads > 0).any():
+            raise ValueError("no rows, or all columns are constant")
+        self.means = np.array([row[f"m{i}"] or 0.0 for i in range(k)])
+        self.scales = np.where(spreads > 0, np.sqrt(spreads), 1.0) if self.standardize else np.ones(k)
+        z = self._z()
+        sums = [F.count("*").alias("n"), *(F.sum(z[i]).alias(f"s{i}") for i in range(k)), *(F.sum(z[i] * z[j]).alias(f"q{i}_{j}") for i in range(k) for j in range(i, k))]
+        parts = (rows.groupBy(self.class_name) if self.class_name else rows.groupBy()).agg(*sums).collect()  # classes are few
+        n, matrix, whole = row["n"], np.zeros((k, k)), np.zeros(k)
+        for r in parts:
+            q = np.array([[r[f"q{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+            s = np.array([r[f"s{i}"] for i in range(k)])
+            matrix += (n - r["n"]) * q + np.outer(s, s) if self.class_name else q
+            whole += s
+        matrix = (matrix - np.outer(whole, whole) if self.class_name else matrix) / (n - self.ddof)
+        values, vectors = np.linalg.eigh(matrix)
+        order = np.argsort(-values)
+        values, vectors = np.maximum(values[order], 0), vectors[:, order].T
+        vectors *= np.sign(vectors[np.arange(k), np.abs(vectors).argmax(1)])[:, None]
+        self.variance_sum = float(values.sum())
+        keep = k if self.covered >= 1 else int(np.searchsorted(np.cumsum(values) / self.variance_sum, self.covered)) + 1
+        keep = min(keep, self.most or k)
+        self.variances, self.components = values[:keep], vectors[:keep]
+        return self
+
+    def transform(self, df: DataFrame, prefix: str = "pc") -> DataFrame:
+        z = self._z()
+        return df.withColumns({f"{prefix}{i + 1}": sum((x * float(w) for x, w in zip(z, row, strict=True)), F.lit(0.0)) for i, row in enumerate(self.components)})

@@ -436,3 +436,60 @@ def test_decomposition_queries(spark):
     t = learners.t34_merged_feature(spark, SF)
     assert {r.made for r in t.collect()} and t.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{SF}/part.parquet").count()
     assert "odd" not in learners.p18_redundant(spark, SF).columns
+
+
+# -- graphs and projections ------------------------------------------------------------------------------
+
+
+def test_pathfinder(spark):
+    """Against the closure of lightest heaviest links over whole matrices, for several lengths."""
+    from tarnwork.operators.graph import pathfinder
+
+    rng = np.random.default_rng(6)
+    n, w = 14, {}
+    for _ in range(45):
+        i, j = sorted(rng.choice(14, 2, replace=False).tolist())
+        w[i, j] = min(w.get((i, j), 99), int(rng.integers(1, 9)))
+    rows = [(j, i, float(v)) if k % 2 else (i, j, float(v)) for k, ((i, j), v) in enumerate(w.items())] + [(i, j, v + 3.0) for (i, j), v in list(w.items())[:5]] + [(3, 3, 1.0), (0, 1, None)]
+    df = spark.createDataFrame(rows, "src int, dst int, weight double")
+    direct = np.full((n, n), np.inf)
+    for (i, j), v in w.items():
+        direct[i, j] = direct[j, i] = v
+    best = direct.copy()
+    for q in range(1, 6):
+        if q > 1:
+            best = np.minimum(best, np.min(np.maximum(best[:, :, None], direct[None]), axis=1))
+        if q != 4:
+            got = {(r.src, r.dst) for r in pathfinder(df, q).collect()}
+            assert got == {e for e, v in w.items() if best[e] >= v}, q
+    assert pathfinder(df.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("supervised", [False, True])
+def test_components(spark, supervised):
+    """Against dense matrices: unknown values, a constant column, a share of the variance; the Laplacian of rows of different classes."""
+    from tarnwork.operators.projection import Components
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(90, 4)) @ rng.normal(size=(4, 4)) * [1, 20, 3, 0] + [0, 5, 9, 2]
+    x[::11, 1] = np.nan
+    y = ["abc"[k % 3] for k in range(90)]
+    df = spark.createDataFrame([(*(None if np.isnan(v) else float(v) for v in r), c) for r, c in zip(x, y, strict=True)], "a double, b double, c double, d double, y string")
+    means, spread = np.nanmean(x, 0), np.nanstd(x, 0, ddof=1)
+    z = np.nan_to_num((x - means) / np.where(spread == 0, 1, spread))
+    laplacian = -np.array([[float(p != q) for q in y] for p in y])
+    laplacian -= np.diag(laplacian.sum(0))
+    want = z.T @ (laplacian if supervised else np.eye(90)) @ z / 89
+    values = np.sort(np.linalg.eigvalsh(want))[::-1]
+    found = Components(list("abcd"), class_name="y" if supervised else None).fit(df)
+    assert np.allclose(found.variances, values, atol=1e-8 * values[0]) and np.isclose(found.variance_sum, values.sum())
+    assert np.allclose(want @ found.components.T, found.components.T * found.variances, atol=1e-7 * values[0])
+    some = Components(list("abcd"), covered=0.8, class_name="y" if supervised else None).fit(df)
+    share = np.cumsum(values) / values.sum()
+    assert len(some.components) == int(np.searchsorted(share, 0.8)) + 1
+    got = np.array([[r.pc1] for r in found.transform(df).collect()])
+    assert np.allclose(got[:, 0], z @ found.components[0])
+    with pytest.raises(ValueError, match="constant"):
+        Components(["d"]).fit(df)
+    with pytest.raises(ValueError, match="no rows"):
+        Components(["a"]).fit(df.limit(0))

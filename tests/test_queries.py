@@ -48,7 +48,7 @@ def test_equals_sql(spark, oracle, name):
 BY_VALUE = {
     "t3_entropy_cuts", "l4_logistic", "l7_tree", "l10_rules", "l12_svm", "l13_neural", "l15_lasso", "l17_bagging", "l18_boosting", "l19_forest", "l20_stacking", "l21_tuned", "l25_kmeans", "l26_hierarchical",
     "l28_mixture", "l29_pca", "l29_fisher", "l4_statistics", "l32_mds", "l33_som", "m16_m17_model_scores", "e1_cross_validation", "n5_dtw",
-    "l12_rbf", "l12_nu", "l12_several_classes", "l12_one_class", "l12_regression", "l12_nu_regression", "l9_clustering_tree", "l9_label_tree", "l10_ordered", "l10_weighted", "l10_corrected", "a32_loess_curve", "c10_loess_rows", "l3_loess_bayes", "t34_merged_feature", "p18_redundant",
+    "l12_rbf", "l12_nu", "l12_several_classes", "l12_one_class", "l12_regression", "l12_nu_regression", "l9_clustering_tree", "l9_label_tree", "l10_ordered", "l10_weighted", "l10_corrected", "a32_loess_curve", "c10_loess_rows", "l3_loess_bayes", "t34_merged_feature", "p18_redundant", "l29_components", "l29_supervised",
 }
 
 
