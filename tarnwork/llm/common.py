@@ -23,10 +23,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tarnwork/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write `df` as Parquet in the shared folder (with these options of the format) and read it back: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._scratch = path
     return table

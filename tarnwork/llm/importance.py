@@ -151,7 +151,8 @@ def streams(docs: DataFrame, n_buckets: int, doc_id: str | None = "doc_id", text
     if not 0 < n_buckets <= 1 << 16:
         raise ValueError("buckets are 16-bit numbers")
     rows = docs.select((F.col(doc_id).cast("long") if doc_id else F.lit(None).cast("long")).alias("doc_id"), F.col(text).alias("text"), F.uuid().alias("_row"))
-    return written(rows.mapInArrow(lambda b: _streams(b, n_buckets), STREAM), "bucket-streams")
+    # A row is large: groups of a few rows bound what a writer or reader holds, and no dictionary of streams helps.
+    return written(rows.mapInArrow(lambda b: _streams(b, n_buckets), STREAM), "bucket-streams", **{"parquet.block.size": str(16 << 20), "parquet.enable.dictionary": "false"})
 
 
 def counts(chunks: DataFrame, n_buckets: int) -> np.ndarray:
