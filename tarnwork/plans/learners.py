@@ -10,8 +10,10 @@ from tarnwork.operators.decompose import construct, im_scores, redundant
 from tarnwork.operators.graph import pathfinder
 from tarnwork.operators.kernel import SVM, Kernel
 from tarnwork.operators.local import LoessBayes, curve_points, loess_curve, loess_rows
+from tarnwork.operators.potentials import Potentials
 from tarnwork.operators.projection import Components
 from tarnwork.operators.rules import RuleLearner
+from tarnwork.operators.trees import DecisionTree
 from tarnwork.plans.registry import query, table
 
 
@@ -161,3 +163,43 @@ def l29_components(s: SparkSession, d: str) -> DataFrame:
 def l29_supervised(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "lineitem")
     return Components(["l_quantity", "l_extendedprice", "l_discount", "l_tax"], most=2, class_name="l_returnflag").fit(t).transform(t).select("l_orderkey", "l_linenumber", "pc1", "pc2")
+
+
+def _gaps(s: SparkSession, d: str) -> DataFrame:
+    """Parts with values that are unknown."""
+    return _parts(s, d).withColumns({"size": F.when(F.col("p_partkey") % 7 != 0, F.col("p_size")), "brand": F.when(F.col("p_partkey") % 5 != 0, F.col("p_brand"))})
+
+
+@query()
+def l7_pruned_tree(s: SparkSession, d: str) -> DataFrame:
+    t = _gaps(s, d)
+    tree = DecisionTree(["size", "p_retailprice"], ["brand"], "three", depth=4, min_rows=5).fit(t).pruned(2.0)
+    return tree.transform(t).select("p_partkey", "three", "prediction")
+
+
+@query()
+def l7_regression_tree(s: SparkSession, d: str) -> DataFrame:
+    t = _gaps(s, d)
+    tree = DecisionTree(["size", "p_retailprice"], ["brand"], "z", "variance", "subset", depth=4, min_rows=5).fit(t)
+    return tree.transform(t).select("p_partkey", "z", F.round("prediction", 6).alias("prediction"))
+
+
+@query("""with t as (select p_partkey, p_size as x, p_retailprice as y from part), v as (select x, count(*) as n, sum(y) as s from t group by 1), l as (select x, lead(x) over (order by x) as above, sum(n) over w as n, sum(s) over w as s from v window w as (order by x)),
+  a as (select count(*) as n, sum(y) as s from t), b as (select (x + above) / 2.0 as cut, l.s / l.n as low, (a.s - l.s) / (a.n - l.n) as high from l, a where above is not null and l.n >= 10 and a.n - l.n >= 10 order by round(l.s * l.s / l.n + (a.s - l.s) * (a.s - l.s) / (a.n - l.n), 4) desc, x limit 1)
+  select p_partkey, round(case when x <= cut then low else high end, 6) as prediction from t, b""")
+def l7_best_cut(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "part")
+    tree = DecisionTree(["p_size"], [], "p_retailprice", "variance", depth=1, min_rows=10).fit(t)
+    return tree.transform(t).select("p_partkey", F.round("prediction", 6).alias("prediction"))
+
+
+@query()
+def l6_potentials(s: SparkSession, d: str) -> DataFrame:
+    t = _gaps(s, d)
+    return Potentials(["size", "p_retailprice", "p_partkey"], "three", law="square").fit(t).transform(t).select("p_partkey", "three", "prediction")
+
+
+@query()
+def l6_potential_means(s: SparkSession, d: str) -> DataFrame:
+    t = _gaps(s, d)
+    return Potentials(["size", "p_retailprice", "p_partkey"], "z", numeric=True, normalize=False).fit(t).transform(t).select("p_partkey", "z", F.round("prediction", 6).alias("prediction"))

@@ -210,3 +210,12 @@ def test_tree_edges(spark):
     tree = DecisionTree([], ["f"], "y", "info_gain", depth=1).fit(odd)
     assert tree.transform(odd).where("prediction <> y").count() == 0 and tree.transform(odd.withColumn("f", F.lit("new"))).first().prediction == "b"
     assert tree.transform(odd.limit(0)).columns == ["x", "y", "f", "prediction", "probability"]
+
+
+def test_tree_queries(spark):
+    from tarnwork.plans import learners
+
+    t = learners.l7_pruned_tree(spark, SF)
+    assert t.where("prediction = three").count() > 0.8 * t.count()
+    r = learners.l7_regression_tree(spark, SF).agg(F.avg((F.col("z") - F.col("prediction")) ** 2).alias("e"), F.var_pop("z").alias("v"), F.count("*").alias("n")).first()
+    assert r.e < 0.35 * r.v and r.n == t.count()
