@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwork.operators.anchors import FreeViz, noise_anchors, signal_by_class, signal_to_noise
 from tarnwork.operators.clustertree import ClusteringTree
 from tarnwork.operators.decompose import construct, im_scores, redundant
 from tarnwork.operators.graph import pathfinder
@@ -203,3 +204,51 @@ def l6_potentials(s: SparkSession, d: str) -> DataFrame:
 def l6_potential_means(s: SparkSession, d: str) -> DataFrame:
     t = _gaps(s, d)
     return Potentials(["size", "p_retailprice", "p_partkey"], "z", numeric=True, normalize=False).fit(t).transform(t).select("p_partkey", "z", F.round("prediction", 6).alias("prediction"))
+
+
+_FLAGGED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query()
+def l30_freeviz(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "lineitem").withColumn("day", F.datediff("l_shipdate", F.lit("1992-01-01")))
+    m = FreeViz([*_FLAGGED, "day"], "l_returnflag", steps=20).fit(t)
+    return m.projected(t).select("l_orderkey", "l_linenumber", "l_returnflag", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"))
+
+
+@query()
+def l30_freeviz_classes(s: SparkSession, d: str) -> DataFrame:
+    t = _gaps(s, d)
+    m = FreeViz(["p_size", "p_retailprice", "p_partkey"], "three", steps=20).fit(t)
+    return m.classifier(t).transform(t).select("p_partkey", "three", "prediction")
+
+
+@query()
+def l30_freeviz_values(s: SparkSession, d: str) -> DataFrame:
+    t = _gaps(s, d)
+    m = FreeViz(["p_size", "p_retailprice", "p_partkey"], "z", numeric=True, normalize=False, steps=20).fit(t)
+    return m.projected(t).select("p_partkey", "z", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"))
+
+
+_MOMENTS = """with u as (unpivot (select l_returnflag as class, l_quantity::double as l_quantity, l_extendedprice::double as l_extendedprice, l_discount::double as l_discount, l_tax::double as l_tax from lineitem)
+    on l_quantity, l_extendedprice, l_discount, l_tax into name attribute value x),
+  t as (select attribute, class, count(x)::double as n, sum(x) as s, sum(x * x) as q, avg(x) as m, stddev_pop(x) as d from u group by 1, 2)"""
+
+
+@query(f"""{_MOMENTS} select a.attribute, round(sum(abs(a.m - b.m) / (a.d + b.d)), 9) as s2n from t a join t b on a.attribute = b.attribute and a.class < b.class where a.d + b.d > 0 group by 1""")
+def l30_s2n(s: SparkSession, d: str) -> DataFrame:
+    return signal_to_noise(table(s, d, "lineitem"), _FLAGGED, "l_returnflag").select("attribute", F.round("s2n", 9).alias("s2n"))
+
+
+@query(f"""{_MOMENTS}, r as (select a.attribute, a.class, avg(u.x) as m, stddev_pop(u.x) as d from t a join u on a.attribute = u.attribute and a.class <> u.class group by 1, 2), top as (select attribute, max(m) as m from t group by 1)
+  select t.attribute, t.class, round(case when t.m < top.m then -1 else 1 end * abs(t.m - r.m) / (t.d + r.d), 9) as s2n from t join r using (attribute, class) join top on t.attribute = top.attribute""")
+def l30_s2n_by_class(s: SparkSession, d: str) -> DataFrame:
+    return signal_by_class(table(s, d, "lineitem"), _FLAGGED, "l_returnflag").select("attribute", "class", F.round("s2n", 9).alias("s2n"))
+
+
+@query()
+def l30_noise_anchors(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "lineitem")
+    anchors = noise_anchors(t, _FLAGGED, "l_returnflag")
+    m = FreeViz(list(anchors), "l_returnflag", anchors=list(anchors.values()), steps=0).fit(t)
+    return m.projected(t).select("l_orderkey", "l_linenumber", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"))

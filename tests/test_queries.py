@@ -44,12 +44,13 @@ def test_equals_sql(spark, oracle, name):
     assert rows(got) == rows(want)
 
 
-#: Queries without SQL: tests/test_values.py (n5_dtw: test_whole.py, kernel machines and what follows: test_learners.py, test_trees.py, test_potentials.py) holds them against values found otherwise.
+#: Queries without SQL: tests/test_values.py (n5_dtw: test_whole.py, kernel machines and what follows: test_learners.py, test_trees.py, test_potentials.py, test_anchors.py) holds them against values found otherwise.
 BY_VALUE = {
     "t3_entropy_cuts", "l4_logistic", "l7_tree", "l10_rules", "l12_svm", "l13_neural", "l15_lasso", "l17_bagging", "l18_boosting", "l19_forest", "l20_stacking", "l21_tuned", "l25_kmeans", "l26_hierarchical",
     "l28_mixture", "l29_pca", "l29_fisher", "l4_statistics", "l32_mds", "l33_som", "m16_m17_model_scores", "e1_cross_validation", "n5_dtw",
     "l12_rbf", "l12_nu", "l12_several_classes", "l12_one_class", "l12_regression", "l12_nu_regression", "l9_clustering_tree", "l9_label_tree", "l10_ordered", "l10_weighted", "l10_corrected", "a32_loess_curve", "c10_loess_rows", "l3_loess_bayes", "t34_merged_feature", "p18_redundant", "l29_components", "l29_supervised",
     "l7_pruned_tree", "l7_regression_tree", "l6_potentials", "l6_potential_means",
+    "l30_freeviz", "l30_freeviz_classes", "l30_freeviz_values", "l30_noise_anchors",
 }
 
 
