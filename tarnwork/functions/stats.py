@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -242,6 +243,51 @@ def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     return r.agg(F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("_rank"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col("_d") < 0, F.col("_rank"))), F.lit(0.0)).alias("w_minus"))
 
 
+def with_p(df: DataFrame, law: str, *columns: str) -> DataFrame:
+    """A test's row with its probability `p` under the hypothesis: law chisquare (value, degrees), t (value, degrees; two-sided), f (value, both degrees) or normal (value; two-sided). Unknown where the value or the degrees are, or none are free."""
+    of = {"chisquare": chisqprob, "t": tprob, "f": lambda f, a, b: fprob(a, b, f), "normal": lambda z: 2 * zprob(-abs(z))}[law]
+
+    @F.pandas_udf("double")
+    def p(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([None if any(v is None or math.isnan(v) for v in r) or min(r[1:], default=1) <= 0 else of(*r) for r in rows.astype(float).itertuples(index=False, name=None)], dtype="float64")
+
+    return df.withColumn("p", p(F.struct(*columns)))
+
+
+def chisquare2d(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(chi2, df, p, cramers_v, contingency): independence of two columns, over the values there are; rows with an unknown value are left out."""
+    t = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").cast("double").alias("o"))
+    rows, columns = (t.groupBy(c).agg(F.sum("o").alias(f"n{c}")) for c in "ab")
+    t = t.join(rows, "a").join(columns, "b").join(F.broadcast(t.agg(F.sum("o").alias("n"))))
+    e = F.col("na") * F.col("nb") / F.col("n")
+    found = t.agg(F.max("n").alias("n"), F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("there"), F.sum(e).alias("e"), F.count("*").alias("cells"), F.count_distinct("a").alias("ka"), F.count_distinct("b").alias("kb"))
+    n = F.col("n")
+    chi2 = F.col("there") + F.when(F.col("cells") < F.col("ka") * F.col("kb"), n - F.col("e")).otherwise(0.0)  # cells without rows
+    found = found.select(chi2.alias("chi2"), F.greatest((F.col("ka") - 1) * (F.col("kb") - 1), F.lit(0)).alias("df"), F.sqrt(F.try_divide(chi2, n * (F.least("ka", "kb") - 1))).alias("cramers_v"), F.sqrt(F.try_divide(chi2, chi2 + n)).alias("contingency"))
+    return with_p(found, "chisquare", "chi2", "df")
+
+
+def anova_rel(df: DataFrame, subject: str, treatment: str, value: str) -> DataFrame:
+    """(f, df_between, df_error, p) of repeated measures, a row for each subject and treatment; f is -1 and p 0 where nothing is left to err. Subjects that lack a treatment, or have one twice, are an error."""
+    x = F.col(value).cast("double")
+    t = df.where(x.isNotNull()).select(F.col(subject).alias("s"), F.col(treatment).alias("t"), x.alias("x"))
+    of = t.groupBy("t").agg(F.count("*").alias("n"), F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("xx")).agg(F.count("*").alias("k"), F.max("n").alias("n"), F.min("n").alias("least"), F.sum("x").alias("g"), F.sum("xx").alias("xx"), F.sum(F.col("x") * F.col("x")).alias("tt"))
+    by = t.groupBy("s").agg(F.sum("x").alias("x"), F.count("*").alias("m"), F.count_distinct("t").alias("d")).agg(F.count("*").alias("subjects"), F.min("d").alias("d"), F.max("m").alias("m"), F.sum(F.col("x") * F.col("x")).alias("ss"))
+    k, n, c = F.col("k"), F.col("n"), F.col("g") * F.col("g") / (F.col("k") * F.col("n"))
+    whole = F.assert_true((n == F.col("least")) & (n == F.col("subjects")) & (F.col("d") == k) & (F.col("m") == k), "subjects lack treatments or repeat them")
+    between, error = F.col("tt") / n - c, F.col("xx") - F.col("tt") / n - (F.col("ss") / k - c)
+    none = error < 1e-20
+    found = of.join(F.broadcast(by)).where(whole.isNull()).select(F.when(none, -1.0).otherwise(F.try_divide(between / (k - 1), error / ((k - 1) * (n - 1)))).alias("f"), (k - 1).alias("df_between"), ((k - 1) * (n - 1)).alias("df_error"))
+    return with_p(found, "f", "f", "df_between", "df_error").withColumn("p", F.when(F.col("f") == -1, 0.0).otherwise(F.col("p")))
+
+
+def ranksums(df: DataFrame, name: str, group: Column) -> DataFrame:
+    """(z, p) of the first group's sum of ranks, ties sharing theirs."""
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    u = mann_whitney(df.where(F.col(name).isNotNull() & group.isNotNull()), name, group)
+    return with_p(u.select(F.try_divide(F.col("u") - n1 * n2 / 2, F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)).alias("z")), "normal", "z")
+
+
 def loess(points: Sequence[tuple[float, float]], at: Sequence[float], window: float = 0.5) -> list[float]:
     """Local linear fits with tricube weights over the nearest share of a few points, all as far as the last one included (see operators.local for tables)."""
     pts = sorted(points)

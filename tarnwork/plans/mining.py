@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.operators import associate as N
+from tarnwork.operators import curves as K
 from tarnwork.operators import distance as D
 from tarnwork.operators import evaluate as E
 from tarnwork.operators import graph as G
@@ -404,3 +405,70 @@ def e12_multilabel(s: SparkSession, d: str) -> DataFrame:
 def e1_cross_validation(s: SparkSession, d: str) -> DataFrame:
     t = _parts(s, d)
     return E.cross_validate(t, "fold", 3, L.ml("tree", ["p_size", "p_retailprice"], "y", maxDepth=3)).groupBy("y", "prediction").agg(F.count("*").alias("n"))
+
+
+_THREE = "(select l_orderkey * 10 + l_linenumber as row, l_returnflag as actual, k.class, (case k.class when 'A' then l_quantity when 'N' then 50 - l_discount * 300 else l_quantity * l_tax * 8 end)::double / 100 as p from lineitem, (values ('A'), ('N'), ('R')) k(class))"
+
+
+def three_classes(s: SparkSession, d: str) -> DataFrame:
+    c = F.explode(F.array(*map(F.lit, "ANR"))).alias("class")
+    t = table(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), F.col("l_returnflag").alias("actual"), "l_quantity", "l_discount", "l_tax", c)
+    p = F.when(F.col("class") == "A", F.col("l_quantity")).when(F.col("class") == "N", 50 - F.col("l_discount") * 300).otherwise(F.col("l_quantity") * F.col("l_tax") * 8)
+    return t.select("row", "actual", "class", (p.cast("double") / 100).alias("p"))
+
+
+_BY_CLASS = f"""with t as (select class, round(p, 9) as p, count(*) filter (where actual = class)::double as a, count(*) filter (where actual <> class)::double as b from {_THREE} group by 1, 2),
+  u as (select class, a, b, a * (sum(b) over (partition by class order by p) - b / 2) as u from t), c as (select class, sum(a) as n, sum(u) / (sum(a) * sum(b)) as auc from u group by 1)"""
+
+
+@query(f"{_BY_CLASS} select class, n::bigint as n, round(auc, 9) as auc from c")
+def e8_auc_by_class(s: SparkSession, d: str) -> DataFrame:
+    return rounded(K.auc_by_class(rounded(three_classes(s, d), 9, "p")), 9, "auc")
+
+
+@query(f"{_BY_CLASS} select round(sum(n * auc) / sum(n), 9) as auc from c")
+def e8_one_vs_all(s: SparkSession, d: str) -> DataFrame:
+    return rounded(K.auc_one_vs_all(rounded(three_classes(s, d), 9, "p")), 9, "auc")
+
+
+_CURVE = f"""with t as (select p, count(*) filter (where actual = '1') as a, count(*) filter (where actual = '0') as b from {_P} group by 1),
+  c as (select p as threshold, sum(b) over (order by p desc) as x, sum(a) over (order by p desc) as y from t union all select null, 0, 0), e as (select max(x)::double as nn, max(y)::double as np from c)"""
+
+
+@query(f"{_CURVE} select threshold, round(x / nn, 9) as fpr, round(y / np, 9) as tpr from c j, e where not exists (select 1 from c i, c k where (i.x < j.x or i.x = j.x and i.y < j.y) and (j.x < k.x or j.x = k.x and j.y < k.y) and (k.x - i.x) * (j.y - i.y) <= (k.y - i.y) * (j.x - i.x))")
+def e10_hull(s: SparkSession, d: str) -> DataFrame:
+    return rounded(K.roc_hull(predictions(s, d)), 9, "fpr", "tpr")
+
+
+@query(f"{_CURVE}, f as (select threshold, x / nn as fpr, y / np as tpr, abs(y / np - 3 * x / nn - 1) / sqrt(10) as d from c, e) select threshold, round(fpr, 9) as fpr, round(tpr, 9) as tpr from f where d - (select min(d) from f) <= 0.0001")
+def e10_best_thresholds(s: SparkSession, d: str) -> DataFrame:
+    return rounded(K.best_thresholds(predictions(s, d), 1.0, 1.0, 0.25), 9, "fpr", "tpr")
+
+
+@query(f"""with t as (select fold, p, count(*) filter (where actual = '1') as a, count(*) filter (where actual = '0') as b from {_P} group by 1, 2),
+  c as (select fold, sum(b) over w / sum(b) over v as x, sum(a) over w / sum(a) over v as y from t window w as (partition by fold order by p desc), v as (partition by fold) union all select fold, 0, 0 from t group by fold having sum(a) > 0 and sum(b) > 0),
+  g as (select range / 10.0::double as fpr from range(11)), l as (select fold, fpr, max((x, y)) filter (where x <= fpr) as lo, min((x, y)) filter (where x > fpr) as hi from c, g where not isnan(x) and not isnan(y) group by 1, 2),
+  v as (select fpr, case when hi is null or lo[1] = fpr then lo[2] else lo[2] + (hi[2] - lo[2]) / (hi[1] - lo[1]) * (fpr - lo[1]) end as tpr from l)
+  select fpr, round(avg(tpr), 9) as tpr, round(coalesce(stddev_samp(tpr), 0), 9) as deviation from v group by 1""")
+def e10_vertical_average(s: SparkSession, d: str) -> DataFrame:
+    return rounded(K.vertical_average(predictions(s, d)), 9, "tpr", "deviation")
+
+
+@query(f"""with f as (select fold, t, count(*) filter (where actual = '0' and p >= t) / count(*) filter (where actual = '0') as x, count(*) filter (where actual = '1' and p >= t) / count(*) filter (where actual = '1') as y from {_P}, (values (0.2::double), (0.4), (0.6)) v(t) group by 1, 2)
+  select t as threshold, round(avg(x), 9) as fpr, round(avg(y), 9) as tpr, round(coalesce(stddev_samp(x), 0), 9) as fpr_deviation, round(coalesce(stddev_samp(y), 0), 9) as tpr_deviation from f where not isnan(x) and not isnan(y) group by 1""")
+def e10_threshold_average(s: SparkSession, d: str) -> DataFrame:
+    out = K.threshold_average(predictions(s, d), [0.2, 0.4, 0.6])
+    return rounded(out, 9, *out.columns[1:])
+
+
+@query(f"select round(avg(-greatest(ln(greatest(case when actual = '1' then p else 1 - p end, 1e-20)), -ln(n))), 9) as log_loss from {_P}, (select count(*) as n from {_P})")
+def e12_log_loss(s: SparkSession, d: str) -> DataFrame:
+    return rounded(K.log_loss(predictions(s, d)), 9, "log_loss")
+
+
+@query("""with t as (select quality as a1, toxic as a2, (n_chars > 1000)::int as b1, (n_chars > 4000)::int as b2 from labels join documents using (doc_id)), m as (select avg(coalesce((a1 * b1 + a2 * b2) / nullif(b1 + b2, 0), 0)) as p, avg(coalesce((a1 * b1 + a2 * b2) / nullif(a1 + a2, 0), 0)) as r from t),
+  c as (select sum(a1 * b1) + 1e-7 as t1, sum(b1) + 1e-7 as s1, sum(a1) + 1e-7 as w1, sum(a2 * b2) + 1e-7 as t2, sum(b2) + 1e-7 as s2, sum(a2) + 1e-7 as w2 from t)
+  select round(2 * p * r / (p + r), 9) as f1_micro, round((2 * t1 * t1 / s1 / w1 / (t1 / s1 + t1 / w1) + 2 * t2 * t2 / s2 / w2 / (t2 / s2 + t2 / w2)) / 2, 9) as f1_macro from m, c""")
+def e12_f1(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "n_chars"), "doc_id").select("quality", "toxic", (F.col("n_chars") > 1000).cast("int").alias("p1"), (F.col("n_chars") > 4000).cast("int").alias("p2"))
+    return rounded(K.f1_of_labels(t, ["quality", "toxic"], ["p1", "p2"]), 9, "f1_micro", "f1_macro")

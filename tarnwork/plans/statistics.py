@@ -537,6 +537,34 @@ def c7_wilcoxon(s: SparkSession, d: str) -> DataFrame:
     return C.wilcoxon(table(s, d, "lineitem").withColumn("m", F.lit(25.0)), "l_quantity", "m")
 
 
+@query("""with t as (select l_returnflag as a, l_linestatus as b, count(*)::double as o from lineitem group by 1, 2), r as (select a, sum(o) as n from t group by 1), c as (select b, sum(o) as n from t group by 1), w as (select sum(o) as n from t),
+  x as (select sum((coalesce(o, 0) - r.n * c.n / w.n) ** 2 / (r.n * c.n / w.n)) as chi2, any_value(w.n) as n, count(distinct a) as ka, count(distinct b) as kb from r cross join c cross join w left join t using (a, b))
+  select round(chi2, 4) as chi2, (ka - 1) * (kb - 1) as df, round(exp(-chi2 / 2), 9) as p, round(sqrt(chi2 / (n * (least(ka, kb) - 1))), 9) as cramers_v, round(sqrt(chi2 / (chi2 + n)), 9) as contingency from x""")
+def c7_chisquare2d(s: SparkSession, d: str) -> DataFrame:
+    """Of two degrees of freedom the probability is e^(-chi2 / 2)."""
+    return rounded(rounded(C.chisquare2d(table(s, d, "lineitem"), "l_returnflag", "l_linestatus"), 9, "p", "cramers_v", "contingency"), 4, "chi2")
+
+
+_MEASURES = "(select s_suppkey as s, 'a' as t, s_acctbal as x from supplier union all select s_suppkey, 'b', s_acctbal * 1.1 + s_suppkey % 7 * 40 from supplier union all select s_suppkey, 'c', abs(s_acctbal) from supplier)"
+
+
+@query(f"""with m as {_MEASURES}, g as (select avg(x) as g, count(distinct s) as n, count(distinct t) as k from m), a as (select t, avg(x) as m from m group by 1), b as (select s, avg(x) as m from m group by 1),
+  bt as (select sum((m - g) ** 2) * any_value(n) as v from a, g), er as (select sum((x - a.m - b.m + g) ** 2) as v from m join a using (t) join b using (s), g),
+  f as (select (bt.v / (k - 1)) / (er.v / ((k - 1) * (n - 1))) as f, k - 1 as df_between, (k - 1) * (n - 1) as df_error from bt, er, g)
+  select round(f, 6) as f, df_between, df_error, round(pow(1 + 2 * f / df_error, -df_error / 2), 9) as p from f""")
+def c7_anova_rel(s: SparkSession, d: str) -> DataFrame:
+    """Of two degrees between, the probability is (1 + 2 f / d)^(-d / 2), d those of the error."""
+    b, k = F.col("s_acctbal"), F.col("s_suppkey")
+    x = F.explode(F.array(*(F.struct(F.lit(n).alias("t"), v.cast("double").alias("x")) for n, v in (("a", b), ("b", b * 1.1 + k % 7 * 40), ("c", F.abs(b)))))).alias("m")
+    t = table(s, d, "supplier").select(k.alias("s"), x).select("s", "m.*")
+    return rounded(rounded(C.anova_rel(t, "s", "t", "x"), 6, "f"), 9, "p")
+
+
+@query("with r as (select l_returnflag = 'A' as f, rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0::double as r from lineitem), u as (select sum(r) filter (where f) as s, count(*) filter (where f)::double as a, count(*) filter (where not f)::double as b from r) select round((s - a * (a + b + 1) / 2) / sqrt(a * b * (a + b + 1) / 12), 9) as z from u")
+def c7_ranksums(s: SparkSession, d: str) -> DataFrame:
+    return rounded(C.ranksums(table(s, d, "lineitem"), "l_quantity", F.col("l_returnflag") == "A"), 9, "z").select("z")
+
+
 @query("select event_id, round(sin(value) + cos(value), 9) as wave, round(sqrt(value * value + 1), 9) as hyp, round(atan2(value, 3), 9) as angle, round(value % 7, 6) as rest from events")
 def c11_math(s: SparkSession, d: str) -> DataFrame:
     v = F.col("value")
