@@ -325,9 +325,11 @@ def u10_top(s: SparkSession, d: str) -> DataFrame:
     return R.top(table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 25, ["o_orderkey"])
 
 
-@query("select o_custkey, arg_max(o_orderkey, o_totalprice) as best, max(o_totalprice) as price from orders group by 1")
+@query("select o_custkey, min(o_orderkey) filter (where o_totalprice = price) as best, any_value(price) as price from (select *, max(o_totalprice) over (partition by o_custkey) as price from orders) group by 1")
 def u11_best(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", "o_totalprice").alias("best"), F.max("o_totalprice").alias("price"))
+    """Each customer's dearest order, of equals that of the smallest key."""
+    rank = F.when(F.col("o_totalprice").isNotNull(), F.struct("o_totalprice", -F.col("o_orderkey")))
+    return table(s, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", rank).alias("best"), F.max("o_totalprice").alias("price"))
 
 
 @query("select p_partkey, p_retailprice + 1 as price, p_brand from part")
