@@ -126,6 +126,7 @@ def relief_neighbours(df: DataFrame, continuous: Sequence[str], discrete: Sequen
     unknown class or value are left out.
     """
     rows = df.where(F.col(class_name).isNotNull()).select(F.col(key).alias("key"), F.col(class_name).alias("y"), *continuous, *discrete)
+    n_rows = rows.count()
     spans = rows.agg(*(f(c).cast("double").alias(f"{n}{i}") for i, c in enumerate([*continuous, *(["y"] if regression else [])]) for n, f in (("lo", F.min), ("hi", F.max), ("mean", F.avg)))).first()
     for c in discrete:  # each row's value with its share among the known ones
         n = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
@@ -151,10 +152,12 @@ def relief_neighbours(df: DataFrame, continuous: Sequence[str], discrete: Sequen
         twice = 1 - same[c] / known[c] if known[c] else 0.0
         return F.when(a.isNull() & b.isNull(), twice).when(a.isNull(), 1 - F.col(f"p_{c}")).when(b.isNull(), 1 - F.col(f"q_{c}")).otherwise((a != b).cast("double"))
 
+    ref = pinned(ref)
     pairs = spread(rows).join(F.broadcast(ref), F.col("key") != F.col("ref"))
     pairs = pairs.withColumns({f"d_{c}": apart(i, F.col(f"a_{c}"), F.col(c)) for i, c in enumerate(continuous)} | {f"d_{c}": differ(c) for c in discrete})
-    pairs = pairs.withColumn("_d", F.round(reduce(lambda a, b: a + b, (F.col(f"d_{c}") for c in every)), 12)).where("_d > 0")
+    pairs = pairs.withColumn("_s", reduce(lambda a, b: a + b, (F.col(f"d_{c}") for c in every)))
     of = ["ref"] if regression else ["ref", "y"]
+    pairs = _within_reach(pairs, of, k, n_rows)
     near = pairs.withColumn("_r", F.rank().over(Window.partitionBy(*of).orderBy("_d"))).where(F.col("_r") <= k).withColumn("_n", F.count("*").over(Window.partitionBy(*of)))
     if regression:
         weight = apart(len(continuous), F.col("y_ref"), F.col("y"))
@@ -164,6 +167,24 @@ def relief_neighbours(df: DataFrame, continuous: Sequence[str], discrete: Sequen
     return Neighbourhood(pinned(out), ref.count(), regression)
 
 
+def _within_reach(pairs: DataFrame, of: Sequence[str], k: int, n: int) -> DataFrame:
+    """Pairs at a distance `_d` (`_s` rounded) above 0, no farther than the kth of a share of the rows, which is never nearer than the kth of all: what is ranked
+    grows with the square root of the rows, and no neighbour is lost.
+
+    A group without k pairs in that share keeps all of its pairs.
+    """
+    exact = lambda t: t.withColumn("_d", F.round("_s", 12)).where("_d > 0")
+    share = int((n / k) ** 0.5)
+    if share < 2:
+        return exact(pairs)
+    some = exact(pairs.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0)).select(*of, "_d")
+    some = some.withColumn("_r", F.row_number().over(Window.partitionBy(*of).orderBy("_d"))).where(F.col("_r") <= k)
+    reach = pinned(some.groupBy(*(F.col(c).alias(f"_of_{c}") for c in of)).agg(F.max("_d").alias("_reach"), F.count("*").alias("_has")).where(F.col("_has") == k))  # a row for each reference row and class
+    same = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_of_{c}") for c in of))
+    near = pairs.join(F.broadcast(reach), same, "left").where(F.col("_reach").isNull() | (F.col("_s") <= F.col("_reach") + 1e-12))
+    return exact(near).where(F.col("_reach").isNull() | (F.col("_d") <= F.col("_reach"))).drop("_reach", "_has", *(f"_of_{c}" for c in of))
+
+
 def _relief_gain(n: Neighbourhood, d: Column) -> tuple[list[Column], Column]:
     """Sums over pairs, named w, b and c, and the score that they make."""
     if not n.regression:

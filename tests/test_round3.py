@@ -38,3 +38,22 @@ def test_header_comes_first(spark, tmp_path):
     _with_header(rows.join(rows.groupBy("id").count(), "id").orderBy("id"), ["one", "two"], F.col("id").cast("string"), f"{tmp_path}/h")
     (file,) = tmp_path.glob("h/part-*")
     assert file.read_text().split() == ["one", "two", *map(str, range(5000))]
+
+
+def test_relief_ranks_few_pairs(spark):
+    """Of 40,000 rows only those within the reach of a share of them are ranked, and none that counts is lost."""
+    from pyspark.sql import Window
+
+    from tarnwork.operators.scoring import _within_reach
+
+    rows = spark.range(40_000).select(F.col("id").alias("key"), (F.col("id") * 7919 % 40_009 / 40_009).alias("x"), (F.col("id") % 2).alias("y"))
+    ref = rows.where("key < 20").select(F.col("key").alias("ref"), F.col("x").alias("rx"))
+    pairs = rows.join(F.broadcast(ref)).withColumn("_s", F.abs(F.col("x") - F.col("rx")))
+    few = _within_reach(pairs, ["ref", "y"], 10, 40_000)
+    assert few.count() < 20 * 40_000 / 10
+
+    def best(p):
+        r = F.rank().over(Window.partitionBy("ref", "y").orderBy("_d"))
+        return {(a.ref, a.key) for a in p.withColumn("r", r).where("r <= 10").collect()}
+
+    assert best(few) == best(pairs.withColumn("_d", F.round("_s", 12)).where("_d > 0"))
