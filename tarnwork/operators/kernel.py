@@ -3,7 +3,8 @@
 Blocks of rows are solved by tasks; only rows with weight go on to the next level, where a few blocks' are solved together, until one set is left (a cascade).
 Then all rows are held against that model, a pass of tasks; the worst that break its conditions join the set, and it is solved again, until none does:
 the solution is that of all rows together, whatever the blocks. What a task or the model holds is bounded by the number of support vectors,
-`max_support`, and more are an error. Of the nu kinds a share nu of all rows are support vectors by definition.
+`max_support`, and more are an error. Of the nu kinds a share nu of all rows are support vectors by definition. Rows of equal values and target are one
+variable with the sum of their bounds, which is the same problem: such rows count once.
 """
 
 from __future__ import annotations
@@ -147,28 +148,29 @@ class Machine:
     scale: float = 1.0  # what the dual's coefficients were divided by
     rounds: int = 0
 
-    def problem(self, x: np.ndarray, t: np.ndarray, n: float) -> Problem:
-        """The dual of these rows, which stand for n."""
+    def problem(self, x: np.ndarray, t: np.ndarray, n: float, times: np.ndarray | None = None) -> Problem:
+        """The dual of these rows, each there so many times, which stand for n."""
         k = len(x)
+        times = np.ones(k) if times is None else times
         once, twice = np.arange(k), np.tile(np.arange(k), 2)
         both = np.concatenate([np.ones(k), -np.ones(k)])
         if self.kind == "c_svc":
-            return Problem(x, once, t, -np.ones(k), self.c * np.where(t > 0, self.weights[1], self.weights[0]), np.zeros(k))
+            return Problem(x, once, t, -np.ones(k), self.c * times * np.where(t > 0, self.weights[1], self.weights[0]), np.zeros(k))
         if self.kind == "one_class":
-            return Problem(x, once, np.ones(k), np.zeros(k), np.ones(k), filled(np.ones(k), self.nu * n))
+            return Problem(x, once, np.ones(k), np.zeros(k), times, filled(times, self.nu * n))
         if self.kind == "nu_svc":
             start = np.zeros(k)
             for s in (-1, 1):
-                start[t == s] = filled(np.ones(int((t == s).sum())), self.nu * n / 2)
-            return Problem(x, once, t, np.zeros(k), np.ones(k), start, True)
-        top = np.full(k, self.c)
+                start[t == s] = filled(times[t == s], self.nu * n / 2)
+            return Problem(x, once, t, np.zeros(k), times, start, True)
+        top = self.c * times
         if self.kind == "epsilon_svr":
             return Problem(x, twice, both, np.concatenate([self.epsilon - t, self.epsilon + t]), np.tile(top, 2), np.zeros(2 * k))
         return Problem(x, twice, both, np.concatenate([-t, t]), np.tile(top, 2), np.tile(filled(top, self.c * self.nu * n / 2), 2), True)
 
-    def solved(self, x: np.ndarray, t: np.ndarray, n: float) -> tuple[np.ndarray, float, float, float]:
+    def solved(self, x: np.ndarray, t: np.ndarray, n: float, times: np.ndarray | None = None) -> tuple[np.ndarray, float, float, float]:
         """(each row's coefficient, bias, width of the tube, scale)."""
-        p = self.problem(x, t, n)
+        p = self.problem(x, t, n, times)
         a, g = solve(p, self.kernel, self.tol)
         coefficients = np.bincount(p.of, p.y * a, len(x))
         if not p.apart:
@@ -189,7 +191,7 @@ class Machine:
         if self.kind in ("c_svc", "nu_svc") and len(np.unique(t)) < 2:
             kept = rows.head(1) if self.kind == "c_svc" else rows  # any row may matter yet
         else:
-            p = self.problem(x, t, n)
+            p = self.problem(x, t, n, rows["_w"].to_numpy(float))
             kept = rows[np.bincount(p.of, solve(p, self.kernel, self.tol)[0], len(x)) > 0]
         return kept.assign(_from=rows["_b"].iloc[0] if len(rows) else 0, _n=n)
 
@@ -198,53 +200,54 @@ class Machine:
             raise ValueError(f"no kind {self.kind}")
         known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in [*self.columns, *([target] if target else [])]))
         rows = df.where(known).select(*(F.col(c).cast("double").alias(c) for c in self.columns), (F.col(target).cast("double") if target else F.lit(1.0)).alias("_t"), F.monotonically_increasing_id().alias("_id"))
-        rows = pinned(rows)
-        n, plus = rows.agg(F.count("*"), F.count_if(F.col("_t") > 0)).first()
+        rows = pinned(rows.groupBy(*self.columns, "_t").agg(F.min("_id").alias("_id"), F.count("*").cast("double").alias("_w")))
+        plus_w = F.coalesce(F.sum(F.when(F.col("_t") > 0, F.col("_w"))), F.lit(0.0))
+        different, n, plus = rows.agg(F.count("*"), F.coalesce(F.sum("_w"), F.lit(0.0)), plus_w).first()
         self.support, self.coefficients, self.bias = np.zeros((0, len(self.columns))), np.zeros(0), 0.0
         if not n:
             return self
         if self.kind == "nu_svc" and self.nu * n / 2 > min(plus, n - plus):
             raise ValueError(f"nu is at most {2 * min(plus, n - plus) / n} for these classes")
-        blocks = -(-n // BLOCK)
+        blocks = -(-different // BLOCK)
         inner = ", ".join(f"`{c}` double" for c in self.columns)
-        schema = f"{inner}, _t double, _id long, _from long, _n double, _b long"
+        schema = f"{inner}, _t double, _id long, _w double, _from long, _n double, _b long"
         some = rows.withColumns({"_b": F.pmod(F.xxhash64("_id"), F.lit(blocks)), "_from": F.lit(0).cast("long")})
-        some = some.join(F.broadcast(some.groupBy("_b").agg(F.count("*").cast("double").alias("_n"))), "_b").select(*self.columns, "_t", "_id", "_from", "_n", "_b")
+        some = some.join(F.broadcast(some.groupBy("_b").agg(F.sum("_w").alias("_n"))), "_b").select(*self.columns, "_t", "_id", "_w", "_from", "_n", "_b")
         while blocks > 1:
             some = pinned(some.groupBy("_b").applyInPandas(lambda g: self._of_block(g), schema))
             self._bounded(some.count())
             blocks = -(-blocks // TOGETHER)
             some = some.withColumn("_b", F.floor(F.col("_b") / TOGETHER))
-        some = some.select(*self.columns, "_t", "_id")
+        some = some.select(*self.columns, "_t", "_id", "_w")
         if self.kind in ("nu_svc", "one_class", "nu_svr"):  # a share of all rows must be there to begin with
-            n_some, n_plus = some.agg(F.count("*"), F.count_if(F.col("_t") > 0)).first()
+            n_some, n_plus = some.agg(F.coalesce(F.sum("_w"), F.lit(0.0)), plus_w).first()
             needed = self.nu * n if self.kind == "one_class" else self.nu * n / 2
             if min([n_some] if self.kind != "nu_svc" else [n_plus, n_some - n_plus]) < needed:
-                self._bounded(n)
+                self._bounded(different)
                 some = rows
         while True:
             self.rounds += 1
-            some = pinned(some.groupBy().applyInPandas(lambda g: self._whole(g, n), f"{inner}, _t double, _id long, _a double, _bias double, _width double, _scale double"))
+            some = pinned(some.groupBy().applyInPandas(lambda g: self._whole(g, n), f"{inner}, _t double, _id long, _w double, _a double, _bias double, _width double, _scale double"))
             found = some.toPandas()
             self.bias, self.width, self.scale = (float(found[c].iloc[0]) for c in ("_bias", "_width", "_scale"))
             has = found[found["_a"] != 0]
             self._bounded(len(has))
             self.support, self.coefficients = has[list(self.columns)].to_numpy(float), has["_a"].to_numpy(float)
             broken = rows.join(F.broadcast(some.select("_id")), "_id", "left_anti").withColumn("_v", self._violation())
-            worst = pinned(broken.where(F.col("_v") * self.scale > 2 * self.tol).orderBy(F.col("_v").desc(), "_id").limit(BLOCK).select(*self.columns, "_t", "_id"))
+            worst = pinned(broken.where(F.col("_v") * self.scale > 2 * self.tol).orderBy(F.col("_v").desc(), "_id").limit(BLOCK).select(*self.columns, "_t", "_id", "_w"))
             more = worst.count()
             if not more:
                 return self
             self._bounded(len(found) + more)
-            some = some.select(*self.columns, "_t", "_id").unionByName(worst)
+            some = some.select(*self.columns, "_t", "_id", "_w").unionByName(worst)
 
     def _bounded(self, n: int) -> None:
         if n > self.max_support:
             raise ValueError(f"more than {self.max_support} rows have or may have weight: {n}")
 
-    def _whole(self, rows: pd.DataFrame, n: int) -> pd.DataFrame:
+    def _whole(self, rows: pd.DataFrame, n: float) -> pd.DataFrame:
         rows = rows.sort_values("_id")
-        a, bias, width, scale = self.solved(rows[list(self.columns)].to_numpy(float), rows["_t"].to_numpy(float), float(n))
+        a, bias, width, scale = self.solved(rows[list(self.columns)].to_numpy(float), rows["_t"].to_numpy(float), float(n), rows["_w"].to_numpy(float))
         return rows.assign(_a=a, _bias=bias, _width=width, _scale=scale)
 
     def decision(self) -> Column:

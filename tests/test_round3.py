@@ -57,3 +57,35 @@ def test_relief_ranks_few_pairs(spark):
         return {(a.ref, a.key) for a in p.withColumn("r", r).where("r <= 10").collect()}
 
     assert best(few) == best(pairs.withColumn("_d", F.round("_s", 12)).where("_d > 0"))
+
+
+def test_components_over_forests(spark, monkeypatch):
+    """What is spread over is bounded by nodes, not by edges, and gives the same components."""
+    from tarnwork.operators import graph as G
+
+    monkeypatch.setattr(G, "AT_ONCE", 500)
+    edges = spark.range(300).crossJoin(spark.range(300).withColumnRenamed("id", "j")).where("id % 7 = j % 7 and id <> j").select(F.col("id").alias("src"), F.col("j").alias("dst")).coalesce(2)
+    assert G.forests(edges).count() < edges.count() / 2
+    assert {(r.id, r.component) for r in G.components(edges).collect()} == {(k, k % 7) for k in range(300)}
+    path = spark.range(2000).select(((F.col("id") * 7919) % 4001).alias("src"), ((F.col("id") + 1) * 7919 % 4001).alias("dst"))
+    assert G.components(path).select("component").distinct().count() == 1
+
+
+@pytest.mark.parametrize("kind", ["c_svc", "nu_svc", "one_class", "epsilon_svr", "nu_svr"])
+def test_repeated_rows_are_one_variable(spark, kind):
+    """Forty copies of each row need no more support vectors than one, and give the machine of forty times the bounds."""
+    import numpy as np
+
+    from tarnwork.operators.kernel import Kernel, Machine
+
+    draw = np.random.default_rng(4)
+    points = [(float(a), float(b), (1.0 if a + b + 0.5 * e > 0 else -1.0) if kind in ("c_svc", "nu_svc") else float(a * b + 0.1 * e)) for a, b, e in draw.normal(size=(60, 3))]
+    df = spark.createDataFrame(points, "a double, b double, t double")
+    target = None if kind == "one_class" else "t"
+    # one dual: nu_svr divides its share by C, so that only the bounds' sum matters
+    once = Machine(["a", "b"], kind, Kernel(gamma=0.5), c=40.0, nu=0.3, tol=1e-5).fit(df, target)
+    many = Machine(["a", "b"], kind, Kernel(gamma=0.5), c=1.0, nu=0.3, tol=1e-5, max_support=60).fit(df.crossJoin(spark.range(40)), target)
+    assert len(many.support) <= 60
+    d = lambda m: np.array([r[0] for r in df.orderBy("a").select(m.decision()).collect()])
+    scale = 40 if kind == "one_class" else 1
+    assert np.allclose(d(many), d(once) * scale, atol=2e-3 * scale)
