@@ -89,3 +89,27 @@ def test_repeated_rows_are_one_variable(spark, kind):
     d = lambda m: np.array([r[0] for r in df.orderBy("a").select(m.decision()).collect()])
     scale = 40 if kind == "one_class" else 1
     assert np.allclose(d(many), d(once) * scale, atol=2e-3 * scale)
+
+
+def test_large_blocks_are_dealt(spark, monkeypatch):
+    """One block's pairs are made by several tasks, each pair once."""
+    from tarnwork.operators import distance as D
+
+    monkeypatch.setattr(D, "IN_A_TASK", 20)
+    df = spark.range(200).select(F.col("id").alias("k"), (F.col("id") % 13).cast("double").alias("x"), F.lit(1).alias("b")).coalesce(1)
+    got = D.distance_matrix(df, "k", ["x"], "manhattan", block="b")
+    assert got.select("i", "j").distinct().count() == got.count() == 200 * 199 // 2
+    assert got.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_nearest_vectors_in_slices(spark, monkeypatch):
+    """A task's distances are bounded, whatever the number of probes, and the neighbours stay."""
+    import numpy as np
+
+    from tarnwork.operators import distance as D
+
+    v = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(np.random.default_rng(2).normal(size=(90, 3)))], "k long, v array<double>")
+    found = lambda: sorted(map(tuple, D.nearest_vectors(v, v, "k", "v", 4).collect()))
+    whole = found()
+    monkeypatch.setattr(D, "CELLS", 100)
+    assert found() == whole and len(whole) == 360
