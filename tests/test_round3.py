@@ -113,3 +113,28 @@ def test_nearest_vectors_in_slices(spark, monkeypatch):
     whole = found()
     monkeypatch.setattr(D, "CELLS", 100)
     assert found() == whole and len(whole) == 360
+
+
+@pytest.mark.parametrize("name", ["dtw_of", "pearson_of"])
+def test_pairs_of_blocks(spark, name):
+    """Each pair once, whatever blocks its rows are in; other lengths, unknown arrays and values, equal arrays."""
+    import numpy as np
+
+    from tarnwork.operators import distance as D
+
+    r = np.random.default_rng(5)
+    rows = [(k, [float(v) for v in r.integers(0, 4, 5)]) for k in range(130)] + [(200, None), (201, [1.0, None, 2.0, 0.0, 3.0]), (202, [1.0, 2.0, 5.0]), (203, [2.0, 2.5, 0.0]), (None, [1.0])]
+    rows[7] = (7, rows[8][1])
+    got = D.all_pairs(spark.createDataFrame(rows, "k long, v array<double>"), "k", "v", getattr(D, name)).collect()
+    value, known = dict(rows), lambda v: v is not None and None not in v
+    assert len(got) == 134 * 133 // 2 == len({(x.i, x.j) for x in got}) and all(x.i > x.j for x in got)
+    for x in got:
+        a, b = value[x.i], value[x.j]
+        if not (known(a) and known(b)):
+            assert x.d is None
+        elif name == "dtw_of":
+            assert x.d == pytest.approx(D.dtw(a, b), abs=1e-12)
+        elif len(a) != len(b) or not np.std(a) * np.std(b):
+            assert np.isnan(x.d)
+        else:
+            assert x.d == pytest.approx((1 - np.corrcoef(a, b)[0, 1]) / 2, abs=1e-9)
