@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarnwork import schema as S
 from tarnwork.operators import filters as P
 from tarnwork.operators import relational as R
+from tarnwork.operators.distance import against_all
 from tarnwork.plans.registry import query, sql_uniform, table
 
 #: Lineitem with unknown values, as the tables have none.
@@ -233,7 +234,8 @@ def f23_has_missing(s: SparkSession, d: str) -> DataFrame:
   select a.k as i, b.k as j from a join a b on a.k > b.k and (a.x is null or b.x is null or a.x = b.x) and (a.y is null or b.y is null or a.y = b.y)""")
 def f24_compatible_pairs(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.nullif(F.col("s_nationkey") % 4, F.lit(3)).alias("x"), F.nullif(F.col("s_suppkey") % 3, F.lit(2)).alias("y"))
-    return t.alias("a").join(t.alias("b"), (F.col("a.k") > F.col("b.k")) & P.compatible_pair("a", "b", ["x", "y"])).select(F.col("a.k").alias("i"), F.col("b.k").alias("j"))
+    a, b = against_all(t, "k")
+    return a.join(b, (F.col("a.k") > F.col("b.k")) & P.compatible_pair("a", "b", ["x", "y"])).select(F.col("a.k").alias("i"), F.col("b.k").alias("j"))
 
 
 _C = "(select c_custkey, c_name, nullif(c_nationkey, 7) as nk from customer)"

@@ -138,3 +138,39 @@ def test_pairs_of_blocks(spark, name):
             assert np.isnan(x.d)
         else:
             assert x.d == pytest.approx((1 - np.corrcoef(a, b)[0, 1]) / 2, abs=1e-9)
+
+
+@pytest.mark.parametrize("name", ["n2_hamming", "f24_compatible_pairs", "l27_consensus"])
+def test_pairs_are_dealt_to_tasks(spark, name):
+    """A table of one file gives pairs in as many tasks as a shuffle has."""
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 8
+
+
+@pytest.mark.parametrize("most", [100, 0])
+def test_consensus_of_kinds(spark, monkeypatch, most):
+    """Runs without a common id, unknown clusters and repeated rows, by kinds and by pairs of ids."""
+    from tarnwork.operators import learn
+
+    monkeypatch.setattr(learn, "MOST_KINDS", most)
+    rows = [(r, k, (k * r) % 3 if (k + r) % 7 else None) for r in range(4) for k in range(30) if (k + r) % 5] + [(9, 77, 1), (9, 78, 1), (10, 79, 1), (1, 4, 2), (1, 4, 0)]
+    want: dict = {}
+    for r, k, c in rows:
+        for q, m, e in rows:
+            if r == q and k < m:
+                want.setdefault((k, m), []).extend([] if c is None or e is None else [float(c == e)])
+    plan = learn.consensus(spark.createDataFrame(rows, "run long, id long, cluster long"))
+    got = {(x.a, x.b): x.share for x in plan.collect()}
+    assert got == {p: pytest.approx(sum(v) / len(v)) if v else None for p, v in want.items()}
+
+
+def test_outliers_without_pairs(spark):
+    """As from the matrix of all pairs, with unknown and equal values; no join of pairs is planned."""
+    from tarnwork.operators import distance as D
+
+    rows = [(k, float(k * k % 17) if k % 6 else None, float(k % 4)) for k in range(60)]
+    df = spark.createDataFrame(rows, "k long, x double, y double")
+    want = {r.id: r.z for r in D.outliers(D.distance_matrix(df, "k", ["x", "y"], "manhattan")).collect()}
+    got = D.manhattan_outliers(df, "k", ["x", "y"])
+    assert {r.id: r.z for r in got.collect()} == {k: pytest.approx(z, abs=1e-9) for k, z in want.items()}
+    for few in (0, 1):
+        assert D.manhattan_outliers(df.limit(few), "k", ["x", "y"]).collect() == D.outliers(D.distance_matrix(df.limit(few), "k", ["x", "y"], "manhattan")).collect()
