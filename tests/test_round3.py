@@ -174,3 +174,10 @@ def test_outliers_without_pairs(spark):
     assert {r.id: r.z for r in got.collect()} == {k: pytest.approx(z, abs=1e-9) for k, z in want.items()}
     for few in (0, 1):
         assert D.manhattan_outliers(df.limit(few), "k", ["x", "y"]).collect() == D.outliers(D.distance_matrix(df.limit(few), "k", ["x", "y"], "manhattan")).collect()
+
+
+def test_bootstrap_is_dealt_and_hashes_once(spark):
+    """A table of one file goes to all cores, and no condition hashes a row for each step."""
+    got = registry.QUERIES["r8_bootstrap"](spark, "/root/testdata/sf0.001")
+    assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
