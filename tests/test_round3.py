@@ -181,3 +181,15 @@ def test_bootstrap_is_dealt_and_hashes_once(spark):
     got = registry.QUERIES["r8_bootstrap"](spark, "/root/testdata/sf0.001")
     assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert got._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+
+
+def test_degrees_tell_edges_apart_once(spark):
+    """Repeated edges, both directions, loops and unknown ends; one distinct in the plan."""
+    from tarnwork.operators import graph
+
+    rows = [(1, 2), (2, 1), (1, 2), (3, 3), (1, 3), (None, 4), (4, None), (5, 1)]
+    got = graph.degrees(spark.createDataFrame(rows, "src long, dst long"))
+    assert {r.id: r.degree for r in got.collect()} == {1: 3, 2: 1, 3: 1, 5: 1}
+    for name in ("n17_degrees", "n17_degree_distribution"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Aggregate") == 2 + (name == "n17_degree_distribution") and "Union" not in plan
