@@ -71,6 +71,18 @@ def test_far_squares_replace_pairs(spark):
     assert done[1] < 0.6 * done[0]
 
 
+def test_no_pairs_through_the_driver(spark):
+    """Nothing is broadcast to evaluate potentials."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame(rows(2000), SCHEMA)
+        m = P.Potentials(NAMES, "y", law="square").fit(df)
+        found = m.potentials(m.project(df).select(F.col("_px").alias("tx"), F.col("_py").alias("ty")))
+        assert "Broadcast" not in found._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_bounds_hold():
     """The bound on the law against the worst of random squares."""
     rng = np.random.default_rng(0)
