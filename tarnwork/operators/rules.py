@@ -225,20 +225,19 @@ class RuleLearner:
         kept = self.corrected(p, n, pos, all_, self.extremes[target][size - 1], parent)
         return (kept + self.m * pos / all_) / (n + self.m), kept / n
 
-    def _better(self, target: str, rule: Rule) -> Column:
-        """Positive rows of a cell for which a rule of this quality is an improvement."""
-        return (F.col("_y") == target) & (F.col("_best") < rule.quality)
+    @staticmethod
+    def _order(found: tuple[str, Rule]) -> tuple:
+        t, r = found
+        return -round(r.quality, 12), len(r.conditions), r.conditions, t
 
-    def best_rule(self, cells: DataFrame, targets: Sequence[str]) -> tuple[str, Rule] | None:
-        """The best rule of any of the classes over cells of rows with a weight."""
+    def _tried(self, cells: DataFrame, targets: Sequence[str]) -> Iterator[list[tuple[str, Rule]]]:
+        """For each length the rules of the beam search over cells of rows with a weight, best first."""
         weight = F.col("_n") * F.col("_w")
         extra = {"all": weight, "rows": F.col("_n")} | {f"p{k}": F.when(F.col("_y") == t, weight).otherwise(0.0) for k, t in enumerate(targets)}
         whole = cells.agg(*(F.sum(x).alias(n) for n, x in extra.items())).first()
         if not whole["all"]:
-            return None
+            return
         front: list[tuple[Rule, Conditions]] = [(Rule((), 0, 0, 0, 1.0), ())]
-        best: tuple[str, Rule] | None = None
-        order = lambda t, r: (-round(r.quality, 12), len(r.conditions), r.conditions, t)
         for size in range(1, self.length + 1):
             tried = []
             parents = {c: r for r, c in front}
@@ -252,29 +251,42 @@ class RuleLearner:
                         quality, share = self._quality(r[f"p{k}"], r["all"], whole[f"p{k}"], whole["all"], size, t, left)
                         if self.alpha >= 1 or 2 * chi_tail(float(chi(r[f"p{k}"], r["all"] - r[f"p{k}"], whole[f"p{k}"], whole["all"] - whole[f"p{k}"]))) <= self.alpha:
                             tried.append((t, Rule(conditions, quality, r[f"p{k}"], r["all"], share)))
-            tried.sort(key=lambda x: order(*x))
+            tried.sort(key=self._order)
             if not tried:
                 break
-            usable = tried if self.covering != "probable" else self._improving(cells, tried)
-            if usable and (best is None or order(*usable[0]) < order(*best)):
-                best = usable[0]
+            yield tried
             seen: dict[Conditions, Rule] = {}
             for _, r in tried:
                 seen.setdefault(r.conditions, r)
             front = [(r, c) for c, r in list(seen.items())[: self.beam]]
-        return best
-
-    def _improving(self, cells: DataFrame, tried: list[tuple[str, Rule]]) -> list[tuple[str, Rule]]:
-        """Those of the best that are better than what enough rows of their class have; looked at in parts, best first."""
-        for at in range(0, len(tried), 50):
-            part = [x for x in tried[at : at + 50] if x[1].quality > self.shares[x[0]] + 1e-3]
-            if not part:
-                return []
-            row = cells.agg(*(F.sum(F.when(r.applies() & self._better(t, r), F.col("_n")).otherwise(0.0)).alias(str(k)) for k, (t, r) in enumerate(part))).first()
-            good = [x for k, x in enumerate(part) if row[str(k)] >= self.least_improved]
-            if good:
-                return good
-        return []
+
+    def best_rule(self, cells: DataFrame, targets: Sequence[str]) -> tuple[str, Rule] | None:
+        """The best rule of any of the classes over cells of rows with a weight."""
+        return min((tried[0] for tried in self._tried(cells, targets)), key=self._order, default=None)
+
+    def _improving(self, cells: DataFrame, target: str) -> None:
+        """Takes rules, best first, each of which is better than what enough rows of its class have from those before.
+
+        The search counts all rows, whatever they have, so it is made once; and a rule that is no improvement never becomes one. Rules are looked at in parts: positive rows are counted by
+        which rules of the part would improve them, so a pass brings at most 2^12 rows, and what the part's own rules give is taken off here.
+        """
+        own = cells.where(F.col("_y") == target)
+        tried = sorted((x for part in self._tried(cells, [target]) for x in part if x[1].quality > self.shares[target] + 1e-3), key=self._order)
+        for at in range(0, len(tried), 12):
+            part = [r for _, r in tried[at : at + 12]]
+            which = sum((F.when(r.applies() & (F.col("_best") < r.quality), F.lit(1 << k)).otherwise(0) for k, r in enumerate(part)), F.lit(0))
+            rows = [(int(x["which"]), x["n"]) for x in own.groupBy(which.alias("which")).agg(F.sum("_n").alias("n")).collect()]
+            taken = []
+            for k, r in enumerate(part):
+                done = sum(1 << j for j in taken if part[j].quality >= r.quality)
+                if sum(n for x, n in rows if x >> k & 1 and not x & done) >= self.least_improved:
+                    taken.append(k)
+                    if sum(t == target for t, _ in self.rules) >= self.most_rules:
+                        raise RuntimeError(f"more than {self.most_rules} rules")
+                    self.rules.append((target, r))
+            if taken:
+                have = [F.when(part[j].applies(), F.lit(part[j].quality)) for j in taken]
+                own = pinned(own.withColumn("_best", F.greatest("_best", *have)))
 
     def fit(self, df: DataFrame) -> RuleLearner:
         self.rules, self.extremes = [], {}
@@ -287,8 +299,10 @@ class RuleLearner:
         for target in self.shares if len(self.shares) > 1 else ():
             if self.measure == "evc":
                 self.extremes[target] = self.fit_extremes(self.best_by_chance(cells, target))
-            start = cells if self.covering != "probable" else cells.withColumn("_best", F.lit(self.shares[target]))
-            self._cover(start, [target])
+            if self.covering == "probable":
+                self._improving(cells.withColumn("_best", F.lit(self.shares[target])), target)
+            else:
+                self._cover(cells, [target])
         return self
 
     def _cover(self, cells: DataFrame, targets: list[str]) -> None:
@@ -304,10 +318,8 @@ class RuleLearner:
                 cells = cells.where(~rule.applies())
             elif self.covering == "unordered":
                 cells = cells.where(~(rule.applies() & own))
-            elif self.covering == "weighted":
-                cells = cells.withColumn("_w", F.when(rule.applies() & own, F.col("_w") * self.factor).otherwise(F.col("_w")))
             else:
-                cells = cells.withColumn("_best", F.when(rule.applies() & own, F.greatest("_best", F.lit(rule.quality))).otherwise(F.col("_best")))
+                cells = cells.withColumn("_w", F.when(rule.applies() & own, F.col("_w") * self.factor).otherwise(F.col("_w")))
             if len(self.rules) % 8 == 0:
                 cells = pinned(cells)
         raise RuntimeError(f"more than {self.most_rules} rules")

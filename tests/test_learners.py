@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwork.operators import kernel as K
+from tarnwork.operators import rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -493,3 +494,26 @@ def test_components(spark, supervised):
         Components(["d"]).fit(df)
     with pytest.raises(ValueError, match="no rows"):
         Components(["a"]).fit(df.limit(0))
+
+
+def test_probable_covering_searches_once(spark, monkeypatch):
+    """The beam search counts all rows whatever rules they have, so it is made once for each class; the rules are those of taking the best improvement again and again."""
+    rng = np.random.default_rng(3)
+    data = [(str(int(a)), str(int(b)), "yes" if (a + b) % 3 == 0 or rng.random() < 0.2 else "no") for a, b in rng.integers(0, 6, (600, 2))]
+    df = spark.createDataFrame(data, "a string, b string, y string")
+    calls, counted = [], rules.RuleLearner.counted
+    monkeypatch.setattr(rules.RuleLearner, "counted", lambda *given: (calls.append(1), counted(*given))[1])
+    m = rules.RuleLearner(["a", "b"], "y", covering="probable", measure="m", beam=3, length=2, least_improved=5).fit(df)
+    assert len(calls) == 4 and len(m.rules) > 5  # two classes, two lengths
+    for target in ("no", "yes"):
+        share = sum(y == target for *_, y in data) / len(data)
+        at, have, want = lambda r, row: all(row["ab".index(c)] == v for c, v in r.conditions), [share] * len(data), []
+        cells = m.cells(df).withColumns({"_w": F.lit(1.0), "_best": F.lit(share)})
+        tried = sorted((x for part in m._tried(cells, [target]) for x in part), key=m._order)
+        while True:
+            found = next((r for _, r in tried if r.quality > share + 1e-3 and sum(at(r, row) and row[2] == target and h < r.quality for row, h in zip(data, have, strict=True)) >= 5), None)
+            if found is None:
+                break
+            want.append(found)
+            have = [max(h, found.quality) if at(found, row) else h for row, h in zip(data, have, strict=True)]
+        assert [r for t, r in m.rules if t == target] == want
