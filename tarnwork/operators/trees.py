@@ -17,8 +17,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.operators.relational import running
+from tarnwork.operators.relational import running, spread
 from tarnwork.schema import values_of
+from tarnwork.session import pinned
 
 #: An array of these is the tree: the column's place (-1: a leaf), the cut, children by value or [at most, more], where rows of unknown value go with which share, and the node's rows and impurity.
 NODE = "array<struct<column: int, cut: double, kids: array<int>, spread: array<struct<node: int, share: double>>, n: double, impure: double>>"
@@ -208,7 +209,7 @@ class DecisionTree:
         self.values = found
         if self.branches == "subset" and len(self.classes) > 2:
             raise ValueError("subsets of values are for two classes or numbers")
-        rows, parts = self._prepared(df).select("_x", "_y", "_w"), self._parts()
+        rows, parts = pinned(spread(self._prepared(df).select("_x", "_y", "_w"))), self._parts()
         whole = rows.agg(*(F.sum(x).alias(n) for n, x in parts.items())).first()
         self.nodes = [Node([whole[n] or 0.0 for n in parts])]
         open_ = [0]
@@ -227,8 +228,8 @@ class DecisionTree:
 
     def _worth(self, sums: list[float]) -> bool:
         top = 0.0 if self.numeric else max(sums[1:], default=0.0)
-        spread = self._impurity(sums)
-        return sums[0] > 0 and sums[0] >= 2 * self.min_rows - 1e-9 and (spread > 1e-12 * (abs(sums[2]) + 1) if self.numeric else top < self.max_majority * sums[0] - 1e-9 and spread > 1e-9)
+        impure = self._impurity(sums)
+        return sums[0] > 0 and sums[0] >= 2 * self.min_rows - 1e-9 and (impure > 1e-12 * (abs(sums[2]) + 1) if self.numeric else top < self.max_majority * sums[0] - 1e-9 and impure > 1e-9)
 
     def _branched(self, at: DataFrame, best: dict, parts: dict[str, Column]) -> list[int]:
         """Nodes for the branches of the chosen splits; their sums, and the value above a cut, come from one aggregation."""
@@ -257,8 +258,7 @@ class DecisionTree:
                 node.own = len(self.nodes)
                 self.nodes.append(Node(list(lost)))
             else:
-                spread = [] if self.unknown == "ignore" else self._spread(i, self.unknown)
-                for k, share in spread:
+                for k, share in [] if self.unknown == "ignore" else self._spread(i, self.unknown):
                     self.nodes[k].sums = [a + share * b for a, b in zip(self.nodes[k].sums, lost, strict=True)]
             grown += [*place.values(), *([node.own] if node.own is not None else [])]
         return grown
@@ -274,7 +274,7 @@ class DecisionTree:
         kept = df.columns
         if self.nodes[0].sums[0] <= 0:
             return df.withColumn("prediction", F.lit(None).cast("double" if self.numeric else "string"))
-        down = self._descended(self._prepared(df.withColumn("_w", F.lit(1.0))), self.unknown_at, self._depth())
+        down = self._descended(self._prepared(spread(df).withColumn("_w", F.lit(1.0))), self.unknown_at, self._depth())
         answers = F.from_json(F.lit(json.dumps(self._answers())), "array<array<double>>")
         total = F.aggregate("_at", F.lit(0.0), lambda a, e: a + e["w"])
         mean = lambda j: F.aggregate("_at", F.lit(0.0), lambda a, e: a + e["w"] * F.get(F.get(answers, e["node"]), F.lit(j))) / total

@@ -222,3 +222,13 @@ def test_tree_queries(spark):
     assert t.where("prediction = three").count() > 0.8 * t.count()
     r = learners.l7_regression_tree(spark, SF).agg(F.avg((F.col("z") - F.col("prediction")) ** 2).alias("e"), F.var_pop("z").alias("v"), F.count("*").alias("n")).first()
     assert r.e < 0.35 * r.v and r.n == t.count()
+
+
+def test_rows_are_dealt_to_all_cores(spark, monkeypatch):
+    """Levels pass over the rows of a table in one file with all cores."""
+    seen, own = [], DecisionTree._descended
+    monkeypatch.setattr(DecisionTree, "_descended", lambda tree, df, *more: (seen.append(df.rdd.getNumPartitions()), own(tree, df, *more))[1])
+    df = spark.range(0, 200, 1, 1).selectExpr("cast(id as double) as x", "cast(id > 90 as string) as y")
+    tree = DecisionTree(["x"], [], "y", depth=2).fit(df)
+    assert tree.transform(df).where("prediction = y").count() == 200
+    assert len(seen) >= 2 and min(seen) == spark.sparkContext.defaultParallelism
