@@ -5,19 +5,24 @@ Then all rows are held against that model, a pass of tasks; the worst that break
 the solution is that of all rows together, whatever the blocks. What a task or the model holds is bounded by the number of support vectors,
 `max_support`, and more are an error. Of the nu kinds a share nu of all rows are support vectors by definition. Rows of equal values and target are one
 variable with the sum of their bounds, which is the same problem: such rows count once.
+
+Of more than MOST_HELD different rows too many may have weight. Where a kernel over them is made by few landmarks (in few columns a smooth one is; all rows are
+held against that), the same conditions are met without holding any: the primal over the landmarks is solved by Newton steps, each an aggregation over all rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwork.operators.relational import spread
 from tarnwork.session import pinned
 
 KINDS = ("c_svc", "nu_svc", "one_class", "epsilon_svr", "nu_svr")
@@ -25,6 +30,10 @@ KINDS = ("c_svc", "nu_svc", "one_class", "epsilon_svr", "nu_svr")
 BLOCK, TOGETHER = 1500, 4
 #: Bytes of kernel rows that a solver remembers.
 REMEMBERED = 256 << 20
+#: Different rows of which blocks' support vectors are always put together; landmarks of a kernel, and rows that they are first looked for among.
+MOST_HELD, MOST_RANK, FIRST = 20_000, 400, 4_000
+#: Bytes of tasks' sums that come to the driver without being put together first.
+MOST_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -50,6 +59,11 @@ class Kernel:
     def diagonal(self, a: np.ndarray) -> np.ndarray:
         return np.array([self.matrix(x[None], x[None])[0, 0] for x in a])
 
+    def own(self, a: np.ndarray) -> np.ndarray:
+        """`diagonal`, for many rows and kernels that are inner products."""
+        dots = (a * a).sum(1)
+        return np.ones(len(a)) if self.kind == "rbf" else dots if self.kind == "linear" else ((self.gamma or 1.0 / a.shape[1]) * dots + self.coef0) ** self.degree
+
 
 @dataclass
 class Problem:
@@ -122,6 +136,24 @@ def _level(v: np.ndarray, a: np.ndarray, y: np.ndarray, top: np.ndarray, some: n
     return float((least + most) / 2) if np.isfinite(least) and np.isfinite(most) else float(least if np.isfinite(least) else most if np.isfinite(most) else 0.0)
 
 
+def landmarks(x: np.ndarray, kernel: Kernel, left: float, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Points of x, and the inverse of the kernel's Cholesky factor over them, that leave at most `left` of each point's kernel with itself: always the worst next. None if these are more than `most`."""
+    rest, g, own = kernel.own(x), np.zeros((len(x), most)), []
+    while len(own) <= most:
+        worst = int(rest.argmax())
+        if rest[worst] <= left:
+            factor = g[own, : len(own)]
+            return x[own], np.linalg.inv(factor) if own else factor
+        if len(own) == most:
+            break
+        k = len(own)
+        g[:, k] = (kernel.matrix(x, x[worst : worst + 1])[:, 0] - g[:, :k] @ g[worst, :k]) / np.sqrt(rest[worst])
+        rest = rest - g[:, k] ** 2
+        own.append(worst)
+        rest[own] = 0.0
+    return None
+
+
 def filled(top: np.ndarray, total: float) -> np.ndarray:
     """From the first on, at their tops until `total` is reached."""
     before = np.cumsum(top) - top
@@ -208,6 +240,8 @@ class Machine:
             return self
         if self.kind == "nu_svc" and self.nu * n / 2 > min(plus, n - plus):
             raise ValueError(f"nu is at most {2 * min(plus, n - plus) / n} for these classes")
+        if different > MOST_HELD and self._by_landmarks(rows, n):
+            return self
         blocks = -(-different // BLOCK)
         inner = ", ".join(f"`{c}` double" for c in self.columns)
         schema = f"{inner}, _t double, _id long, _w double, _from long, _n double, _b long"
@@ -241,6 +275,132 @@ class Machine:
             self._bounded(len(found) + more)
             some = some.select(*self.columns, "_t", "_id", "_w").unionByName(worst)
 
+    def _landmarks(self, rows: DataFrame, left: float) -> tuple[np.ndarray, np.ndarray] | None:
+        """`landmarks` that leave at most `left` of any row: what a bounded number of rows need, then what the worst of all rows need besides."""
+        names, kernel, most = list(self.columns), self.kernel, min(MOST_RANK, self.max_support)
+        some = rows.orderBy(F.xxhash64("_id"), "_id").limit(FIRST).select(*names).toPandas().to_numpy(float)
+        while (found := landmarks(some, kernel, left / 2, most)) is not None:
+            at, inverse = found
+
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for batch in batches:
+                    x = batch.to_numpy(float)
+                    rest = kernel.own(x) - ((kernel.matrix(x, at) @ inverse.T) ** 2).sum(1)
+                    yield batch[rest > left].assign(_left=rest[rest > left])
+
+            inner = ", ".join(f"`{c}` double" for c in names)
+            worst = rows.select(*names).mapInPandas(run, f"{inner}, _left double").distinct().orderBy(F.col("_left").desc(), *names).limit(BLOCK).toPandas()
+            if not len(worst):
+                return found
+            some = np.concatenate([at, worst[names].to_numpy(float)])
+        return None
+
+    def _by_landmarks(self, rows: DataFrame, n: float) -> bool:
+        """Finds the machine by Newton steps over landmarks' weights, the bias and the tube's width if nu makes it; False if the kernel has no few landmarks.
+
+        Of nu_svc, whose margin may be as small as `tol`, and of sigmoid kernels, which are no inner products, it finds none.
+
+        A row's part of its bound grows in proportion over a band of `wide` around where the conditions let it: these hold within that, which shrinks down to half of `tol`.
+        """
+        if self.kind == "nu_svc" or self.kernel.kind == "sigmoid":
+            return False
+        apart = self.kind == "nu_svr"
+        of_all = self.nu * n * (self.c if apart else 1.0)  # of nu_svr and one_class, the sum of all weights
+        bound = of_all if self.kind in ("nu_svr", "one_class") else self.c * n * max(self.weights)
+        rows = pinned(spread(rows).repartition(*self.columns).sortWithinPartitions(*self.columns))
+        scale = max(1e-300, float(rows.agg(F.max(sum((F.col(c) * F.col(c) for c in self.columns), F.lit(0.0)))).first()[0]))
+        scale = float(self.kernel.own(np.array([[np.sqrt(scale)] + [0.0] * (len(self.columns) - 1)]))[0])
+        left = max(self.tol / 4 / bound, 1e-12 * scale)
+        if (found := self._landmarks(rows, left)) is None:
+            return False
+        at, inverse = found
+        r = len(at)
+        linear = np.concatenate([np.zeros(r), [of_all if self.kind == "one_class" else 0.0, of_all if apart else 0.0]])
+        ridge = np.concatenate([np.ones(r), [0.0, 0.0]])
+
+        def value(sums: dict, w: np.ndarray) -> float:
+            return float((ridge * w) @ w / 2 + linear @ w + sums["loss"])
+
+        w, wide = np.zeros(r + 2), max(1.0, self.tol, 4 * (float(rows.agg(F.max(F.abs("_t"))).first()[0]) if self.kind.endswith("svr") else 1.0))
+        if not apart:
+            ridge[r + 1] = 1.0  # the width stays 0
+        while True:
+            sums = self._sums(rows, n, at, inverse, w, wide)
+            for _ in range(200):
+                self.rounds += 1
+                slope = ridge * w + linear + sums["slope"]
+                curve = np.diag(ridge) + sums["curve"]
+                curve[range(r, r + 2), range(r, r + 2)] += 1e-9 * (1 + curve[range(r, r + 2), range(r, r + 2)])
+                step = -np.linalg.solve(curve, slope)
+                gain = float(-slope @ step)
+                if wide > self.tol / 2 and gain <= 1e-6 * (1 + abs(value(sums, w))):  # good enough to go on from
+                    break
+                if gain <= 1e-10 * (1 + abs(value(sums, w))) and np.abs(slope[:r]).max(initial=0) <= self.tol / 10 and np.abs(slope[r:]).max() <= 1e-6 * (1 + sums["all"]):
+                    break
+                share = min(1.0, 8 * wide / max(np.abs(step[r:]).sum(), 1e-300))  # no farther than the curve, which few rows in the band may make, is known
+                ahead = self._sums(rows, n, at, inverse, w + share * step, wide)
+                for _ in range(40):
+                    if value(ahead, w + share * step) <= value(sums, w) - 1e-4 * share * gain + 1e-12 * abs(value(sums, w)):
+                        break
+                    share /= 2
+                    ahead = self._sums(rows, n, at, inverse, w + share * step, wide)
+                w, sums = w + share * step, ahead
+            else:
+                raise RuntimeError("the solver did not converge")
+            if wide <= self.tol / 2:
+                break
+            wide = max(wide / 4, self.tol / 2)
+        if sums["all"] * left > self.tol / 2:
+            return False
+        self.support, self.coefficients, self.bias = at, inverse.T @ w[:r], float(w[r])
+        self.width = float(w[r + 1]) if apart else self.epsilon if self.kind == "epsilon_svr" else 0.0
+        return True
+
+    def _sums(self, rows: DataFrame, n: float, at: np.ndarray, inverse: np.ndarray, w: np.ndarray, wide: float) -> dict:
+        """Over all rows: the loss, its slope and curve by w (landmarks' weights, bias, width), and the sum of what rows have of their bounds."""
+        names, r = list(self.columns), len(at)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, every, slope, curve = 0.0, 0.0, np.zeros(r + 2), np.zeros((r + 2, r + 2))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = np.column_stack([batch.column(c).to_numpy() for c in names])
+                own = np.concatenate([[True], (x[1:] != x[:-1]).any(1)])  # equal points are neighbours
+                point, x = np.cumsum(own) - 1, x[own]
+                p = self.problem(point, batch.column("_t").to_numpy(), n, batch.column("_w").to_numpy())
+                of, phi = point[p.of], self.kernel.matrix(x, at) @ inverse.T
+                u = -p.p - p.y * (phi @ w[:r] + w[r])[of] - w[r + 1]
+                share = np.clip(u / wide + 0.5, 0, 1)
+                loss += float((p.top * np.where(share < 1, wide / 2 * share * share, u)).sum())
+                a, bend = p.top * share, p.top / wide * ((share > 0) & (share < 1))
+                every += float(a.sum())
+                slope -= np.concatenate([np.bincount(of, a * p.y, len(x)) @ phi, [(a * p.y).sum(), a.sum()]])
+                here = np.bincount(of, bend, len(x))
+                some = here > 0
+                curve[:r, :r] += (phi[some].T * here[some]) @ phi[some]
+                curve[:r, r] += here @ phi
+                curve[:r, r + 1] += np.bincount(of, bend * p.y, len(x)) @ phi
+                curve[r, r] += bend.sum()
+                curve[r, r + 1] += (bend * p.y).sum()
+                curve[r + 1, r + 1] += bend.sum()
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[loss, every], slope, curve.ravel()]).tobytes()], pa.binary())], names=["sums"])
+
+        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = sum((np.frombuffer(v.as_py()) for batch in batches for v in batch.column(0)), np.zeros(2 + r + 2 + (r + 2) ** 2))
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
+
+        parts = rows.select(*names, "_t", "_w").mapInArrow(run, "sums binary")
+        few = rows.rdd.getNumPartitions() * (r + 4) ** 2 * 8 <= MOST_BYTES
+        out = sum(np.frombuffer(v[0]) for v in (parts if few else parts.repartition(1).mapInArrow(total, "sums binary")).collect())
+        curve = out[r + 4 :].reshape(r + 2, r + 2)
+        upper = np.triu(curve, 1)
+        upper[:r, :r] = 0
+        slope, curve = out[2 : r + 4].copy(), curve + upper.T
+        if self.kind != "nu_svr":
+            slope[r + 1] = curve[r + 1] = curve[:, r + 1] = 0
+        return {"loss": out[0], "all": out[1], "slope": slope, "curve": curve}
+
     def _bounded(self, n: int) -> None:
         if n > self.max_support:
             raise ValueError(f"more than {self.max_support} rows have or may have weight: {n}")
