@@ -25,3 +25,24 @@ def test_landmarks_instead_of_support(spark, monkeypatch, kind, target, options)
     assert len(few.support) <= 55 < len(plain.support)
     assert few.width == pytest.approx(plain.width, abs=2e-3) or kind == "c_svc"
     assert df.agg(F.max(F.abs(few.decision() - plain.decision()))).first()[0] < 0.02
+
+
+def test_distance_rows_in_several_files(spark, tmp_path, monkeypatch):
+    """Rows are written in runs, none is shuffled as a line, and files are read back in their order, in splits that end inside them; unknown distances too."""
+    from tarnwork.sources import readers, writers
+
+    monkeypatch.setattr(writers, "CELLS_IN_A_FILE", 2000, raising=False)
+    monkeypatch.setattr(readers, "numbered", lambda *a, **k: pytest.fail("lines are sorted"), raising=False)
+    x = [None if k % 17 == 3 else (k * 37 % 101) / 4 for k in range(400)]
+    t = spark.createDataFrame([(k, f"r{k}", v) for k, v in enumerate(x)], "i long, label string, x double")
+    path, every = str(tmp_path / "m.dst"), spark.createDataFrame([(x,)], "every array<double>")
+    writers.write_distance_rows(t.repartition(5), path, 400, F.transform(F.slice("every", F.lit(1), F.col("i").cast("int")), lambda v: F.abs(F.col("x") - v)), every)
+    assert len(list((tmp_path / "m.dst").glob("part-*"))) > 20
+    for size in ("128m", "5k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            assert {(r.i, r.label) for r in readers.read_distance_labels(spark, path).collect()} == {(k, f"r{k}") for k in range(400)}
+            got = {(r.i, r.j): r.d for r in readers.read_distance_matrix(spark, path).collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == {(a, b): None if x[a] is None or x[b] is None else abs(x[a] - x[b]) for a in range(400) for b in range(a)}
