@@ -46,3 +46,16 @@ def test_distance_rows_in_several_files(spark, tmp_path, monkeypatch):
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
         assert got == {(a, b): None if x[a] is None or x[b] is None else abs(x[a] - x[b]) for a in range(400) for b in range(a)}
+
+
+def test_clustering_of_near_values(spark):
+    """As of the links themselves, with equal, negative, unknown, infinite and lone values, and differences that are rounded to `reach`."""
+    from tarnwork.operators import graph as G
+
+    rng = np.random.default_rng(2)
+    x = [*(rng.integers(-300, 300, 150) / 10), 0.1, 0.4, 0.7, 0.30000000000000004, 1e3, -0.0, 0.0, None, float("nan"), float("inf"), float("inf")]
+    t = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in enumerate(x)], "id long, x double")
+    for reach in (0.3, 2.0, 17.5):
+        edges = t.alias("a").join(t.alias("b"), (F.col("a.id") > F.col("b.id")) & (F.abs(F.col("a.x") - F.col("b.x")) <= reach)).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
+        want = {r.id: round(r.coefficient, 12) for r in G.clustering(edges).collect()}
+        assert {r.id: round(r.coefficient, 12) for r in G.near_clustering(t, "id", "x", reach).collect()} == want and len(want) > 50
