@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnwork.operators.aggregate import domain_contingency
-from tarnwork.operators.relational import numbered, running, spread
+from tarnwork.operators.relational import checked_broadcast, numbered, running, spread
 from tarnwork.session import pinned
 
+#: What sums of differences may be apart by rounding, with room to spare.
+ROOM = 1e-11
+
 
 def _h(w: Column, total: Column) -> Column:
     """Sum of -p log2 p in an aggregation over weights."""
@@ -126,19 +133,18 @@ def relief_neighbours(df: DataFrame, continuous: Sequence[str], discrete: Sequen
     unknown class or value are left out.
     """
     rows = df.where(F.col(class_name).isNotNull()).select(F.col(key).alias("key"), F.col(class_name).alias("y"), *continuous, *discrete)
-    n_rows = rows.count()
     spans = rows.agg(*(f(c).cast("double").alias(f"{n}{i}") for i, c in enumerate([*continuous, *(["y"] if regression else [])]) for n, f in (("lo", F.min), ("hi", F.max), ("mean", F.avg)))).first()
+    known, alike = rows, {}
     for c in discrete:  # each row's value with its share among the known ones
-        n = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
-        shares = n.join(F.broadcast(n.agg(F.sum("_n").alias("_all"))), how="cross").select(F.col(c).alias("_v"), (F.col("_n") / F.col("_all")).alias(f"p_{c}"))
-        rows = rows.join(shares, F.col(c) == F.col("_v"), "left").drop("_v")
-    same = {c: rows.where(F.col(c).isNotNull()).agg(F.sum(F.col(f"p_{c}"))).first()[0] for c in discrete}  # sum of p over rows is n times the sum of p^2
-    known = {c: rows.where(F.col(c).isNotNull()).count() for c in discrete}
+        n = known.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
+        shares = pinned(n.join(F.broadcast(n.agg(F.sum("_n").alias("_all"))), how="cross").select(F.col(c).alias("_v"), (F.col("_n") / F.col("_all")).alias(f"p_{c}")))
+        alike[c] = shares.agg(F.sum(F.col(f"p_{c}") * F.col(f"p_{c}"))).first()[0]
+        rows = rows.join(checked_broadcast(shares), F.col(c) == F.col("_v"), "left").drop("_v")
     every = [*continuous, *discrete]
     if not regression:
-        sizes = rows.groupBy("y").agg(F.count("*").alias("_n"))
+        sizes = known.groupBy("y").agg(F.count("*").alias("_n"))
         sizes = sizes.join(F.broadcast(sizes.agg(F.sum("_n").alias("_all"))), how="cross").select(F.col("y").alias("_c"), (F.col("_n") / F.when(F.col("_all") > F.col("_n"), F.col("_all") - F.col("_n"))).alias("odds"))
-        rows = rows.join(sizes, F.col("y") == F.col("_c")).drop("_c")
+        rows = rows.join(checked_broadcast(pinned(sizes)), F.col("y") == F.col("_c")).drop("_c")
     ref = rows.orderBy(F.md5(F.col("key").cast("string")), "key").limit(m).select(F.col("key").alias("ref"), F.col("y").alias("y_ref"), *(F.col(c).alias(f"a_{c}") for c in every), *(F.col(f"p_{c}").alias(f"q_{c}") for c in discrete))
 
     def apart(i: int, a: Column, b: Column) -> Column:
@@ -149,15 +155,15 @@ def relief_neighbours(df: DataFrame, continuous: Sequence[str], discrete: Sequen
 
     def differ(c: str) -> Column:
         a, b = F.col(f"a_{c}"), F.col(c)
-        twice = 1 - same[c] / known[c] if known[c] else 0.0
+        twice = 1 - alike[c] if alike[c] is not None else 0.0
         return F.when(a.isNull() & b.isNull(), twice).when(a.isNull(), 1 - F.col(f"p_{c}")).when(b.isNull(), 1 - F.col(f"q_{c}")).otherwise((a != b).cast("double"))
 
-    ref = pinned(ref)
-    pairs = spread(rows).join(F.broadcast(ref), F.col("key") != F.col("ref"))
+    ref = pinned(ref.withColumn("_at", F.monotonically_increasing_id()))
+    of = ["ref"] if regression else ["ref", "y"]
+    pairs = _candidates(spread(rows), ref, continuous, discrete, spans, alike, k, "y" if not regression else None).join(F.broadcast(ref), "_at")
     pairs = pairs.withColumns({f"d_{c}": apart(i, F.col(f"a_{c}"), F.col(c)) for i, c in enumerate(continuous)} | {f"d_{c}": differ(c) for c in discrete})
     pairs = pairs.withColumn("_s", reduce(lambda a, b: a + b, (F.col(f"d_{c}") for c in every)))
-    of = ["ref"] if regression else ["ref", "y"]
-    pairs = _within_reach(pairs, of, k, n_rows)
+    pairs = pairs.withColumn("_d", F.round("_s", 12)).where("_d > 0")
     near = pairs.withColumn("_r", F.rank().over(Window.partitionBy(*of).orderBy("_d"))).where(F.col("_r") <= k).withColumn("_n", F.count("*").over(Window.partitionBy(*of)))
     if regression:
         weight = apart(len(continuous), F.col("y_ref"), F.col("y"))
@@ -167,22 +173,77 @@ def relief_neighbours(df: DataFrame, continuous: Sequence[str], discrete: Sequen
     return Neighbourhood(pinned(out), ref.count(), regression)
 
 
-def _within_reach(pairs: DataFrame, of: Sequence[str], k: int, n: int) -> DataFrame:
-    """Pairs at a distance `_d` (`_s` rounded) above 0, no farther than the kth of a share of the rows, which is never nearer than the kth of all: what is ranked
-    grows with the square root of the rows, and no neighbour is lost.
+def _candidates(rows: DataFrame, ref: DataFrame, continuous: Sequence[str], discrete: Sequence[str], spans: Row, alike: dict, k: int, of: str | None) -> DataFrame:
+    """Rows with the places `_at` of `ref` to which they may be one of the k nearest (of their class `of`): each task passes on what is no farther than the k-th nearest that it has met so far.
 
-    A group without k pairs in that share keeps all of its pairs.
+    Distances are those of `relief_neighbours`, but for their rounding, for which there is room.
     """
-    exact = lambda t: t.withColumn("_d", F.round("_s", 12)).where("_d > 0")
-    share = int((n / k) ** 0.5)
-    if share < 2:
-        return exact(pairs)
-    some = exact(pairs.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0)).select(*of, "_d")
-    some = some.withColumn("_r", F.row_number().over(Window.partitionBy(*of).orderBy("_d"))).where(F.col("_r") <= k)
-    reach = pinned(some.groupBy(*(F.col(c).alias(f"_of_{c}") for c in of)).agg(F.max("_d").alias("_reach"), F.count("*").alias("_has")).where(F.col("_has") == k))  # a row for each reference row and class
-    same = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_of_{c}") for c in of))
-    near = pairs.join(F.broadcast(reach), same, "left").where(F.col("_reach").isNull() | (F.col("_s") <= F.col("_reach") + 1e-12))
-    return exact(near).where(F.col("_reach").isNull() | (F.col("_d") <= F.col("_reach"))).drop("_reach", "_has", *(f"_of_{c}" for c in of))
+    refs = ref.orderBy("_at").collect()  # m of them
+    names = rows.columns
+    known = {c: [r[f"a_{c}"] for r in refs] for c in [*continuous, *discrete]}
+    chance = {c: np.array([np.nan if r[f"q_{c}"] is None else r[f"q_{c}"] for r in refs]) for c in discrete}
+    keys: dict[object, list[int]] = {}
+    for n, r in enumerate(refs):
+        keys.setdefault(r["ref"], []).append(n)
+    at_ref = [r["_at"] for r in refs]
+    width = [(spans[f"hi{i}"] or 0.0) - (spans[f"lo{i}"] or 0.0) for i in range(len(continuous))]
+    mean = [spans[f"mean{i}"] for i in range(len(continuous))]
+    refs = [r["ref"] for r in refs]
+
+    def numbers(column: pa.Array) -> np.ndarray:
+        return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+    def distances(batch: pa.RecordBatch) -> np.ndarray:
+        total = np.zeros((len(refs), batch.num_rows))
+        for i, c in enumerate(continuous):
+            if width[i] > 0:
+                column = batch.column(c)
+                x, none = numbers(column), column.is_null().to_numpy(zero_copy_only=False)
+                x, a = np.where(none, mean[i], x), np.array([mean[i] if v is None else float(v) for v in known[c]])
+                d = np.abs(a[:, None] - x) / width[i]
+                d[np.ix_([v is None for v in known[c]], none)] = 0.5
+                total += d
+        for c in discrete:
+            coded = batch.column(c).dictionary_encode()
+            at = {v: n for n, v in enumerate(coded.dictionary.to_pylist())}
+            x = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            a = np.array([-1 if v is None else at.get(v, -2) for v in known[c]])
+            d = (a[:, None] != x).astype(float)
+            none, p = x == -1, numbers(batch.column(f"p_{c}"))
+            d[a == -1] = 1 - p
+            d[:, none] = (1 - chance[c])[:, None]
+            d[np.ix_(a == -1, none)] = 1 - alike[c] if alike[c] is not None else 0.0
+            total += d
+        for row in np.flatnonzero(pa.compute.is_in(batch.column("key"), value_set=pa.array(refs, batch.schema.field("key").type)).to_numpy(zero_copy_only=False)):
+            total[keys[batch.column("key")[row].as_py()], row] = -1.0  # the row itself
+        total[:, batch.column("key").is_null().to_numpy(zero_copy_only=False)] = -1.0
+        return np.where(np.isnan(total), np.inf, total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nearest: dict[object, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows or not refs:
+                continue
+            d = distances(batch)
+            groups = [(None, np.arange(batch.num_rows))]
+            if of:
+                coded = batch.column(of).dictionary_encode()
+                groups = [(v, np.flatnonzero(coded.indices.to_numpy() == n)) for n, v in enumerate(coded.dictionary.to_pylist())]
+            rows_, refs_ = [], []
+            for name, at in groups:
+                own = d[:, at]
+                best = np.concatenate([nearest.get(name, np.full((len(refs), k), np.inf)), np.where(own > 2 * ROOM, own, np.inf)], axis=1)
+                best = nearest[name] = np.partition(best, k - 1, axis=1)[:, :k]
+                r, x = np.nonzero((own > 0) & (own <= best.max(1)[:, None] + ROOM))
+                rows_.append(at[x])
+                refs_.append(r)
+            rows_, refs_ = np.concatenate(rows_), np.concatenate(refs_)
+            if len(rows_):
+                out = batch.take(pa.array(rows_))
+                yield pa.RecordBatch.from_arrays([*(out.column(c) for c in names), pa.array(np.array(at_ref)[refs_])], names=[*names, "_at"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_at", T.LongType())]))
+
 
 
 def _relief_gain(n: Neighbourhood, d: Column) -> tuple[list[Column], Column]:

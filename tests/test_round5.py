@@ -59,3 +59,36 @@ def test_clustering_of_near_values(spark):
         edges = t.alias("a").join(t.alias("b"), (F.col("a.id") > F.col("b.id")) & (F.abs(F.col("a.x") - F.col("b.x")) <= reach)).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
         want = {r.id: round(r.coefficient, 12) for r in G.clustering(edges).collect()}
         assert {r.id: round(r.coefficient, 12) for r in G.near_clustering(t, "id", "x", reach).collect()} == want and len(want) > 50
+
+
+@pytest.mark.parametrize("regression", [False, True])
+def test_relief_ranks_few_pairs(spark, monkeypatch, regression):
+    """Neighbours by trying all pairs, ties and unknown values with them; what leaves the tasks to be ranked is a small part of these."""
+    from tarnwork.operators import scoring as S
+
+    rng = np.random.default_rng(4)
+    n, m, k = 4000, 12, 5
+    a = [None if v < 0.1 else round(float(v), 2) for v in rng.random(n)]
+    f = [None if v == 0 else "pqrs"[v % 4] for v in rng.integers(0, 9, n)]
+    y = [float(v) for v in rng.random(n)] if regression else ["no" if v else "yes" for v in rng.integers(0, 3, n)]
+    t = spark.createDataFrame(list(zip(range(n), a, f, y, strict=True)), f"k long, a double, f string, y {'double' if regression else 'string'}").repartition(3)
+    passed, plain = [], S._candidates
+    monkeypatch.setattr(S, "_candidates", lambda *o: passed.append(plain(*o)) or passed[-1])
+    got = {(r.ref, r.key) for r in S.relief_neighbours(t, ["a"], ["f"], "y", "k", m, k, regression).pairs.collect()}
+    assert passed[0].count() < n * m / 5
+    known, share = [v for v in a if v is not None], {c: f.count(c) / sum(v is not None for v in f) for c in "pqrs"}
+    mean, span = sum(known) / len(known), max(known) - min(known)
+
+    def apart(p, q):
+        d = 0.5 if a[p] is None and a[q] is None else abs((mean if a[p] is None else a[p]) - (mean if a[q] is None else a[q])) / span
+        both = 1 - sum(s * s for s in share.values())
+        return round(d + (both if f[p] is None and f[q] is None else 1 - share[f[q] or f[p]] if f[p] is None or f[q] is None else float(f[p] != f[q])), 12)
+
+    want = set()
+    for ref in {r for r, _ in got}:
+        every = [(apart(ref, q), q) for q in range(n) if q != ref]
+        for own in [every] if regression else [[e for e in every if y[e[1]] == c] for c in ("no", "yes")]:
+            own = [e for e in own if e[0] > 0]
+            reach = sorted(own)[k - 1][0]
+            want |= {(ref, q) for d, q in own if d <= reach}
+    assert len({r for r, _ in got}) == m and got == want
