@@ -92,3 +92,20 @@ def test_relief_ranks_few_pairs(spark, monkeypatch, regression):
             reach = sorted(own)[k - 1][0]
             want |= {(ref, q) for d, q in own if d <= reach}
     assert len({r for r, _ in got}) == m and got == want
+
+
+def test_pairs_in_tiles(spark, monkeypatch):
+    """Whatever the tiles, blocks of other sizes, unknown values and keys, keys that repeat; rows of a tile come row by row, so that files hold them in little."""
+    from tarnwork.operators import distance as D
+
+    monkeypatch.setattr(D, "IN_A_TILE", 7, raising=False)
+    rng = np.random.default_rng(5)
+    data = [(int(k), int(b) if b else None, float(x) if x > 5 else None, int(y)) for k, b, x, y in zip([*range(90), 3, 3, 40], rng.integers(0, 4, 93) ** 2, rng.integers(0, 50, 93), rng.integers(0, 3, 93), strict=True)] + [(None, 1, 1.0, 1)]
+    df = spark.createDataFrame(data, "k int, b int, x double, y int").repartition(3)
+    span = max(r[2] for r in data if r[2]) - min(r[2] for r in data if r[2])
+    want = sorted((p[0], q[0], round(max(0.5 if p[2] is None or q[2] is None else abs(p[2] - q[2]) / span, abs(p[3] - q[3]) / 2), 6)) for p in data[:93] for q in data[:93] if p[0] > q[0] and p[1] == q[1] is not None)
+    got = D.distance_matrix(df, "k", ["x", "y"], "maximal", "b", 6)
+    assert sorted((r.i, r.j, round(r.d, 6)) for r in got.collect()) == want and got.dtypes == [("i", "int"), ("j", "int"), ("d", "double")]
+    got = D.distance_matrix(df.withColumn("b", F.lit(1)), "k", ["x"], block="b")
+    runs = got.mapInPandas(lambda parts: ((t.assign(n=int((t["i"].diff().fillna(1) != 0).sum()))[["n"]].head(1)) for t in parts), "n long")
+    assert runs.agg(F.sum("n")).first()[0] < got.count() / 3
